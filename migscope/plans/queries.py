@@ -123,3 +123,109 @@ def cobol_risks(spark, sf_dir):
     deps = C.cobol_edges(lines).groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
     r = M.cobol_risks(scores, M.totals(files), deps)
     return r.select("project_id", "id", "category", "description", "severity")
+
+
+# ---------------------------------------------------------------- DDL
+from migscope.operators import ddl as D  # noqa: E402
+from migscope.operators import pgfeat as G  # noqa: E402
+from migscope.sources.generated import ddl_files  # noqa: E402
+
+
+def _stmts(spark, sf_dir):
+    return D.ddl_statements(ddl_files(spark, sf_dir))
+
+
+def _csv(col):
+    return F.array_join(col, ",")
+
+
+@register
+def ddl_statements(spark, sf_dir):
+    return _stmts(spark, sf_dir)
+
+
+@register
+def ddl_tables(spark, sf_dir):
+    return D.ddl_tables(_stmts(spark, sf_dir)).withColumn("primary_key", _csv("primary_key"))
+
+
+@register
+def ddl_columns(spark, sf_dir):
+    return D.ddl_columns(D.table_items(_stmts(spark, sf_dir)))
+
+
+@register
+def ddl_keys(spark, sf_dir):
+    fk = D.ddl_foreign_keys(D.table_items(_stmts(spark, sf_dir)))
+    return fk.withColumn("columns", _csv("columns")).withColumn("referenced_columns", _csv("referenced_columns"))
+
+
+@register
+def ddl_objects(spark, sf_dir):
+    return D.ddl_objects(_stmts(spark, sf_dir))
+
+
+@register
+def ddl_totals(spark, sf_dir):
+    return D.ddl_totals(D.ddl_file_totals(_stmts(spark, sf_dir)), mode="union")
+
+
+@register
+def ddl_last_wins(spark, sf_dir):
+    return D.ddl_totals(D.ddl_file_totals(_stmts(spark, sf_dir)), mode="last")
+
+
+# ---------------------------------------------------------------- PostgreSQL features
+@register
+def pg_type_usage(spark, sf_dir):
+    files = ddl_files(spark, sf_dir)
+    cols = D.ddl_columns(D.table_items(D.ddl_statements(files)))
+    return G.pg_type_usage(spark, files, cols).withColumn("tables", _csv("tables"))
+
+
+@register
+def pg_index_types(spark, sf_dir):
+    return G.pg_index_types(spark, ddl_files(spark, sf_dir))
+
+
+@register
+def pg_functions(spark, sf_dir):
+    return G.pg_functions(ddl_files(spark, sf_dir))
+
+
+@register
+def pg_triggers(spark, sf_dir):
+    return G.pg_triggers(ddl_files(spark, sf_dir))
+
+
+@register
+def pg_sequences(spark, sf_dir):
+    files = ddl_files(spark, sf_dir)
+    st = D.ddl_statements(files)
+    s = G.pg_sequences(files, None, D.ddl_columns(D.table_items(st)))
+    return s.select("project_id", "path", "name", "data_type", "increment", "is_serial")
+
+
+@register
+def pg_extensions(spark, sf_dir):
+    return G.pg_extensions(ddl_files(spark, sf_dir))
+
+
+@register
+def pg_partitions(spark, sf_dir):
+    return G.pg_partitions(ddl_files(spark, sf_dir))
+
+
+@register
+def pg_inheritance(spark, sf_dir):
+    return G.pg_inheritance(ddl_files(spark, sf_dir))
+
+
+@register
+def pg_row_estimates(spark, sf_dir):
+    return G.pg_row_estimates(D.ddl_tables(_stmts(spark, sf_dir)))
+
+
+@register
+def pg_counters(spark, sf_dir):
+    return G.pg_counters(ddl_files(spark, sf_dir))

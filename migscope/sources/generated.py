@@ -107,3 +107,80 @@ COBOL_BY_SUPP = dict(key="l_suppkey", pfx="S", nproj=10)     # ~600 lines per fi
 
 def cobol_lines(spark: SparkSession, sf_dir: str, variant: dict = COBOL_BY_PART) -> DataFrame:
     return run_sql(spark, sf_dir, cobol_lines_sql(**variant))
+
+
+# ---------------------------------------------------------------------------
+# SQL / DDL corpus: one file per customer, project = nation.
+# DDL snippets (PostgreSQL dialect) and the key residues that
+# include them.  ``{k}`` is replaced by the customer key.
+DDL_SNIPPETS = [
+    (1, 0, "CREATE TABLE cust_{k} (\n  id SERIAL PRIMARY KEY,\n  name VARCHAR(50) NOT NULL,\n"
+           "  balance DECIMAL(9,2) DEFAULT 0,\n  tags TEXT[],\n  profile JSONB,\n"
+           "  active BOOLEAN DEFAULT true,\n  PRIMARY KEY (id)\n);"),
+    (2, 0, "CREATE TABLE \"orders_{k}\" (\n\torder_id BIGSERIAL NOT NULL,\n\tcust_id INTEGER NOT NULL,\n"
+           "\tamount NUMERIC(12,2),\n\tip INET,\n\tguid UUID DEFAULT uuid_generate_v4(),\n"
+           "\tCONSTRAINT pk_orders_{k} PRIMARY KEY (order_id),\n"
+           "\tCONSTRAINT fk_orders_{k} FOREIGN KEY (cust_id) REFERENCES cust_{k} (id)\n);"),
+    (3, 0, "CREATE INDEX idx_cust_{k}_name ON cust_{k} (lower(name));"),
+    (3, 1, "CREATE UNIQUE INDEX idx_o_{k} ON orders_{k} USING gin (cust_id) WHERE amount > 0;"),
+    (3, 2, "CREATE INDEX idx_hash_{k} ON orders_{k} USING hash (cust_id);"),
+    (5, 0, "CREATE INDEX IF NOT EXISTS idx_skip_{k} ON cust_{k} USING brin (id);"),
+    (4, 0, "CREATE OR REPLACE FUNCTION calc_{k}(p INTEGER) RETURNS INTEGER AS $$\nBEGIN\n"
+           "  EXECUTE 'SELECT 1';\n\n  RETURN p * 2;\nEND;\n$$ LANGUAGE plpgsql;"),
+    (4, 1, "CREATE FUNCTION get_{k}() RETURNS SETOF cust_{k} LANGUAGE plpgsql AS $$\nBEGIN\n"
+           "  RETURN QUERY SELECT * FROM cust_{k} WHERE profile->>'x' = 'y' AND tags = ARRAY['a'];\nEND;\n$$;"),
+    (6, 0, "CREATE TRIGGER trg_{k} BEFORE INSERT OR UPDATE ON cust_{k} FOR EACH ROW EXECUTE FUNCTION calc_{k}();"),
+    (6, 3, "CREATE TRIGGER trg_del_{k} AFTER DELETE ON orders_{k} FOR EACH STATEMENT EXECUTE FUNCTION calc_{k}();"),
+    (7, 0, "CREATE EXTENSION IF NOT EXISTS \"uuid-ossp\";\nCREATE EXTENSION postgis;"),
+    (8, 0, "CREATE TABLE events_{k} (id BIGINT, created DATE) PARTITION BY RANGE (created);\n"
+           "CREATE TABLE events_{k}_2024 PARTITION OF events_{k} FOR VALUES FROM ('2024-01-01') TO ('2025-01-01');\n"
+           "CREATE TABLE events_{k}_2025 PARTITION OF events_{k} FOR VALUES FROM ('2025-01-01') TO ('2026-01-01');"),
+    (9, 0, "CREATE TABLE logs_{k} (msg VARCHAR(200), at DATE) PARTITION BY LIST (at);"),
+    (10, 0, "CREATE TABLE child_{k} (extra TEXT) INHERITS (cust_{k});"),
+    (11, 0, "CREATE POLICY p_{k} ON cust_{k} USING (true);\nALTER TABLE cust_{k} ENABLE ROW LEVEL SECURITY;"),
+    (12, 0, "CREATE TABLE geo_{k} (loc geography, tsv TSVECTOR, mac MACADDR, hs HSTORE, CHECK (1 = 1),"
+            " CONSTRAINT ex_{k} EXCLUDE USING gist (loc WITH &&));"),
+    (13, 0, "CREATE VIEW v_cust_{k} AS SELECT * FROM cust_{k};\nCREATE SEQUENCE seq_{k} AS INTEGER INCREMENT BY 5;\n"
+            "CREATE SEQUENCE plain_seq_{k};\n"
+            "CREATE OR REPLACE PROCEDURE proc_{k}() LANGUAGE sql AS 'SELECT 1';"),
+    (5, 1, "-- CREATE TABLE ghost_{k} (x INT); SMALLSERIAL mentioned in a comment\n"
+           "/* CREATE TABLE ghost2_{k} (y INT);\n   similarity(a, b) */"),
+    (7, 3, "CREATE TABLE IF NOT EXISTS audit_{k} (id BIGINT, note CITEXT, KEY idx_note (note),"
+           " FOREIGN KEY (id) REFERENCES cust_{k} (id));"),
+    (14, 0, "CREATE TEMP TABLE tmp_{k} (x INT);\nCREATE OR REPLACE VIEW ov_{k} AS SELECT 1;\n"
+            "CREATE TABLE pair_{k} (a INT, b INT, CONSTRAINT pk_pair_{k} PRIMARY KEY (a, b), name BYTEA);"),
+]
+
+
+def _sql_text_k(s: str, key: str) -> str:
+    """Snippet -> portable SQL expression (newline/tab via chr, {k} via the key)."""
+    out = []
+    for i, piece in enumerate(s.split("{k}")):
+        if i:
+            out.append(f"CAST({key} AS STRING)")
+        lines = piece.split("\n")
+        for j, ln in enumerate(lines):
+            if j:
+                out.append("chr(10)")
+            tabs = ln.split("\t")
+            for t, part in enumerate(tabs):
+                if t:
+                    out.append("chr(9)")
+                if part:
+                    out.append(quote_sql(part))
+    return " || ".join(out) if out else "''"
+
+
+def ddl_files_sql() -> str:
+    """src_files(project_id, path, content) of the generated DDL corpus."""
+    parts = [f"CASE WHEN c_custkey % {m} = {r} THEN {_sql_text_k(s, 'c_custkey')} END"
+             for m, r, s in DDL_SNIPPETS]
+    return f"""
+SELECT 'p' || CAST(c_nationkey AS STRING) AS project_id,
+       'p' || CAST(c_nationkey AS STRING) || '/C' || CAST(c_custkey AS STRING) || '.sql' AS path,
+       concat_ws(chr(10), {', '.join(parts)}) AS content
+FROM {{customer}}"""
+
+
+def ddl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, ddl_files_sql())

@@ -4,6 +4,7 @@
 def all_sql() -> dict[str, str]:
     from oracle import cobol
     out: dict[str, str] = {}
-    for mod in (cobol,):
+    from oracle import ddl
+    for mod in (cobol, ddl):
         out.update(mod.sql())
     return out
