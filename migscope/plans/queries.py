@@ -229,3 +229,71 @@ def pg_row_estimates(spark, sf_dir):
 @register
 def pg_counters(spark, sf_dir):
     return G.pg_counters(ddl_files(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- Java / ORM
+from migscope.operators import java as J  # noqa: E402
+from migscope.operators import orm as O  # noqa: E402
+from migscope.sources.generated import java_files, orm_files  # noqa: E402
+
+_ARRAYS_J = ["jpa_annotations", "pg_functions", "pg_data_types", "pg_operators", "schema_code", "extension_usage"]
+
+
+def _join_arrays(df, cols, sep="|"):
+    for col in cols:
+        df = df.withColumn(col, F.array_join(col, sep))
+    return df
+
+
+@register
+def java_loc(spark, sf_dir):
+    return J.java_files(java_files(spark, sf_dir)).select("project_id", "path", "name", "loc")
+
+
+@register
+def java_kind(spark, sf_dir):
+    return J.java_files(java_files(spark, sf_dir)).select("project_id", "path", "name", "type")
+
+
+@register
+def java_orm(spark, sf_dir):
+    return J.java_files(java_files(spark, sf_dir)).select("project_id", "path", "orm_framework")
+
+
+@register
+def java_features(spark, sf_dir):
+    f = J.java_files(java_files(spark, sf_dir)).drop("type", "loc", "orm_framework", "name")
+    return _join_arrays(f, _ARRAYS_J)
+
+
+@register
+def java_queries(spark, sf_dir):
+    q = J.java_queries(java_files(spark, sf_dir))
+    return _join_arrays(q, ["features"])
+
+
+@register
+def java_inventory(spark, sf_dir):
+    src = java_files(spark, sf_dir)
+    inv = J.java_inventory(J.java_files(src), J.java_queries(src))
+    return inv.select("project_id", "path", "name", "type", "loc", "orm_framework", "native_queries",
+                      "has_pg_dependency")
+
+
+@register
+def orm_kind(spark, sf_dir):
+    f = O.orm_files(orm_files(spark, sf_dir))
+    return _join_arrays(f, ["type_handlers", "functions", "data_types", "syntax"])
+
+
+@register
+def orm_queries(spark, sf_dir):
+    q = O.orm_queries(orm_files(spark, sf_dir)).drop("kind")
+    return _join_arrays(q, ["features", "functions", "data_types", "syntax"])
+
+
+@register
+def orm_counts(spark, sf_dir):
+    f = O.orm_files(orm_files(spark, sf_dir))
+    return f.groupBy("project_id", "kind").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("native_queries").cast("long").alias("native_queries"))

@@ -71,10 +71,15 @@ COBOL_LINES = [
 ]
 
 
+def _lit(s: str) -> str:
+    """SQL literal with braces doubled (templates are str.format-ed)."""
+    return quote_sql(s).replace("{", "{{").replace("}", "}}")
+
+
 def _sql_text(s: str) -> str:
     """SQL expression for a fixed line; a tab becomes chr(9) (portable)."""
     parts = s.split("\t")
-    return " || chr(9) || ".join(quote_sql(p) for p in parts)
+    return " || chr(9) || ".join(_lit(p) for p in parts)
 
 
 def cobol_lines_sql(key: str = "l_partkey", pfx: str = "P", nproj: int = 25) -> str:
@@ -167,7 +172,7 @@ def _sql_text_k(s: str, key: str) -> str:
                 if t:
                     out.append("chr(9)")
                 if part:
-                    out.append(quote_sql(part))
+                    out.append(_lit(part))
     return " || ".join(out) if out else "''"
 
 
@@ -184,3 +189,108 @@ FROM {{customer}}"""
 
 def ddl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, ddl_files_sql())
+
+
+# ---------------------------------------------------------------------------
+# Java corpus: one file per order, project = o_custkey % 25.
+# Java snippets and the key residues (m, r) that include them;
+# file-name suffixes by o_orderkey % 6.
+JAVA_SUFFIXES = ["Controller", "Service", "Repository", "Entity", "Mapper", ""]
+JAVA_SNIPPETS = [
+    (2, 0, "import org.springframework.data.jpa.repository.JpaRepository;\n"
+           "import org.springframework.data.jpa.repository.Query;"),
+    (2, 1, "import java.sql.DriverManager;\nimport java.sql.PreparedStatement;"),
+    (3, 0, "@Repository\npublic interface Order{k}Repository extends JpaRepository<Order, Long> {\n"
+           "    @Query(value = \"SELECT o FROM orders o WHERE o.status = true LIMIT 10\", nativeQuery = true)\n"
+           "    List<Order> findActive();\n"
+           "    @Query(\"SELECT o FROM Order o WHERE o.name ILIKE :n\")\n"
+           "    List<Order> byName(String n);\n}"),
+    (3, 1, "@Service\npublic class Order{k}Service {\n    // returns the total\n"
+           "    public int total() { return list.stream().map(x -> x.v).reduce(0, (a, b) -> a + b); }\n}"),
+    (3, 2, "@Entity\n@Table(name = \"orders_{k}\")\npublic class Order{k} {\n"
+           "    /* block comment start\n       still comment */ int trailing;\n"
+           "    private UUID id;\n    private String tags; // JSONB column\n}"),
+    (5, 0, "public class Dao{k} {\n"
+           "    String sql = \"INSERT INTO orders (id, payload) VALUES (?, ?::jsonb) ON CONFLICT (id) DO NOTHING RETURNING id\";\n"
+           "    String q2 = \"SELECT DISTINCT ON (cust) cust, array_agg(id) FROM orders GROUP BY cust\";\n"
+           "    Connection conn = DriverManager.getConnection(url);\n"
+           "    PreparedStatement ps = conn.prepareStatement(sql);\n}"),
+    (7, 0, "@Mapper\n@MapperScan(\"x\")\npublic interface Order{k}Mapper {\n"
+           "    String Q = \"SELECT id, payload->>'name' FROM orders WHERE tags @> ARRAY['a'] AND flag = false\";\n"
+           "    String R = \"SELECT jsonb_build_object('a', 1), generate_series(1, 10), string_agg(name, ',') FROM pg_catalog.pg_class\";\n}"),
+    (11, 0, "@Configuration\n@Transactional\n@NamedQuery(name = \"x\", query = \"select 1\")\n"
+            "public class AppConfig{k} {\n    SessionFactory sf; JdbcTemplate jt;\n    /* multi\n * line\n */\n"
+            "    boolean ok = a || b;\n"
+            "    String s = \"SELECT ST_Distance(geom, x) FROM t WHERE name ~* 'a' AND doc @@ q\"; "
+            "// similarity(a,b) uuid_generate_v4() hstore ltree\n}"),
+    (13, 0, "@RestController\npublic class Api{k}Controller {\n    String short = \"SELECT 1\";\n"
+            "    String sql = \"UPDATE orders SET note = 'x' WHERE id = 1 AND done = TRUE\";\n"
+            "    @Query(value = \"SELECT * FROM orders FOR UPDATE SKIP LOCKED\")\n    void lock();\n"
+            "    String s2 = \"SELECT unnest(ids), GREATEST(a, b), regexp_replace(x, 'a', 'b') FROM t OFFSET 5\";\n}"),
+    (17, 0, "@PersistenceContext\n@Modifying\n@NamedQueries({})\nclass Misc{k} { String q = \"DELETE FROM t WHERE x <@ y AND z ~ w\"; }"),
+]
+
+
+def java_files_sql() -> str:
+    """src_files(project_id, path, content) of the generated Java corpus."""
+    parts = [f"CASE WHEN o_orderkey % {m} = {r} THEN {_sql_text_k(s, 'o_orderkey')} END"
+             for m, r, s in JAVA_SNIPPETS]
+    suffix = "CASE CAST(o_orderkey % 6 AS INT) " + " ".join(
+        f"WHEN {i} THEN {quote_sql(s)}" for i, s in enumerate(JAVA_SUFFIXES)) + " END"
+    return f"""
+SELECT 'p' || CAST(o_custkey % 25 AS STRING) AS project_id,
+       'p' || CAST(o_custkey % 25 AS STRING) || '/O' || CAST(o_orderkey AS STRING) || {suffix} || '.java' AS path,
+       concat_ws(chr(10), {', '.join(parts)}) AS content
+FROM {{orders}}"""
+
+
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, java_files_sql())
+
+
+# ---------------------------------------------------------------------------
+# ORM configuration corpus: one file per part, project = p_size % 25,
+# kind by p_partkey % 4 (MyBatis mapper, JPA orm.xml, Hibernate mapping, YAML).
+ORM_TEMPLATES = [
+    ("xml", "<?xml version=\"1.0\"?>\n<!DOCTYPE mapper PUBLIC \"-//mybatis.org//DTD Mapper 3.0//EN\">\n"
+            "<mapper namespace=\"Part{k}Mapper\">\n"
+            "  <resultMap id=\"partMap\" type=\"Part\"/>\n"
+            "  <select id=\"find{k}\" resultType=\"Part\" databaseId=\"pg\">\n"
+            "    SELECT * FROM part WHERE p_size &gt; 10 AND tags @&gt; ARRAY['x'] LIMIT 5 OFFSET 10\n"
+            "    <if test=\"name != null\">AND name ILIKE #{name}</if>\n  </select>\n"
+            "  <insert id=\"add{k}\" parameterType=\"Part\">\n"
+            "    INSERT INTO part (id, doc) VALUES (#{id}, #{doc, typeHandler=\"JsonbHandler\"}::jsonb) RETURNING id\n  </insert>\n"
+            "  <update id=\"touch{k}\">UPDATE part SET flag = true WHERE id = #{id}<where> </where></update>\n"
+            "  <delete id=\"drop{k}\">DELETE FROM part WHERE id = ANY(#{ids}) <foreach item=\"i\"></foreach></delete>\n"
+            "  <select id=\"agg{k}\">SELECT string_agg(name, ',') , array_agg(id), doc->>'k' FROM part</select>\n"
+            "  <result typeHandler=\"JsonbHandler\"/><result typeHandler='UuidHandler'/>\n</mapper>"),
+    ("xml", "<?xml version=\"1.0\"?>\n<entity-mappings version=\"2.1\">\n"
+            "  <named-query name=\"Part{k}.byBrand\">\n    <query><![CDATA[SELECT p FROM Part p WHERE p.brand = :b AND p.size < 5]]></query>\n"
+            "  </named-query>\n"
+            "  <named-query name=\"Part{k}.json\">\n    <query>SELECT jsonb_agg(p) FROM part p WHERE p.doc -&gt; 'a' IS NOT NULL</query>\n"
+            "  </named-query>\n</entity-mappings>"),
+    ("xml", "<?xml version=\"1.0\"?>\n<!DOCTYPE hibernate-mapping PUBLIC \"-//Hibernate//DTD 3.0//EN\">\n"
+            "<hibernate-mapping>\n"
+            "  <sql-query name=\"part{k}Native\">\n    <![CDATA[SELECT * FROM part WHERE uuid_col = CAST(:u AS UUID) AND active = BOOLEAN 'true']]>\n"
+            "  </sql-query>\n"
+            "  <query name=\"part{k}Hql\"><![CDATA[from Part where size > 3 and GREATEST(a, b) > 1]]></query>\n"
+            "</hibernate-mapping>"),
+    ("yml", "spring:\n  datasource:\n    url: jdbc:postgresql://db/part{k}\n  jpa:\n    properties:\n"
+            "      query: SELECT * FROM part LIMIT 10"),
+]
+
+
+def orm_files_sql() -> str:
+    parts = " ".join(f"WHEN {i} THEN {_sql_text_k(s, 'p_partkey')}" for i, (_, s) in enumerate(ORM_TEMPLATES))
+    names = ["'/mapper' || CAST(p_partkey AS STRING) || '.xml'", "'/orm' || CAST(p_partkey AS STRING) || '.xml'",
+             "'/Part' || CAST(p_partkey AS STRING) || '.hbm.xml'", "'/application' || CAST(p_partkey AS STRING) || '.yml'"]
+    name = " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(names))
+    return f"""
+SELECT 'p' || CAST(p_size % 25 AS STRING) AS project_id,
+       'p' || CAST(p_size % 25 AS STRING) || CASE CAST(p_partkey % 4 AS INT) {name} END AS path,
+       CASE CAST(p_partkey % 4 AS INT) {parts} END AS content
+FROM {{part}}"""
+
+
+def orm_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, orm_files_sql())

@@ -5,6 +5,7 @@ def all_sql() -> dict[str, str]:
     from oracle import cobol
     out: dict[str, str] = {}
     from oracle import ddl
-    for mod in (cobol, ddl):
+    from oracle import java
+    for mod in (cobol, ddl, java):
         out.update(mod.sql())
     return out
