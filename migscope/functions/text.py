@@ -61,3 +61,44 @@ def ordered_distinct(list_col: Column, order_field: str, value_field: str) -> Co
 def quote_sql(s: str) -> str:
     """SQL string literal (both Spark SQL and DuckDB accept doubled quotes)."""
     return "'" + s.replace("'", "''") + "'"
+
+
+def js_to_fixed1_per_million(v) -> Column:
+    """``(v / 1e6).toFixed(1)`` for a non-negative integer count ``v``.
+
+    toFixed rounds the *binary* double to the nearer tenth (exact ties upward).
+    Away from decimal ties the integer remainder decides; at a decimal tie
+    (v % 100000 == 50000) the sign of double(v/1e6)*1e6 - v decides, computed
+    without rounding error by a Veltkamp split (1e6 has 14 significant bits, so
+    every partial product below is exact)."""
+    v = col_(v).cast("long")
+    k = F.floor(v / F.lit(100000)).cast("long")
+    rem = v - k * F.lit(100000)
+    x = v.cast("double") / F.lit(1e6)
+    cc = x * F.lit(134217729.0)
+    hi = cc - (cc - x)
+    lo = x - hi
+    p = x * F.lit(1e6)
+    err = (hi * F.lit(1e6) - p) + lo * F.lit(1e6)
+    above = F.when(p != v.cast("double"), p > v.cast("double")).otherwise(err >= F.lit(0.0))
+    tenths = (F.when(rem > 50000, k + 1).when(rem < 50000, k)
+              .otherwise(F.when(above, k + 1).otherwise(k)))
+    return F.concat((tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
+def has_any(upper_text: Column, literals: list[str]) -> Column:
+    """Cheap necessary condition for a regular expression: the upper-cased text
+    contains one of the literals every match must include.  ``contains`` is a
+    plain substring search, while a case-insensitive Java regex starting with
+    ``\\b`` scans every position; guarding with this keeps regexes off most rows."""
+    cond = None
+    for lit in literals:
+        e = upper_text.contains(lit.upper())
+        cond = e if cond is None else (cond | e)
+    return cond
+
+
+def guarded_rlike(text: Column, upper_text: Column, pattern: str, literals: list[str] | None) -> Column:
+    if not literals:
+        return text.rlike(pattern)
+    return has_any(upper_text, literals) & text.rlike(pattern)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from migscope.functions.text import basename, js_trim, strip_suffix
+from migscope.functions.text import basename, guarded_rlike, has_any, js_trim, strip_suffix
 
 c = F.col
 KEYS = ["project_id", "path"]
@@ -24,6 +24,10 @@ ORM_RULES = [
     ("JDBC Template", r"(?i)JdbcTemplate|import org\.springframework\.jdbc\.core\.JdbcTemplate"),
     ("Plain JDBC", r"(?i)DriverManager\.getConnection|import java\.sql\.DriverManager"),
 ]
+# Substrings every match of the rule above must contain (prefilter only).
+ORM_LITERALS = [["@REPOSITORY", "@ENTITY", "@TABLE", "IMPORT ORG.SPRINGFRAMEWORK.DATA.JPA"],
+                ["@MAPPER", "IMPORT ORG.APACHE.IBATIS", "SQLSESSION"], ["SESSIONFACTORY", "IMPORT ORG.HIBERNATE"],
+                ["JDBCTEMPLATE"], ["DRIVERMANAGER"]]
 # File type by annotation (first hit wins), then by name suffix.
 TYPE_BY_ANNOTATION = [("Controller", r"(?i)@RestController|@Controller"), ("Service", r"(?i)@Service"),
                       ("Repository", r"(?i)@Repository"), ("Entity", r"(?i)@Entity"),
@@ -66,11 +70,19 @@ EXTENSION_USAGE = [("PostGIS", r"(?i)PostGIS|ST_\w+|geography|geometry"),
                    ("uuid-ossp", r"(?i)uuid_generate|uuid-ossp"),
                    ("hstore", r"(?i)hstore"), ("ltree", r"(?i)ltree")]
 RE_JDBC = r"DriverManager\.getConnection|Connection\s+conn"
-
-
-def flags(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Labels whose pattern matches, in rule order."""
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(lbl)) for lbl, p in rules]), lambda x: x.isNotNull())
+# Combined form of QUERY_FEATURES: a query has PostgreSQL syntax iff it matches.
+RE_ANY_QUERY_FEATURE = "(?i)" + "|".join(p.replace("(?i)", "") for _, p in QUERY_FEATURES) + "|" + "|".join(
+    f.upper() for f in QUERY_FUNCTION_FAMILIES)
+
+
+def flags(text: Column, rules: list[tuple[str, str]], upper_text: Column | None = None,
+          literals: list[list[str]] | None = None) -> Column:
+    """Labels whose pattern matches, in rule order (regex guarded by literals)."""
+    items = []
+    for k, (lbl, p) in enumerate(rules):
+        cond = text.rlike(p) if literals is None else guarded_rlike(text, upper_text, p, literals[k])
+        items.append(F.when(cond, F.lit(lbl)))
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
 def java_loc(content: Column) -> Column:
@@ -86,17 +98,22 @@ def java_loc(content: Column) -> Column:
     return F.aggregate(F.split(content, "\n"), init, step, lambda acc: acc["n"])
 
 
-def orm_framework(content: Column) -> Column:
+def orm_framework(content: Column, U: Column | None = None) -> Column:
+    U = F.upper(content) if U is None else U
     e = None
-    for lbl, p in ORM_RULES:
-        e = F.when(content.rlike(p), lbl) if e is None else e.when(content.rlike(p), lbl)
+    for (lbl, p), lits in zip(ORM_RULES, ORM_LITERALS):
+        cond = guarded_rlike(content, U, p, lits)
+        e = F.when(cond, lbl) if e is None else e.when(cond, lbl)
     return e.otherwise("None")
 
 
-def file_type(content: Column, name: Column) -> Column:
+def file_type(content: Column, name: Column, U: Column | None = None) -> Column:
+    U = F.upper(content) if U is None else U
     e = None
     for lbl, p in TYPE_BY_ANNOTATION:
-        e = F.when(content.rlike(p), lbl) if e is None else e.when(content.rlike(p), lbl)
+        lits = [x.strip("(?i)") for x in p.replace("(?i)", "").split("|")]
+        cond = guarded_rlike(content, U, p, lits)
+        e = F.when(cond, lbl) if e is None else e.when(cond, lbl)
     for lbl, sufs in TYPE_BY_SUFFIX:
         cond = None
         for s in sufs:
@@ -105,35 +122,76 @@ def file_type(content: Column, name: Column) -> Column:
     return e.otherwise("Other")
 
 
-def pg_functions_used(content: Column) -> Column:
+def _fn_literal(p: str) -> str:
+    return p.replace("\\b", "").split("\\")[0].upper()
+
+
+def pg_functions_used(content: Column, U: Column | None = None) -> Column:
     """Distinct function names by exact spelling, pattern order then text order."""
-    allm = F.flatten(F.array(*[F.regexp_extract_all(content, F.lit("(?i)" + p), 0) for p in PG_FUNCTION_PATTERNS]))
+    U = F.upper(content) if U is None else U
+    empty = F.array().cast("array<string>")
+    allm = F.flatten(F.array(*[
+        F.when(U.contains(_fn_literal(p)), F.regexp_extract_all(content, F.lit("(?i)" + p), 0)).otherwise(empty)
+        for p in PG_FUNCTION_PATTERNS]))
     return F.array_distinct(F.transform(allm, lambda m: js_trim(F.regexp_replace(m, r"\s*\(", ""))))
 
 
+def _has_pg(q: Column) -> Column:
+    return q.rlike(RE_ANY_QUERY_FEATURE)
+
+
+def _query_facts(content: Column, U: Column) -> list[Column]:
+    """Per-file counts over the native queries (J7-J9), computed on the match
+    arrays inside the row so the project scores need no second pass."""
+    empty = F.array().cast("array<string>")
+    has_ann = U.contains("@QUERY")
+    a1 = F.regexp_extract_all(content, F.lit(RE_ANNOTATION_QUERY), 1)
+    a2 = F.regexp_extract_all(content, F.lit(RE_ANNOTATION_QUERY), 2)
+    ann = F.when(has_ann, F.zip_with(a1, a2, lambda x, y: F.when(x != "", x).otherwise(y))).otherwise(empty)
+    has_lit = has_any(U, ['"' + k for k in ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP"]])
+    lit = F.when(has_lit, F.filter(F.regexp_extract_all(content, F.lit(RE_LITERAL_QUERY), 1), _has_pg)) \
+        .otherwise(empty)
+    qs = F.concat(ann, lit)
+    return [
+        F.size(qs).cast("long").alias("native_queries"),
+        F.size(F.filter(qs, _has_pg)).cast("long").alias("pg_native_queries"),
+        F.size(F.filter(qs, lambda q: q.rlike("(?i)LIMIT|OFFSET"))).cast("long").alias("limit_offset_queries"),
+        F.size(F.filter(qs, lambda q: q.rlike("(?i)RETURNING"))).cast("long").alias("returning_queries"),
+    ]
+
+
 def java_files(src_files: DataFrame) -> DataFrame:
-    """One row per Java file."""
+    """One row per Java file (one scan, one projection)."""
     content = c("content")
+    U = c("U")
     name = strip_suffix(basename("path"), ".java")
-    return src_files.select(
-        *KEYS, name.alias("name"), "content").select(
+    f = src_files.select(
+        *KEYS, name.alias("name"), "content", F.upper("content").alias("U")).select(
         *KEYS, "name",
-        file_type(content, c("name")).alias("type"),
+        file_type(content, c("name"), U).alias("type"),
         java_loc(content).cast("long").alias("loc"),
-        orm_framework(content).alias("orm_framework"),
+        orm_framework(content, U).alias("orm_framework"),
         F.regexp_count(content, F.lit("@Repository")).cast("long").alias("repository_annotations"),
         F.regexp_count(content, F.lit("@Entity|@Table")).cast("long").alias("entity_annotations"),
         F.regexp_count(content, F.lit("@Mapper")).cast("long").alias("mapper_annotations"),
         F.filter(F.array(*[F.when(content.contains(a), F.lit(a)) for a in JPA_ANNOTATIONS]),
                  lambda x: x.isNotNull()).alias("jpa_annotations"),
-        pg_functions_used(content).alias("pg_functions"),
-        flags(content, [(w, rf"(?i)\b{w}\b") for w in PG_TYPE_WORDS]).alias("pg_data_types"),
-        flags(content, PG_OPERATORS).alias("pg_operators"),
+        pg_functions_used(content, U).alias("pg_functions"),
+        flags(content, [(w, rf"(?i)\b{w}\b") for w in PG_TYPE_WORDS], U, [[w] for w in PG_TYPE_WORDS])
+        .alias("pg_data_types"),
+        flags(content, PG_OPERATORS, U, [["@>"], ["<@"], ["->"], ["->>"], ["@@"], ["~"], ["~*"], ["||"]])
+        .alias("pg_operators"),
         F.regexp_count(content, F.lit(RE_JDBC)).cast("long").alias("jdbc_calls"),
         F.regexp_count(content, F.lit("PreparedStatement")).cast("long").alias("prepared_statements"),
-        flags(content, SCHEMA_CODE).alias("schema_code"),
-        flags(content, EXTENSION_USAGE).alias("extension_usage"),
+        flags(content, SCHEMA_CODE, U, [["PG_CATALOG"], ["INFORMATION_SCHEMA"], ["PG_STAT"],
+                                        ["PG_CLASS", "PG_NAMESPACE", "PG_ATTRIBUTE"]]).alias("schema_code"),
+        flags(content, EXTENSION_USAGE, U, [["POSTGIS", "ST_", "GEOGRAPHY", "GEOMETRY"], ["PG_TRGM", "SIMILARITY"],
+                                            ["UUID_GENERATE", "UUID-OSSP"], ["HSTORE"], ["LTREE"]])
+        .alias("extension_usage"),
+        *_query_facts(content, U),
     )
+    return f.withColumn("has_pg_dependency", (c("native_queries") > 0) | (F.size("pg_functions") > 0)
+                        | (F.size("pg_data_types") > 0))
 
 
 def query_features(q: Column) -> Column:
@@ -183,10 +241,6 @@ def java_queries(src_files: DataFrame) -> DataFrame:
     return q.where((c("type") == "annotation") | c("has_pg_syntax"))
 
 
-def java_inventory(files: DataFrame, queries: DataFrame) -> DataFrame:
+def java_inventory(files: DataFrame) -> DataFrame:
     """File rows with the has-PostgreSQL-dependency flag."""
-    nq = queries.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("native_queries"),
-                                    F.count_if("has_pg_syntax").alias("pg_native_queries"))
-    j = files.join(nq, KEYS, "left").fillna(0, ["native_queries", "pg_native_queries"])
-    return j.withColumn("has_pg_dependency", (c("native_queries") > 0) | (F.size("pg_functions") > 0)
-                        | (F.size("pg_data_types") > 0))
+    return files.select(*KEYS, "name", "type", "loc", "orm_framework", "native_queries", "has_pg_dependency")

@@ -74,31 +74,37 @@ def _extract(files: DataFrame, pattern: str, groups: list[int], names: list[str]
 def pg_type_usage(spark: SparkSession, files: DataFrame, columns: DataFrame) -> DataFrame:
     """Per file and mapped type the column count (+1 per SERIAL literal in
     the raw text, comments included), the tables in first-seen order and the
-    Oracle mapping.  The 16-row map is a broadcast inner join."""
+    Oracle mapping.  The 16-row map is a broadcast inner join.  ``seen`` orders the
+    types as first met: column types by position, then SERIAL-pass-only types by
+    match position."""
     tm = F.broadcast(type_map(spark))
     from_cols = columns.join(tm.select(c("type").alias("data_type")), "data_type") \
         .groupBy(*KEYS, c("data_type").alias("type")).agg(
             F.count(F.lit(1)).alias("n"),
             F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("stmt_no", "col_no", "table_name"))),
-                                         lambda s: s["table_name"])).alias("tables"))
-    serial = files.select(*KEYS, F.explode(F.regexp_extract_all("content", F.lit(RE_SERIAL), 0)).alias("m")) \
-        .groupBy(*KEYS, F.upper("m").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+                                         lambda s: s["table_name"])).alias("tables"),
+            F.min(F.struct(F.lit(0).alias("o1"), c("stmt_no").alias("o2"), c("col_no").alias("o3"))).alias("seen"))
+    serial = files.select(*KEYS, F.posexplode(F.regexp_extract_all("content", F.lit(RE_SERIAL), 0)).alias("i", "m")) \
+        .groupBy(*KEYS, F.upper("m").alias("type")).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct(F.lit(1).alias("o1"), c("i").cast("long").alias("o2"), F.lit(0).cast("long").alias("o3")))
+            .alias("seen"))
     u = from_cols.unionByName(serial.withColumn("tables", F.lit(None).cast("array<string>")))
     agg = u.groupBy(*KEYS, "type").agg(F.sum("n").cast("long").alias("count"),
-                                       F.max("tables").alias("tables"))
+                                       F.max("tables").alias("tables"), F.min("seen").alias("seen"))
     return agg.join(tm, "type").select(
         *KEYS, "type", "count", F.coalesce(c("tables"), F.array().cast("array<string>")).alias("tables"),
-        "complexity", "oracle_type")
+        "complexity", "oracle_type", "seen")
 
 
 def pg_index_types(spark: SparkSession, files: DataFrame) -> DataFrame:
     """CREATE INDEX methods (default BTREE) with count and Oracle support."""
-    m = files.select(*KEYS, F.explode(F.regexp_extract_all("content", F.lit(RE_INDEX), 1)).alias("m"))
+    m = files.select(*KEYS, F.posexplode(F.regexp_extract_all("content", F.lit(RE_INDEX), 1)).alias("i", "m"))
     g = m.groupBy(*KEYS, F.when(c("m") == "", "BTREE").otherwise(F.upper("m")).alias("type")) \
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"), F.min("i").cast("long").alias("first_ord"))
     sup = F.broadcast(spark.createDataFrame(INDEX_SUPPORT, "type string, oracle_support boolean"))
     return g.join(sup, "type", "left").select(
-        *KEYS, "type", "count", F.coalesce(c("oracle_support"), F.lit(False)).alias("oracle_support"))
+        *KEYS, "type", "count", F.coalesce(c("oracle_support"), F.lit(False)).alias("oracle_support"), "first_ord")
 
 
 def pg_functions(files: DataFrame) -> DataFrame:

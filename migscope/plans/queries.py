@@ -180,12 +180,12 @@ def ddl_last_wins(spark, sf_dir):
 def pg_type_usage(spark, sf_dir):
     files = ddl_files(spark, sf_dir)
     cols = D.ddl_columns(D.table_items(D.ddl_statements(files)))
-    return G.pg_type_usage(spark, files, cols).withColumn("tables", _csv("tables"))
+    return G.pg_type_usage(spark, files, cols).withColumn("tables", _csv("tables")).drop("seen")
 
 
 @register
 def pg_index_types(spark, sf_dir):
-    return G.pg_index_types(spark, ddl_files(spark, sf_dir))
+    return G.pg_index_types(spark, ddl_files(spark, sf_dir)).drop("first_ord")
 
 
 @register
@@ -262,7 +262,9 @@ def java_orm(spark, sf_dir):
 
 @register
 def java_features(spark, sf_dir):
-    f = J.java_files(java_files(spark, sf_dir)).drop("type", "loc", "orm_framework", "name")
+    f = J.java_files(java_files(spark, sf_dir)).select(
+        "project_id", "path", "repository_annotations", "entity_annotations", "mapper_annotations", "jdbc_calls",
+        "prepared_statements", *_ARRAYS_J)
     return _join_arrays(f, _ARRAYS_J)
 
 
@@ -274,10 +276,7 @@ def java_queries(spark, sf_dir):
 
 @register
 def java_inventory(spark, sf_dir):
-    src = java_files(spark, sf_dir)
-    inv = J.java_inventory(J.java_files(src), J.java_queries(src))
-    return inv.select("project_id", "path", "name", "type", "loc", "orm_framework", "native_queries",
-                      "has_pg_dependency")
+    return J.java_inventory(J.java_files(java_files(spark, sf_dir)))
 
 
 @register
@@ -297,3 +296,51 @@ def orm_counts(spark, sf_dir):
     f = O.orm_files(orm_files(spark, sf_dir))
     return f.groupBy("project_id", "kind").agg(
         F.count(F.lit(1)).alias("files"), F.sum("native_queries").cast("long").alias("native_queries"))
+
+
+# ---------------------------------------------------------------- PostgreSQL -> Oracle project plans
+from migscope.plans import pgscore as PG  # noqa: E402
+
+_DETAILS_PG = ["schema_details", "sql_details", "proc_details", "volume_details", "app_details", "ops_details"]
+
+
+def _pg_scores(spark, sf_dir):
+    jf = J.java_files(java_files(spark, sf_dir))
+    ddl = PG.DdlFacts(spark, ddl_files(spark, sf_dir))
+    return PG.pg_project_scores(spark, projects_from_nation(spark, sf_dir), jf, ddl)
+
+
+@register
+def pg_scores(spark, sf_dir):
+    s = _pg_scores(spark, sf_dir).select("project_id", *PG.DIMS, "overall", "difficulty", "description",
+                                         *_DETAILS_PG)
+    return _join_arrays(s, _DETAILS_PG, "; ")
+
+
+@register
+def pg_recommendations(spark, sf_dir):
+    return PG.pg_recommendations(_pg_scores(spark, sf_dir))
+
+
+@register
+def pg_risks(spark, sf_dir):
+    return PG.pg_risks(_pg_scores(spark, sf_dir))
+
+
+@register
+def primary_orm(spark, sf_dir):
+    return PG.primary_orm(J.java_files(java_files(spark, sf_dir)))
+
+
+def _inventory(spark, sf_dir):
+    return J.java_inventory(J.java_files(java_files(spark, sf_dir)))
+
+
+@register
+def pg_changes(spark, sf_dir):
+    return PG.java_changes(_inventory(spark, sf_dir))
+
+
+@register
+def pg_change_summary(spark, sf_dir):
+    return PG.change_summary(_inventory(spark, sf_dir))

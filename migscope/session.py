@@ -34,13 +34,22 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "migsco
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a local one only when unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``);
+    a local folder is assigned only when the session has none (local tests)."""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="migscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder, so a
+    small result that several branches read is computed once and survives the
+    loss of executors (never a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -21,9 +21,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+# Generated text is ~100x larger than the key columns it is derived from, and the
+# per-file mining is CPU bound (regular expressions).  A content generator
+# therefore spreads its key table over EXPANSION x the scan's partitions (at
+# least the cluster's default parallelism): a round-robin exchange of a few key
+# columns, not of the text.
+EXPANSION = 16
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    n = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions() * EXPANSION)
+    return df.repartition(n)
+
+
+def run_sql(spark: SparkSession, sf_dir: str, template: str, spread_tables: tuple = ()) -> DataFrame:
     """Run a template whose table references are written ``{name}``."""
     used = {t: read_table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in template}
+    for t in spread_tables:
+        used[t] = spread(spark, used[t])
     return spark.sql(template, **used)
 
 
@@ -188,7 +203,7 @@ FROM {{customer}}"""
 
 
 def ddl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, ddl_files_sql())
+    return run_sql(spark, sf_dir, ddl_files_sql(), ("customer",))
 
 
 # ---------------------------------------------------------------------------
@@ -245,7 +260,7 @@ FROM {{orders}}"""
 
 
 def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, java_files_sql())
+    return run_sql(spark, sf_dir, java_files_sql(), ("orders",))
 
 
 # ---------------------------------------------------------------------------
@@ -293,4 +308,4 @@ FROM {{part}}"""
 
 
 def orm_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, orm_files_sql())
+    return run_sql(spark, sf_dir, orm_files_sql(), ("part",))

@@ -6,6 +6,7 @@ def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     from oracle import ddl
     from oracle import java
-    for mod in (cobol, ddl, java):
+    from oracle import pg
+    for mod in (cobol, ddl, java, pg):
         out.update(mod.sql())
     return out
