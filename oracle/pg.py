@@ -181,12 +181,14 @@ sc AS (
 
 
 def fixed1(v: str) -> str:
-    """(v/1e6).toFixed(1) for an integer v, decided on the exact binary value via
-    DECIMAL arithmetic (DuckDB casts the double to an exact decimal)."""
-    x = f"(CAST({v} AS DOUBLE) / 1e6)"
-    # tenths = round-half-up of the exact double; DECIMAL(38,30) keeps the double's value
-    return (f"(CAST(floor(CAST({x} AS DECIMAL(38,30)) * 10 + 0.5) AS BIGINT) // 10) || '.' || "
-            f"(CAST(floor(CAST({x} AS DECIMAL(38,30)) * 10 + 0.5) AS BIGINT) % 10)")
+    """(v/1e6).toFixed(1) for an integer v: round half up on the exact decimal
+    expansion of the double, read from printf('%.60f') (exact digits)."""
+    x = f"printf('%.60f', CAST({v} AS DOUBLE) / 1e6)"
+    ip = f"CAST(split_part({x}, '.', 1) AS BIGINT)"
+    d1 = f"CAST(substr(split_part({x}, '.', 2), 1, 1) AS BIGINT)"
+    d2 = f"CAST(substr(split_part({x}, '.', 2), 2, 1) AS BIGINT)"
+    t = f"({ip} * 10 + {d1} + CASE WHEN {d2} >= 5 THEN 1 ELSE 0 END)"
+    return f"(({t}) // 10) || '.' || (({t}) % 10)"
 
 
 def sql() -> dict[str, str]:
