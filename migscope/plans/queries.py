@@ -344,3 +344,210 @@ def pg_changes(spark, sf_dir):
 @register
 def pg_change_summary(spark, sf_dir):
     return PG.change_summary(_inventory(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- migration data checks
+from migscope.operators import validate as V  # noqa: E402
+from migscope.sources.generated import ORDERS_CHANGES_SQL, read_table, run_sql, target_table  # noqa: E402
+
+# Checks configured for the generated migration (key columns,
+# conversion rules, business rules, baseline).
+CONVERSION_RULES = {
+    "orders": [("o_totalprice", "decimal(8,2)"), ("o_orderstatus", "char(1)"), ("o_custkey", "int")],
+    "customer": [("c_acctbal", "decimal(7,1)"), ("c_nationkey", "smallint"), ("c_name", "varchar(10)")],
+    "lineitem": [("l_quantity", "smallint"), ("l_discount", "decimal(3,2)"), ("l_extendedprice", "decimal(9,2)")],
+}
+BUSINESS_RULES = {
+    "lineitem": [("positive_quantity", "l_quantity > 0"),
+                 ("discount_range", "l_discount BETWEEN 0 AND 0.1"),
+                 ("tax_range", "l_tax BETWEEN 0 AND 0.08"),
+                 ("price_not_negative", "l_extendedprice >= 0"),
+                 ("known_return_flag", "l_returnflag IN ('A', 'N', 'R')")],
+    "orders": [("positive_total", "o_totalprice > 0"),
+               ("known_status", "o_orderstatus IN ('F', 'O', 'P')"),
+               ("priority_prefix", "o_orderpriority LIKE '%-%'")],
+}
+# baseline (ms) and target (ms) per query class, and the event type measured for it
+PERF_BASELINE = [("PERF-001", "Simple SELECT query", 10.0, 15.0, "view"),
+                 ("PERF-002", "JOIN query (2 tables)", 50.0, 60.0, "click"),
+                 ("PERF-003", "JOIN query (5+ tables)", 200.0, 250.0, "purchase"),
+                 ("PERF-004", "Aggregation query", 100.0, 120.0, "signup"),
+                 ("PERF-005", "Full-text search", 80.0, 100.0, "error"),
+                 ("PERF-006", "Pagination query", 15.0, 20.0, "none")]
+
+
+def _t(spark, sf_dir, name):
+    return read_table(spark, sf_dir, name)
+
+
+@register
+def v_counts(spark, sf_dir):
+    pairs = [(n, _t(spark, sf_dir, n), target_table(spark, sf_dir, n))
+             for n in ("orders", "customer", "part", "lineitem", "documents")]
+    pairs.append(("supplier", _t(spark, sf_dir, "supplier"), None))
+    return V.reconcile_counts(pairs)
+
+
+@register
+def v_checksum(spark, sf_dir):
+    return V.reconcile_checksum(_t(spark, sf_dir, "orders"), target_table(spark, sf_dir, "orders"),
+                                ["o_orderkey"], buckets=64, digest="md5", bucket_by="key")
+
+
+@register
+def v_orphans(spark, sf_dir):
+    li, od, cu = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    lab, doc = _t(spark, sf_dir, "labels"), _t(spark, sf_dir, "documents")
+    checks = [
+        ("lineitem->orders(target)", li, target_table(spark, sf_dir, "orders"), ["l_orderkey"], ["o_orderkey"]),
+        ("orders->customer(target)", od, target_table(spark, sf_dir, "customer"), ["o_custkey"], ["c_custkey"]),
+        ("lineitem->part", li, _t(spark, sf_dir, "part"), ["l_partkey"], ["p_partkey"]),
+        ("lineitem->supplier", li, _t(spark, sf_dir, "supplier"), ["l_suppkey"], ["s_suppkey"]),
+        ("labels->documents", lab, doc, ["doc_id"], ["doc_id"]),
+        ("documents->labels", doc, lab, ["doc_id"], ["doc_id"]),
+    ]
+    parts = [V.orphans(ch, pa, fk, pk).agg(F.count(F.lit(1)).alias("orphans"))
+             .select(F.lit(name).alias("relation"), "orphans") for name, ch, pa, fk, pk in checks]
+    from functools import reduce
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register
+def v_diff(spark, sf_dir):
+    return V.diff_rows(_t(spark, sf_dir, "orders"), target_table(spark, sf_dir, "orders"), ["o_orderkey"])
+
+
+@register
+def v_nulls(spark, sf_dir):
+    a = V.compare_nulls(_t(spark, sf_dir, "orders"), target_table(spark, sf_dir, "orders"), "orders")
+    b = V.compare_nulls(_t(spark, sf_dir, "customer"), target_table(spark, sf_dir, "customer"), "customer")
+    return a.unionByName(b)
+
+
+@register
+def v_conversion(spark, sf_dir):
+    from functools import reduce
+    return reduce(DataFrame.unionByName, [V.conversion_loss(_t(spark, sf_dir, n), r, n)
+                                          for n, r in CONVERSION_RULES.items()])
+
+
+@register
+def v_charset(spark, sf_dir):
+    return V.charset_check(_t(spark, sf_dir, "documents"), target_table(spark, sf_dir, "documents"),
+                           "doc_id", "text")
+
+
+@register
+def v_json(spark, sf_dir):
+    return V.json_check(_t(spark, sf_dir, "events"), "event_id", "props")
+
+
+@register
+def v_arrays(spark, sf_dir):
+    return V.array_to_child(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@register
+def v_bool(spark, sf_dir):
+    t = target_table(spark, sf_dir, "customer")
+    b = F.col("c_mktsegment") == "BUILDING"
+    return t.select("c_custkey", V.bool_to_number(b).alias("as_written"),
+                    V.bool_to_number(b, keep_null=True).alias("null_keeping"))
+
+
+@register
+def v_sample(spark, sf_dir):
+    src = V.sample_rows(_t(spark, sf_dir, "orders"), "o_orderkey", 0.1, method="md5")
+    tgt = target_table(spark, sf_dir, "orders").join(src.select("o_orderkey"), "o_orderkey", "left_semi")
+    return V.diff_rows(src, tgt, ["o_orderkey"], keep_same=True)
+
+
+@register
+def v_rules(spark, sf_dir):
+    return V.check_rules(_t(spark, sf_dir, "lineitem"), BUSINESS_RULES["lineitem"], "lineitem").unionByName(
+        V.check_rules(_t(spark, sf_dir, "orders"), BUSINESS_RULES["orders"], "orders"))
+
+
+def _oracle_map(spark):
+    return G.type_map(spark).select("type", F.col("oracle_type").alias("target_type"))
+
+
+@register
+def v_type_map(spark, sf_dir):
+    cols = D.ddl_columns(D.table_items(_stmts(spark, sf_dir)))
+    return V.map_types(cols, _oracle_map(spark)).select(
+        "project_id", "path", "table_name", "column_name", "data_type", "target_type", "mapped")
+
+
+@register
+def v_schema_diff(spark, sf_dir):
+    """Source catalogue vs the catalogue after type mapping, where the migrated
+    schema dropped the columns of every table whose file key % 11 = 0."""
+    cols = D.ddl_columns(D.table_items(_stmts(spark, sf_dir)))
+    keys = ["project_id", "path", "table_name", "column_name"]
+    mapped = V.map_types(cols, _oracle_map(spark)).withColumn("data_type", F.col("target_type"))
+    key_no = F.regexp_extract("path", r"C(\d+)\.sql$", 1).cast("long")
+    mapped = mapped.where(key_no % 11 != 0)
+    return V.schema_diff(cols, mapped, keys)
+
+
+@register
+def v_load_order(spark, sf_dir):
+    st = _stmts(spark, sf_dir)
+    tables = D.ddl_tables(st).select("project_id", F.col("table_name").alias("table")).distinct()
+    fks = D.ddl_foreign_keys(D.table_items(st)).select(
+        "project_id", F.col("table_name").alias("table"), F.col("referenced_table").alias("parent"))
+    return V.load_order(tables, fks, ["project_id"])
+
+
+@register
+def v_delta(spark, sf_dir):
+    base = target_table(spark, sf_dir, "orders")
+    changes = run_sql(spark, sf_dir, ORDERS_CHANGES_SQL)
+    return V.apply_delta(base, changes, ["o_orderkey"])
+
+
+@register
+def v_latency(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    return V.latency_slo(ev, [F.to_date("ts").alias("day")], "value", F.col("event_type") == "error",
+                         2000.0, 5000.0).withColumn("day", F.col("day").cast("string"))
+
+
+@register
+def v_alerts(spark, sf_dir):
+    a = V.alerts(_t(spark, sf_dir, "events"))
+    return a.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")) \
+        .withColumn("window_end", F.date_format("window_end", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register
+def v_baseline(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    actual = ev.groupBy("event_type").agg(F.percentile("value", 0.95).alias("actual"))
+    base = spark.createDataFrame(PERF_BASELINE, "metric string, description string, baseline double, "
+                                                "target double, event_type string")
+    j = base.join(F.broadcast(actual) if False else actual, "event_type", "left").drop("event_type")
+    return V.compare_baseline(j.select("metric", "actual"), base.drop("event_type"))
+
+
+@register
+def v_table_summary(spark, sf_dir):
+    return V.table_summary(D.ddl_tables(_stmts(spark, sf_dir)))
+
+
+@register
+def v_migrate(spark, sf_dir):
+    src = _t(spark, sf_dir, "customer")
+    conv = {"c_acctbal": F.col("c_acctbal").cast("decimal(12,2)"),
+            "c_mktsegment": V.bool_to_number(F.col("c_mktsegment") == "BUILDING", keep_null=True).cast("string")}
+    out, counts = V.migrate_table(src, conv, ["c_custkey"])
+    chk = V.reconcile_checksum(src.select("c_custkey", "c_name", "c_nationkey"),
+                               out.select("c_custkey", "c_name", "c_nationkey"), ["c_custkey"], buckets=16,
+                               digest="md5", bucket_by="key")
+    return chk
+
+
+@register
+def cobol_complexity_stats(spark, sf_dir):
+    return M.complexity_stats(_files(spark, sf_dir))

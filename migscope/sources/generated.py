@@ -309,3 +309,54 @@ FROM {{part}}"""
 
 def orm_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, orm_files_sql(), ("part",))
+
+
+# ---------------------------------------------------------------------------
+# "Migrated" target tables: the source with deterministic damage.
+# Rows whose key % 101 = 0 are lost, % 103 = 0 changed, % 107 = 0
+# get a NULL in one column.
+TARGET_SQL = {
+    "orders": """
+SELECT o_orderkey, o_custkey,
+       CASE WHEN o_orderkey % 107 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderkey % 103 = 0 THEN o_totalprice + 1.0 ELSE o_totalprice END AS o_totalprice,
+       o_orderdate, o_orderpriority
+FROM {orders} WHERE o_orderkey % 101 <> 0""",
+    "customer": """
+SELECT c_custkey, c_name, c_nationkey,
+       CASE WHEN c_custkey % 103 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal,
+       CASE WHEN c_custkey % 107 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+FROM {customer} WHERE c_custkey % 101 <> 0""",
+    "part": """
+SELECT p_partkey, p_name, p_brand,
+       CASE WHEN p_partkey % 107 = 0 THEN NULL ELSE p_type END AS p_type,
+       CASE WHEN p_partkey % 103 = 0 THEN p_size + 1 ELSE p_size END AS p_size, p_retailprice
+FROM {part} WHERE p_partkey % 101 <> 0""",
+    "lineitem": """
+SELECT * FROM {lineitem} WHERE l_orderkey % 101 <> 0""",
+    "documents": """
+SELECT doc_id,
+       CASE WHEN doc_id % 103 = 0 THEN translate(text, 'éèêàâüöäßñçÉÀ', 'eeeaauoasncEA') ELSE text END AS text,
+       lang, source, n_chars
+FROM {documents} WHERE doc_id % 101 <> 0""",
+}
+
+
+def target_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return run_sql(spark, sf_dir, TARGET_SQL[name])
+
+
+# Delta capture during the load: inserts for the lost rows, updates for changed
+# ones (two versions, the later wins), deletes for key % 109 = 0.
+ORDERS_CHANGES_SQL = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 'I' AS op, 1 AS seq
+FROM {orders} WHERE o_orderkey % 101 = 0
+UNION ALL
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 5.0, o_orderdate, o_orderpriority, 'U', 1
+FROM {orders} WHERE o_orderkey % 103 = 0
+UNION ALL
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 'U', 2
+FROM {orders} WHERE o_orderkey % 103 = 0 OR o_orderkey % 107 = 0
+UNION ALL
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 'D', 3
+FROM {orders} WHERE o_orderkey % 109 = 0"""

@@ -7,6 +7,7 @@ def all_sql() -> dict[str, str]:
     from oracle import ddl
     from oracle import java
     from oracle import pg
-    for mod in (cobol, ddl, java, pg):
+    from oracle import validate
+    for mod in (cobol, ddl, java, pg, validate):
         out.update(mod.sql())
     return out
