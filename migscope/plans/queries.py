@@ -551,3 +551,199 @@ def v_migrate(spark, sf_dir):
 @register
 def cobol_complexity_stats(spark, sf_dir):
     return M.complexity_stats(_files(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- corpus, admission, reports
+from migscope.plans import report as R  # noqa: E402
+from migscope.sources import corpus as S  # noqa: E402
+from migscope.session import materialize  # noqa: E402
+from migscope.sources.generated import COBOL_BY_PART as _CBP, cobol_paths_sql  # noqa: E402
+
+REPORT_DATE = "2026-01-01"
+
+
+def _listing(spark, sf_dir):
+    """The upload listing of the generated portfolio: every generated file."""
+    parts = [run_sql(spark, sf_dir, cobol_paths_sql(**_CBP)),
+             ddl_files(spark, sf_dir).select("project_id", "path"),
+             java_files(spark, sf_dir).select("project_id", "path"),
+             orm_files(spark, sf_dir).select("project_id", "path")]
+    from functools import reduce
+    u = reduce(DataFrame.unionByName, parts)
+    return u.withColumn("file_name", F.regexp_extract("path", r"([^/]+)$", 1))
+
+
+@register
+def admission(spark, sf_dir):
+    a = S.admit(_listing(spark, sf_dir), projects_from_nation(spark, sf_dir))
+    return a.select("project_id", "path", "file_name", "migration_type", "admitted")
+
+
+@register
+def admission_report(spark, sf_dir):
+    return S.admission_report(S.admit(_listing(spark, sf_dir), projects_from_nation(spark, sf_dir)))
+
+
+UPLOADS_SQL = """
+SELECT 'p' || CAST(o_custkey % 25 AS STRING) AS project_id,
+       'F' || CAST(o_orderkey % 997 AS STRING) || '.java' AS file_name,
+       'u/' || CAST(o_orderkey AS STRING) || '/F' || CAST(o_orderkey % 997 AS STRING) || '.java' AS path,
+       o_orderdate AS upload_ts, o_totalprice AS size
+FROM {orders}"""
+
+
+@register
+def latest_files(spark, sf_dir):
+    l = S.latest_files(run_sql(spark, sf_dir, UPLOADS_SQL))
+    return l.withColumn("upload_ts", F.date_format("upload_ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register
+def java_lines(spark, sf_dir):
+    return S.to_lines(java_files(spark, sf_dir))
+
+
+def _ctx(spark, sf_dir):
+    return R.report_context(projects_from_nation(spark, sf_dir), F.lit(REPORT_DATE))
+
+
+@register
+def report_context(spark, sf_dir):
+    return _ctx(spark, sf_dir)
+
+
+def _ddl_db(spark, sf_dir):
+    return D.ddl_totals(D.ddl_file_totals(_stmts(spark, sf_dir)), mode="last")
+
+
+def _cobol_report(spark, sf_dir):
+    lines = cobol_lines(spark, sf_dir)
+    # per-program facts feed seven report sections: computed once, lineage cut
+    files = materialize(C.cobol_files(lines))
+    edges = materialize(C.cobol_edges(lines))
+    projects = projects_from_nation(spark, sf_dir)
+    scores = K.cobol_project_scores(projects, K.cobol_file_scores(files))
+    deps = edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
+    tot = M.totals(files)
+    return R.cobol_report_rows(
+        _ctx(spark, sf_dir), tot, M.complexity_summary(scores), M.program_inventory(files),
+        M.type_distribution(files), M.dependency_list(files, C.dependency_lists(edges)),
+        M.database_block(projects, _ddl_db(spark, sf_dir)), M.high_complexity_top10(files),
+        M.cobol_risks(scores, tot, deps))
+
+
+@register
+def report_rows(spark, sf_dir):
+    return _cobol_report(spark, sf_dir)
+
+
+@register
+def report_quality(spark, sf_dir):
+    """V21 on the generated documents: line-level checks folded per document."""
+    rows = _cobol_report(spark, sf_dir)
+    g = rows.groupBy("project_id", "doc").agg(
+        *[(F.bool_or(F.col("line").rlike(p.replace("(?m)", ""))) if must
+           else ~F.bool_or(F.col("line").rlike(p))).alias(n) for n, p, must in V.DOC_CHECKS])
+    return g.select("project_id", "doc", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("check"), F.col(n).alias("passed")) for n, _, _ in V.DOC_CHECKS])).alias("r")) \
+        .select("project_id", "doc", "r.*")
+
+
+@register
+def doc_quality(spark, sf_dir):
+    """V21 on whole texts of the documents table."""
+    return V.check_documents(read_table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def _pg_parts(spark, sf_dir):
+    jf = materialize(J.java_files(java_files(spark, sf_dir)).drop("pg_native_queries_unused"))
+    ddl = PG.DdlFacts(spark, ddl_files(spark, sf_dir))
+    projects = projects_from_nation(spark, sf_dir)
+    scores = PG.pg_project_scores(spark, projects, jf, ddl)
+    nfiles = jf.groupBy("project_id").agg(F.count(F.lit(1)).alias("jn")).join(
+        O.orm_files(orm_files(spark, sf_dir)).groupBy("project_id").agg(F.count(F.lit(1)).alias("on")),
+        "project_id", "full")
+    totals = nfiles.select("project_id", (F.coalesce(F.col("jn"), F.lit(0)) + F.coalesce(F.col("on"), F.lit(0)))
+                           .cast("long").alias("total_files"))
+    db = D.ddl_totals(D.ddl_file_totals(D.ddl_statements(ddl.files)), mode="union").join(
+        ddl.partitions.groupBy("project_id").agg(F.count(F.lit(1)).alias("partitioned_tables")), "project_id", "left") \
+        .fillna(0, ["partitioned_tables"])
+    return dict(jf=jf, ddl=ddl, projects=projects, scores=scores, totals=totals, db=db,
+                orm=PG.primary_orm(jf), inv=J.java_inventory(jf))
+
+
+@register
+def total_files(spark, sf_dir):
+    return _pg_parts(spark, sf_dir)["totals"]
+
+
+@register
+def pg_source_block(spark, sf_dir):
+    """Data types, extensions, advanced indexes and native query count."""
+    p = _pg_parts(spark, sf_dir)
+    ddl, s = p["ddl"], p["scores"]
+    types = ddl.types.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("seen", "type"))), lambda x: x["type"]), ", ").alias("data_types"))
+    idx = ddl.indexes.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("first_ord", "type"))), lambda x: x["type"]), ", ").alias("index_types"))
+    return s.select("project_id", F.array_join("extension_list", ", ").alias("extensions"),
+                    F.col("native_queries").alias("native_query_count")) \
+        .join(types, "project_id", "left").join(idx, "project_id", "left") \
+        .fillna("", ["data_types", "index_types"])
+
+
+@register
+def pg_report_rows(spark, sf_dir):
+    p = _pg_parts(spark, sf_dir)
+    ddl = p["ddl"]
+    scores = p["scores"].join(p["totals"], "project_id", "left").fillna(0, ["total_files"])
+    return R.pg_report_rows(_ctx(spark, sf_dir), scores, p["orm"], p["inv"], PG.java_changes(p["inv"]),
+                            PG.change_summary(p["inv"]).drop("total_files"), p["db"], ddl.types, ddl.extensions,
+                            ddl.indexes,
+                            PG.pg_risks(p["scores"]), PG.pg_recommendations(p["scores"]))
+
+
+@register
+def pg_design_rows(spark, sf_dir):
+    p = _pg_parts(spark, sf_dir)
+    ddl = p["ddl"]
+    return R.pg_design_rows(spark, p["scores"], p["orm"], ddl.types, ddl.extensions, ddl.indexes)
+
+
+@register
+def expected_objects(spark, sf_dir):
+    return R.expected_objects(_pg_parts(spark, sf_dir)["db"])
+
+
+@register
+def dashboard_tiles(spark, sf_dir):
+    lines = cobol_lines(spark, sf_dir)
+    files = C.cobol_files(lines)
+    projects = projects_from_nation(spark, sf_dir)
+    scores = K.cobol_project_scores(projects, K.cobol_file_scores(files), with_details=False)
+    return R.dashboard_tiles(_ctx(spark, sf_dir), _ddl_db(spark, sf_dir), M.totals(files), scores)
+
+
+@register
+def project_metadata(spark, sf_dir):
+    """The project metadata document (nested struct as JSON)."""
+    lines = cobol_lines(spark, sf_dir)
+    files = C.cobol_files(lines)
+    projects = projects_from_nation(spark, sf_dir)
+    scores = K.cobol_project_scores(projects, K.cobol_file_scores(files))
+    tot = M.totals(files)
+    db = M.database_block(projects, _ddl_db(spark, sf_dir))
+    j = projects.select("project_id").join(tot, "project_id", "left").join(db, "project_id", "left") \
+        .join(M.complexity_summary(scores), "project_id", "left").join(scores, "project_id", "left")
+    doc = F.struct(
+        F.struct(F.coalesce(F.col("total_files"), F.lit(0)).alias("total_files"),
+                 F.coalesce(F.col("total_loc"), F.lit(0)).alias("total_loc"),
+                 F.struct("tables", "views", "stored_procedures", "indexes", "triggers", "functions").alias("database"))
+        .alias("source_analysis"),
+        F.col("summary").alias("complexity_summary"),
+        F.struct(F.col("overall"), F.col("logic_score").alias("logicComplexity"),
+                 F.col("data_score").alias("dataComplexity"), F.col("risk_score").alias("cobolSpecificRisk"),
+                 "difficulty", "description",
+                 F.struct(F.col("logic_details").alias("logic"), F.col("data_details").alias("data"),
+                          F.col("risk_details").alias("risk")).alias("details")).alias("migrationComplexity"))
+    return j.select("project_id", F.to_json(doc).alias("metadata"))

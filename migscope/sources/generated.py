@@ -120,6 +120,14 @@ SELECT {proj} AS project_id,
 FROM {{lineitem}}"""
 
 
+def cobol_paths_sql(key: str = "l_partkey", pfx: str = "P", nproj: int = 25) -> str:
+    """Listing of the generated COBOL programs (no text)."""
+    proj = f"'{pfx.lower()}' || CAST({key} % {nproj} AS STRING)"
+    return f"""
+SELECT DISTINCT {proj} AS project_id, {proj} || '/{pfx}' || CAST({key} AS STRING) || '.cbl' AS path
+FROM {{lineitem}}"""
+
+
 # Corpus variants used by the registered queries.
 COBOL_BY_PART = dict(key="l_partkey", pfx="P", nproj=25)     # ~30 lines per file
 COBOL_BY_SUPP = dict(key="l_suppkey", pfx="S", nproj=10)     # ~600 lines per file
