@@ -8,6 +8,7 @@ def all_sql() -> dict[str, str]:
     from oracle import java
     from oracle import pg
     from oracle import validate
-    for mod in (cobol, ddl, java, pg, validate):
+    from oracle import report
+    for mod in (cobol, ddl, java, pg, validate, report):
         out.update(mod.sql())
     return out
