@@ -90,11 +90,11 @@ COBOL_RISKS = {
 }
 
 
-def cobol_risks(scores: DataFrame, totals_df: DataFrame, dep_counts: DataFrame) -> DataFrame:
-    """M7: risk rows R-001..R-006 per project.  Rules are evaluated as an array of
-    candidate structs per project row and exploded (a projection, no join)."""
-    j = scores.join(totals_df, "project_id", "left").join(dep_counts, "project_id", "left") \
-        .fillna(0, ["total_loc", "total_deps"])
+def cobol_risks(scores: DataFrame, dep_counts: DataFrame) -> DataFrame:
+    """M7: risk rows R-001..R-006 per project (``scores`` carries total_loc).  Rules
+    are evaluated as an array of candidate structs per project row and exploded
+    (a projection, no join)."""
+    j = scores.join(dep_counts, "project_id", "left").fillna(0, ["total_loc", "total_deps"])
     fmt = F.format_string
 
     def risk(rid: str, cond: Column, desc: Column, sev: Column | None = None) -> Column:

@@ -75,7 +75,7 @@ def _project_scores(spark, sf_dir) -> DataFrame:
 
 @register
 def cobol_project_scores(spark, sf_dir):
-    return _join_details(_project_scores(spark, sf_dir))
+    return _join_details(_project_scores(spark, sf_dir)).drop("total_loc")
 
 
 @register
@@ -121,7 +121,7 @@ def cobol_risks(spark, sf_dir):
     files = C.cobol_files(lines)
     scores = K.cobol_project_scores(projects_from_nation(spark, sf_dir), K.cobol_file_scores(files))
     deps = C.cobol_edges(lines).groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
-    r = M.cobol_risks(scores, M.totals(files), deps)
+    r = M.cobol_risks(scores, deps)
     return r.select("project_id", "id", "category", "description", "severity")
 
 
@@ -629,7 +629,7 @@ def _cobol_report(spark, sf_dir):
         _ctx(spark, sf_dir), tot, M.complexity_summary(scores), M.program_inventory(files),
         M.type_distribution(files), M.dependency_list(files, C.dependency_lists(edges)),
         M.database_block(projects, _ddl_db(spark, sf_dir)), M.high_complexity_top10(files),
-        M.cobol_risks(scores, tot, deps))
+        M.cobol_risks(scores, deps))
 
 
 @register
@@ -747,3 +747,29 @@ def project_metadata(spark, sf_dir):
                  F.struct(F.col("logic_details").alias("logic"), F.col("data_details").alias("data"),
                           F.col("risk_details").alias("risk")).alias("details")).alias("migrationComplexity"))
     return j.select("project_id", F.to_json(doc).alias("metadata"))
+
+
+# ---------------------------------------------------------------- remaining COBOL roll-ups
+@register
+def cobol_totals(spark, sf_dir):
+    """M1"""
+    return M.totals(_files(spark, sf_dir))
+
+
+@register
+def cobol_dependencies(spark, sf_dir):
+    """M4"""
+    lines = cobol_lines(spark, sf_dir)
+    return M.dependency_list(C.cobol_files(lines), C.dependency_lists(C.cobol_edges(lines)))
+
+
+@register
+def cobol_database(spark, sf_dir):
+    """M6: database block per project from the project's (last) DDL file."""
+    return M.database_block(projects_from_nation(spark, sf_dir), _ddl_db(spark, sf_dir))
+
+
+@register
+def cobol_summary(spark, sf_dir):
+    """M8"""
+    return M.complexity_summary(_project_scores(spark, sf_dir))

@@ -98,42 +98,62 @@ def cobol_file_scores(files: DataFrame) -> DataFrame:
     )
 
 
-def _project_details(file_scores: DataFrame, col: str) -> DataFrame:
-    """K9: distinct details of a project in first-seen order (files by path).
-    Deduplicated per (project, detail) first, so the collected group is bounded by
-    the number of distinct detail strings, not by the number of files."""
-    d = file_scores.select("project_id", "path", F.posexplode(col).alias("i", "detail"))
-    first = d.groupBy("project_id", "detail").agg(F.min(F.struct("path", "i")).alias("at"))
-    return first.groupBy("project_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "detail"))), lambda s: s["detail"]).alias(col))
+DETAIL_COLS = ["logic_details", "data_details", "risk_details"]
 
 
 def cobol_project_scores(projects: DataFrame, file_scores: DataFrame, with_details: bool = True) -> DataFrame:
-    """K5 (+K9): per project the rounded mean of each file dimension, then the
-    weighted overall.  Projects without programs score 0 / 'No files analyzed'."""
-    mean = lambda x: js_round(F.sum(x).cast("double") / F.count(F.lit(1)))
-    agg = file_scores.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("files"),
-        mean("logic_score").alias("logic_score"),
-        mean("data_score").alias("data_score"),
-        mean("risk_score").alias("risk_score"),
-    )
+    """K5 (+K9, M1): per project the rounded mean of each file dimension, then the
+    weighted overall; files, total LOC and the distinct details in first-seen
+    order (files by path).  Projects without programs score 0 / 'No files
+    analyzed'.
+
+    One pass over the file scores: every file emits one score row and one row per
+    detail string; a first hash aggregate on (project, kind, category, detail) --
+    partially aggregated before the exchange -- keeps each detail's first
+    position, a second one per project sums and orders.  No group grows with the
+    number of files beyond the distinct detail strings."""
+    none_i = F.lit(None).cast("long")
+
+    def fact(kind, cat, detail, pos, l, d, r, loc):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(cat).cast("string").alias("cat"),
+                        detail.cast("string").alias("detail"),
+                        F.struct(c("path").alias("path"), pos.cast("int").alias("i")).alias("at"),
+                        l.cast("long").alias("l"), d.cast("long").alias("d"), r.cast("long").alias("r"),
+                        loc.cast("long").alias("loc"))
+    items = [F.array(fact("score", None, F.lit(None), F.lit(0), c("logic_score"), c("data_score"), c("risk_score"),
+                          c("loc")))]
+    if with_details:
+        def detail_rows(col):
+            return F.transform(col, lambda x, i: fact("detail", col, x, i, none_i, none_i, none_i, none_i))
+        for col in DETAIL_COLS:
+            items.append(detail_rows(col))
+    ex = file_scores.select("project_id", F.explode(F.concat(*items)).alias("f")).select("project_id", "f.*")
+    g = ex.groupBy("project_id", "kind", "cat", "detail").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("at"),
+        F.sum("l").alias("l"), F.sum("d").alias("d"), F.sum("r").alias("r"), F.sum("loc").alias("loc"))
+    k = c("kind")
+    score = k == "score"
+    mean = lambda x: js_round(F.sum(F.when(score, c(x))).cast("double") / F.sum(F.when(score, c("n"))))
+    aggs = [F.sum(F.when(score, c("n"))).alias("files"), F.sum(F.when(score, c("loc"))).alias("total_loc"),
+            mean("l").alias("logic_score"), mean("d").alias("data_score"), mean("r").alias("risk_score")]
+    if with_details:
+        for col in DETAIL_COLS:
+            aggs.append(F.transform(F.array_sort(F.collect_list(F.when(c("cat") == col, F.struct(
+                c("at").alias("at"), c("detail").alias("v"))))), lambda s: s["v"]).alias(col))
+    agg = g.groupBy("project_id").agg(*aggs)
     p = projects.select("project_id").join(agg, "project_id", "left")
     overall = js_round(c("logic_score") * 0.35 + c("data_score") * 0.35 + c("risk_score") * 0.30)
     has = c("files").isNotNull()
     out = p.select(
         "project_id",
         F.coalesce(c("files"), F.lit(0)).alias("files"),
+        F.coalesce(c("total_loc"), F.lit(0)).alias("total_loc"),
         F.coalesce(c("logic_score"), F.lit(0)).alias("logic_score"),
         F.coalesce(c("data_score"), F.lit(0)).alias("data_score"),
         F.coalesce(c("risk_score"), F.lit(0)).alias("risk_score"),
         F.when(has, overall).otherwise(F.lit(0)).alias("overall"),
+        *[F.coalesce(c(x), F.array().cast("array<string>")).alias(x) for x in DETAIL_COLS if with_details],
     )
-    out = out.withColumn("difficulty", difficulty(c("overall"))).withColumn(
+    return out.withColumn("difficulty", difficulty(c("overall"))).withColumn(
         "description", F.when(c("files") > 0, banded(c("overall"), COBOL_DESCRIPTIONS))
         .otherwise(F.lit("No files analyzed")))
-    if with_details:
-        for col in ["logic_details", "data_details", "risk_details"]:
-            out = out.join(_project_details(file_scores, col), "project_id", "left") \
-                .withColumn(col, F.coalesce(c(col), F.array().cast("array<string>")))
-    return out

@@ -99,4 +99,25 @@ SELECT p.project_id,
   CAST(CASE WHEN p.migration_type = 'COBOL-to-Java' THEN coalesce(db.tables, 0) ELSE coalesce(db.functions, 0) END AS BIGINT) AS tile_programs,
   coalesce(ps.difficulty, 'Unknown') AS tile_difficulty
 FROM projects p LEFT JOIN db USING (project_id) LEFT JOIN tot USING (project_id) LEFT JOIN ps USING (project_id)"""
+    q.update(sql_rollups())
+    return q
+
+
+def sql_rollups() -> dict[str, str]:
+    q = {}
+    q["cobol_totals"] = "WITH " + OC.files_cte() + """
+SELECT project_id, count(*) AS total_files, CAST(sum(loc) AS BIGINT) AS total_loc FROM files GROUP BY project_id"""
+    q["cobol_dependencies"] = "WITH " + OC.files_cte() + OC.edges_cte() + """
+SELECT f.project_id, f.path, f.name AS source, string_agg(e.target, ', ' ORDER BY e.first_pos) AS targets
+FROM files f JOIN edges e USING (project_id, path) GROUP BY f.project_id, f.path, f.name"""
+    lastddl = f"allddl AS ({for_duckdb(ddl_files_sql())}),\n" \
+              "files AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
+    q["cobol_database"] = "WITH " + lastddl + OD.STMTS + f""",
+projects AS ({for_duckdb(PROJECTS_SQL)}),
+db AS (SELECT project_id, sum(tables) AS tables, sum(views) AS views, sum(stored_procedures) AS stored_procedures,
+         sum(indexes) AS indexes, sum(triggers) AS triggers, sum(functions) AS functions FROM ftot GROUP BY project_id)
+SELECT p.project_id, {', '.join(f'CAST(coalesce(db.{x}, 0) AS BIGINT) AS {x}' for x in ['tables', 'views', 'stored_procedures', 'indexes', 'triggers', 'functions'])}
+FROM projects p LEFT JOIN db USING (project_id)"""
+    q["cobol_summary"] = "WITH " + OC.files_cte() + OC.scores_cte() + OC.details_cte() + OC.project_scores_cte() + """
+SELECT project_id, difficulty || ' difficulty (score: ' || overall || '/100) - ' || description AS summary FROM ps"""
     return q
