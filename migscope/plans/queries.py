@@ -734,7 +734,8 @@ def project_metadata(spark, sf_dir):
     tot = M.totals(files)
     db = M.database_block(projects, _ddl_db(spark, sf_dir))
     j = projects.select("project_id").join(tot, "project_id", "left").join(db, "project_id", "left") \
-        .join(M.complexity_summary(scores), "project_id", "left").join(scores, "project_id", "left")
+        .join(M.complexity_summary(scores), "project_id", "left") \
+        .join(scores.drop("total_loc", "files"), "project_id", "left")
     doc = F.struct(
         F.struct(F.coalesce(F.col("total_files"), F.lit(0)).alias("total_files"),
                  F.coalesce(F.col("total_loc"), F.lit(0)).alias("total_loc"),
