@@ -405,19 +405,21 @@ def pg_risks(scores: DataFrame) -> DataFrame:
 
 def primary_orm(java_files: DataFrame) -> DataFrame:
     """M9: the most frequent framework other than None (ties: first seen in path
-    order); more than two distinct labels, None included, gives 'Mixed (...)'."""
+    order); more than two distinct labels, None included, gives 'Mixed (...)'.
+    Two hash aggregates, no window: the winner is ``min_by`` over (-count, first
+    path) of the non-None labels.  (A filter on the derived label would be pushed
+    into the file projection and re-evaluate its regexes.)"""
     g = java_files.groupBy("project_id", "orm_framework").agg(
         F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
-    w = Window.partitionBy("project_id").orderBy(c("n").desc(), c("first_path"))
-    best = g.where(c("orm_framework") != "None").withColumn("rk", F.row_number().over(w)).where(c("rk") == 1) \
-        .select("project_id", c("orm_framework").alias("best"))
-    labels = g.groupBy("project_id").agg(
+    real = c("orm_framework") != "None"
+    p = g.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("labels"),
         F.transform(F.array_sort(F.collect_list(F.struct("first_path", "orm_framework"))),
-                    lambda s: s["orm_framework"]).alias("ordered"))
-    j = labels.join(best, "project_id", "left")
+                    lambda s: s["orm_framework"]).alias("ordered"),
+        F.min_by(F.when(real, c("orm_framework")), F.when(real, F.struct((-c("n")).alias("m"), c("first_path"))))
+        .alias("best"))
     mixed = F.concat(F.lit("Mixed ("), F.array_join(F.filter("ordered", lambda x: x != "None"), ", "), F.lit(")"))
-    return j.select("project_id", F.when(c("labels") > 2, mixed).otherwise(F.coalesce(c("best"), F.lit("None")))
+    return p.select("project_id", F.when(c("labels") > 2, mixed).otherwise(F.coalesce(c("best"), F.lit("None")))
                     .alias("orm_framework"))
 
 
