@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from migscope.functions.text import basename, guarded_rlike, has_any, js_trim, strip_suffix
+from migscope.functions.text import JS_WS, basename, guarded_rlike, has_any, js_trim, strip_suffix
 
 c = F.col
 KEYS = ["project_id", "path"]
@@ -85,7 +85,23 @@ def flags(text: Column, rules: list[tuple[str, str]], upper_text: Column | None
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
+# A line counts when, after JS whitespace, it has a character, does not start
+# with // and contains no */ (the rule for files without any /*).  (?d): only \n
+# ends a line, as in split('\n').
+_WS_NO_NL = "".join(ch for ch in JS_WS if ch != "\n")
+_WS_CLASS = "[" + "".join(f"\\u{ord(ch):04X}" for ch in _WS_NO_NL) + "]"
+_WS_NEG = "[^\\n" + "".join(f"\\u{ord(ch):04X}" for ch in _WS_NO_NL) + "]"
+RE_CODE_LINE = "(?md)^(?![^\\n]*\\*/)" + _WS_CLASS + "*(?!//)" + _WS_NEG
+
+
 def java_loc(content: Column) -> Column:
+    """J2.  Files without '/*' never enter a block comment: their LOC is one regex
+    count.  Otherwise a left fold over the lines with state (in_block, count)."""
+    return F.when(content.contains("/*"), _java_loc_fold(content)).otherwise(
+        F.regexp_count(content, F.lit(RE_CODE_LINE)))
+
+
+def _java_loc_fold(content: Column) -> Column:
     """J2 as a left fold over the lines: state (in_block, count)."""
     def step(acc, line):
         t = js_trim(line)
@@ -127,7 +143,8 @@ def _fn_literal(p: str) -> str:
 
 
 def pg_functions_used(content: Column, U: Column | None = None) -> Column:
-    """Distinct function names by exact spelling, pattern order then text order."""
+    """Distinct function names by exact spelling, pattern order then text order.
+    Each pattern runs only on files containing its literal name."""
     U = F.upper(content) if U is None else U
     empty = F.array().cast("array<string>")
     allm = F.flatten(F.array(*[
@@ -140,23 +157,31 @@ def _has_pg(q: Column) -> Column:
     return q.rlike(RE_ANY_QUERY_FEATURE)
 
 
-def _query_facts(content: Column, U: Column) -> list[Column]:
-    """Per-file counts over the native queries (J7-J9), computed on the match
-    arrays inside the row so the project scores need no second pass."""
+def _query_array(content: Column, U: Column) -> Column:
+    """Native queries of a file (J7/J8 texts, in pattern order) with their per-query
+    flags, computed once per file: array<struct<q, pg, lo, ret>>."""
     empty = F.array().cast("array<string>")
     has_ann = U.contains("@QUERY")
     a1 = F.regexp_extract_all(content, F.lit(RE_ANNOTATION_QUERY), 1)
     a2 = F.regexp_extract_all(content, F.lit(RE_ANNOTATION_QUERY), 2)
     ann = F.when(has_ann, F.zip_with(a1, a2, lambda x, y: F.when(x != "", x).otherwise(y))).otherwise(empty)
     has_lit = has_any(U, ['"' + k for k in ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP"]])
-    lit = F.when(has_lit, F.filter(F.regexp_extract_all(content, F.lit(RE_LITERAL_QUERY), 1), _has_pg)) \
-        .otherwise(empty)
-    qs = F.concat(ann, lit)
+    lit = F.when(has_lit, F.regexp_extract_all(content, F.lit(RE_LITERAL_QUERY), 1)).otherwise(empty)
+    tag = lambda q, is_ann: F.struct(
+        F.lit(is_ann).alias("ann"), q.rlike(RE_ANY_QUERY_FEATURE).alias("pg"),
+        q.rlike("(?i)LIMIT|OFFSET").alias("lo"), q.rlike("(?i)RETURNING").alias("ret"))
+    return F.concat(F.transform(ann, lambda q: tag(q, True)), F.transform(lit, lambda q: tag(q, False)))
+
+
+def _query_facts(qa: Column) -> list[Column]:
+    """Per-file counts over the native queries: annotation queries always count,
+    string literals only when PostgreSQL-specific."""
+    kept = F.filter(qa, lambda x: x["ann"] | x["pg"])
     return [
-        F.size(qs).cast("long").alias("native_queries"),
-        F.size(F.filter(qs, _has_pg)).cast("long").alias("pg_native_queries"),
-        F.size(F.filter(qs, lambda q: q.rlike("(?i)LIMIT|OFFSET"))).cast("long").alias("limit_offset_queries"),
-        F.size(F.filter(qs, lambda q: q.rlike("(?i)RETURNING"))).cast("long").alias("returning_queries"),
+        F.size(kept).cast("long").alias("native_queries"),
+        F.size(F.filter(kept, lambda x: x["pg"])).cast("long").alias("pg_native_queries"),
+        F.size(F.filter(kept, lambda x: x["lo"])).cast("long").alias("limit_offset_queries"),
+        F.size(F.filter(kept, lambda x: x["ret"])).cast("long").alias("returning_queries"),
     ]
 
 
@@ -188,8 +213,11 @@ def java_files(src_files: DataFrame) -> DataFrame:
         flags(content, EXTENSION_USAGE, U, [["POSTGIS", "ST_", "GEOGRAPHY", "GEOMETRY"], ["PG_TRGM", "SIMILARITY"],
                                             ["UUID_GENERATE", "UUID-OSSP"], ["HSTORE"], ["LTREE"]])
         .alias("extension_usage"),
-        *_query_facts(content, U),
+        _query_array(content, U).alias("qa"),
     )
+    # second projection: the query array is evaluated once and read four times
+    # (Catalyst does not collapse projections that would duplicate it)
+    f = f.select(*[x for x in f.columns if x != "qa"], *_query_facts(c("qa")))
     return f.withColumn("has_pg_dependency", (c("native_queries") > 0) | (F.size("pg_functions") > 0)
                         | (F.size("pg_data_types") > 0))
 

@@ -76,8 +76,12 @@ def _loc_loop(text):
 
 def test_java_loc_fold_equals_loop(spark):
     rnd = random.Random(3)
-    vocab = ["int a;", "// c", "/* open", "close */", "/* one */", "", "  x = y;", "*/ a /*"]
+    vocab = ["int a;", "// c", "/* open", "close */", "/* one */", "", "  x = y;", "*/ a /*",
+             "\t// tab comment", "\u00a0", "b;\r", "\u3000 c", "  \t"]
+    no_block = [v for v in vocab if "/*" not in v]
     files = {f"p0/F{i}.java": "\n".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 40))) for i in range(80)}
+    files.update({f"p0/G{i}.java": "\n".join(rnd.choice(no_block) for _ in range(rnd.randint(1, 40)))
+                  for i in range(40)})
     got = {r.path: r.loc for r in J.java_files(files_df(spark, files)).collect()}
     assert got == {p: _loc_loop(t) for p, t in files.items()}
 
