@@ -100,6 +100,7 @@ SELECT p.project_id,
   coalesce(ps.difficulty, 'Unknown') AS tile_difficulty
 FROM projects p LEFT JOIN db USING (project_id) LEFT JOIN tot USING (project_id) LEFT JOIN ps USING (project_id)"""
     q.update(sql_rollups())
+    q.update(report_sql())
     return q
 
 
@@ -121,3 +122,111 @@ FROM projects p LEFT JOIN db USING (project_id)"""
     q["cobol_summary"] = "WITH " + OC.files_cte() + OC.scores_cte() + OC.details_cte() + OC.project_scores_cte() + """
 SELECT project_id, difficulty || ' difficulty (score: ' || overall || '/100) - ' || description AS summary FROM ps"""
     return q
+
+
+def report_rows_sql() -> str:
+    """M22 rows of the COBOL as-is document."""
+    from migscope.plans.project import COBOL_RISKS
+    from migscope.plans.rules import MIGRATION_TYPES
+    mt = " UNION ALL ".join(f"SELECT {lit(v)} AS migration_type, {lit(sl)} AS sl" for v, _, sl, _ in MIGRATION_TYPES)
+    W = ("WITH " + OC.files_cte() + OC.scores_cte() + OC.details_cte() + OC.project_scores_cte() + OC.edges_cte()
+         + f",\nallddl AS ({for_duckdb(ddl_files_sql())}),\n"
+         "lastf AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
+         + OD.STMTS.replace("FROM files)", "FROM lastf)") + f""",
+mt AS ({mt}),
+db AS (SELECT project_id, sum(tables) AS tables, sum(views) AS views, sum(indexes) AS indexes,
+         sum(stored_procedures) AS stored_procedures, sum(triggers) AS triggers, sum(functions) AS functions
+       FROM ftot GROUP BY project_id),
+tot AS (SELECT project_id, count(*) AS total_files, sum(loc) AS total_loc FROM files GROUP BY project_id),
+p AS (
+  SELECT pr.project_id, pr.name, coalesce(mt.sl, 'COBOL') AS sl, coalesce(tot.total_files, 0) AS tf,
+    coalesce(tot.total_loc, 0) AS tl, ps.difficulty || ' difficulty (score: ' || ps.overall || '/100) - ' || ps.description AS summary,
+    coalesce(db.tables, 0) AS tables, coalesce(db.views, 0) AS views, coalesce(db.indexes, 0) AS indexes,
+    coalesce(db.stored_procedures, 0) AS sp, coalesce(db.triggers, 0) AS triggers, coalesce(db.functions, 0) AS functions
+  FROM projects pr LEFT JOIN mt USING (migration_type) LEFT JOIN tot USING (project_id) LEFT JOIN ps USING (project_id)
+    LEFT JOIN db USING (project_id)),
+inv AS (SELECT *, CASE WHEN complexity > 30 OR loc > 1000 THEN 'High' WHEN complexity > 15 OR loc > 500 THEN 'Medium' ELSE 'Low' END AS priority FROM files),
+dist AS (SELECT project_id, type, count(*) AS cnt FROM files GROUP BY ALL),
+distp AS (SELECT *, CAST(floor(CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY project_id) * 100 + 0.5) AS BIGINT) AS pct FROM dist),
+deps AS (SELECT f.project_id, f.path, f.name, string_agg(e.target, ', ' ORDER BY e.first_pos) AS targets
+         FROM files f JOIN edges e USING (project_id, path) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY complexity DESC, path) AS rk FROM files WHERE complexity > 20),
+top10 AS (SELECT * FROM top WHERE rk <= 10),
+td AS (SELECT project_id, count(*) AS n FROM edges GROUP BY 1),
+x AS (SELECT ps.*, coalesce(tot.total_loc, 0) AS total_loc, coalesce(td.n, 0) AS total_deps
+      FROM ps LEFT JOIN tot USING (project_id) LEFT JOIN td USING (project_id)),
+risks AS (
+  SELECT project_id, 'R-001' AS id, 'Migration Complexity' AS category,
+    'Migration difficulty score is ' || overall || '/100 (' || difficulty || ')' AS description,
+    CASE WHEN overall >= 80 THEN 'Critical' ELSE 'High' END AS severity FROM x WHERE overall >= 60
+  UNION ALL SELECT project_id, 'R-002', 'Logic Complexity', 'Logic complexity score: ' || logic_score || '/100. ' || logic_details, 'High' FROM x WHERE logic_score >= 60
+  UNION ALL SELECT project_id, 'R-003', 'Data Complexity', 'Data complexity score: ' || data_score || '/100. ' || data_details, 'High' FROM x WHERE data_score >= 60
+  UNION ALL SELECT project_id, 'R-004', 'COBOL-specific Risk', 'COBOL-specific risk score: ' || risk_score || '/100. ' || risk_details, 'Critical' FROM x WHERE risk_score >= 60
+  UNION ALL SELECT project_id, 'R-005', 'Scale', 'Large codebase with ' || format('{{:,}}', total_loc) || ' lines of code', 'Medium' FROM x WHERE total_loc > 100000
+  UNION ALL SELECT project_id, 'R-006', 'Dependencies', 'High number of inter-module dependencies (' || total_deps || ')', 'Medium' FROM x WHERE total_deps > 50),
+rimp AS ({' UNION ALL '.join(f"SELECT {lit(k)} AS id, {lit(v[2])} AS impact, {lit(v[3])} AS mitigation" for k, v in COBOL_RISKS.items())}),
+d AS ('as-is-analysis'),
+rows AS (
+  SELECT project_id, 0 AS section, '0000' AS sub, '# As-Is System Analysis - ' || name AS line FROM p
+  UNION ALL SELECT project_id, 5, '0000', '## Executive Summary' FROM p
+  UNION ALL SELECT project_id, 5, '0001', '### Key Findings' FROM p
+  UNION ALL SELECT project_id, 10, '0000', '- **Total Source Files:** ' || tf FROM p
+  UNION ALL SELECT project_id, 10, '0001', '- **Total Lines of Code:** ' || tl FROM p
+  UNION ALL SELECT project_id, 10, '0002', '- **Source Language:** ' || sl FROM p
+  UNION ALL SELECT project_id, 10, '0003', '- **Source Database:** Oracle 11g' FROM p
+  UNION ALL SELECT project_id, 10, '0004', '- **Complexity Assessment:** ' || coalesce(summary, '') FROM p
+  UNION ALL SELECT project_id, 15, '0000', '## 1. Source Code Analysis' FROM p
+  UNION ALL SELECT project_id, 15, '0001', '#### File Inventory' FROM p
+  UNION ALL SELECT DISTINCT project_id, 20, '0000', '| File Name | Type | LOC | Complexity | Priority |' FROM inv
+  UNION ALL SELECT DISTINCT project_id, 20, '0001', '|-----------|------|-----|------------|----------|' FROM inv
+  UNION ALL SELECT project_id, 20, '1|' || path, '| ' || name || ' | ' || type || ' | ' || loc || ' | ' || complexity || ' | ' || priority || ' |' FROM inv
+  UNION ALL SELECT project_id, 20, '0000', '*[No source files analyzed yet]*' FROM p WHERE project_id NOT IN (SELECT project_id FROM inv)
+  UNION ALL SELECT project_id, 21, '0000', '**Total Files:** ' || tf FROM p
+  UNION ALL SELECT project_id, 21, '0001', '**Total LOC:** ' || tl FROM p
+  UNION ALL SELECT DISTINCT project_id, 30, '0000', '| File Type | Count | Percentage |' FROM distp
+  UNION ALL SELECT DISTINCT project_id, 30, '0001', '|-----------|-------|------------|' FROM distp
+  UNION ALL SELECT project_id, 30, '1|' || type, '| ' || type || ' | ' || cnt || ' | ' || pct || '% |' FROM distp
+  UNION ALL SELECT project_id, 35, '0000', '### 2.2 Program Dependencies' FROM p
+  UNION ALL SELECT project_id, 35, '0001', '#### Key Dependencies' FROM p
+  UNION ALL SELECT project_id, 40, '1|' || path, '- **' || name || '** depends on: ' || targets FROM deps
+  UNION ALL SELECT project_id, 40, '0000', '*[No critical dependencies identified yet]*' FROM p WHERE project_id NOT IN (SELECT project_id FROM deps)
+  UNION ALL SELECT project_id, 45, '0000', '## 3. Database Analysis' FROM p
+  UNION ALL SELECT project_id, 45, '0001', '### 3.1 Schema Overview' FROM p
+  UNION ALL SELECT project_id, 50, '0000', '| Metric | Count |' FROM p
+  UNION ALL SELECT project_id, 50, '0001', '|--------|-------|' FROM p
+  UNION ALL SELECT project_id, 51, '0000', '| Total Tables | ' || tables || ' |' FROM p
+  UNION ALL SELECT project_id, 51, '0001', '| Total Views | ' || views || ' |' FROM p
+  UNION ALL SELECT project_id, 51, '0002', '| Total Indexes | ' || indexes || ' |' FROM p
+  UNION ALL SELECT project_id, 51, '0003', '| Stored Procedures | ' || sp || ' |' FROM p
+  UNION ALL SELECT project_id, 51, '0004', '| Triggers | ' || triggers || ' |' FROM p
+  UNION ALL SELECT project_id, 51, '0005', '| Functions | ' || functions || ' |' FROM p
+  UNION ALL SELECT project_id, 55, '0000', '## 4. Complexity & Quality Assessment' FROM p
+  UNION ALL SELECT project_id, 55, '0001', '### 4.2 High Complexity Modules' FROM p
+  UNION ALL SELECT DISTINCT project_id, 60, '0000', '| Module | Complexity Score | Risk Level | Recommendation |' FROM top10
+  UNION ALL SELECT DISTINCT project_id, 60, '0001', '|--------|------------------|------------|----------------|' FROM top10
+  UNION ALL SELECT project_id, 60, '1|' || lpad(CAST(rk AS VARCHAR), 4, '0'), '| ' || name || ' | ' || complexity || ' | ' ||
+      CASE WHEN complexity > 40 THEN 'High' ELSE 'Medium' END || ' | ' ||
+      CASE WHEN complexity > 40 THEN 'Consider breaking into smaller modules during migration' ELSE 'Review and simplify logic where possible' END || ' |' FROM top10
+  UNION ALL SELECT project_id, 60, '0000', '*[No high-complexity modules identified]*' FROM p WHERE project_id NOT IN (SELECT project_id FROM top10)
+  UNION ALL SELECT project_id, 65, '0000', '## 6. Risk Assessment' FROM p
+  UNION ALL SELECT project_id, 65, '0001', '### 6.1 Identified Risks' FROM p
+  UNION ALL SELECT DISTINCT project_id, 70, '0000', '| Risk ID | Category | Description | Severity | Impact | Mitigation |' FROM risks
+  UNION ALL SELECT DISTINCT project_id, 70, '0001', '|---------|----------|-------------|----------|--------|------------|' FROM risks
+  UNION ALL SELECT r.project_id, 70, '1|' || r.id, '| R-' || r.id || ' | ' || r.category || ' | ' || r.description || ' | ' || r.severity
+      || ' | ' || i.impact || ' | ' || i.mitigation || ' |' FROM risks r JOIN rimp i USING (id)
+  UNION ALL SELECT project_id, 70, '0000', '*[Risk assessment to be completed]*' FROM p WHERE project_id NOT IN (SELECT project_id FROM risks))""")
+    return W.replace("d AS ('as-is-analysis'),\n", "")
+
+
+def report_sql() -> dict[str, str]:
+    from migscope.operators import validate as V
+    base = report_rows_sql()
+    q = {"report_rows": base + "\nSELECT project_id, 'as-is-analysis' AS doc, section, sub, line FROM rows"}
+    checks = ", ".join(
+        (f"bool_or(regexp_matches(line, {lit(p.replace('(?m)', ''))})) AS {n}" if must
+         else f"NOT bool_or(regexp_matches(line, {lit(p)})) AS {n}") for n, p, must in V.DOC_CHECKS)
+    sel = " UNION ALL ".join(f"SELECT project_id, doc, {lit(n)} AS \"check\", {n} AS passed FROM g" for n, _, _ in V.DOC_CHECKS)
+    q["report_quality"] = base + f""",
+g AS (SELECT project_id, 'as-is-analysis' AS doc, {checks} FROM rows GROUP BY project_id)
+{sel}"""
+    return q
