@@ -45,23 +45,50 @@ def stream_corpus(spark: SparkSession, root: str, sink: str, checkpoint: str, av
     return q.start()
 
 
+def bucket_col(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, keys: list[str], path: str, buckets: int = 64) -> None:
+    """Base table for delta sync: parquet partitioned by a key-hash bucket, so a
+    change batch rewrites only the buckets its keys fall in."""
+    df.withColumn("bucket", bucket_col(keys, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def stream_delta(spark: SparkSession, changes_dir: str, schema: StructType, base_path: str, keys: list[str],
-                 checkpoint: str, available_now: bool = True):
-    """Each micro-batch of change files is merged into the base table.  The
-    merged table is written as a new version folder (``base_path/v=<batch>``),
-    the previous version stays readable until the next batch succeeds."""
-    state = {"current": base_path}
+                 checkpoint: str, buckets: int = 64, available_now: bool = True):
+    """Each micro-batch of change files is merged into the bucketed base
+    table (see ``write_bucketed``) with the batch ``apply_delta``.  Only the
+    affected buckets are read (partition pruning), merged, staged and swapped in
+    with dynamic partition overwrite; a bucket left without rows is removed.
+    The bucket list is bounded by ``buckets``, so it is the only thing the driver
+    sees.  Re-running a batch after a failure recomputes it from the same base
+    buckets and the same changes (idempotent)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        base = spark.read.parquet(state["current"])
-        merged = V.apply_delta(base, batch, keys)
-        out = f"{base_path.rstrip('/')}_v/{batch_id}"
-        merged.write.mode("overwrite").parquet(out)
-        state["current"] = out
+        ch = batch.withColumn("bucket", bucket_col(keys, buckets))
+        hit = [r.bucket for r in ch.select("bucket").distinct().collect()]
+        if not hit:
+            return
+        base = spark.read.parquet(base_path).where(F.col("bucket").isin(hit))
+        merged = V.apply_delta(base.drop("bucket"), ch.drop("bucket"), keys) \
+            .withColumn("bucket", bucket_col(keys, buckets))
+        stage = f"{base_path.rstrip('/')}_staging/{batch_id}"
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(stage)
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        staged = spark.read.parquet(stage)
+        staged.write.mode("overwrite").partitionBy("bucket").parquet(base_path)
+        kept = {r.bucket for r in staged.select("bucket").distinct().collect()}
+        for b in set(hit) - kept:            # every row of the bucket was deleted
+            pth = jvm.org.apache.hadoop.fs.Path(f"{base_path.rstrip('/')}/bucket={b}")
+            pth.getFileSystem(conf).delete(pth, True)
+
     q = spark.readStream.schema(schema).parquet(changes_dir).writeStream.foreachBatch(process) \
         .option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
-    return q.start(), state
+    return q.start()
 
 
 def stream_alerts(spark: SparkSession, events_dir: str, schema: StructType, sink: str, checkpoint: str,

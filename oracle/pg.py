@@ -254,9 +254,61 @@ SELECT project_id, path, type,
        WHEN type IN ('Service', 'Controller') THEN path || ' (' || type || ' with native queries - review for business logic impact)'
        ELSE path || ' (' || type || ' - unexpected DB dependency)' END AS text
 FROM inv WHERE dep"""
+    q["pg_design_rows"] = design_sql()
     q["pg_change_summary"] = JW + inv + """
 SELECT project_id, CAST(count(*) AS BIGINT) AS total_files,
   CAST(count(*) FILTER (WHERE dep AND type IN ('Entity', 'Repository', 'Configuration')) AS BIGINT) AS files_requiring_change,
   CAST(count(*) FILTER (WHERE dep AND type NOT IN ('Entity', 'Repository', 'Configuration')) AS BIGINT) AS files_requiring_review
 FROM inv GROUP BY project_id"""
     return q
+
+
+def design_sql() -> str:
+    """M24-M25 rows of the migration strategy document."""
+    from migscope.plans import report as R
+    ddl_all = f"allddl AS ({for_duckdb(ddl_files_sql())}),\n" \
+              "files AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
+    W = ("WITH jf AS (" + for_duckdb(java_files_sql()) + ")" + BASE + QUERIES + ",\n" + ddl_all + STMTS
+         + ddl_feature_ctes() + java_project_ctes() + scores_cte())
+    orm_adv = " UNION ALL ".join(f"SELECT {lit(k)} AS orm_framework, {i} AS i, {lit(t)} AS line"
+                                 for k, ls in R.ORM_ADVICE.items() for i, t in enumerate(ls))
+    ext_adv = " UNION ALL ".join(f"SELECT {lit(k)} AS extension, {i} AS i, {lit(t)} AS line"
+                                 for k, ls in R.EXTENSION_ADVICE.items() for i, t in enumerate(ls))
+    other = R.EXTENSION_ADVICE_OTHER[0]
+    return W + f""",
+g AS (SELECT project_id, orm_framework, count(*) AS n, min(path) AS first_path FROM jfile GROUP BY ALL),
+lab AS (SELECT project_id, count(*) AS labels,
+          list(orm_framework ORDER BY first_path) FILTER (WHERE orm_framework <> 'None') AS nn FROM g GROUP BY project_id),
+best AS (SELECT project_id, arg_min(orm_framework, (-n, first_path)) AS best FROM g WHERE orm_framework <> 'None' GROUP BY project_id),
+porm AS (SELECT lab.project_id, CASE WHEN labels > 2 THEN 'Mixed (' || array_to_string(nn, ', ') || ')'
+                                     ELSE coalesce(best.best, 'None') END AS orm_framework
+         FROM lab LEFT JOIN best USING (project_id)),
+oadv AS ({orm_adv}),
+eadv AS ({ext_adv}),
+ex AS (SELECT project_id, path, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS ord, unnest(l) AS extension FROM ext),
+exl AS (
+  SELECT ex.project_id, ex.path, ex.ord, ex.extension,
+    coalesce((SELECT list(line ORDER BY i) FROM eadv WHERE eadv.extension = ex.extension), [{lit(other)}]) AS adv
+  FROM ex),
+exr AS (
+  SELECT project_id, path, ord, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS j FROM (
+    SELECT project_id, path, ord, list_concat(['### Extension: ' || extension, '**Oracle Equivalent:**'], adv) AS l FROM exl)),
+tk AS (SELECT *, '1|' || path || '|' || lpad(CAST(struct_extract(seen, 2) AS VARCHAR), 10, '0') || '|' ||
+                 CAST(struct_extract(seen, 1) AS VARCHAR) || '|' || lpad(CAST(struct_extract(seen, 3) AS VARCHAR), 10, '0') AS k FROM tu),
+rows AS (
+  SELECT project_id, 10 AS section, k || '|a' AS sub, '**' || type || '** → **' || oracle_type || '**' AS line FROM tk
+  UNION ALL SELECT project_id, 10, k || '|b', '- Complexity: ' || complexity FROM tk
+  UNION ALL SELECT project_id, 10, k || '|c', '- Affected Tables: ' || array_to_string(tables, ', ') FROM tk
+  UNION ALL SELECT project_id, 10, k || '|d', '- Required Actions: ' || CASE WHEN complexity = 'Complex'
+      THEN 'Custom conversion logic required' ELSE 'Direct mapping' END FROM tk
+  UNION ALL SELECT project_id, 20, '1|' || path || '|' || lpad(CAST(first_ord - 1 AS VARCHAR), 6, '0'),
+      '- **' || type || '** (' || count || ' indexes) - Oracle Support: ' ||
+      CASE WHEN oracle_support THEN 'Native' ELSE 'Alternative approach needed' END FROM ix
+  UNION ALL SELECT p.project_id, 30, lpad(CAST(a.i AS VARCHAR), 4, '0'), a.line FROM porm p JOIN oadv a USING (orm_framework)
+  UNION ALL SELECT project_id, 40, '1|' || path || '|' || lpad(CAST(ord AS VARCHAR), 6, '0') || '|' || lpad(CAST(j AS VARCHAR), 3, '0'), line FROM exr
+  UNION ALL SELECT project_id, 50, '0000', CASE WHEN volume_score > 60 THEN '**Primary: AWS Database Migration Service (DMS)**'
+      ELSE '**Primary: Oracle SQL Developer + Ora2Pg**' END FROM sc
+  UNION ALL SELECT project_id, 50, '0001', '**Recommended:** Based on complexity score ' || overall || '/100' FROM sc
+  UNION ALL SELECT project_id, 50, '0002', CASE WHEN overall > 70 THEN '**Recommended: Phased Migration**'
+      ELSE '**Recommended: Big Bang Cutover**' END FROM sc)
+SELECT project_id, 'pg-migration-strategy' AS doc, section, sub, line FROM rows"""

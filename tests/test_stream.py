@@ -44,14 +44,15 @@ def test_stream_alerts_equals_batch(spark, tmp_path):
 
 
 def test_stream_delta_equals_batch(spark, tmp_path):
-    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    base = spark.createDataFrame([(k, f"v{k}") for k in range(1, 41)], "k long, v string")
     base_path = str(tmp_path / "base")
-    base.write.parquet(base_path)
-    ch = spark.createDataFrame([(2, "b2", "U", 1), (3, None, "D", 1), (4, "d", "I", 1)],
+    ST.write_bucketed(base, ["k"], base_path, buckets=8)
+    ch = spark.createDataFrame([(2, "b2", "U", 1), (3, None, "D", 1), (41, "d", "I", 1), (2, "b3", "U", 2)]
+                               + [(k, None, "D", 1) for k in range(5, 41)],   # empties whole buckets
                                "k long, v string, op string, seq int")
     cdir = str(tmp_path / "changes")
     ch.write.parquet(cdir)
-    q, state = ST.stream_delta(spark, cdir, ch.schema, base_path, ["k"], str(tmp_path / "ck3"))
+    q = ST.stream_delta(spark, cdir, ch.schema, base_path, ["k"], str(tmp_path / "ck3"), buckets=8)
     q.awaitTermination(120)
-    got = {r.k: r.v for r in spark.read.parquet(state["current"]).collect()}
-    assert got == {r.k: r.v for r in V.apply_delta(base, ch, ["k"]).collect()}
+    got = {r.k: r.v for r in spark.read.parquet(base_path).collect()}
+    assert got == {r.k: r.v for r in V.apply_delta(base, ch, ["k"]).collect()} == {1: "v1", 2: "b3", 4: "v4", 41: "d"}
