@@ -659,7 +659,8 @@ def _pg_parts(spark, sf_dir):
     jf = materialize(J.java_files(java_files(spark, sf_dir)).drop("pg_native_queries_unused"))
     ddl = PG.DdlFacts(spark, ddl_files(spark, sf_dir))
     projects = projects_from_nation(spark, sf_dir)
-    scores = PG.pg_project_scores(spark, projects, jf, ddl)
+    # one row per project, read by the score, risk, recommendation and report branches
+    scores = materialize(PG.pg_project_scores(spark, projects, jf, ddl))
     nfiles = jf.groupBy("project_id").agg(F.count(F.lit(1)).alias("jn")).join(
         O.orm_files(orm_files(spark, sf_dir)).groupBy("project_id").agg(F.count(F.lit(1)).alias("on")),
         "project_id", "full")

@@ -4,7 +4,7 @@ M12, M14)."""
 from migscope.operators import pgfeat as G
 from migscope.plans import pgscore as PG
 from migscope.plans.rules import PROJECTS_SQL
-from migscope.sources.generated import ddl_files_sql, java_files_sql
+from migscope.sources.generated import ddl_files_sql, java_files_sql, orm_files_sql
 from oracle.common import for_duckdb, rnd
 from oracle.ddl import STMTS, _regex_rows, esc
 from oracle.java import BASE, QUERIES
@@ -234,6 +234,7 @@ SELECT project_id, {dims}, overall, difficulty, description, {', '.join(f"array_
           "'PostgreSQL extensions in use: ' || array_to_string(extension_list, ', ')"),
     ]
     q["pg_risks"] = W + "\n" + "\nUNION ALL ".join(risks)
+    q["pg_report_rows"] = report_rows_sql(W, "\nUNION ALL ".join(recs), "\nUNION ALL ".join(risks))
     JW = "WITH jf AS (" + for_duckdb(java_files_sql()) + ")" + BASE + QUERIES
     q["primary_orm"] = JW + """,
 g AS (SELECT project_id, orm_framework, count(*) AS n, min(path) AS first_path FROM jfile GROUP BY ALL),
@@ -312,3 +313,95 @@ rows AS (
   UNION ALL SELECT project_id, 50, '0002', CASE WHEN overall > 70 THEN '**Recommended: Phased Migration**'
       ELSE '**Recommended: Big Bang Cutover**' END FROM sc)
 SELECT project_id, 'pg-migration-strategy' AS doc, section, sub, line FROM rows"""
+
+
+def report_rows_sql(W: str, recs: str, risks: str) -> str:
+    """M23 rows of the PostgreSQL as-is document (after the scores CTEs W)."""
+    from migscope.plans import report as R
+    from migscope.plans.rules import MIGRATION_TYPES
+    dims = "\n  ".join(f"UNION ALL SELECT project_id, 20, '{i + 2:04d}', '| {lbl} | ' || {col} || '/100 | ' || difficulty || ' |' FROM p"
+                        for i, (lbl, col) in enumerate(R.DIMENSION_LABELS))
+    return W + f""",
+ofl AS ({for_duckdb(orm_files_sql())}),
+tfiles AS (SELECT project_id, count(*) AS n FROM (SELECT project_id FROM jf UNION ALL SELECT project_id FROM ofl) GROUP BY 1),
+g AS (SELECT project_id, orm_framework, count(*) AS n, min(path) AS first_path FROM jfile GROUP BY ALL),
+lab AS (SELECT project_id, count(*) AS labels,
+          list(orm_framework ORDER BY first_path) FILTER (WHERE orm_framework <> 'None') AS nn FROM g GROUP BY project_id),
+best AS (SELECT project_id, arg_min(orm_framework, (-n, first_path)) AS best FROM g WHERE orm_framework <> 'None' GROUP BY project_id),
+porm AS (SELECT lab.project_id, CASE WHEN labels > 2 THEN 'Mixed (' || array_to_string(nn, ', ') || ')'
+                                     ELSE coalesce(best.best, 'None') END AS orm_framework
+         FROM lab LEFT JOIN best USING (project_id)),
+nq AS (SELECT project_id, path, count(*) AS n FROM jq GROUP BY ALL),
+inv AS (SELECT f.*, coalesce(nq.n, 0) > 0 OR len(f.pg_functions) > 0 OR len(f.pg_data_types) > 0 AS dep
+        FROM jfile f LEFT JOIN nq USING (project_id, path)),
+chg AS (
+  SELECT project_id, path,
+    CASE WHEN type = 'Entity' THEN 'entity_mapping' WHEN type = 'Repository' THEN 'repository_query'
+         WHEN type = 'Configuration' THEN 'configuration' ELSE 'requires_review' END AS category,
+    CASE WHEN type IN ('Entity', 'Repository', 'Configuration') THEN path
+         WHEN type IN ('Service', 'Controller') THEN path || ' (' || type || ' with native queries - review for business logic impact)'
+         ELSE path || ' (' || type || ' - unexpected DB dependency)' END AS text
+  FROM inv WHERE dep),
+csum AS (SELECT project_id, count(*) FILTER (WHERE category <> 'requires_review') AS fc,
+           count(*) FILTER (WHERE category = 'requires_review') AS fr FROM chg GROUP BY project_id),
+pdb AS (SELECT project_id, sum(tables) AS tables, sum(views) AS views, sum(stored_procedures) AS sp, sum(functions) AS functions,
+           sum(triggers) AS triggers, sum(indexes) AS indexes, sum(sequences) AS sequences FROM ftot GROUP BY project_id),
+pparts AS (SELECT project_id, sum(partitioned_tables) AS n FROM fc GROUP BY project_id),
+p AS (
+  SELECT sc.*, coalesce(tfiles.n, 0) AS total_files_all, coalesce(porm.orm_framework, 'None') AS ormf,
+    coalesce(csum.fc, 0) AS fc, coalesce(csum.fr, 0) AS fr,
+    coalesce(pdb.tables, 0) AS db_tables, coalesce(pdb.views, 0) AS db_views, coalesce(pdb.sp, 0) AS db_sp,
+    coalesce(pdb.functions, 0) AS db_functions, coalesce(pdb.triggers, 0) AS db_triggers, coalesce(pdb.indexes, 0) AS db_indexes,
+    coalesce(pdb.sequences, 0) AS db_sequences, coalesce(pparts.n, 0) AS db_parts,
+    difficulty || ' difficulty (score: ' || overall || '/100) - ' || description AS summary
+  FROM sc LEFT JOIN tfiles USING (project_id) LEFT JOIN porm USING (project_id) LEFT JOIN csum USING (project_id)
+    LEFT JOIN pdb USING (project_id) LEFT JOIN pparts USING (project_id)),
+risks AS ({risks}),
+recs AS ({recs}),
+tk AS (SELECT *, '1|' || path || '|' || CAST(struct_extract(seen, 1) AS VARCHAR) || '|' || lpad(CAST(struct_extract(seen, 2) AS VARCHAR), 10, '0')
+                 || '|' || lpad(CAST(struct_extract(seen, 3) AS VARCHAR), 10, '0') AS k FROM tu),
+ex AS (SELECT project_id, path, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS ord, unnest(l) AS extension FROM ext),
+rows AS (
+  SELECT project_id, 10 AS section, '0000' AS sub, '- **Total Java Files:** ' || total_files_all AS line FROM p
+  UNION ALL SELECT project_id, 10, '0001', '- **Total Lines of Code:** ' || total_loc FROM p
+  UNION ALL SELECT project_id, 10, '0002', '- **ORM Framework:** ' || ormf FROM p
+  UNION ALL SELECT project_id, 10, '0003', '- **Source Database:** Oracle 11g' FROM p
+  UNION ALL SELECT project_id, 10, '0004', '- **Target Database:** PostgreSQL 15' FROM p
+  UNION ALL SELECT project_id, 10, '0005', '- **Complexity Assessment:** ' || summary FROM p
+  UNION ALL SELECT project_id, 20, '0000', '| Dimension | Score | Level |' FROM p
+  UNION ALL SELECT project_id, 20, '0001', '|-----------|-------|-------|' FROM p
+  {dims}
+  UNION ALL SELECT project_id, 20, '0008', '| **Overall** | **' || overall || '/100** | **' || difficulty || '** |' FROM p
+  UNION ALL SELECT project_id, 30, '1|' || path, '- **' || type || ':** `' || name || '` (' || loc || ' LOC) - PostgreSQL Dependencies: '
+      || CASE WHEN dep THEN 'Yes' ELSE 'No' END FROM inv
+  UNION ALL SELECT project_id, 40, '0000', '**Files Requiring Change:** ' || fc FROM p
+  UNION ALL SELECT project_id, 40, '0001', '**Files Requiring Review:** ' || fr FROM p
+  UNION ALL SELECT project_id, 41, '1|' || path, '- ' || text FROM chg WHERE category = 'entity_mapping'
+  UNION ALL SELECT project_id, 42, '1|' || path, '- ' || text FROM chg WHERE category = 'repository_query'
+  UNION ALL SELECT project_id, 44, '1|' || path, '- ⚠️ ' || text FROM chg WHERE category = 'requires_review'
+  UNION ALL SELECT project_id, 44, '0000', '✓ No files requiring special review (good architecture - business logic separated from database layer)'
+      FROM p WHERE project_id NOT IN (SELECT project_id FROM chg WHERE category = 'requires_review')
+  UNION ALL SELECT project_id, 50, '0000', '| Component | Count |' FROM p
+  UNION ALL SELECT project_id, 50, '0001', '|-----------|-------|' FROM p
+  UNION ALL SELECT project_id, 50, '0002', '| Tables | ' || db_tables || ' |' FROM p
+  UNION ALL SELECT project_id, 50, '0003', '| Views | ' || db_views || ' |' FROM p
+  UNION ALL SELECT project_id, 50, '0004', '| Stored Procedures | ' || db_sp || ' |' FROM p
+  UNION ALL SELECT project_id, 50, '0005', '| Functions | ' || db_functions || ' |' FROM p
+  UNION ALL SELECT project_id, 50, '0006', '| Triggers | ' || db_triggers || ' |' FROM p
+  UNION ALL SELECT project_id, 50, '0007', '| Indexes | ' || db_indexes || ' |' FROM p
+  UNION ALL SELECT project_id, 50, '0008', '| Sequences | ' || db_sequences || ' |' FROM p
+  UNION ALL SELECT project_id, 50, '0009', '| Partitioned Tables | ' || db_parts || ' |' FROM p
+  UNION ALL SELECT project_id, 60, k || '|a', '**' || type || '** (' || count || ' occurrences)' FROM tk
+  UNION ALL SELECT project_id, 60, k || '|b', '- Tables: ' || array_to_string(tables, ', ') FROM tk
+  UNION ALL SELECT project_id, 60, k || '|c', '- Oracle Mapping Complexity: **' || complexity || '**' FROM tk
+  UNION ALL SELECT project_id, 60, k || '|d', '- Suggested Oracle Type: `' || oracle_type || '`' FROM tk
+  UNION ALL SELECT project_id, 70, '1|' || path || '|' || lpad(CAST(ord AS VARCHAR), 6, '0'),
+      '- **' || extension || '** - Requires Oracle equivalent or custom implementation' FROM ex
+  UNION ALL SELECT project_id, 70, '0000', 'No PostgreSQL extensions detected.' FROM p WHERE project_id NOT IN (SELECT project_id FROM ex)
+  UNION ALL SELECT project_id, 80, '1|' || path || '|' || lpad(CAST(first_ord - 1 AS VARCHAR), 6, '0'),
+      '- **' || type || '** (' || count || ' indexes) - Oracle Support: ' || CASE WHEN oracle_support THEN 'Yes' ELSE 'No - Requires redesign' END FROM ix
+  UNION ALL SELECT project_id, 90, '0000', '**Total Native Queries:** ' || native_queries FROM p
+  UNION ALL SELECT project_id, 100, '1|' || id, '| ' || id || ' | ' || category || ' | ' || severity || ' | ' || description || ' |' FROM risks
+  UNION ALL SELECT project_id, 110, '1|' || lpad(CAST(rule_no AS VARCHAR), 2, '0'),
+      '- **' || dimension || '** (' || severity || '): ' || issue || ' - ' || mitigation FROM recs)
+SELECT project_id, 'pg-as-is-analysis' AS doc, section, sub, line FROM rows"""
