@@ -504,7 +504,8 @@ def v_load_order(spark, sf_dir):
 def v_delta(spark, sf_dir):
     base = target_table(spark, sf_dir, "orders")
     changes = run_sql(spark, sf_dir, ORDERS_CHANGES_SQL)
-    return V.apply_delta(base, changes, ["o_orderkey"])
+    return V.apply_delta(base, changes, ["o_orderkey"]) \
+        .withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @register

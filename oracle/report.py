@@ -101,6 +101,7 @@ SELECT p.project_id,
 FROM projects p LEFT JOIN db USING (project_id) LEFT JOIN tot USING (project_id) LEFT JOIN ps USING (project_id)"""
     q.update(sql_rollups())
     q.update(report_sql())
+    q["project_metadata"] = metadata_sql()
     return q
 
 
@@ -230,3 +231,28 @@ def report_sql() -> dict[str, str]:
 g AS (SELECT project_id, 'as-is-analysis' AS doc, {checks} FROM rows GROUP BY project_id)
 {sel}"""
     return q
+
+
+def metadata_sql() -> str:
+    """M16 document as JSON (DuckDB struct -> to_json; same key order, nulls absent)."""
+    lastddl = f"allddl AS ({for_duckdb(ddl_files_sql())}),\n" \
+              "lastf AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
+    W = ("WITH " + OC.files_cte() + OC.scores_cte() + OC.details_cte() + OC.project_scores_cte() + ",\n" + lastddl
+         + OD.STMTS.replace("FROM files)", "FROM lastf)"))
+    lst = lambda cat: (f"coalesce((SELECT list(detail ORDER BY ord) FROM pdet WHERE pdet.project_id = ps.project_id "
+                       f"AND cat = '{cat}'), [])")
+    return W + f""",
+db AS (SELECT project_id, sum(tables) AS tables, sum(views) AS views, sum(stored_procedures) AS stored_procedures,
+         sum(indexes) AS indexes, sum(triggers) AS triggers, sum(functions) AS functions FROM ftot GROUP BY project_id),
+tot AS (SELECT project_id, count(*) AS total_files, sum(loc) AS total_loc FROM files GROUP BY project_id)
+SELECT ps.project_id, CAST(to_json({{
+  'source_analysis': {{'total_files': coalesce(tot.total_files, 0), 'total_loc': CAST(coalesce(tot.total_loc, 0) AS BIGINT),
+    'database': {{'tables': CAST(coalesce(db.tables, 0) AS BIGINT), 'views': CAST(coalesce(db.views, 0) AS BIGINT),
+                 'stored_procedures': CAST(coalesce(db.stored_procedures, 0) AS BIGINT), 'indexes': CAST(coalesce(db.indexes, 0) AS BIGINT),
+                 'triggers': CAST(coalesce(db.triggers, 0) AS BIGINT), 'functions': CAST(coalesce(db.functions, 0) AS BIGINT)}}}},
+  'complexity_summary': ps.difficulty || ' difficulty (score: ' || ps.overall || '/100) - ' || ps.description,
+  'migrationComplexity': {{'overall': ps.overall, 'logicComplexity': ps.logic_score, 'dataComplexity': ps.data_score,
+    'cobolSpecificRisk': ps.risk_score, 'difficulty': ps.difficulty, 'description': ps.description,
+    'details': {{'logic': {lst('logic')}, 'data': {lst('data')}, 'risk': {lst('risk')}}}}}
+}}) AS VARCHAR) AS metadata
+FROM ps LEFT JOIN tot USING (project_id) LEFT JOIN db USING (project_id)"""

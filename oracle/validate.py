@@ -192,7 +192,7 @@ SELECT coalesce(b.o_orderkey, l.o_orderkey) AS o_orderkey,
   CASE WHEN l.c IS NOT NULL THEN l.c.o_custkey ELSE b.o_custkey END AS o_custkey,
   CASE WHEN l.c IS NOT NULL THEN l.c.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus,
   CASE WHEN l.c IS NOT NULL THEN l.c.o_totalprice ELSE b.o_totalprice END AS o_totalprice,
-  CASE WHEN l.c IS NOT NULL THEN l.c.o_orderdate ELSE b.o_orderdate END AS o_orderdate,
+  strftime(CASE WHEN l.c IS NOT NULL THEN l.c.o_orderdate ELSE b.o_orderdate END, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
   CASE WHEN l.c IS NOT NULL THEN l.c.o_orderpriority ELSE b.o_orderpriority END AS o_orderpriority
 FROM t_orders b FULL JOIN latest l ON b.o_orderkey = l.o_orderkey
 WHERE l.c IS NULL OR l.c.op <> 'D'"""
