@@ -528,7 +528,7 @@ def v_baseline(spark, sf_dir):
     actual = ev.groupBy("event_type").agg(F.percentile("value", 0.95).alias("actual"))
     base = spark.createDataFrame(PERF_BASELINE, "metric string, description string, baseline double, "
                                                 "target double, event_type string")
-    j = base.join(F.broadcast(actual) if False else actual, "event_type", "left").drop("event_type")
+    j = base.join(actual, "event_type", "left").drop("event_type")
     return V.compare_baseline(j.select("metric", "actual"), base.drop("event_type"))
 
 
@@ -657,7 +657,7 @@ def doc_quality(spark, sf_dir):
 
 
 def _pg_parts(spark, sf_dir):
-    jf = materialize(J.java_files(java_files(spark, sf_dir)).drop("pg_native_queries_unused"))
+    jf = materialize(J.java_files(java_files(spark, sf_dir)))
     ddl = PG.DdlFacts(spark, ddl_files(spark, sf_dir))
     projects = projects_from_nation(spark, sf_dir)
     # one row per project, read by the score, risk, recommendation and report branches
