@@ -39,8 +39,16 @@ METRICS = ["loc", "if_lines", "goto", "evaluate", "perform", "perform_until", "w
 FLAG_BITS = METRICS + ["report"]          # bit k of ``mask`` = flag k
 
 
-def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """One projection with every per-line flag (ints) plus the scan block id."""
+def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list[str] | None = None) -> DataFrame:
+    """One projection with every per-line flag (ints) plus the scan block id.
+
+    ``src_lines`` either has ``line_no`` (blocks are line ranges of
+    ``block_lines``) or already carries a ``block`` column and the ``order``
+    columns that order lines inside a block (any split of a file into
+    consecutive ranges works)."""
+    order = order or ["line_no"]
+    block = F.col("block") if "block" in src_lines.columns and order != ["line_no"] else \
+        F.floor((F.col("line_no") - 1) / F.lit(block_lines)).cast("long")
     U = F.upper("line")
     T = js_trim("line")
     code = ~T.startswith("*")
@@ -49,8 +57,8 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
     end_if = c(U.contains("END-IF"))
     perform = c(U.contains("PERFORM"))
     return src_lines.select(
-        *FILE_KEYS, "line_no",
-        F.floor((F.col("line_no") - 1) / F.lit(block_lines)).cast("long").alias("block"),
+        *FILE_KEYS, *order,
+        block.alias("block"),
         flag((T != "") & code).alias("loc"),
         is_if.alias("if_lines"),
         (is_if - end_if).alias("delta"),
@@ -72,16 +80,18 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
     )
 
 
-def packed_line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+def packed_line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES,
+                      order: list[str] | None = None) -> DataFrame:
     """The per-line flags packed into one int bitmask: the block window shuffles
     (keys, line_no, block, delta, mask) -- three ints per line -- instead of
     seventeen flag columns."""
-    f = line_facts(src_lines, block_lines)
+    order = order or ["line_no"]
+    f = line_facts(src_lines, block_lines, order)
     mask = None
     for k, name in enumerate(FLAG_BITS):
         bit = (F.col(name).cast("int") if name == "report" else F.col(name)) * F.lit(1 << k)
         mask = bit if mask is None else mask + bit
-    return f.select(*FILE_KEYS, "line_no", "block", F.col("delta").cast("int").alias("delta"),
+    return f.select(*FILE_KEYS, *order, "block", F.col("delta").cast("int").alias("delta"),
                     mask.cast("int").alias("mask"))
 
 
@@ -89,14 +99,14 @@ def _bit(name: str) -> Column:
     return F.shiftright(F.col("mask"), FLAG_BITS.index(name)).bitwiseAND(F.lit(1))
 
 
-def _block_summaries(facts: DataFrame) -> DataFrame:
+def _block_summaries(facts: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Per (file, block): metric sums and the depth-scan summary.
 
     With local prefix sums s (s=0 at block start) and m = min(0, s_1..s_j):
       tot  = sum of deltas           lmin = min(0, all s)
       a    = max over IF lines of s_before       b = max over IF lines of s_before - m_before
     """
-    w = Window.partitionBy(*FILE_KEYS, "block").orderBy("line_no")
+    w = Window.partitionBy(*FILE_KEYS, "block").orderBy(*(order or ["line_no"]))
     s = F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))
     m_before = F.least(F.lit(0), F.coalesce(
         F.min("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -129,10 +139,11 @@ def _file_metrics(blocks: DataFrame) -> DataFrame:
     )
 
 
-def cobol_files(src_lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+def cobol_files(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list[str] | None = None) -> DataFrame:
     """One row per program with LOC, cyclomatic complexity and the 15
-    migration metrics."""
-    f = _file_metrics(_block_summaries(packed_line_facts(src_lines, block_lines)))
+    migration metrics.  With ``order`` (and a ``block`` column) the lines need no
+    dense numbering: blocks and the order inside them come with the input."""
+    f = _file_metrics(_block_summaries(packed_line_facts(src_lines, block_lines, order), order))
     cc = (F.lit(1) + F.col("if_lines") + F.col("evaluate") + F.col("perform_until")
           + F.col("when_lines") + F.col("goto"))
     return f.select(

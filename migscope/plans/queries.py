@@ -10,7 +10,7 @@ from migscope.operators import cobol as C
 from migscope.plans import project as M
 from migscope.plans import score as K
 from migscope.plans.rules import projects_from_nation
-from migscope.sources.generated import COBOL_BY_PART, COBOL_BY_SUPP, cobol_lines
+from migscope.sources.generated import COBOL_BY_PART, COBOL_BY_SUPP, COBOL_ORDER, cobol_lines, cobol_raw
 
 REGISTRY: dict = {}
 
@@ -22,7 +22,9 @@ def register(fn):
 
 # ---------------------------------------------------------------- COBOL
 def _files(spark, sf_dir, variant=COBOL_BY_PART) -> DataFrame:
-    return C.cobol_files(cobol_lines(spark, sf_dir, variant))
+    """Per-program metrics straight from the raw corpus: blocks and line order
+    come with the rows, so the scan needs one exchange and no line numbering."""
+    return C.cobol_files(cobol_raw(spark, sf_dir, variant), order=COBOL_ORDER)
 
 
 @register

@@ -101,7 +101,23 @@ def cobol_lines_sql(key: str = "l_partkey", pfx: str = "P", nproj: int = 25) ->
     """src_lines(project_id, path, line_no, line) of the generated COBOL corpus.
 
     file = one value of ``key``; project = key % nproj; line order = the unique
-    lineitem tuple (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)."""
+    lineitem tuple (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice).
+    This is the oracle's form; Spark numbers the lines with ``with_line_numbers``."""
+    return _cobol_sql(key, pfx, nproj, f"""CAST(row_number() OVER (PARTITION BY {key}
+            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_no""")
+
+
+def cobol_raw_sql(key: str = "l_partkey", pfx: str = "P", nproj: int = 25) -> str:
+    """The COBOL corpus without line numbers: (project_id, path, block, o1..o5,
+    line), where (o1..o5) is the line order and block = l_orderkey DIV 65536 a
+    consecutive range of it.  A file that holds a third of all rows still
+    spreads over many blocks (each holds the lines of at most 65,536 orders)."""
+    return _cobol_sql(key, pfx, nproj, f"CAST(l_orderkey DIV {ORDERKEY_BLOCK} AS BIGINT) AS block, "
+                                       "l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_suppkey AS o4, "
+                                       "l_extendedprice AS o5")
+
+
+def _cobol_sql(key: str, pfx: str, nproj: int, order_cols: str) -> str:
     proj = f"'{pfx.lower()}' || CAST({key} % {nproj} AS STRING)"
     call = (f"'           CALL ''{pfx}' || CAST({key} + l_linenumber * {nproj} AS STRING)"
             f" || ''' USING WS-REC'")
@@ -114,8 +130,7 @@ def cobol_lines_sql(key: str = "l_partkey", pfx: str = "P", nproj: int = 25) ->
     return f"""
 SELECT {proj} AS project_id,
        {proj} || '/{pfx}' || CAST({key} AS STRING) || '.cbl' AS path,
-       CAST(row_number() OVER (PARTITION BY {key}
-            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_no,
+       {order_cols},
        CASE CAST((l_orderkey * 7 + l_linenumber) % {n} AS INT) {' '.join(whens)} END AS line
 FROM {{lineitem}}"""
 
@@ -133,8 +148,34 @@ COBOL_BY_PART = dict(key="l_partkey", pfx="P", nproj=25)     # ~30 lines per fil
 COBOL_BY_SUPP = dict(key="l_suppkey", pfx="S", nproj=10)     # ~600 lines per file
 
 
+# Line order inside a generated file and the orderkey range that blocks it.
+COBOL_ORDER = ["o1", "o2", "o3", "o4", "o5"]
+ORDERKEY_BLOCK = 1 << 16
+
+
+def cobol_raw(spark: SparkSession, sf_dir: str, variant: dict = COBOL_BY_PART) -> DataFrame:
+    return run_sql(spark, sf_dir, cobol_raw_sql(**variant))
+
+
+def with_line_numbers(raw: DataFrame, keys: list[str] = ["project_id", "path"], order: list[str] = COBOL_ORDER) \
+        -> DataFrame:
+    """Dense 1-based line numbers without a per-file window: rows are numbered
+    inside (file, block), block sizes are summed over the preceding blocks of
+    the file (a window over the small block table) and joined back on
+    (file, block) -- the big side keeps its partitioning."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    local = raw.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "block").orderBy(*order)))
+    sizes = local.groupBy(*keys, "block").agg(F.max("r").alias("n"))
+    off = sizes.withColumn("off", F.coalesce(F.sum("n").over(
+        Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    j = local.join(off.select(*keys, "block", "off"), [*keys, "block"])
+    return j.select(*keys, (F.col("off") + F.col("r")).cast("int").alias("line_no"), "line", "block", *order)
+
+
 def cobol_lines(spark: SparkSession, sf_dir: str, variant: dict = COBOL_BY_PART) -> DataFrame:
-    return run_sql(spark, sf_dir, cobol_lines_sql(**variant))
+    """src_lines(project_id, path, line_no, line) of the generated COBOL corpus."""
+    return with_line_numbers(cobol_raw(spark, sf_dir, variant))
 
 
 # ---------------------------------------------------------------------------
