@@ -39,7 +39,14 @@ METRICS = ["loc", "if_lines", "goto", "evaluate", "perform", "perform_until", "w
 FLAG_BITS = METRICS + ["report"]          # bit k of ``mask`` = flag k
 
 
-def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list[str] | None = None) -> DataFrame:
+def _keys(key: str | None) -> tuple[list[str], list[str]]:
+    """(partition keys, carried columns): a numeric file id partitions and sorts
+    cheaper than the (project_id, path) strings, which are then carried along."""
+    return ([key], FILE_KEYS) if key else (FILE_KEYS, [])
+
+
+def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list[str] | None = None,
+               key: str | None = None) -> DataFrame:
     """One projection with every per-line flag (ints) plus the scan block id.
 
     ``src_lines`` either has ``line_no`` (blocks are line ranges of
@@ -57,7 +64,7 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list
     end_if = c(U.contains("END-IF"))
     perform = c(U.contains("PERFORM"))
     return src_lines.select(
-        *FILE_KEYS, *order,
+        *FILE_KEYS, *([key] if key else []), *order,
         block.alias("block"),
         flag((T != "") & code).alias("loc"),
         is_if.alias("if_lines"),
@@ -81,17 +88,17 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list
 
 
 def packed_line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES,
-                      order: list[str] | None = None) -> DataFrame:
+                      order: list[str] | None = None, key: str | None = None) -> DataFrame:
     """The per-line flags packed into one int bitmask: the block window shuffles
     (keys, line_no, block, delta, mask) -- three ints per line -- instead of
     seventeen flag columns."""
     order = order or ["line_no"]
-    f = line_facts(src_lines, block_lines, order)
+    f = line_facts(src_lines, block_lines, order, key)
     mask = None
     for k, name in enumerate(FLAG_BITS):
         bit = (F.col(name).cast("int") if name == "report" else F.col(name)) * F.lit(1 << k)
         mask = bit if mask is None else mask + bit
-    return f.select(*FILE_KEYS, *order, "block", F.col("delta").cast("int").alias("delta"),
+    return f.select(*FILE_KEYS, *([key] if key else []), *order, "block", F.col("delta").cast("int").alias("delta"),
                     mask.cast("int").alias("mask"))
 
 
@@ -99,21 +106,23 @@ def _bit(name: str) -> Column:
     return F.shiftright(F.col("mask"), FLAG_BITS.index(name)).bitwiseAND(F.lit(1))
 
 
-def _block_summaries(facts: DataFrame, order: list[str] | None = None) -> DataFrame:
+def _block_summaries(facts: DataFrame, order: list[str] | None = None, key: str | None = None) -> DataFrame:
     """Per (file, block): metric sums and the depth-scan summary.
 
     With local prefix sums s (s=0 at block start) and m = min(0, s_1..s_j):
       tot  = sum of deltas           lmin = min(0, all s)
       a    = max over IF lines of s_before       b = max over IF lines of s_before - m_before
     """
-    w = Window.partitionBy(*FILE_KEYS, "block").orderBy(*(order or ["line_no"]))
+    pk, carry = _keys(key)
+    w = Window.partitionBy(*pk, "block").orderBy(*(order or ["line_no"]))
     s = F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))
     m_before = F.least(F.lit(0), F.coalesce(
         F.min("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     scanned = facts.withColumn("s", s).withColumn("s_before", F.col("s") - F.col("delta")) \
         .withColumn("m_before", m_before)
     is_if = _bit("if_lines") == 1
-    return scanned.groupBy(*FILE_KEYS, "block").agg(
+    return scanned.groupBy(*pk, "block").agg(
+        *[F.first(x).alias(x) for x in carry],
         *[F.sum(_bit(m)).alias(m) for m in METRICS],
         F.bool_or(_bit("report") == 1).alias("report"),
         F.sum("delta").alias("tot"),
@@ -123,27 +132,31 @@ def _block_summaries(facts: DataFrame, order: list[str] | None = None) -> DataFr
     )
 
 
-def _file_metrics(blocks: DataFrame) -> DataFrame:
+def _file_metrics(blocks: DataFrame, key: str | None = None) -> DataFrame:
     """Combine block summaries in line order: offset O and prior minimum P per block
     give the global depth before each IF line as max(O - P + s, s - m)."""
-    wb = Window.partitionBy(*FILE_KEYS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    pk, carry = _keys(key)
+    wb = Window.partitionBy(*pk).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     off = F.coalesce(F.sum("tot").over(wb), F.lit(0))
     with_off = blocks.withColumn("off", off)
     prior_min = F.least(F.lit(0), F.coalesce(F.min(F.col("off") + F.col("lmin")).over(wb), F.lit(0)))
     peaks = with_off.withColumn("pmin", prior_min).withColumn(
         "peak", F.greatest(F.col("off") - F.col("pmin") + F.col("a"), F.col("b")) + F.lit(1))
-    return peaks.groupBy(*FILE_KEYS).agg(
+    return peaks.groupBy(*pk).agg(
+        *[F.first(x).alias(x) for x in carry],
         *[F.sum(m).cast("long").alias(m) for m in METRICS],
         F.coalesce(F.bool_or("report"), F.lit(False)).alias("report_writer"),
         F.coalesce(F.max("peak"), F.lit(0)).cast("long").alias("max_if_depth"),
     )
 
 
-def cobol_files(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list[str] | None = None) -> DataFrame:
+def cobol_files(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list[str] | None = None,
+                key: str | None = None) -> DataFrame:
     """One row per program with LOC, cyclomatic complexity and the 15
     migration metrics.  With ``order`` (and a ``block`` column) the lines need no
-    dense numbering: blocks and the order inside them come with the input."""
-    f = _file_metrics(_block_summaries(packed_line_facts(src_lines, block_lines, order), order))
+    dense numbering: blocks and the order inside them come with the input.
+    ``key``: optional numeric file id (one per (project_id, path)) to partition by."""
+    f = _file_metrics(_block_summaries(packed_line_facts(src_lines, block_lines, order, key), order, key), key)
     cc = (F.lit(1) + F.col("if_lines") + F.col("evaluate") + F.col("perform_until")
           + F.col("when_lines") + F.col("goto"))
     return f.select(
@@ -172,21 +185,26 @@ def cobol_paragraphs(src_lines: DataFrame) -> DataFrame:
         .where((F.col("paragraph") != "") & (F.col("paragraph") != "DIVISION"))
 
 
-def cobol_edges(src_lines: DataFrame) -> DataFrame:
+def cobol_edges(src_lines: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Distinct CALL / COPY targets per program with their first-seen position
-    (2*line_no for CALL, 2*line_no+1 for COPY on the same line).  Partial
-    aggregation keeps the hash aggregate map-side combined."""
+    (2*line_no for CALL, 2*line_no+1 for COPY on the same line; with ``order``
+    the position is the struct (order..., 0|1) and no line numbers are needed).
+    Partial aggregation keeps the hash aggregate map-side combined."""
     U = F.upper("line")
+    if order:
+        pos = lambda k: F.struct(*[F.col(o) for o in order], F.lit(k).alias("k"))
+    else:
+        pos = lambda k: (F.col("line_no") * 2 + k).cast("long")
     hits = src_lines.select(
         *FILE_KEYS,
         F.explode(F.array(
-            F.struct((F.col("line_no") * 2).alias("pos"), F.regexp_extract(U, RE_CALL, 1).alias("target"),
+            F.struct(pos(0).alias("pos"), F.regexp_extract(U, RE_CALL, 1).alias("target"),
                      F.lit("CALL").alias("kind")),
-            F.struct((F.col("line_no") * 2 + 1).alias("pos"), F.regexp_extract(U, RE_COPY, 1).alias("target"),
+            F.struct(pos(1).alias("pos"), F.regexp_extract(U, RE_COPY, 1).alias("target"),
                      F.lit("COPY").alias("kind")),
         )).alias("h")).select(*FILE_KEYS, "h.*").where(F.col("target") != "")
     return hits.groupBy(*FILE_KEYS, "target").agg(
-        F.min("pos").cast("long").alias("first_pos"),
+        F.min("pos").alias("first_pos"),
         F.min_by("kind", "pos").alias("kind"))
 
 

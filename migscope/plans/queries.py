@@ -24,7 +24,12 @@ def register(fn):
 def _files(spark, sf_dir, variant=COBOL_BY_PART) -> DataFrame:
     """Per-program metrics straight from the raw corpus: blocks and line order
     come with the rows, so the scan needs one exchange and no line numbering."""
-    return C.cobol_files(cobol_raw(spark, sf_dir, variant), order=COBOL_ORDER)
+    return C.cobol_files(cobol_raw(spark, sf_dir, variant), order=COBOL_ORDER, key="fid")
+
+
+def _edges(spark, sf_dir, variant=COBOL_BY_PART) -> DataFrame:
+    """Dependency edges from the raw corpus (first-seen position = line order)."""
+    return C.cobol_edges(cobol_raw(spark, sf_dir, variant), order=COBOL_ORDER)
 
 
 @register
@@ -107,22 +112,19 @@ def cobol_top10(spark, sf_dir):
 
 @register
 def dep_graph(spark, sf_dir):
-    lines = cobol_lines(spark, sf_dir)
-    return M.dependency_graph(C.cobol_edges(lines), C.cobol_files(lines))
+    return M.dependency_graph(_edges(spark, sf_dir), _files(spark, sf_dir))
 
 
 @register
 def dep_unresolved(spark, sf_dir):
-    lines = cobol_lines(spark, sf_dir)
-    return M.unresolved_targets(C.cobol_edges(lines), C.cobol_files(lines))
+    return M.unresolved_targets(_edges(spark, sf_dir), _files(spark, sf_dir))
 
 
 @register
 def cobol_risks(spark, sf_dir):
-    lines = cobol_lines(spark, sf_dir)
-    files = C.cobol_files(lines)
+    files = _files(spark, sf_dir)
     scores = K.cobol_project_scores(projects_from_nation(spark, sf_dir), K.cobol_file_scores(files))
-    deps = C.cobol_edges(lines).groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
+    deps = _edges(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
     r = M.cobol_risks(scores, deps)
     return r.select("project_id", "id", "category", "description", "severity")
 
@@ -620,10 +622,9 @@ def _ddl_db(spark, sf_dir):
 
 
 def _cobol_report(spark, sf_dir):
-    lines = cobol_lines(spark, sf_dir)
     # per-program facts feed seven report sections: computed once, lineage cut
-    files = materialize(C.cobol_files(lines))
-    edges = materialize(C.cobol_edges(lines))
+    files = materialize(_files(spark, sf_dir))
+    edges = materialize(_edges(spark, sf_dir))
     projects = projects_from_nation(spark, sf_dir)
     scores = K.cobol_project_scores(projects, K.cobol_file_scores(files))
     deps = edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
@@ -721,8 +722,7 @@ def expected_objects(spark, sf_dir):
 
 @register
 def dashboard_tiles(spark, sf_dir):
-    lines = cobol_lines(spark, sf_dir)
-    files = C.cobol_files(lines)
+    files = _files(spark, sf_dir)
     projects = projects_from_nation(spark, sf_dir)
     scores = K.cobol_project_scores(projects, K.cobol_file_scores(files), with_details=False)
     return R.dashboard_tiles(_ctx(spark, sf_dir), _ddl_db(spark, sf_dir), M.totals(files), scores)
@@ -731,8 +731,7 @@ def dashboard_tiles(spark, sf_dir):
 @register
 def project_metadata(spark, sf_dir):
     """The project metadata document (nested struct as JSON)."""
-    lines = cobol_lines(spark, sf_dir)
-    files = C.cobol_files(lines)
+    files = _files(spark, sf_dir)
     projects = projects_from_nation(spark, sf_dir)
     scores = K.cobol_project_scores(projects, K.cobol_file_scores(files))
     tot = M.totals(files)
@@ -764,8 +763,7 @@ def cobol_totals(spark, sf_dir):
 @register
 def cobol_dependencies(spark, sf_dir):
     """M4"""
-    lines = cobol_lines(spark, sf_dir)
-    return M.dependency_list(C.cobol_files(lines), C.dependency_lists(C.cobol_edges(lines)))
+    return M.dependency_list(_files(spark, sf_dir), C.dependency_lists(_edges(spark, sf_dir)))
 
 
 @register

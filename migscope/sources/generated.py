@@ -29,16 +29,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 EXPANSION = 16
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    n = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions() * EXPANSION)
+def spread(spark: SparkSession, df: DataFrame, expansion: int = EXPANSION) -> DataFrame:
+    n = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions() * expansion)
     return df.repartition(n)
 
 
-def run_sql(spark: SparkSession, sf_dir: str, template: str, spread_tables: tuple = ()) -> DataFrame:
+def run_sql(spark: SparkSession, sf_dir: str, template: str, spread_tables: tuple = (),
+            expansion: int = EXPANSION) -> DataFrame:
     """Run a template whose table references are written ``{name}``."""
     used = {t: read_table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in template}
     for t in spread_tables:
-        used[t] = spread(spark, used[t])
+        used[t] = spread(spark, used[t], expansion)
     return spark.sql(template, **used)
 
 
@@ -112,7 +113,7 @@ def cobol_raw_sql(key: str = "l_partkey", pfx: str = "P", nproj: int = 25) -> st
     line), where (o1..o5) is the line order and block = l_orderkey DIV 65536 a
     consecutive range of it.  A file that holds a third of all rows still
     spreads over many blocks (each holds the lines of at most 65,536 orders)."""
-    return _cobol_sql(key, pfx, nproj, f"CAST(l_orderkey DIV {ORDERKEY_BLOCK} AS BIGINT) AS block, "
+    return _cobol_sql(key, pfx, nproj, f"{key} AS fid, CAST(l_orderkey DIV {ORDERKEY_BLOCK} AS BIGINT) AS block, "
                                        "l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_suppkey AS o4, "
                                        "l_extendedprice AS o5")
 
@@ -154,10 +155,13 @@ ORDERKEY_BLOCK = 1 << 16
 
 
 def cobol_raw(spark: SparkSession, sf_dir: str, variant: dict = COBOL_BY_PART) -> DataFrame:
-    return run_sql(spark, sf_dir, cobol_raw_sql(**variant))
+    """One generated line per lineitem row (~2x the key bytes): the scan is spread
+    so the per-line mining, which is map-side of the first aggregate, runs on
+    every core even when the input is one row group."""
+    return run_sql(spark, sf_dir, cobol_raw_sql(**variant), ("lineitem",), expansion=2)
 
 
-def with_line_numbers(raw: DataFrame, keys: list[str] = ["project_id", "path"], order: list[str] = COBOL_ORDER) \
+def with_line_numbers(raw: DataFrame, keys: list[str] = ["fid"], order: list[str] = COBOL_ORDER) \
         -> DataFrame:
     """Dense 1-based line numbers without a per-file window: rows are numbered
     inside (file, block), block sizes are summed over the preceding blocks of
@@ -170,7 +174,8 @@ def with_line_numbers(raw: DataFrame, keys: list[str] = ["project_id", "path"],
     off = sizes.withColumn("off", F.coalesce(F.sum("n").over(
         Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     j = local.join(off.select(*keys, "block", "off"), [*keys, "block"])
-    return j.select(*keys, (F.col("off") + F.col("r")).cast("int").alias("line_no"), "line", "block", *order)
+    return j.select("project_id", "path", (F.col("off") + F.col("r")).cast("int").alias("line_no"), "line",
+                    "block", *order)
 
 
 def cobol_lines(spark: SparkSession, sf_dir: str, variant: dict = COBOL_BY_PART) -> DataFrame:
