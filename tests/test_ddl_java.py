@@ -94,3 +94,12 @@ def test_java_queries_lines_and_features(spark):
     assert list(q[0].features) == ["LIMIT/OFFSET"] and list(q[1].features) == ["ILIKE"]
     f = J.java_files(files_df(spark, {"p0/ARepository.java": src})).collect()[0]
     assert f.type == "Repository" and f.native_queries == 2 and f.has_pg_dependency
+
+
+def test_java_query_lines_both_paths(spark, monkeypatch):
+    src = "\n".join(['@Query("SELECT a FROM t LIMIT 1")' if i % 3 == 0 else f"int x{i};" for i in range(40)])
+    files = files_df(spark, {"p0/BigRepository.java": src})
+    in_row = sorted((r.ord, r.line) for r in J.java_queries(files).collect())
+    monkeypatch.setattr(J, "IN_ROW_MATCHES", 0)          # force the windowed path
+    windowed = sorted((r.ord, r.line) for r in J.java_queries(files).collect())
+    assert in_row == windowed == [(k, 3 * k + 1) for k in range(14)]
