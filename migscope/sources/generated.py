@@ -30,7 +30,10 @@ EXPANSION = 16
 
 
 def spread(spark: SparkSession, df: DataFrame, expansion: int = EXPANSION) -> DataFrame:
-    n = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions() * expansion)
+    try:
+        n = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions() * expansion)
+    except Exception:  # noqa: BLE001  (sessions without RDD access)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n)
 
 
