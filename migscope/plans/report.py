@@ -65,32 +65,54 @@ def _or_note(present: DataFrame, projects: DataFrame, doc: str, section: int, no
     return _fixed(missing, doc, section, [note])
 
 
+def _lines(p: DataFrame, doc: str, lines: list[tuple[int, list]]) -> DataFrame:
+    """All lines every project gets, in ONE explode per project row:
+    [(section, [text or Column, ...]), ...] -> rows (project, doc, section, sub, line)."""
+    items = []
+    for section, texts in lines:
+        for i, t in enumerate(texts):
+            items.append(F.struct(F.lit(section).alias("section"), F.lit(f"{i:04d}").alias("sub"),
+                                  (F.lit(t) if isinstance(t, str) else t).alias("line")))
+    return p.select("project_id", F.explode(F.array(*items)).alias("x")).select(
+        "project_id", F.lit(doc).alias("doc"), "x.section", "x.sub", "x.line")
+
+
 def cobol_report_rows(ctx: DataFrame, totals: DataFrame, summary: DataFrame, inventory: DataFrame,
                       distribution: DataFrame, dependencies: DataFrame, database: DataFrame,
                       top10: DataFrame, risks: DataFrame) -> DataFrame:
-    """The tables behind the COBOL as-is analysis document."""
+    """The tables behind the COBOL as-is analysis document.  The lines every
+    project gets come from one explode over the project rows; program, type,
+    dependency, module and risk lines are rows of their own tables."""
     doc = "as-is-analysis"
+    db_cols = ["tables", "views", "indexes", "stored_procedures", "triggers", "functions"]
     p = ctx.join(totals, "project_id", "left").join(summary, "project_id", "left") \
-        .fillna(0, ["total_files", "total_loc"])
+        .join(database.select("project_id", *db_cols), "project_id", "left") \
+        .fillna(0, ["total_files", "total_loc", *db_cols])
     parts = [
-        _per_project(p, doc, 0, [F.concat(F.lit("# As-Is System Analysis - "), c("project_name"))]),
-        _fixed(p, doc, 5, ["## Executive Summary", "### Key Findings"]),
-        _fixed(p, doc, 15, ["## 1. Source Code Analysis", "#### File Inventory"]),
-        _fixed(p, doc, 35, ["### 2.2 Program Dependencies", "#### Key Dependencies"]),
-        _fixed(p, doc, 45, ["## 3. Database Analysis", "### 3.1 Schema Overview"]),
-        _fixed(p, doc, 55, ["## 4. Complexity & Quality Assessment", "### 4.2 High Complexity Modules"]),
-        _fixed(p, doc, 65, ["## 6. Risk Assessment", "### 6.1 Identified Risks"]),
-        _per_project(p, doc, 10, [
-            fmt("- **Total Source Files:** %d", c("total_files")), fmt("- **Total Lines of Code:** %d", c("total_loc")),
-            F.concat(F.lit("- **Source Language:** "), c("source_language")),
-            F.concat(F.lit("- **Source Database:** "), c("source_database")),
-            F.concat(F.lit("- **Complexity Assessment:** "), F.coalesce(c("summary"), F.lit("")))]),
+        _lines(p, doc, [
+            (0, [F.concat(F.lit("# As-Is System Analysis - "), c("project_name"))]),
+            (5, ["## Executive Summary", "### Key Findings"]),
+            (10, [fmt("- **Total Source Files:** %d", c("total_files")),
+                  fmt("- **Total Lines of Code:** %d", c("total_loc")),
+                  F.concat(F.lit("- **Source Language:** "), c("source_language")),
+                  F.concat(F.lit("- **Source Database:** "), c("source_database")),
+                  F.concat(F.lit("- **Complexity Assessment:** "), F.coalesce(c("summary"), F.lit("")))]),
+            (15, ["## 1. Source Code Analysis", "#### File Inventory"]),
+            (21, [fmt("**Total Files:** %d", c("total_files")), fmt("**Total LOC:** %d", c("total_loc"))]),
+            (35, ["### 2.2 Program Dependencies", "#### Key Dependencies"]),
+            (45, ["## 3. Database Analysis", "### 3.1 Schema Overview"]),
+            (50, ["| Metric | Count |", "|--------|-------|"]),
+            (51, [fmt("| Total Tables | %d |", c("tables")), fmt("| Total Views | %d |", c("views")),
+                  fmt("| Total Indexes | %d |", c("indexes")), fmt("| Stored Procedures | %d |", c("stored_procedures")),
+                  fmt("| Triggers | %d |", c("triggers")), fmt("| Functions | %d |", c("functions"))]),
+            (55, ["## 4. Complexity & Quality Assessment", "### 4.2 High Complexity Modules"]),
+            (65, ["## 6. Risk Assessment", "### 6.1 Identified Risks"]),
+        ]),
         _fixed(inventory.select("project_id").distinct(), doc, 20, [
             "| File Name | Type | LOC | Complexity | Priority |", "|-----------|------|-----|------------|----------|"]),
         _rows(inventory, doc, 20, F.concat(F.lit("1|"), c("path")),
               fmt("| %s | %s | %d | %d | %s |", c("name"), c("type"), c("loc"), c("complexity"), c("priority"))),
         _or_note(inventory, p, doc, 20, "*[No source files analyzed yet]*"),
-        _per_project(p, doc, 21, [fmt("**Total Files:** %d", c("total_files")), fmt("**Total LOC:** %d", c("total_loc"))]),
         _fixed(distribution.select("project_id").distinct(), doc, 30, [
             "| File Type | Count | Percentage |", "|-----------|-------|------------|"]),
         _rows(distribution, doc, 30, F.concat(F.lit("1|"), c("type")),
@@ -98,14 +120,6 @@ def cobol_report_rows(ctx: DataFrame, totals: DataFrame, summary: DataFrame, inv
         _rows(dependencies, doc, 40, F.concat(F.lit("1|"), c("path")),
               fmt("- **%s** depends on: %s", c("source"), c("targets"))),
         _or_note(dependencies, p, doc, 40, "*[No critical dependencies identified yet]*"),
-        _fixed(p, doc, 50, ["| Metric | Count |", "|--------|-------|"]),
-    ]
-    db = p.select("project_id").join(database, "project_id", "left").fillna(0)
-    parts.append(_per_project(db.select("project_id", *[c(x) for x in db.columns if x != "project_id"]), doc, 51, [
-        fmt("| Total Tables | %d |", c("tables")), fmt("| Total Views | %d |", c("views")),
-        fmt("| Total Indexes | %d |", c("indexes")), fmt("| Stored Procedures | %d |", c("stored_procedures")),
-        fmt("| Triggers | %d |", c("triggers")), fmt("| Functions | %d |", c("functions"))]))
-    parts += [
         _fixed(top10.select("project_id").distinct(), doc, 60, [
             "| Module | Complexity Score | Risk Level | Recommendation |",
             "|--------|------------------|------------|----------------|"]),
