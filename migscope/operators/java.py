@@ -234,46 +234,60 @@ def _newlines(x: Column) -> Column:
     return F.length(x) - F.length(F.regexp_replace(x, "\n", ""))
 
 
-IN_ROW_MATCHES = 64
+IN_ROW_MATCHES = 1024
+MIN_MATCH_CHARS = 8      # every match of the query patterns is longer than this
 
 
-def _matches_with_lines(files: DataFrame, pattern: str, groups: list[int], literals: list[str] | None = None) \
-        -> DataFrame:
-    """Every match of ``pattern`` with its 1-based start line.
-
-    ``split`` by the pattern gives the text between matches; the newlines before
-    match i are those of pieces 0..i and matches 0..i-1.  Files with at most
-    IN_ROW_MATCHES matches (practically all) sum these inside the row; files with
-    more explode the sequence and sum it with a running window per file, so a
-    file with a huge number of matches costs O(n log n), not O(n^2).  Files
-    without one of the ``literals`` every match contains are skipped before any
-    regex runs."""
-    if literals:
-        files = files.where(has_any(F.upper("content"), literals))
-    gnames = [f"g{g}" for g in groups]
-    arr = files.select(*KEYS, F.split("content", pattern, -1).alias("pieces"),
-                       F.regexp_extract_all("content", F.lit(pattern), 0).alias("ms"),
-                       *[F.regexp_extract_all("content", F.lit(pattern), g).alias(f"g{g}") for g in groups]) \
+def _match_arrays(files: DataFrame, pattern: str, groups: list[int]) -> DataFrame:
+    return files.select(*KEYS, F.split("content", pattern, -1).alias("pieces"),
+                        F.regexp_extract_all("content", F.lit(pattern), 0).alias("ms"),
+                        *[F.regexp_extract_all("content", F.lit(pattern), g).alias(f"g{g}") for g in groups]) \
         .where(F.size("ms") > 0)
-    small = arr.where(F.size("ms") <= IN_ROW_MATCHES).select(
-        *KEYS, "ms", *gnames,
-        F.transform("pieces", _newlines).alias("pnl"), F.transform("ms", _newlines).alias("mnl"))
+
+
+def _lines_in_row(arr: DataFrame, gnames: list[str]) -> DataFrame:
+    small = arr.select(*KEYS, "ms", *gnames, F.transform("pieces", _newlines).alias("pnl"),
+                       F.transform("ms", _newlines).alias("mnl"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     before = F.transform("ms", lambda m, i: total(F.slice("pnl", 1, i + 1)) + total(F.slice("mnl", 1, i)))
-    in_row = small.select(*KEYS, F.posexplode(F.arrays_zip(before.alias("b"), *gnames)).alias("i", "z")).select(
+    return small.select(*KEYS, F.posexplode(F.arrays_zip(before.alias("b"), *gnames)).alias("i", "z")).select(
         *KEYS, c("i").cast("long").alias("ord"), (c("z.b") + 1).cast("long").alias("line"),
         *[c(f"z.{g}").alias(g) for g in gnames])
-    big = arr.where(F.size("ms") > IN_ROW_MATCHES)
-    pieces = big.select(*KEYS, F.posexplode("pieces").alias("i", "t")).select(
+
+
+def _lines_windowed(arr: DataFrame, gnames: list[str]) -> DataFrame:
+    pieces = arr.select(*KEYS, F.posexplode("pieces").alias("i", "t")).select(
         *KEYS, (c("i") * 2).alias("seq"), _newlines(c("t")).alias("nl"))
-    ms = big.select(*KEYS, F.posexplode(F.arrays_zip("ms", *gnames)).alias("i", "z")).select(
+    ms = arr.select(*KEYS, F.posexplode(F.arrays_zip("ms", *gnames)).alias("i", "z")).select(
         *KEYS, (c("i") * 2 + 1).alias("seq"), _newlines(c("z.ms")).alias("nl"), "i",
         *[c(f"z.{g}").alias(g) for g in gnames])
     u = ms.unionByName(pieces, allowMissingColumns=True)
     w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    windowed = u.withColumn("before", F.coalesce(F.sum("nl").over(w), F.lit(0))).where(c("seq") % 2 == 1) \
+    return u.withColumn("before", F.coalesce(F.sum("nl").over(w), F.lit(0))).where(c("seq") % 2 == 1) \
         .select(*KEYS, c("i").cast("long").alias("ord"), (c("before") + 1).cast("long").alias("line"), *gnames)
-    return in_row.unionByName(windowed)
+
+
+def _matches_with_lines(files: DataFrame, pattern: str, groups: list[int], literals: list[str] | None = None) \
+        -> DataFrame:
+    """Every match of ``pattern`` with its 1-based start line.
+
+    ``split`` by the pattern gives the text between matches; the newlines before
+    match i are those of pieces 0..i and matches 0..i-1.  A file with at most
+    IN_ROW_MATCHES matches sums them inside its row (O(n^2) in the matches, no
+    shuffle); a file with more explodes the sequence and sums it with a running
+    window.  Files too short to hold that many matches (length <= IN_ROW_MATCHES
+    x MIN_MATCH_CHARS) go straight to the in-row path, so the split costs one
+    regex pass per file.  Files without one of the ``literals`` every match
+    contains are skipped before any regex runs."""
+    if literals:
+        files = files.where(has_any(F.upper("content"), literals))
+    gnames = [f"g{g}" for g in groups]
+    bound = IN_ROW_MATCHES * MIN_MATCH_CHARS
+    short = _lines_in_row(_match_arrays(files.where(F.length("content") <= bound), pattern, groups), gnames)
+    long_arr = _match_arrays(files.where(F.length("content") > bound), pattern, groups)
+    few = _lines_in_row(long_arr.where(F.size("ms") <= IN_ROW_MATCHES), gnames)
+    many = _lines_windowed(long_arr.where(F.size("ms") > IN_ROW_MATCHES), gnames)
+    return short.unionByName(few).unionByName(many)
 
 
 def java_queries(src_files: DataFrame) -> DataFrame:
