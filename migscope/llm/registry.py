@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from migscope.llm import repair, whole_token
+from migscope.llm import decontaminate, minhash, mixing, recompress, repair, toxicity, whole_token, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,46 @@ def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op3_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digest(recompress.dedup(table(spark, sf_dir, "documents")))
+
+
+def op4_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digest(winnow.dedup(table(spark, sf_dir, "documents")))
+
+
+def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op10_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_token.count_tokens(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_repair_token_ids,
+    op2_toxic_segments,
+    op3_recompression_dedup,
+    op4_winnowing_line_dedup,
+    op6_pareto_mix,
+    op7_minhash_near_dedup,
+    op8_prefix_decontamination,
     op10_whole_token_counts,
 )}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_winnowing_line_dedup": winnow.SQL,
+    "op6_pareto_mix": mixing.SQL,
+}
