@@ -6,18 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from migscope.llm import repair
+from migscope.llm import decontaminate, minhash, mixing, repair, toxicity
 from migscope.llm.text import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the segment scores reject go."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the least id."""
+    return minhash.representatives(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.copies(docs)
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Re-Pair token files of what the mix takes; one row a copy."""
     return repair.digest(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", not_toxic),
+    ("near duplicates", near_dedup),
+    ("decontamination", no_benchmark),
+    ("mixing", mixed),
     ("token ids", token_ids),
 ]
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migscope.llm.text import LAST, column, id_back, keyed, pieces
+from migscope.llm.text import LAST, column, id_back, keyed, pieces, without
 from migscope.llm.toxicity import TABLE
 
 SIZE = 10
@@ -130,11 +130,9 @@ def frequencies(docs: DataFrame, windows, size: int) -> np.ndarray:
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, spans, items) of every row of ``docs``: hit word ranges, and the items
-    with occurring windows (as strings, sorted)."""
-    spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
+def hits_of(rows: DataFrame, benchmark: DataFrame, size: int = SIZE, block: int = BLOCK, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, h, n_words, n_hit, spans, items) of every row of (id, h, text)."""
+    spark = rows.sparkSession
     span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
     kind = "id long, h long, n_words long, n_hit long, spans array<struct<first:int,end:int>>, items array<string>"
 
@@ -174,9 +172,22 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block: int = B
     out = parts[0]
     if len(parts) > 1:
         out = united([out, *[p.where("n_hit > 0") for p in parts[1:]]])
+    return out
+
+
+def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_hit, spans, items) of every row of ``docs``: hit word ranges, and the items
+    with occurring windows (as strings, sorted)."""
+    out = hits_of(keyed(docs, id_col, text_col), benchmark, size, block, item_col, item_text_col)
     return out.select(id_back("id", id_col), "n_words", "n_hit", "spans", "items")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a window of the benchmark; all columns."""
+    found = hits_of(keyed(docs, id_col, text_col), benchmark)
+    return without(docs, found.where("n_hit > 0"), id_col, text_col)
+
+
 def united(parts: list[DataFrame]) -> DataFrame:
     """Hits of several passes over the same rows, by row: the first part has every row, the
     others, one row a distinct (id, h), their hits."""
@@ -199,4 +210,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-__all__ = ["Windows", "digest", "find"]
+__all__ = ["Windows", "clean", "digest", "find"]

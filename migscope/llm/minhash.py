@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from migscope.llm.components import components
-from migscope.llm.text import bounds, column, id_back, keyed, mix, partitions, pieces, raw, stored, word_hashes
+from migscope.llm.text import bounds, column, id_back, keyed, mix, partitions, pieces, raw, stored, without, word_hashes
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
@@ -215,9 +215,8 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS, agree: int = AGREE) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row."""
-    rows = keyed(docs, id_col, text_col)
+def linked(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, per_band: int = ROWS, agree: int = AGREE) -> DataFrame:
+    """(id, h, n, comp) of every row of (id, h, text)."""
     all_rows = stored(profile(rows, shingle, bands, per_band), "minhash-rows")
     node = F.struct("id", "h")
     full = all_rows.where("n > 0")
@@ -242,5 +241,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     classes = reps.select("k1", "k2", "node").join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left") \
         .select("k1", "k2", F.coalesce("root", "node")["id"].alias("comp"))
-    out = full.join(classes, ["k1", "k2"]).select("id", "n", "comp").union(all_rows.where("n = 0").select("id", "n", F.col("id").alias("comp")))
+    return full.join(classes, ["k1", "k2"]).select("id", "h", "n", "comp").union(all_rows.where("n = 0").select("id", "h", "n", F.col("id").alias("comp")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS, agree: int = AGREE) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row."""
+    out = linked(keyed(docs, id_col, text_col), shingle, percent, bands, per_band, agree)
     return out.select(id_back("id", id_col), F.col("n").alias("n_shingles"), id_back("comp", "component_id"), (F.col("id") == F.col("comp")).alias("kept"))
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group, the one with the least id; all columns."""
+    found = linked(keyed(docs, id_col, text_col), shingle, percent)
+    return without(docs, found.where("id <> comp"), id_col, text_col)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from migscope.llm.text import WORD
+from migscope.llm.text import WORD, stored
 
 SHARE, MOST, WEIGHTS = 1.5, 2, (5, 2, 1)
 BINS = 65536
@@ -90,22 +90,26 @@ def near(rows: DataFrame, sources: DataFrame, on, how: str = "inner") -> DataFra
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies (0, 1 or 2)."""
-    from migscope.llm.text import stored
+    """(row: all columns of ``docs``, size, source_size, target, copies: 0, 1 or 2)."""
     plan = stored(cuts(docs, id_col, text_col, source_col), "mix-cuts").select(
-        F.col("source").alias("_s"), F.col("n").alias("_source_size"), F.col("target").alias("_target"), F.col("copies").alias("_whole"),
-        F.col("p").alias("_p"), F.col("edge").alias("_edge"), F.col("last").alias("_last"))
-    rows = near(docs.withColumns(sized(docs, id_col, text_col, source_col)), plan, F.col("_source").eqNullSafe(F.col("_s")))
-    key = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
-    drawn = (F.col("_p") > 0) & ((F.col("_bin") < F.col("_edge")) | F.col("_edge").isNull()
-                                 | ((F.col("_bin") == F.col("_edge")) & F.coalesce(F.struct(key.alias("key"), "_id", "_h") <= F.col("_last"), F.lit(False))))
-    return rows.withColumn("_copies", F.col("_whole") + F.when(drawn, 1).otherwise(0)).select(*[docs[c] for c in docs.columns], "_size", "_source_size", "_target", "_copies")
+        F.col("source").alias("_s"), F.col("n").alias("source_size"), "target", F.col("copies").alias("whole"), "p", "edge", "last")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in sized(docs, id_col, text_col, source_col).items()])
+    rows = near(rows, plan, F.col("_source").eqNullSafe(F.col("_s")))
+    key = (F.col("_u") / (1 - F.col("_u"))) / (F.col("p") / (1 - F.col("p")))
+    drawn = (F.col("p") > 0) & ((F.col("_bin") < F.col("edge")) | F.col("edge").isNull()
+                                | ((F.col("_bin") == F.col("edge")) & F.coalesce(F.struct(key.alias("key"), "_id", "_h") <= F.col("last"), F.lit(False))))
+    return rows.select("row", F.col("_size").alias("size"), "source_size", "target", (F.col("whole") + F.when(drawn, 1).otherwise(0)).alias("copies"))
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken; all columns."""
+    mixed = mix(docs, id_col, text_col, source_col).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return mix(docs.select("doc_id", "text", "source")).select(
-        "doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").cast("int").alias("copies"))
+        "row.doc_id", "row.source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"))
 
 
 SQL = r"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from migscope.llm import decontaminate, minhash, mixing, recompress, repair, toxicity, whole_token, winnow
+from migscope.llm import decontaminate, mih, minhash, mixing, prefix_free, recompress, repair, toxicity, whole_token, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.dedup(table(spark, sf_dir, "documents")))
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op8_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.digest(prefix_free.dedup(table(spark, sf_dir, "documents")))
+
+
 def op10_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_token.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -50,9 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op2_toxic_segments,
     op3_recompression_dedup,
     op4_winnowing_line_dedup,
+    op5_multi_index_hashing,
     op6_pareto_mix,
     op7_minhash_near_dedup,
     op8_prefix_decontamination,
+    op9_prefix_free_dedup,
     op10_whole_token_counts,
 )}
 

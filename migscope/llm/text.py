@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,13 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows named by (id, h) in ``gone``; all columns."""
+    g = gone.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"))
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(LAST))
+    return docs.join(g, (key == g["_gone_id"]) & (F.xxhash64(docs[text_col]) == g["_gone_h"]), "left_anti")
+
+
 def id_back(col: str, name: str):
     return F.when(F.col(col) != LAST, F.col(col)).alias(name)
 
@@ -84,6 +93,14 @@ def column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+def kept_by_worker(key: str, make: Callable):
+    """What ``make`` gives, made once in a Python worker and kept for its next tasks."""
+    store = vars(sys.modules.setdefault("_migscope_llm_kept", types.ModuleType("_migscope_llm_kept")))
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 

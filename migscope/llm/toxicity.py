@@ -262,5 +262,17 @@ def apply(docs: DataFrame, model, threshold: float = THRESHOLD, id_col: str = "d
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "evidence", "passages")
 
 
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold=train_fold) -> DataFrame:
+    """``docs`` without the rows that are predicted toxic; all columns, no shuffle of the rows."""
+    model = fit(docs, labels, id_col, text_col, label_col, fold)
+    if model is None:
+        return docs
+    weights, lam, log_k, slope, offset = model
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    scored = rows.mapInArrow(scorer(weights, lam, log_k, (slope, offset), ["row"]), f"row {kind}, n_words long, evidence double, score double, passages array<struct<first:int,end:int,score:double>>")
+    return scored.where(F.col("score") < threshold).select("row.*")
+
+
 def digest(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "n_words", "evidence", F.size("passages").cast("long").alias("n_passages"))

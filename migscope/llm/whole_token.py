@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migscope.llm.text import column, pieces, tokenizer_path
+from migscope.llm.text import column, kept_by_worker, pieces, tokenizer_path
 
 LIMIT = 2048
 CACHE = 400_000
@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     whole = docs.sparkSession.sparkContext.broadcast(proven(path))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, whole.value)
+        counter = kept_by_worker(f"counter {path}", lambda: Counter(path, whole.value))
         for batch, texts in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([len(t) for t in texts], pa.int64()),
                                               pa.array([counter.count(t.decode()) for t in texts], pa.int64())], ["id", "n_bytes", "n_tokens"])
