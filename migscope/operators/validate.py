@@ -39,28 +39,33 @@ def reconcile_counts(pairs: list[tuple[str, DataFrame | None, DataFrame | None]]
 
 # ----------------------------------------------------------------- V2
 def canonical_text(df: DataFrame, cols: list[str]) -> Column:
-    """Engine-independent text of a row: integers as digits, fractional numbers as
-    DECIMAL(38,4), timestamps as 'yyyy-MM-dd HH:mm:ss', NULL as \\N."""
+    """Engine-independent text of a row, every field as ``length:text;`` (so no value can
+    look like two) and NULL as ``N;``.  Fractional numbers are written as whole part
+    and 2**-53rds, timestamps to the microsecond."""
     parts = []
     types = dict(df.dtypes)
     for col in cols:
         t = types[col]
-        if t in ("double", "float") or t.startswith("decimal"):
-            e = c(col).cast("decimal(38,4)").cast("string")
+        if t in ("double", "float"):
+            x = c(col).cast("double")
+            whole = F.floor(x)
+            e = F.concat(whole.cast("string"), F.lit("+"), F.floor((x - whole.cast("double")) * F.lit(2.0 ** 53)).cast("string"))
+            e = F.when(F.isnan(x) | (F.abs(x) >= 2.0 ** 62), x.cast("string")).otherwise(e)
         elif t.startswith("timestamp"):
-            e = F.date_format(c(col), "yyyy-MM-dd HH:mm:ss")
+            e = F.date_format(c(col), "yyyy-MM-dd HH:mm:ss.SSSSSS")
         else:
             e = c(col).cast("string")
-        parts.append(F.coalesce(e, F.lit("\\N")))
-    return F.concat_ws("|", *parts)
+        parts.append(F.when(c(col).isNull(), "N;").otherwise(F.concat(F.length(e).cast("string"), F.lit(":"), e, F.lit(";"))))
+    return F.concat(*parts)
 
 
 def row_digest(df: DataFrame, cols: list[str], method: str = "xxhash64") -> Column:
-    """64-bit row digest; ``xxhash64`` (fast, Spark native) or ``md5`` (portable:
-    first 15 hex digits of md5 of the canonical text)."""
+    """64-bit row digest; ``xxhash64`` (fast, Spark native; it skips NULLs, so each column
+    is preceded by its NULL flag) or ``md5`` (portable: first 15 hex digits of md5 of the
+    canonical text)."""
     if method == "md5":
         return F.conv(F.substring(F.md5(canonical_text(df, cols)), 1, 15), 16, 10).cast("long")
-    return F.xxhash64(*[c(x) for x in cols])
+    return F.xxhash64(*[e for x in cols for e in (c(x).isNull(), c(x))])
 
 
 def bucket_of(keys: list[str], buckets: int, method: str = "hash") -> Column:
@@ -71,46 +76,64 @@ def bucket_of(keys: list[str], buckets: int, method: str = "hash") -> Column:
 
 def reconcile_checksum(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str] | None = None,
                        buckets: int = 1024, digest: str = "xxhash64", bucket_by: str = "hash") -> DataFrame:
-    """Order-insensitive checksum per key bucket: count and bit_xor of row digests
-    on each side; mismatching buckets localise the differences."""
+    """Order-insensitive checksum per key bucket: count, bit_xor and sum of the row digests
+    on each side (equal pairs of rows cancel in the xor, not in the sum); mismatching
+    buckets localise the differences."""
     cols = cols or src.columns
 
     def side(df, p):
         return df.select(bucket_of(keys, buckets, bucket_by).alias("bucket"), row_digest(df, cols, digest).alias("d")) \
-            .groupBy("bucket").agg(F.count(F.lit(1)).alias(f"{p}_rows"), F.bit_xor("d").alias(f"{p}_checksum"))
+            .groupBy("bucket").agg(F.count(F.lit(1)).alias(f"{p}_rows"), F.bit_xor("d").alias(f"{p}_checksum"),
+                                   F.sum(c("d").cast("decimal(38,0)")).cast("string").alias(f"{p}_sum"))
     j = side(src, "source").join(side(tgt, "target"), "bucket", "full")
     same = (F.coalesce(c("source_rows"), F.lit(0)) == F.coalesce(c("target_rows"), F.lit(0))) & \
-        c("source_checksum").eqNullSafe(c("target_checksum"))
+        c("source_checksum").eqNullSafe(c("target_checksum")) & c("source_sum").eqNullSafe(c("target_sum"))
     return j.select("bucket", F.coalesce(c("source_rows"), F.lit(0)).cast("long").alias("source_rows"),
                     F.coalesce(c("target_rows"), F.lit(0)).cast("long").alias("target_rows"),
-                    "source_checksum", "target_checksum", F.when(same, "MATCH").otherwise("MISMATCH").alias("status"))
+                    "source_checksum", "target_checksum", "source_sum", "target_sum",
+                    F.when(same, "MATCH").otherwise("MISMATCH").alias("status"))
 
 
 # ----------------------------------------------------------------- V3
 def orphans(child: DataFrame, parent: DataFrame, fk: list[str], pk: list[str]) -> DataFrame:
     """Child rows whose foreign key has no parent (NOT EXISTS as a left anti join).
-    Rows with a NULL foreign key are not orphans."""
-    cond = [child[a] == parent[b] for a, b in zip(fk, pk)]
+    Rows with a NULL foreign key are not orphans.  The key columns are renamed, so a
+    table may reference itself."""
+    p = parent.select(*[c(b).alias(f"_pk{i}") for i, b in enumerate(pk)])
+    cond = [child[a] == p[f"_pk{i}"] for i, a in enumerate(fk)]
     notnull = reduce(lambda x, y: x & y, [c(a).isNotNull() for a in fk])
-    return child.where(notnull).join(parent.select(*pk), cond, "left_anti")
+    return child.where(notnull).join(p, cond, "left_anti")
 
 
 # ----------------------------------------------------------------- V4
 def diff_rows(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str] | None = None,
               keep_same: bool = False) -> DataFrame:
-    """Keyed row diff: full outer join on the keys, null-safe comparison per
-    column.  status = missing (only source), extra (only target), changed."""
+    """Keyed row diff of two tables as multisets; NULL keys and repeated keys are keys like
+    others.  status = missing (only source), extra (only target), changed.
+
+    Equal rows cancel in one aggregate over both sides (NULL-safe, partially aggregated);
+    only what is left is numbered within its key and paired."""
     cols = cols or [x for x in src.columns if x not in keys]
-    s = src.select(*keys, *[c(x).alias(f"s_{x}") for x in cols], F.lit(True).alias("_s"))
-    t = tgt.select(*keys, *[c(x).alias(f"t_{x}") for x in cols], F.lit(True).alias("_t"))
-    j = s.join(t, keys, "full")
-    changed = F.filter(F.array(*[F.when(~c(f"s_{x}").eqNullSafe(c(f"t_{x}")), F.lit(x)) for x in cols]),
-                       lambda v: v.isNotNull())
-    st = (F.when(c("_t").isNull(), "missing").when(c("_s").isNull(), "extra")
-          .when(F.size(changed) > 0, "changed").otherwise("same"))
-    out = j.select(*keys, st.alias("status"),
-                   F.when(c("_s") & c("_t"), F.array_join(changed, ",")).otherwise(F.lit("")).alias("changed_columns"))
-    return out if keep_same else out.where(c("status") != "same")
+    side = lambda df, s, t: df.select(*keys, *cols, F.lit(s).alias("_s"), F.lit(t).alias("_t"))
+    g = side(src, 1, 0).union(side(tgt, 0, 1)).groupBy(*keys, *cols).agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"))
+    n = Window.partitionBy(*keys).orderBy(*cols, "_copy")
+
+    def left(p: str, more: str, fewer: str) -> DataFrame:
+        rows = g.where(c(more) > c(fewer)).withColumn("_copy", F.explode(F.sequence(F.lit(1), (c(more) - c(fewer)).cast("int"))))
+        return rows.select(*[c(k).alias(f"{p}k_{k}") for k in keys], *[c(x).alias(f"{p}_{x}") for x in cols],
+                           F.row_number().over(n).alias(f"{p}_no"), F.lit(True).alias(f"_{p}"))
+
+    s, t = left("s", "_s", "_t"), left("t", "_t", "_s")
+    on = reduce(lambda x, y: x & y, [c(f"sk_{k}").eqNullSafe(c(f"tk_{k}")) for k in keys]) & (c("s_no") == c("t_no"))
+    changed = F.filter(F.array(*[F.when(~c(f"s_{x}").eqNullSafe(c(f"t_{x}")), F.lit(x)) for x in cols]), lambda v: v.isNotNull())
+    st = F.when(c("_t").isNull(), "missing").when(c("_s").isNull(), "extra").otherwise("changed")
+    out = s.join(t, on, "full").select(
+        *[F.when(c("_s"), c(f"sk_{k}")).otherwise(c(f"tk_{k}")).alias(k) for k in keys], st.alias("status"),
+        F.when(c("_s") & c("_t"), F.array_join(changed, ",")).otherwise(F.lit("")).alias("changed_columns"))
+    if not keep_same:
+        return out
+    same = g.where((c("_s") > 0) & (c("_t") > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("_s", "_t").cast("int"))))
+    return out.unionByName(same.select(*keys, F.lit("same").alias("status"), F.lit("").alias("changed_columns")))
 
 
 def diff_rows_set(src: DataFrame, tgt: DataFrame) -> DataFrame:
@@ -161,27 +184,42 @@ def conversion_loss(df: DataFrame, rules: list[tuple[str, str]], name: str = "")
 # ----------------------------------------------------------------- V7
 def charset_check(src: DataFrame, tgt: DataFrame, key: str, col: str) -> DataFrame:
     """Special characters preserved: per keyed row pair, character and byte
-    lengths, non-ASCII presence and equality; summarised in one aggregate."""
-    s = src.select(key, c(col).alias("s"))
-    t = tgt.select(key, c(col).alias("t"))
-    j = s.join(t, key, "inner")
+    lengths, non-ASCII presence and equality, and the rows that one side lacks;
+    summarised in one aggregate."""
+    s = src.select(c(key).alias("sk"), c(col).alias("s"), F.lit(1).alias("ins"))
+    t = tgt.select(c(key).alias("tk"), c(col).alias("t"), F.lit(1).alias("int"))
+    j = s.join(t, c("sk").eqNullSafe(c("tk")), "full")
+    both = c("ins").isNotNull() & c("int").isNotNull()
     non_ascii = r"[^\x00-\x7F]"
     return j.agg(
-        F.count(F.lit(1)).alias("rows"),
+        F.count_if(both).alias("rows"),
+        F.count_if(c("int").isNull()).alias("missing_rows"),
+        F.count_if(c("ins").isNull()).alias("extra_rows"),
         F.count_if(c("s").rlike(non_ascii)).alias("non_ascii_rows"),
         F.count_if(~F.is_valid_utf8("t")).alias("invalid_utf8_rows"),
         F.count_if(F.length("s") != F.length("t")).alias("char_length_mismatches"),
         F.count_if(F.octet_length("s") != F.octet_length("t")).alias("byte_length_mismatches"),
-        F.count_if(~c("s").eqNullSafe(c("t"))).alias("value_mismatches"),
+        F.count_if(both & ~c("s").eqNullSafe(c("t"))).alias("value_mismatches"),
         F.sum(F.octet_length("s") - F.length("s")).alias("multibyte_extra_bytes"))
 
 
 # ----------------------------------------------------------------- V8
-def json_check(df: DataFrame, key: str, col: str) -> DataFrame:
+def json_check(df: DataFrame, key: str, col: str, field: str = "$.k") -> DataFrame:
     """JSON intact: parses, canonical (minified) text, and a field read."""
     v = F.try_parse_json(c(col))
     return df.select(key, v.isNotNull().alias("valid"), F.to_json(v).alias("canonical"),
-                     F.get_json_object(c(col), "$.k").alias("k"))
+                     F.get_json_object(c(col), field).alias("k"))
+
+
+def json_compare(src: DataFrame, tgt: DataFrame, key: str, col: str) -> DataFrame:
+    """Per key the JSON of both sides: ``same`` if the canonical texts agree (white space does
+    not matter), ``changed``, ``invalid`` (the target does not parse), ``missing``, ``extra``."""
+    canon = lambda: F.to_json(F.try_parse_json(c(col)))
+    s = src.select(c(key).alias("sk"), canon().alias("s"), F.lit(1).alias("ins"))
+    t = tgt.select(c(key).alias("tk"), canon().alias("t"), c(col).isNull().alias("none"), F.lit(1).alias("int"))
+    st = (F.when(c("int").isNull(), "missing").when(c("ins").isNull(), "extra")
+          .when(c("t").isNull() & ~c("none"), "invalid").when(c("s").eqNullSafe(c("t")), "same").otherwise("changed"))
+    return s.join(t, c("sk").eqNullSafe(c("tk")), "full").select(F.coalesce("sk", "tk").alias(key), st.alias("status"))
 
 
 # ----------------------------------------------------------------- V9 / V10
@@ -234,7 +272,8 @@ def check_rules(df: DataFrame, rules: list[tuple[str, str]], name: str = "") ->
 # ----------------------------------------------------------------- V13 / V14
 def schema_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Two catalogues (table, column, data_type, nullable, default_value) compared by
-    a full outer join on the key columns."""
+    a full outer join on the key columns.  For a migrated schema ``a`` is the expected
+    catalogue: the source's after ``map_types``."""
     attrs = ["data_type", "nullable", "default_value"]
     s = a.select(*keys, *[c(x).alias(f"a_{x}") for x in attrs], F.lit(True).alias("_a"))
     t = b.select(*keys, *[c(x).alias(f"b_{x}") for x in attrs], F.lit(True).alias("_b"))
@@ -248,6 +287,18 @@ def schema_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
                     "a_data_type", "b_data_type").where(c("status") != "same")
 
 
+def object_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Catalogue objects (keys, kind, name, definition) of any kind (table, primary key, foreign
+    key, unique, check, index, sequence, view) compared: per object missing, extra or
+    different.  The same object listed twice counts once."""
+    k = [*keys, "kind", "name"]
+    side = lambda df, p: df.groupBy(*k).agg(F.min("definition").alias(f"{p}_definition"), F.lit(True).alias(f"_{p}"))
+    j = side(a, "a").join(side(b, "b"), k, "full")
+    st = (F.when(c("_b").isNull(), "missing_in_target").when(c("_a").isNull(), "extra_in_target")
+          .when(~c("a_definition").eqNullSafe(c("b_definition")), "different").otherwise("same"))
+    return j.select(*k, st.alias("status"), "a_definition", "b_definition").where(c("status") != "same")
+
+
 def map_types(columns: DataFrame, type_map: DataFrame, src_col: str = "data_type") -> DataFrame:
     """Type map applied by a broadcast left join (the map has a fixed size);
     unmapped types are flagged and keep their name."""
@@ -257,12 +308,12 @@ def map_types(columns: DataFrame, type_map: DataFrame, src_col: str = "data_type
 
 
 # ----------------------------------------------------------------- V15
-def load_order(nodes: DataFrame, edges: DataFrame, keys: list[str], max_levels: int = 64) -> DataFrame:
+def load_order(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Level of every table in foreign-key order (parents first): level 0 has no
     parent among the known tables; level n = 1 + max(parent levels).  Computed
-    level by level with joins (the number of rounds is the longest FK chain,
-    small); lineage is cut every round with a reliable checkpoint.  Tables in a
-    cycle never get a level and are reported with level NULL.
+    level by level with joins until no table is new (each round adds a table or is
+    the last); each round is written once and never rewritten.  Tables in a cycle, or below
+    one, have no order: status ``cycle``, level NULL.
 
     nodes: keys + table;  edges: keys + table (child) + parent."""
     from migscope.session import materialize
@@ -271,48 +322,68 @@ def load_order(nodes: DataFrame, edges: DataFrame, keys: list[str], max_levels:
         .where(c("table") != c("parent")).select(*k, "parent").distinct()
     e = materialize(e)
     npar = e.groupBy(*k).agg(F.count(F.lit(1)).alias("npar"))
-    todo = nodes.select(*k).distinct().join(npar, k, "left").fillna(0, ["npar"])
-    levels = materialize(todo.where(c("npar") == 0).select(*k, F.lit(0).alias("level")))
-    for lvl in range(1, max_levels + 1):
-        known = levels.select(*keys, c("table").alias("parent"), c("level").alias("plevel"))
-        ready = e.join(known, keys + ["parent"]).groupBy(*k).agg(
-            F.count(F.lit(1)).alias("done"), F.max("plevel").alias("maxp"))
-        new = todo.join(ready, k).where(c("done") == c("npar")).join(levels.select(*k), k, "left_anti") \
-            .select(*k, (c("maxp") + 1).alias("level"))
-        new = materialize(new)
-        if new.isEmpty():
-            break
-        levels = materialize(levels.unionByName(new))
-    return nodes.select(*k).distinct().join(levels, k, "left")
+    todo = materialize(nodes.select(*k).distinct().join(npar, k, "left").fillna(0, ["npar"]))
+    rounds = [materialize(todo.where(c("npar") == 0).select(*k, F.lit(0).alias("level")))]
+    while not rounds[-1].isEmpty():
+        # A table follows in the round after its last parent: one of its parents is in the last round.
+        last = rounds[-1].select(*keys, c("table").alias("parent"))
+        levels = reduce(DataFrame.unionByName, rounds)
+        touched = e.join(last, keys + ["parent"], "left_semi").select(*k).distinct()
+        done = e.join(touched, k, "left_semi").join(levels.select(*keys, c("table").alias("parent")), keys + ["parent"], "left_semi") \
+            .groupBy(*k).agg(F.count(F.lit(1)).alias("done"))
+        new = todo.join(done, k).where(c("done") == c("npar")).select(*k, F.lit(len(rounds)).alias("level"))
+        rounds.append(materialize(new))
+    levels = reduce(DataFrame.unionByName, rounds)
+    return todo.select(*k).join(levels, k, "left").withColumn("status", F.when(c("level").isNull(), "cycle").otherwise("ordered"))
 
 
 # ----------------------------------------------------------------- V16
 def migrate_table(src: DataFrame, conversions: dict[str, Column], keys: list[str], sink: str | None = None,
                   mode: str = "overwrite") -> tuple[DataFrame, DataFrame]:
-    """Initial load: convert, optionally write (parquet), and reconcile the
-    converted table against the source (counts + keyed diff of the key columns)."""
+    """Initial load: convert, write (parquet, if ``sink`` is given), and reconcile the table as
+    it is read back with the converted source: row counts and the keyed diff of all
+    columns, the converted ones included.  Returns (loaded table, differing rows)."""
     out = src.select(*[conversions.get(x, c(x)).alias(x) for x in src.columns])
+    loaded = out
     if sink:
         out.write.mode(mode).parquet(sink)
-        out = src.sparkSession.read.parquet(sink)
-    counts = reconcile_counts([("table", src, out)])
-    return out, counts
+        loaded = src.sparkSession.read.parquet(sink)
+    return loaded, diff_rows(out, loaded, keys)
 
 
 # ----------------------------------------------------------------- V17
 def apply_delta(base: DataFrame, changes: DataFrame, keys: list[str], op_col: str = "op",
                 seq_col: str = "seq") -> DataFrame:
-    """Delta sync: the latest change per key (max by sequence) is applied to the
-    base: I/U upsert the row, D deletes it.  Latest-per-key is a hash aggregate
-    (max_by), the merge a full outer join on the keys."""
+    """Delta sync: the latest change per key (greatest sequence, ties by operation and
+    values) is applied to the base: I/U upsert the row, D deletes it; a change with any other
+    operation, or none, is no change.  Latest-per-key is a partial aggregate, the merge a
+    full outer join on the keys."""
     cols = [x for x in base.columns if x not in keys]
-    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*[c(x) for x in cols], c(op_col).alias("_op")),
-                                                 c(seq_col)).alias("_c"))
+    latest = latest_changes(changes, keys, cols, op_col, seq_col)
     j = base.join(latest, keys, "full")
     kept = j.where(c("_c").isNull() | (c("_c._op") != "D"))
     return kept.select(*keys, *[F.when(c("_c").isNotNull(), c(f"_c.{x}")).otherwise(c(x)).alias(x) for x in cols])
 
 
+def latest_changes(changes: DataFrame, keys: list[str], cols: list[str], op_col: str, seq_col: str) -> DataFrame:
+    """keys + _c: the last valid change of each key, as struct (_seq, _op, cols)."""
+    return changes.where(c(op_col).isin("I", "U", "D")).groupBy(*keys).agg(
+        F.max(F.struct(c(seq_col).cast("long").alias("_seq"), c(op_col).alias("_op"), *[c(x) for x in cols])).alias("_c"))
+
+
+def apply_delta_state(state: DataFrame, changes: DataFrame, keys: list[str], op_col: str = "op",
+                      seq_col: str = "seq") -> DataFrame:
+    """``apply_delta`` on a table that keeps, per key, the last applied sequence (``_seq``) and a
+    mark of deletion (``_deleted``): an older change that comes late changes nothing, and neither
+    does the same change a second time."""
+    cols = [x for x in state.columns if x not in [*keys, "_seq", "_deleted"]]
+    j = state.withColumn("_old", F.lit(True)).join(latest_changes(changes, keys, cols, op_col, seq_col), keys, "full")
+    newer = c("_c").isNotNull() & (c("_old").isNull() | c("_seq").isNull() | (c("_c._seq") > c("_seq")))
+    return j.select(*keys, *[F.when(newer & (c("_c._op") != "D"), c(f"_c.{x}")).otherwise(c(x)).alias(x) for x in cols],
+                    F.when(newer, c("_c._seq")).otherwise(c("_seq")).alias("_seq"),
+                    F.when(newer, c("_c._op") == "D").otherwise(F.coalesce("_deleted", F.lit(False))).alias("_deleted"))
+
+
 # ----------------------------------------------------------------- V18 / V19
 def compare_baseline(actual: DataFrame, baseline: DataFrame) -> DataFrame:
     """Join measured metrics to the baseline/target table; PASS when the actual

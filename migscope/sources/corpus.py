@@ -21,10 +21,9 @@ def read_corpus(spark: SparkSession, root: str, glob: str | None = None, with_co
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(root)
-    root_re = root.rstrip("/").replace("\\", "/").split("://")[-1]
-    rel = F.regexp_replace(c("path"), r"^.*?" + _re_escape(root_re) + "/", "")
+    rel = relative_path(c("path"), root)
     name = basename(rel)
-    cols = [F.regexp_extract(rel, r"^([^/]+)/", 1).alias("project_id"), rel.alias("path"), name.alias("file_name"),
+    cols = [project_of(rel).alias("project_id"), rel.alias("path"), name.alias("file_name"),
             F.regexp_replace(name, r"\.[^.]*$", "").alias("base_name"),
             F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("ext"),
             c("length").alias("size"), c("modificationTime").alias("modified")]
@@ -33,6 +32,17 @@ def read_corpus(spark: SparkSession, root: str, glob: str | None = None, with_co
     return df.select(*cols)
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """``path`` below ``root`` (batch and stream share it)."""
+    root_re = root.rstrip("/").replace("\\", "/").split("://")[-1]
+    return F.regexp_replace(path, r"^.*?" + _re_escape(root_re) + "/", "")
+
+
+def project_of(rel: Column) -> Column:
+    """The first folder of a relative path."""
+    return F.regexp_extract(rel, r"^([^/]+)/", 1)
+
+
 def _re_escape(s: str) -> str:
     import re
     return re.escape(s)

@@ -1,9 +1,9 @@
 """Structured Streaming twins of the batch operators.
 
 - ``stream_corpus``   S14: files landing in a folder are mined as they arrive
-  (``text`` source, ``wholetext``), per-file metrics appended by ``foreachBatch``.
+  (``text`` source, ``wholetext``), per-file metrics written by ``foreachBatch``.
 - ``stream_delta``    V17: change records arriving as files are applied to the
-  base table batch by batch with the same ``apply_delta`` as the batch job.
+  base table batch by batch with the rules of the batch job (``apply_delta``).
 - ``stream_alerts``   V20: watermarked tumbling-window alerting over an event
   stream; the batch twin is ``operators.validate.alerts`` itself.
 
@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from migscope.operators import cobol as C
 from migscope.operators import validate as V
-from migscope.sources.corpus import to_lines
+from migscope.sources.corpus import project_of, relative_path, to_lines
 
 
 def read_landing(spark: SparkSession, root: str, glob: str = "*", max_files: int | None = None) -> DataFrame:
@@ -28,62 +28,85 @@ def read_landing(spark: SparkSession, root: str, glob: str = "*", max_files: int
         .option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    df = r.load(root).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
-    rel = F.regexp_extract("file_path", r"([^/]+/[^/]+)$", 1)
-    return df.select(F.regexp_extract(rel, r"^([^/]+)/", 1).alias("project_id"), rel.alias("path"), "content")
+    # The metadata column holds a URL; a plus sign in it is a plus sign.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    df = r.load(root).select(relative_path(path, root).alias("path"), F.col("value").alias("content"))
+    return df.select(project_of(F.col("path")).alias("project_id"), "path", "content")
 
 
 def stream_corpus(spark: SparkSession, root: str, sink: str, checkpoint: str, available_now: bool = True):
-    """COBOL programs landing under ``root`` -> per-program metrics appended
-    to the parquet table ``sink``; each micro-batch only touches its new files."""
+    """COBOL programs landing under ``root`` -> per-program metrics in the parquet table
+    ``sink``, one partition a micro-batch, which a retried batch overwrites.  Read it with
+    ``read_metrics``: a program that was uploaded again counts once, as it is now."""
     def process(batch: DataFrame, batch_id: int) -> None:
-        files = C.cobol_files(to_lines(batch))
-        files.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        C.cobol_files(to_lines(batch)).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
     q = read_landing(spark, root, "*.cbl").writeStream.foreachBatch(process) \
         .option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()
 
 
+def read_metrics(spark: SparkSession, sink: str) -> DataFrame:
+    """The last metrics of every program in a ``stream_corpus`` sink."""
+    rows = spark.read.parquet(sink)
+    cols = [x for x in rows.columns if x not in ("project_id", "path", "batch_id")]
+    last = rows.groupBy("project_id", "path").agg(F.max_by(F.struct(*cols), "batch_id").alias("r"))
+    return last.select("project_id", "path", "r.*")
+
+
+#: Bytes of a bucket that a change batch reads and rewrites.
+BUCKET_BYTES = 256 << 20
+
+
 def bucket_col(keys: list[str], buckets: int):
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
 
 
-def write_bucketed(df: DataFrame, keys: list[str], path: str, buckets: int = 64) -> None:
+def write_bucketed(df: DataFrame, keys: list[str], path: str, buckets: int | None = None) -> int:
     """Base table for delta sync: parquet partitioned by a key-hash bucket, so a
-    change batch rewrites only the buckets its keys fall in."""
-    df.withColumn("bucket", bucket_col(keys, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    change batch rewrites only the buckets its keys fall in.  The number of buckets
+    follows the table (``BUCKET_BYTES`` each by the plan's size estimate) unless given; it
+    is kept beside the table.  Two columns carry the state of ``apply_delta_state``."""
+    if buckets is None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        buckets = max(1, min(1 << 20, -(-size // BUCKET_BYTES)))
+    state = df.withColumn("_seq", F.lit(None).cast("long")).withColumn("_deleted", F.lit(False)).withColumn("bucket", bucket_col(keys, buckets))
+    state.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    df.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(_meta(path))
+    return buckets
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the base table, without the state."""
+    return spark.read.parquet(path).where("not _deleted").drop("_seq", "_deleted", "bucket")
+
+
+def _meta(path: str) -> str:
+    return f"{path.rstrip('/')}_buckets"
 
 
 def stream_delta(spark: SparkSession, changes_dir: str, schema: StructType, base_path: str, keys: list[str],
-                 checkpoint: str, buckets: int = 64, available_now: bool = True):
+                 checkpoint: str, available_now: bool = True):
     """Each micro-batch of change files is merged into the bucketed base
-    table (see ``write_bucketed``) with the batch ``apply_delta``.  Only the
-    affected buckets are read (partition pruning), merged, staged and swapped in
-    with dynamic partition overwrite; a bucket left without rows is removed.
-    The bucket list is bounded by ``buckets``, so it is the only thing the driver
-    sees.  Re-running a batch after a failure recomputes it from the same base
-    buckets and the same changes (idempotent)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    table (see ``write_bucketed``) with ``apply_delta_state``: the table keeps the last
+    applied sequence of every key and a mark for deleted ones, so a change that
+    arrives after a newer one is not applied.  Only the affected buckets are read
+    (partition pruning), merged, staged and swapped in with dynamic partition
+    overwrite.  Re-running a batch after a failure changes nothing (idempotent).
+    The driver sees the numbers of the affected buckets."""
+    buckets = spark.read.parquet(_meta(base_path)).collect()[0]["buckets"]
 
     def process(batch: DataFrame, batch_id: int) -> None:
         ch = batch.withColumn("bucket", bucket_col(keys, buckets))
         hit = [r.bucket for r in ch.select("bucket").distinct().collect()]
         if not hit:
             return
-        base = spark.read.parquet(base_path).where(F.col("bucket").isin(hit))
-        merged = V.apply_delta(base.drop("bucket"), ch.drop("bucket"), keys) \
+        state = spark.read.parquet(base_path).where(F.col("bucket").isin(hit))
+        merged = V.apply_delta_state(state.drop("bucket"), ch.drop("bucket"), keys) \
             .withColumn("bucket", bucket_col(keys, buckets))
         stage = f"{base_path.rstrip('/')}_staging/{batch_id}"
         merged.write.mode("overwrite").partitionBy("bucket").parquet(stage)
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        staged = spark.read.parquet(stage)
-        staged.write.mode("overwrite").partitionBy("bucket").parquet(base_path)
-        kept = {r.bucket for r in staged.select("bucket").distinct().collect()}
-        for b in set(hit) - kept:            # every row of the bucket was deleted
-            pth = jvm.org.apache.hadoop.fs.Path(f"{base_path.rstrip('/')}/bucket={b}")
-            pth.getFileSystem(conf).delete(pth, True)
+        spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(base_path)
 
     q = spark.readStream.schema(schema).parquet(changes_dir).writeStream.foreachBatch(process) \
         .option("checkpointLocation", checkpoint)

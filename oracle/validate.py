@@ -18,16 +18,18 @@ def lit(s: str) -> str:
 
 
 def canon(cols_types) -> str:
+    """Each field as length:text; (NULL as N;), fractions as whole part and 2**-53rds."""
     parts = []
     for col, t in cols_types:
         if t == "num":
-            e = f"CAST(CAST({col} AS DECIMAL(38,4)) AS VARCHAR)"
+            e = (f"(CAST(CAST(floor({col}) AS BIGINT) AS VARCHAR) || '+' || "
+                 f"CAST(CAST(floor(({col} - floor({col})) * 9007199254740992.0::DOUBLE) AS BIGINT) AS VARCHAR))")
         elif t == "ts":
-            e = f"strftime({col}, '%Y-%m-%d %H:%M:%S')"
+            e = f"strftime(CAST({col} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f')"
         else:
             e = f"CAST({col} AS VARCHAR)"
-        parts.append(f"coalesce({e}, '\\N')")
-    return " || '|' || ".join(parts)
+        parts.append(f"CASE WHEN {col} IS NULL THEN 'N;' ELSE length({e}) || ':' || {e} || ';' END")
+    return " || ".join(parts)
 
 
 def digest(cols_types) -> str:
@@ -41,11 +43,13 @@ ORDERS_COLS = [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "s
 def checksum_sql(src: str, tgt_: str, key: str, cols, buckets: int) -> str:
     def side(t, p):
         return (f"SELECT CAST({key} % {buckets} AS BIGINT) AS bucket, count(*) AS {p}_rows, "
-                f"bit_xor({digest(cols)}) AS {p}_checksum FROM {t} GROUP BY 1")
+                f"bit_xor({digest(cols)}) AS {p}_checksum, CAST(sum(CAST({digest(cols)} AS HUGEINT)) AS VARCHAR) AS {p}_sum "
+                f"FROM {t} GROUP BY 1")
     return f"""
 SELECT coalesce(s.bucket, t.bucket) AS bucket, CAST(coalesce(source_rows, 0) AS BIGINT) AS source_rows,
-  CAST(coalesce(target_rows, 0) AS BIGINT) AS target_rows, source_checksum, target_checksum,
+  CAST(coalesce(target_rows, 0) AS BIGINT) AS target_rows, source_checksum, target_checksum, source_sum, target_sum,
   CASE WHEN coalesce(source_rows, 0) = coalesce(target_rows, 0) AND source_checksum IS NOT DISTINCT FROM target_checksum
+       AND source_sum IS NOT DISTINCT FROM target_sum
        THEN 'MATCH' ELSE 'MISMATCH' END AS status
 FROM ({side(src, 'source')}) s FULL JOIN ({side(tgt_, 'target')}) t ON s.bucket = t.bucket"""
 
@@ -122,13 +126,14 @@ FROM ({src_counts}) s FULL JOIN ({tgt_counts}) t ON s.table_name = t.table_name"
         nulls_sql("customer", "customer", "t_customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     q["v_conversion"] = conversion_sql()
     q["v_charset"] = "WITH " + tgt("documents") + """
-SELECT count(*) AS rows, count(*) FILTER (WHERE regexp_matches(s.text, '[^\\x00-\\x7F]')) AS non_ascii_rows,
+SELECT count(*) FILTER (WHERE s.i AND t.i) AS rows, count(*) FILTER (WHERE t.i IS NULL) AS missing_rows,
+  count(*) FILTER (WHERE s.i IS NULL) AS extra_rows, count(*) FILTER (WHERE regexp_matches(s.text, '[^\\x00-\\x7F]')) AS non_ascii_rows,
   count(*) FILTER (WHERE false) AS invalid_utf8_rows,
   count(*) FILTER (WHERE length(s.text) <> length(t.text)) AS char_length_mismatches,
-  count(*) FILTER (WHERE octet_length(encode(s.text)) <> octet_length(encode(t.text))) AS byte_length_mismatches,
-  count(*) FILTER (WHERE s.text IS DISTINCT FROM t.text) AS value_mismatches,
-  CAST(sum(octet_length(encode(s.text)) - length(s.text)) AS BIGINT) AS multibyte_extra_bytes
-FROM documents s JOIN t_documents t ON s.doc_id = t.doc_id"""
+  count(*) FILTER (WHERE strlen(s.text) <> strlen(t.text)) AS byte_length_mismatches,
+  count(*) FILTER (WHERE s.i AND t.i AND s.text IS DISTINCT FROM t.text) AS value_mismatches,
+  CAST(sum(strlen(s.text) - length(s.text)) AS BIGINT) AS multibyte_extra_bytes
+FROM (SELECT *, true AS i FROM documents) s FULL JOIN (SELECT *, true AS i FROM t_documents) t ON s.doc_id = t.doc_id"""
     q["v_json"] = """
 SELECT event_id, json_valid(props) AS valid, CAST(json(props) AS VARCHAR) AS canonical,
   json_extract_string(props, '$.k') AS k FROM events"""
@@ -156,11 +161,11 @@ SELECT c.project_id, c.path, c.table_name, c.column_name, c.data_type, coalesce(
   m.target_type IS NOT NULL AS mapped
 FROM cols c LEFT JOIN tmap m ON m.type = c.data_type"""
     q["v_schema_diff"] = W + """,
-a AS (SELECT project_id, path, table_name, column_name, data_type, nullable, default_value FROM cols),
-b AS (SELECT c.project_id, c.path, c.table_name, c.column_name, coalesce(m.target_type, c.data_type) AS data_type,
-        c.nullable, c.default_value
-      FROM cols c LEFT JOIN tmap m ON m.type = c.data_type
-      WHERE CAST(regexp_extract(c.path, 'C(\\d+)\\.sql$', 1) AS BIGINT) % 11 <> 0),
+a AS (SELECT c.project_id, c.path, c.table_name, c.column_name, coalesce(m.target_type, c.data_type) AS data_type, c.nullable, c.default_value
+      FROM cols c LEFT JOIN tmap m ON m.type = c.data_type),
+b AS (SELECT project_id, path, table_name, column_name, CASE WHEN k % 13 = 0 THEN 'CLOB' ELSE data_type END AS data_type,
+        CASE WHEN k % 17 = 0 THEN true ELSE nullable END AS nullable, default_value
+      FROM (SELECT *, CAST(regexp_extract(path, 'C(\\d+)\\.sql$', 1) AS BIGINT) AS k FROM a) WHERE k % 11 <> 0),
 j AS (
   SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.path, b.path) AS path,
     coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name,
@@ -183,8 +188,8 @@ paths(project_id, tbl, depth) AS (
   UNION ALL
   SELECT e.project_id, e.tbl, p.depth + 1 FROM paths p JOIN edges e ON e.project_id = p.project_id AND e.parent = p.tbl
   WHERE p.depth < 64)
-SELECT n.project_id, n.tbl AS "table", (SELECT max(depth) FROM paths p WHERE p.project_id = n.project_id AND p.tbl = n.tbl) AS level
-FROM nodes n"""
+SELECT project_id, tbl AS "table", level, CASE WHEN level IS NULL THEN 'cycle' ELSE 'ordered' END AS status
+FROM (SELECT n.project_id, n.tbl, (SELECT max(depth) FROM paths p WHERE p.project_id = n.project_id AND p.tbl = n.tbl) AS level FROM nodes n)"""
     q["v_delta"] = f"""WITH {tgt('orders')},
 ch AS ({for_duckdb(ORDERS_CHANGES_SQL)}),
 latest AS (SELECT o_orderkey, arg_max(ch, seq) AS c FROM ch GROUP BY o_orderkey)
@@ -220,8 +225,11 @@ FROM base LEFT JOIN act USING (event_type)"""
     q["v_table_summary"] = "WITH " + ddl_files_cte() + STMTS + """
 SELECT project_id, path, table_name, n_columns, n_foreign_keys, n_indexes, coalesce(replace(primary_key, ',', ', '), '') AS primary_key
 FROM tables"""
-    ccols = [("c_custkey", "int"), ("c_name", "str"), ("c_nationkey", "int")]
-    q["v_migrate"] = checksum_sql("customer", "customer", "c_custkey", ccols, 16)
+    ccols = [("c_custkey", "int"), ("c_name", "str"), ("c_nationkey", "int"), ("c_acctbal", "dec"), ("c_mktsegment", "str")]
+    q["v_migrate"] = """WITH m AS (
+  SELECT c_custkey, c_name, c_nationkey, CAST(c_acctbal AS DECIMAL(12,2)) AS c_acctbal,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN '1' WHEN NOT (c_mktsegment = 'BUILDING') THEN '0' END AS c_mktsegment FROM customer)
+""" + checksum_sql("m", "m", "c_custkey", ccols, 16)
     q["cobol_complexity_stats"] = "WITH " + cobol_files_cte() + """
 SELECT project_id, avg(complexity) AS avg_complexity, max(complexity) AS max_complexity FROM files GROUP BY project_id"""
     return q

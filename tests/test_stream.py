@@ -3,10 +3,9 @@
 import datetime as dt
 import os
 
-from tests.conftest import lines_df
-
 from migscope.operators import cobol as C
 from migscope.operators import validate as V
+from migscope.sources.corpus import read_corpus, to_lines
 from migscope.streaming import stream as ST
 
 PROG_A = "       IDENTIFICATION DIVISION.\n       MAIN.\n           IF A > 1\n           END-IF.\n"
@@ -15,15 +14,22 @@ PROG_B = "      * comment\n           EVALUATE X\n              WHEN 1 GO TO Z\n
 
 def test_stream_corpus_equals_batch(spark, tmp_path):
     land = tmp_path / "land"
-    for proj, name, text in [("p1", "A.cbl", PROG_A), ("p2", "B.cbl", PROG_B)]:
-        os.makedirs(land / proj, exist_ok=True)
+    for proj, name, text in [("p1", "src/A.cbl", PROG_A), ("p2", "B C+d.cbl", PROG_B)]:
+        os.makedirs((land / proj / name).parent, exist_ok=True)
         (land / proj / name).write_text(text)
     sink, ck = str(tmp_path / "sink"), str(tmp_path / "ck")
     q = ST.stream_corpus(spark, str(land), sink, ck)
     q.awaitTermination(120)
-    got = {r.path: (r.loc, r.complexity) for r in spark.read.parquet(sink).collect()}
-    batch = C.cobol_files(lines_df(spark, {"p1/A.cbl": PROG_A, "p2/B.cbl": PROG_B}))
-    assert got == {r.path: (r.loc, r.complexity) for r in batch.collect()}
+    got = {r.path: (r.project_id, r.loc, r.complexity) for r in ST.read_metrics(spark, sink).collect()}
+    batch = C.cobol_files(to_lines(read_corpus(spark, str(land), "*.cbl")))
+    assert got == {r.path: (r.project_id, r.loc, r.complexity) for r in batch.collect()}
+    assert set(got) == {"p1/src/A.cbl", "p2/B C+d.cbl"} and got["p1/src/A.cbl"][0] == "p1"
+    # a program uploaded again counts once, as it is now; a new checkpoint runs every file again
+    (land / "p1" / "src" / "A.cbl").write_text(PROG_A + PROG_A)
+    ST.stream_corpus(spark, str(land), sink, ck).awaitTermination(120)
+    ST.stream_corpus(spark, str(land), sink, str(tmp_path / "ck-again")).awaitTermination(120)
+    again = {r.path: r.loc for r in ST.read_metrics(spark, sink).collect()}
+    assert again["p1/src/A.cbl"] > got["p1/src/A.cbl"][1] and again["p2/B C+d.cbl"] == got["p2/B C+d.cbl"][1] and len(again) == 2
 
 
 def test_stream_alerts_equals_batch(spark, tmp_path):
@@ -52,7 +58,24 @@ def test_stream_delta_equals_batch(spark, tmp_path):
                                "k long, v string, op string, seq int")
     cdir = str(tmp_path / "changes")
     ch.write.parquet(cdir)
-    q = ST.stream_delta(spark, cdir, ch.schema, base_path, ["k"], str(tmp_path / "ck3"), buckets=8)
+    q = ST.stream_delta(spark, cdir, ch.schema, base_path, ["k"], str(tmp_path / "ck3"))
     q.awaitTermination(120)
-    got = {r.k: r.v for r in spark.read.parquet(base_path).collect()}
+    got = {r.k: r.v for r in ST.read_bucketed(spark, base_path).collect()}
     assert got == {r.k: r.v for r in V.apply_delta(base, ch, ["k"]).collect()} == {1: "v1", 2: "b3", 4: "v4", 41: "d"}
+
+
+def test_stream_delta_keeps_the_newer_change(spark, tmp_path):
+    """A change that arrives late, and a batch that runs again."""
+    schema = "k long, v string, op string, seq int"
+    base_path, cdir = str(tmp_path / "base"), str(tmp_path / "changes")
+    assert ST.write_bucketed(spark.createDataFrame([(k, f"v{k}") for k in range(9)], "k long, v string"), ["k"], base_path) == 1
+    run = lambda ck: ST.stream_delta(spark, cdir, spark.createDataFrame([], schema).schema, base_path, ["k"], str(tmp_path / ck)).awaitTermination(120)
+    rows = lambda: {r.k: r.v for r in ST.read_bucketed(spark, base_path).collect()}
+    spark.createDataFrame([(1, "nine", "U", 9), (2, None, "D", 9)], schema).write.mode("append").parquet(cdir)
+    run("ck")
+    spark.createDataFrame([(1, "two", "U", 2), (2, "two", "U", 2), (3, "two", "U", 2)], schema).write.mode("append").parquet(cdir)
+    run("ck")
+    want = {k: f"v{k}" for k in range(9) if k != 2} | {1: "nine", 3: "two"}
+    assert rows() == want
+    run("ck-again")
+    assert rows() == want
