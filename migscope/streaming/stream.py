@@ -54,8 +54,8 @@ def read_metrics(spark: SparkSession, sink: str) -> DataFrame:
     return last.select("project_id", "path", "r.*")
 
 
-#: Bytes of a bucket that a change batch reads and rewrites.
-BUCKET_BYTES = 256 << 20
+#: Rows of a bucket, which a change batch reads and rewrites.
+BUCKET_ROWS = 2_000_000
 
 
 def bucket_col(keys: list[str], buckets: int):
@@ -65,11 +65,9 @@ def bucket_col(keys: list[str], buckets: int):
 def write_bucketed(df: DataFrame, keys: list[str], path: str, buckets: int | None = None) -> int:
     """Base table for delta sync: parquet partitioned by a key-hash bucket, so a
     change batch rewrites only the buckets its keys fall in.  The number of buckets
-    follows the table (``BUCKET_BYTES`` each by the plan's size estimate) unless given; it
-    is kept beside the table.  Two columns carry the state of ``apply_delta_state``."""
+    follows the table (``BUCKET_ROWS`` each) unless given; it is kept beside the table.  Two columns carry the state of ``apply_delta_state``."""
     if buckets is None:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        buckets = max(1, min(1 << 20, -(-size // BUCKET_BYTES)))
+        buckets = max(1, -(-df.count() // BUCKET_ROWS))
     state = df.withColumn("_seq", F.lit(None).cast("long")).withColumn("_deleted", F.lit(False)).withColumn("bucket", bucket_col(keys, buckets))
     state.write.mode("overwrite").partitionBy("bucket").parquet(path)
     df.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(_meta(path))
