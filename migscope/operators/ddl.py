@@ -168,7 +168,7 @@ def ddl_file_totals(statements: DataFrame) -> DataFrame:
                       F.lit(0).cast("long").alias("indexes"))
 
 
-def pick_ddl(per_file: DataFrame, mode: str = "last") -> DataFrame:
+def pick_ddl(per_file: DataFrame, mode: str = "union") -> DataFrame:
     """Several DDL files in a project.  ``last`` reproduces the rule that the
     last file (directory order = path order) replaces earlier results;
     ``union`` keeps every file."""
@@ -178,7 +178,7 @@ def pick_ddl(per_file: DataFrame, mode: str = "last") -> DataFrame:
     return per_file.join(last, ["project_id", "path"], "left_semi")
 
 
-def ddl_totals(per_file: DataFrame, mode: str = "last") -> DataFrame:
+def ddl_totals(per_file: DataFrame, mode: str = "union") -> DataFrame:
     """D14 per project after D15 selection."""
     p = pick_ddl(per_file, mode)
     cols = ["tables", "columns", "indexes", "views", "sequences", "stored_procedures", "triggers", "functions"]

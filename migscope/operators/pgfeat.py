@@ -133,7 +133,7 @@ def pg_sequences(files: DataFrame, tables: DataFrame, columns: DataFrame) -> Dat
                         F.when(c("inc") == "", 1).otherwise(c("inc").cast("long")).cast("long").alias("increment"),
                         F.lit(False).alias("is_serial"))
     ser = columns.where(c("data_type").rlike(r"(?i)SERIAL$")).select(
-        *KEYS, (F.lit(1 << 40) + c("stmt_no") * 1000 + c("col_no")).cast("long").alias("ord"),
+        *KEYS, (F.lit(1 << 62) + F.shiftleft(c("stmt_no").cast("long"), 31) + c("col_no")).cast("long").alias("ord"),
         F.concat_ws("_", "table_name", "column_name", F.lit("seq")).alias("name"),
         F.when(F.upper("data_type").contains("BIG"), "BIGINT").otherwise("INTEGER").alias("data_type"),
         F.lit(1).cast("long").alias("increment"), F.lit(True).alias("is_serial"))

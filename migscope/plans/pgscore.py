@@ -1,8 +1,8 @@
 """PostgreSQL -> Oracle assessment of a project: six difficulty dimensions,
 details, recommendations, risks, primary ORM and Java change categories.
 
-Inputs are the per-file tables of the Java scan and of the (last) DDL file of
-each project.  Everything is reduced to one row of integer facts per project by
+Inputs are the per-file tables of the Java scan and of the DDL files of each
+project.  Everything is reduced to one row of integer facts per project by
 hash aggregates (partial aggregation before the exchange), then scored with
 column arithmetic; ordered detail lists are deduplicated per (project, item)
 first, so no group grows with the number of files."""
@@ -38,21 +38,17 @@ def _cap(x: Column, hi: int) -> Column:
     return F.least(x, F.lit(hi))
 
 
-def _ordered_distinct_per_project(df: DataFrame, item: str, order: list[str], out: str) -> DataFrame:
-    """Distinct ``item`` per project in first-seen order of ``order`` columns."""
-    first = df.groupBy("project_id", item).agg(F.min(F.struct(*order)).alias("at"))
-    return first.groupBy("project_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", item))), lambda s: s[item]).alias(out))
-
-
 class DdlFacts:
-    """Per-project facts of the project's DDL file (``last`` file wins)."""
-
-    def __init__(self, spark: SparkSession, ddl_src: DataFrame, mode: str = "last"):
-        last = ddl_src.groupBy("project_id").agg(F.max("path").alias("path"))
-        picked = ddl_src.join(last, KEYS, "left_semi") if mode == "last" else ddl_src
-        # one DDL file per project: materialised once, read by a dozen feature jobs
-        self.files = materialize(picked) if mode == "last" else picked
+    """Per-project facts of the project's DDL files.  ``union`` (the default) takes every
+    file; ``last`` keeps only the last file of a project, for compatibility with the
+    rule that a later file replaces earlier results (D15)."""
+
+    def __init__(self, spark: SparkSession, ddl_src: DataFrame, mode: str = "union"):
+        if mode == "last":
+            last = ddl_src.groupBy("project_id").agg(F.max("path").alias("path"))
+            ddl_src = ddl_src.join(last, KEYS, "left_semi")
+        # materialised once, read by a dozen feature jobs
+        self.files = materialize(ddl_src)
         st = D.ddl_statements(self.files)
         items = D.table_items(st)
         self.columns = D.ddl_columns(items)
@@ -60,9 +56,15 @@ class DdlFacts:
         self.objects = D.ddl_objects(st)
         self.types = G.pg_type_usage(spark, self.files, self.columns)
         self.indexes = G.pg_index_types(spark, self.files)
+        self.extensions = G.pg_extensions(self.files)
+        # by project: one row an item, placed where it was met first
+        self.project_types = self.types.groupBy("project_id", "type", "complexity", "oracle_type").agg(
+            F.sum("count").cast("long").alias("count"), F.min(F.struct("path", "seen")).alias("at"))
+        self.project_indexes = self.indexes.groupBy("project_id", "type", "oracle_support").agg(
+            F.sum("count").cast("long").alias("count"), F.min(F.struct("path", "first_ord")).alias("at"))
+        self.project_extensions = self.extensions.groupBy("project_id", "extension").agg(F.min(F.struct("path", "ord")).alias("at"))
         self.functions = G.pg_functions(self.files)
         self.triggers = G.pg_triggers(self.files)
-        self.extensions = G.pg_extensions(self.files)
         self.partitions = G.pg_partitions(self.files)
         self.inheritance = G.pg_inheritance(self.files)
         self.counters = G.pg_counters(self.files)
@@ -86,7 +88,7 @@ class DdlFacts:
             F.sum("partitioned_tables").alias("partitioned_tables"),
             F.sum("triggers").alias("trigger_count"), F.sum("rls_policies").alias("rls"),
             F.sum("partial_indexes").alias("partial_indexes"))
-        e = self.extensions.groupBy("project_id").agg(F.count(F.lit(1)).alias("extension_count"))
+        e = self.project_extensions.groupBy("project_id").agg(F.count(F.lit(1)).alias("extension_count"))
         ix = self.indexes.groupBy("project_id").agg(
             F.sum(F.when(c("type").isin(ADVANCED_INDEX) & ~c("oracle_support"), c("count")).otherwise(0))
             .alias("advanced_index_count"))
@@ -102,18 +104,15 @@ class DdlFacts:
     def detail_lists(self) -> DataFrame:
         """Ordered strings that the details need: type lines, extensions,
         advanced index types."""
-        tl = self.types.where(c("count") > 0).select(
-            "project_id", "seen",
+        tl = self.project_types.where(c("count") > 0).select(
+            "project_id", "at",
             F.format_string("%d %s columns (%s complexity → %s)", c("count"), c("type"), c("complexity"),
                             c("oracle_type")).alias("line"))
-        types = tl.groupBy("project_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("seen", "line"))), lambda s: s["line"]).alias("type_lines"))
-        ext = self.extensions.groupBy("project_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("path", "ord", "extension"))),
-                        lambda s: s["extension"]).alias("extension_list"))
-        adv = self.indexes.where(~c("oracle_support")).groupBy("project_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("path", "first_ord", "type"))),
-                        lambda s: s["type"]).alias("advanced_index_types"))
+        ordered = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("at", v))), lambda s: s[v])
+        types = tl.groupBy("project_id").agg(ordered("line").alias("type_lines"))
+        ext = self.project_extensions.groupBy("project_id").agg(ordered("extension").alias("extension_list"))
+        adv = self.project_indexes.where(~c("oracle_support")).groupBy("project_id").agg(
+            ordered("type").alias("advanced_index_types"))
         return types.join(ext, "project_id", "full").join(adv, "project_id", "full")
 
 

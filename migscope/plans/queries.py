@@ -3,6 +3,8 @@ of the inventory, each over whole tables (or corpora derived from them)."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -621,7 +623,7 @@ def report_context(spark, sf_dir):
 
 
 def _ddl_db(spark, sf_dir):
-    return D.ddl_totals(D.ddl_file_totals(_stmts(spark, sf_dir)), mode="last")
+    return D.ddl_totals(D.ddl_file_totals(_stmts(spark, sf_dir)))
 
 
 def _cobol_report(spark, sf_dir):
@@ -662,38 +664,63 @@ def doc_quality(spark, sf_dir):
     return V.check_documents(read_table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
-def _pg_parts(spark, sf_dir):
-    jf = materialize(J.java_files(java_files(spark, sf_dir)))
-    ddl = PG.DdlFacts(spark, ddl_files(spark, sf_dir))
-    projects = projects_from_nation(spark, sf_dir)
-    # one row per project, read by the score, risk, recommendation and report branches
-    scores = materialize(PG.pg_project_scores(spark, projects, jf, ddl))
-    nfiles = jf.groupBy("project_id").agg(F.count(F.lit(1)).alias("jn")).join(
-        O.orm_files(orm_files(spark, sf_dir)).groupBy("project_id").agg(F.count(F.lit(1)).alias("on")),
-        "project_id", "full")
-    totals = nfiles.select("project_id", (F.coalesce(F.col("jn"), F.lit(0)) + F.coalesce(F.col("on"), F.lit(0)))
-                           .cast("long").alias("total_files"))
-    db = D.ddl_totals(D.ddl_file_totals(D.ddl_statements(ddl.files)), mode="union").join(
-        ddl.partitions.groupBy("project_id").agg(F.count(F.lit(1)).alias("partitioned_tables")), "project_id", "left") \
-        .fillna(0, ["partitioned_tables"])
-    return dict(jf=jf, ddl=ddl, projects=projects, scores=scores, totals=totals, db=db,
-                orm=PG.primary_orm(jf), inv=J.java_inventory(jf))
+class _PgParts:
+    """Inputs of the PostgreSQL plans; each is made when it is first asked for."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def projects(self):
+        return projects_from_nation(self.spark, self.sf_dir)
+
+    @cached_property
+    def java(self):
+        return materialize(J.java_files(java_files(self.spark, self.sf_dir)))
+
+    @cached_property
+    def ddl(self):
+        return PG.DdlFacts(self.spark, ddl_files(self.spark, self.sf_dir))
+
+    @cached_property
+    def scores(self):
+        """One row a project, read by the score, risk, recommendation and report branches."""
+        return materialize(PG.pg_project_scores(self.spark, self.projects, self.java, self.ddl))
+
+    @cached_property
+    def total_files(self):
+        """Counts of the Java and ORM listings; no file is mined."""
+        listed = java_files(self.spark, self.sf_dir).select("project_id").union(orm_files(self.spark, self.sf_dir).select("project_id"))
+        return listed.groupBy("project_id").agg(F.count(F.lit(1)).cast("long").alias("total_files"))
+
+    @cached_property
+    def database(self):
+        files = self.ddl.files if "ddl" in vars(self) else ddl_files(self.spark, self.sf_dir)
+        parts = G.pg_partitions(files).groupBy("project_id").agg(F.count(F.lit(1)).alias("partitioned_tables"))
+        return D.ddl_totals(D.ddl_file_totals(D.ddl_statements(files))).join(parts, "project_id", "left").fillna(0, ["partitioned_tables"])
+
+    @cached_property
+    def orm(self):
+        return PG.primary_orm(self.java)
+
+    @cached_property
+    def inventory(self):
+        return J.java_inventory(self.java)
 
 
 @register
 def total_files(spark, sf_dir):
-    return _pg_parts(spark, sf_dir)["totals"]
+    return _PgParts(spark, sf_dir).total_files
 
 
 @register
 def pg_source_block(spark, sf_dir):
     """Data types, extensions, advanced indexes and native query count."""
-    p = _pg_parts(spark, sf_dir)
-    ddl, s = p["ddl"], p["scores"]
-    types = ddl.types.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("seen", "type"))), lambda x: x["type"]), ", ").alias("data_types"))
-    idx = ddl.indexes.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("first_ord", "type"))), lambda x: x["type"]), ", ").alias("index_types"))
+    p = _PgParts(spark, sf_dir)
+    ddl, s = p.ddl, p.scores
+    names = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "type"))), lambda x: x["type"]), ", ")
+    types = ddl.project_types.groupBy("project_id").agg(names().alias("data_types"))
+    idx = ddl.project_indexes.groupBy("project_id").agg(names().alias("index_types"))
     return s.select("project_id", F.array_join("extension_list", ", ").alias("extensions"),
                     F.col("native_queries").alias("native_query_count")) \
         .join(types, "project_id", "left").join(idx, "project_id", "left") \
@@ -702,33 +729,40 @@ def pg_source_block(spark, sf_dir):
 
 @register
 def pg_report_rows(spark, sf_dir):
-    p = _pg_parts(spark, sf_dir)
-    ddl = p["ddl"]
-    scores = p["scores"].join(p["totals"], "project_id", "left").fillna(0, ["total_files"])
-    return R.pg_report_rows(_ctx(spark, sf_dir), scores, p["orm"], p["inv"], PG.java_changes(p["inv"]),
-                            PG.change_summary(p["inv"]).drop("total_files"), p["db"], ddl.types, ddl.extensions,
+    p = _PgParts(spark, sf_dir)
+    ddl = p.ddl
+    scores = p.scores.join(p.total_files, "project_id", "left").fillna(0, ["total_files"])
+    return R.pg_report_rows(_ctx(spark, sf_dir), scores, p.orm, p.inventory, PG.java_changes(p.inventory),
+                            PG.change_summary(p.inventory).drop("total_files"), p.database, ddl.types, ddl.extensions,
                             ddl.indexes,
-                            PG.pg_risks(p["scores"]), PG.pg_recommendations(p["scores"]))
+                            PG.pg_risks(p.scores), PG.pg_recommendations(p.scores))
 
 
 @register
 def pg_design_rows(spark, sf_dir):
-    p = _pg_parts(spark, sf_dir)
-    ddl = p["ddl"]
-    return R.pg_design_rows(spark, p["scores"], p["orm"], ddl.types, ddl.extensions, ddl.indexes)
+    p = _PgParts(spark, sf_dir)
+    return R.pg_design_rows(spark, p.scores, p.orm, p.ddl.types, p.ddl.extensions, p.ddl.indexes)
 
 
 @register
 def expected_objects(spark, sf_dir):
-    return R.expected_objects(_pg_parts(spark, sf_dir)["db"])
+    return R.expected_objects(_PgParts(spark, sf_dir).database)
 
 
 @register
 def dashboard_tiles(spark, sf_dir):
+    """Database projects show their Java totals and PostgreSQL difficulty, the others COBOL's."""
     files = _files(spark, sf_dir)
-    projects = projects_from_nation(spark, sf_dir)
-    scores = K.cobol_project_scores(projects, K.cobol_file_scores(files), with_details=False)
-    return R.dashboard_tiles(_ctx(spark, sf_dir), _ddl_db(spark, sf_dir), M.totals(files), scores)
+    p = _PgParts(spark, sf_dir)
+    ctx = _ctx(spark, sf_dir)
+    db = ctx.select("project_id", F.col("migration_type").isin(R.DATABASE_FAMILIES).alias("is_db"))
+    of = lambda df, want: df.join(db.where(F.col("is_db") == want).select("project_id"), "project_id", "left_semi")
+    cobol = K.cobol_project_scores(p.projects, K.cobol_file_scores(files), with_details=False).select("project_id", "difficulty")
+    java = p.java.groupBy("project_id").agg(F.sum("loc").cast("long").alias("total_loc"))
+    java_totals = p.total_files.join(java, "project_id", "left").select("project_id", "total_files", F.coalesce("total_loc", F.lit(0)).alias("total_loc"))
+    totals = of(M.totals(files).select("project_id", "total_files", "total_loc"), False).unionByName(of(java_totals, True))
+    difficulty = of(cobol, False).unionByName(of(p.scores.select("project_id", "difficulty"), True))
+    return R.dashboard_tiles(ctx, _ddl_db(spark, sf_dir), totals, difficulty)
 
 
 @register
@@ -771,7 +805,7 @@ def cobol_dependencies(spark, sf_dir):
 
 @register
 def cobol_database(spark, sf_dir):
-    """M6: database block per project from the project's (last) DDL file."""
+    """M6: database block per project from the project's DDL files."""
     return M.database_block(projects_from_nation(spark, sf_dir), _ddl_db(spark, sf_dir))
 
 

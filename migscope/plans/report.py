@@ -123,7 +123,7 @@ def cobol_report_rows(ctx: DataFrame, totals: DataFrame, summary: DataFrame, inv
         _fixed(top10.select("project_id").distinct(), doc, 60, [
             "| Module | Complexity Score | Risk Level | Recommendation |",
             "|--------|------------------|------------|----------------|"]),
-        _rows(top10, doc, 60, F.concat(F.lit("1|"), F.lpad(c("rank").cast("string"), 4, "0")),
+        _rows(top10, doc, 60, F.concat(F.lit("1|"), F.lpad(c("rank").cast("string"), 19, "0")),
               fmt("| %s | %d | %s | %s |", c("name"), c("score"), c("risk"), c("recommendation"))),
         _or_note(top10, p, doc, 60, "*[No high-complexity modules identified]*"),
         _fixed(risks.select("project_id").distinct(), doc, 70, [
@@ -187,7 +187,7 @@ def pg_report_rows(ctx: DataFrame, scores: DataFrame, orm: DataFrame, inventory:
         fmt("| Triggers | %d |", c("triggers")), fmt("| Indexes | %d |", c("indexes")),
         fmt("| Sequences | %d |", c("sequences")), fmt("| Partitioned Tables | %d |", c("partitioned_tables"))]))
     tkey = F.concat(F.lit("1|"), c("path"), F.lit("|"), c("seen.o1").cast("string"), F.lit("|"),
-                    F.lpad(c("seen.o2").cast("string"), 10, "0"), F.lit("|"), F.lpad(c("seen.o3").cast("string"), 10, "0"))
+                    F.lpad(c("seen.o2").cast("string"), 19, "0"), F.lit("|"), F.lpad(c("seen.o3").cast("string"), 19, "0"))
     tl = types.select("project_id", tkey.alias("k"), F.explode(F.array(
         F.struct(F.lit("a").alias("s"), fmt("**%s** (%d occurrences)", c("type"), c("count")).alias("line")),
         F.struct(F.lit("b").alias("s"), F.concat(F.lit("- Tables: "), F.array_join("tables", ", ")).alias("line")),
@@ -197,17 +197,17 @@ def pg_report_rows(ctx: DataFrame, scores: DataFrame, orm: DataFrame, inventory:
                                                  F.lit("`")).alias("line")))).alias("x"))
     parts.append(_rows(tl, doc, 60, F.concat(c("k"), F.lit("|"), c("x.s")), c("x.line")))
     parts.append(_rows(extensions, doc, 70, F.concat(F.lit("1|"), c("path"), F.lit("|"),
-                                                    F.lpad(c("ord").cast("string"), 6, "0")),
+                                                    F.lpad(c("ord").cast("string"), 19, "0")),
                        F.concat(F.lit("- **"), c("extension"), F.lit("** - Requires Oracle equivalent or custom implementation"))))
     parts.append(_or_note(extensions, p, doc, 70, "No PostgreSQL extensions detected."))
     parts.append(_rows(indexes, doc, 80, F.concat(F.lit("1|"), c("path"), F.lit("|"),
-                                                 F.lpad(c("first_ord").cast("string"), 6, "0")),
+                                                 F.lpad(c("first_ord").cast("string"), 19, "0")),
                        fmt("- **%s** (%d indexes) - Oracle Support: %s", c("type"), c("count"),
                            F.when(c("oracle_support"), "Yes").otherwise("No - Requires redesign"))))
     parts.append(_per_project(p, doc, 90, [fmt("**Total Native Queries:** %d", F.coalesce(c("native_queries"), F.lit(0)))]))
     parts.append(_rows(risks, doc, 100, F.concat(F.lit("1|"), c("id")),
                        fmt("| %s | %s | %s | %s |", c("id"), c("category"), c("severity"), c("description"))))
-    parts.append(_rows(recs, doc, 110, F.concat(F.lit("1|"), F.lpad(c("rule_no").cast("string"), 2, "0")),
+    parts.append(_rows(recs, doc, 110, F.concat(F.lit("1|"), F.lpad(c("rule_no").cast("string"), 19, "0")),
                        fmt("- **%s** (%s): %s - %s", c("dimension"), c("severity"), c("issue"), c("mitigation"))))
     return reduce(DataFrame.unionByName, parts)
 
@@ -238,8 +238,8 @@ def pg_design_rows(spark, scores: DataFrame, orm: DataFrame, types: DataFrame, e
     """Type actions, index support, ORM- and extension-specific advice
     (broadcast joins to fixed advice tables) and the tool / rollout choice."""
     doc = "pg-migration-strategy"
-    tkey = F.concat(F.lit("1|"), c("path"), F.lit("|"), F.lpad(c("seen.o2").cast("string"), 10, "0"), F.lit("|"),
-                    c("seen.o1").cast("string"), F.lit("|"), F.lpad(c("seen.o3").cast("string"), 10, "0"))
+    tkey = F.concat(F.lit("1|"), c("path"), F.lit("|"), F.lpad(c("seen.o2").cast("string"), 19, "0"), F.lit("|"),
+                    c("seen.o1").cast("string"), F.lit("|"), F.lpad(c("seen.o3").cast("string"), 19, "0"))
     ty = types.select("project_id", tkey.alias("k"), F.explode(F.array(
         F.struct(F.lit("a").alias("s"), fmt("**%s** → **%s**", c("type"), c("oracle_type")).alias("line")),
         F.struct(F.lit("b").alias("s"), F.concat(F.lit("- Complexity: "), c("complexity")).alias("line")),
@@ -248,13 +248,13 @@ def pg_design_rows(spark, scores: DataFrame, orm: DataFrame, types: DataFrame, e
                                                  F.when(c("complexity") == "Complex", "Custom conversion logic required")
                                                  .otherwise("Direct mapping")).alias("line")))).alias("x"))
     parts = [_rows(ty, doc, 10, F.concat(c("k"), F.lit("|"), c("x.s")), c("x.line")),
-             _rows(indexes, doc, 20, F.concat(F.lit("1|"), c("path"), F.lit("|"), F.lpad(c("first_ord").cast("string"), 6, "0")),
+             _rows(indexes, doc, 20, F.concat(F.lit("1|"), c("path"), F.lit("|"), F.lpad(c("first_ord").cast("string"), 19, "0")),
                    fmt("- **%s** (%d indexes) - Oracle Support: %s", c("type"), c("count"),
                        F.when(c("oracle_support"), "Native").otherwise("Alternative approach needed")))]
     orm_adv = spark.createDataFrame([(k, i, t) for k, ls in ORM_ADVICE.items() for i, t in enumerate(ls)],
                                     "orm_framework string, i int, line string")
     oa = orm.join(F.broadcast(orm_adv), "orm_framework")
-    parts.append(_rows(oa, doc, 30, F.lpad(c("i").cast("string"), 4, "0"), c("line")))
+    parts.append(_rows(oa, doc, 30, F.lpad(c("i").cast("string"), 19, "0"), c("line")))
     ext_adv = spark.createDataFrame([(k, i, t) for k, ls in EXTENSION_ADVICE.items() for i, t in enumerate(ls)],
                                     "extension string, i int, line string")
     ex = extensions.join(F.broadcast(ext_adv), "extension", "left")
@@ -264,8 +264,8 @@ def pg_design_rows(spark, scores: DataFrame, orm: DataFrame, types: DataFrame, e
     exl = exl.withColumn("adv", F.when(F.size(F.filter("adv", lambda x: x.isNotNull())) > 0, c("adv")).otherwise(other))
     exr = exl.select("project_id", "path", "ord", F.posexplode(F.concat(
         F.array(F.concat(F.lit("### Extension: "), c("extension")), F.lit("**Oracle Equivalent:**")), c("adv"))).alias("j", "line"))
-    parts.append(_rows(exr, doc, 40, F.concat(F.lit("1|"), c("path"), F.lit("|"), F.lpad(c("ord").cast("string"), 6, "0"),
-                                              F.lit("|"), F.lpad(c("j").cast("string"), 3, "0")), c("line")))
+    parts.append(_rows(exr, doc, 40, F.concat(F.lit("1|"), c("path"), F.lit("|"), F.lpad(c("ord").cast("string"), 19, "0"),
+                                              F.lit("|"), F.lpad(c("j").cast("string"), 19, "0")), c("line")))
     parts.append(_per_project(scores, doc, 50, [
         F.when(c("volume_score") > 60, "**Primary: AWS Database Migration Service (DMS)**")
         .otherwise("**Primary: Oracle SQL Developer + Ora2Pg**"),
@@ -284,36 +284,36 @@ def expected_objects(database: DataFrame) -> DataFrame:
         c("functions").alias("functions_to_test"), c("stored_procedures").alias("procedures_to_test"))
 
 
+# The migration types whose tiles are about a database.
+DATABASE_FAMILIES = ["PostgreSQL-to-Oracle", "Oracle-to-PostgreSQL", "MySQL-to-Oracle"]
+
+
 def dashboard_tiles(ctx: DataFrame, database: DataFrame, totals: DataFrame, scores: DataFrame,
                     corrected: bool = False) -> DataFrame:
-    """The four dashboard tiles.  COBOL-family projects show tables, others
-    files; the third tile reads ``database.procedures`` -- a field never written
-    -- so it shows functions only (``corrected`` adds stored procedures)."""
+    """The four dashboard tiles.  Database projects show tables first and procedures plus
+    functions third, all others files first and tables third.  The third tile of a
+    database project reads ``database.procedures``, a field never written, so it shows
+    functions only (``corrected`` adds stored procedures)."""
     j = ctx.select("project_id", "migration_type").join(database, "project_id", "left") \
         .join(totals, "project_id", "left").join(scores.select("project_id", "difficulty"), "project_id", "left") \
         .fillna(0)
-    cobol = c("migration_type") == "COBOL-to-Java"
+    is_db = c("migration_type").isin(DATABASE_FAMILIES)
     procs = (c("stored_procedures") + c("functions")) if corrected else c("functions")
     return j.select("project_id",
-                    F.when(cobol, c("tables")).otherwise(c("total_files")).cast("long").alias("tile_files_or_tables"),
+                    F.when(is_db, c("tables")).otherwise(c("total_files")).cast("long").alias("tile_files_or_tables"),
                     c("total_loc").cast("long").alias("tile_loc"),
-                    F.when(cobol, c("tables")).otherwise(procs).cast("long").alias("tile_programs"),
+                    F.when(is_db, procs).otherwise(c("tables")).cast("long").alias("tile_programs"),
                     F.coalesce(c("difficulty"), F.lit("Unknown")).alias("tile_difficulty"))
 
 
-def assemble_documents(rows: DataFrame) -> DataFrame:
-    """(project, doc) -> Markdown text.  Only for small outputs: it collects one
-    document per group; use write_reports for whole portfolios."""
-    return rows.groupBy("project_id", "doc").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("section", "sub", "line"))), lambda s: s["line"]), "\n").alias("text"))
-
-
 def write_reports(rows: DataFrame, path: str) -> None:
-    """One text file per (project, document), lines in order, overwritten on
-    regenerate (dynamic partition overwrite touches only the written documents)."""
+    """One folder per (project, document) with its lines in order over part files in order
+    (a document of any length spreads over tasks), overwritten on regenerate (dynamic
+    partition overwrite touches only the written documents)."""
     spark = rows.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (rows.repartition("project_id", "doc").sortWithinPartitions("project_id", "doc", "section", "sub")
+    order = ["project_id", "doc", "section", "sub", "line"]
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order)
      .select("project_id", "doc", F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy("project_id", "doc").text(path))
 
@@ -323,3 +323,8 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").parquet(path + "/parquet")
     metadata.select("project_id", F.to_json(F.struct(*[c(x) for x in metadata.columns if x != "project_id"]))
                     .alias("json")).write.mode("overwrite").json(path + "/json")
+
+
+def document_list(rows: DataFrame) -> DataFrame:
+    """The list of generated documents, with their lines and sections."""
+    return rows.groupBy("project_id", "doc").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("section").alias("sections"))

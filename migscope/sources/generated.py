@@ -22,23 +22,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Generated text is ~100x larger than the key columns it is derived from, and the
-# per-file mining is CPU bound (regular expressions).  A content generator
-# therefore spreads its key table over EXPANSION x the scan's partitions (at
-# least the cluster's default parallelism): a round-robin exchange of a few key
-# columns, not of the text.
-EXPANSION = 16
+# per-file mining is CPU bound (regular expressions).  A key table with fewer scan
+# partitions than the session's shuffle partitions is spread over that many (a
+# round-robin exchange of a few key columns, not of the text); a larger table is
+# mined where it is read.
 
 
-def spread(spark: SparkSession, df: DataFrame, expansion: int = EXPANSION) -> DataFrame:
-    try:
-        n = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions() * expansion)
-    except Exception:  # noqa: BLE001  (sessions without RDD access)
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
+def spread(spark: SparkSession, df: DataFrame, expansion: int = 1) -> DataFrame:
+    """``expansion`` multiplies the wanted number of partitions, for very costly mining."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) * expansion
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def run_sql(spark: SparkSession, sf_dir: str, template: str, spread_tables: tuple = (),
-            expansion: int = EXPANSION) -> DataFrame:
+            expansion: int = 1) -> DataFrame:
     """Run a template whose table references are written ``{name}``."""
     used = {t: read_table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in template}
     for t in spread_tables:

@@ -15,7 +15,7 @@ def lit(s: str) -> str:
 
 
 def ddl_feature_ctes() -> str:
-    """After ``files`` (the last DDL file of each project) and STMTS."""
+    """After ``files`` (the DDL files) and STMTS."""
     tmap = " UNION ALL ".join(f"SELECT '{t}' AS type, '{o}' AS oracle_type, '{cx}' AS complexity"
                               for t, o, cx in G.PG_TYPE_MAP)
     fn = _regex_rows(esc(G.RE_FUNCTION), ["name", "returns", "body"], [1, 2, 4])
@@ -63,6 +63,14 @@ fc AS (
     {cnt(G.RE_INHERITS)} AS inheritance_tables, {cnt(G.RE_PARTITIONED)} AS partitioned_tables,
     {cnt(G.RE_TRIGGER)} AS trigger_count, {cnt(G.RE_RLS)} AS rls, {cnt(G.RE_PARTIAL)} AS partial_indexes
   FROM files),
+ptu AS (SELECT project_id, type, complexity, oracle_type, sum(count) AS count, min((path, seen)) AS fat FROM tu GROUP BY ALL),
+pix AS (SELECT project_id, type, oracle_support, sum(count) AS count, min((path, first_ord)) AS fat FROM ix GROUP BY ALL),
+pext0 AS (SELECT project_id, path, unnest(l) AS extension, generate_subscripts(l, 1) AS i FROM ext),
+pext1 AS (SELECT project_id, extension, min((path, i)) AS fat FROM pext0 GROUP BY ALL),
+pext AS (SELECT project_id, list(extension ORDER BY fat) AS l FROM pext1 GROUP BY project_id),
+pfc AS (SELECT project_id, sum(checks) AS checks, sum(exclusions) AS exclusions, sum(inheritance_tables) AS inheritance_tables,
+          sum(partitioned_tables) AS partitioned_tables, sum(trigger_count) AS trigger_count, sum(rls) AS rls,
+          sum(partial_indexes) AS partial_indexes FROM fc GROUP BY project_id),
 dproj AS (
   SELECT f.project_id, true AS has_ddl,
     coalesce((SELECT sum(count) FROM tu WHERE tu.project_id = f.project_id AND type IN ({', '.join(lit(t) for t in PG.COMPLEX_TYPES)})), 0) AS complex_type_count,
@@ -73,16 +81,16 @@ dproj AS (
     (SELECT count(*) FROM fns WHERE fns.project_id = f.project_id AND dyn) AS dynamic_functions,
     (SELECT count(*) FROM fns WHERE fns.project_id = f.project_id AND arrjson) AS array_json_functions,
     (SELECT count(*) FROM fns WHERE fns.project_id = f.project_id AND rtab) AS table_functions,
-    fc.checks, fc.exclusions, fc.inheritance_tables, fc.partitioned_tables, fc.trigger_count, fc.rls, fc.partial_indexes,
-    (SELECT len(l) FROM ext WHERE ext.project_id = f.project_id) AS extension_count,
+    f.checks, f.exclusions, f.inheritance_tables, f.partitioned_tables, f.trigger_count, f.rls, f.partial_indexes,
+    coalesce((SELECT len(l) FROM pext WHERE pext.project_id = f.project_id), 0) AS extension_count,
     coalesce((SELECT sum(count) FROM ix WHERE ix.project_id = f.project_id AND type IN ('GIN', 'GIST', 'BRIN', 'SPGIST') AND NOT oracle_support), 0) AS advanced_index_count,
     coalesce((SELECT 10000 * count(*) FROM tb WHERE tb.project_id = f.project_id), 0) AS total_rows,
     0 AS large_tables,
-    coalesce((SELECT list(count || ' ' || type || ' columns (' || complexity || ' complexity → ' || oracle_type || ')' ORDER BY seen)
-              FROM tu WHERE tu.project_id = f.project_id AND count > 0), []) AS type_lines,
-    coalesce((SELECT l FROM ext WHERE ext.project_id = f.project_id), []) AS extension_list,
-    coalesce((SELECT list(type ORDER BY first_ord) FROM ix WHERE ix.project_id = f.project_id AND NOT oracle_support), []) AS advanced_index_types
-  FROM files f JOIN fc USING (project_id, path))"""
+    coalesce((SELECT list(count || ' ' || type || ' columns (' || complexity || ' complexity → ' || oracle_type || ')' ORDER BY fat)
+              FROM ptu WHERE ptu.project_id = f.project_id AND count > 0), []) AS type_lines,
+    coalesce((SELECT l FROM pext WHERE pext.project_id = f.project_id), []) AS extension_list,
+    coalesce((SELECT list(type ORDER BY fat) FROM pix WHERE pix.project_id = f.project_id AND NOT oracle_support), []) AS advanced_index_types
+  FROM pfc f)"""
 
 
 def java_project_ctes() -> str:
@@ -192,8 +200,7 @@ def fixed1(v: str) -> str:
 
 
 def sql() -> dict[str, str]:
-    ddl_all = f"allddl AS ({for_duckdb(ddl_files_sql())}),\n" \
-              "files AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
+    ddl_all = f"files AS ({for_duckdb(ddl_files_sql())})"
     W = ("WITH jf AS (" + for_duckdb(java_files_sql()) + ")" + BASE + QUERIES + ",\n" + ddl_all + STMTS
          + ddl_feature_ctes() + java_project_ctes() + scores_cte())
     dims = ", ".join(PG.DIMS)
@@ -267,8 +274,7 @@ FROM inv GROUP BY project_id"""
 def design_sql() -> str:
     """M24-M25 rows of the migration strategy document."""
     from migscope.plans import report as R
-    ddl_all = f"allddl AS ({for_duckdb(ddl_files_sql())}),\n" \
-              "files AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
+    ddl_all = f"files AS ({for_duckdb(ddl_files_sql())})"
     W = ("WITH jf AS (" + for_duckdb(java_files_sql()) + ")" + BASE + QUERIES + ",\n" + ddl_all + STMTS
          + ddl_feature_ctes() + java_project_ctes() + scores_cte())
     orm_adv = " UNION ALL ".join(f"SELECT {lit(k)} AS orm_framework, {i} AS i, {lit(t)} AS line"
@@ -294,19 +300,19 @@ exl AS (
 exr AS (
   SELECT project_id, path, ord, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS j FROM (
     SELECT project_id, path, ord, list_concat(['### Extension: ' || extension, '**Oracle Equivalent:**'], adv) AS l FROM exl)),
-tk AS (SELECT *, '1|' || path || '|' || lpad(CAST(struct_extract(seen, 2) AS VARCHAR), 10, '0') || '|' ||
-                 CAST(struct_extract(seen, 1) AS VARCHAR) || '|' || lpad(CAST(struct_extract(seen, 3) AS VARCHAR), 10, '0') AS k FROM tu),
+tk AS (SELECT *, '1|' || path || '|' || lpad(CAST(struct_extract(seen, 2) AS VARCHAR), 19, '0') || '|' ||
+                 CAST(struct_extract(seen, 1) AS VARCHAR) || '|' || lpad(CAST(struct_extract(seen, 3) AS VARCHAR), 19, '0') AS k FROM tu),
 rows AS (
   SELECT project_id, 10 AS section, k || '|a' AS sub, '**' || type || '** → **' || oracle_type || '**' AS line FROM tk
   UNION ALL SELECT project_id, 10, k || '|b', '- Complexity: ' || complexity FROM tk
   UNION ALL SELECT project_id, 10, k || '|c', '- Affected Tables: ' || array_to_string(tables, ', ') FROM tk
   UNION ALL SELECT project_id, 10, k || '|d', '- Required Actions: ' || CASE WHEN complexity = 'Complex'
       THEN 'Custom conversion logic required' ELSE 'Direct mapping' END FROM tk
-  UNION ALL SELECT project_id, 20, '1|' || path || '|' || lpad(CAST(first_ord - 1 AS VARCHAR), 6, '0'),
+  UNION ALL SELECT project_id, 20, '1|' || path || '|' || lpad(CAST(first_ord - 1 AS VARCHAR), 19, '0'),
       '- **' || type || '** (' || count || ' indexes) - Oracle Support: ' ||
       CASE WHEN oracle_support THEN 'Native' ELSE 'Alternative approach needed' END FROM ix
-  UNION ALL SELECT p.project_id, 30, lpad(CAST(a.i AS VARCHAR), 4, '0'), a.line FROM porm p JOIN oadv a USING (orm_framework)
-  UNION ALL SELECT project_id, 40, '1|' || path || '|' || lpad(CAST(ord AS VARCHAR), 6, '0') || '|' || lpad(CAST(j AS VARCHAR), 3, '0'), line FROM exr
+  UNION ALL SELECT p.project_id, 30, lpad(CAST(a.i AS VARCHAR), 19, '0'), a.line FROM porm p JOIN oadv a USING (orm_framework)
+  UNION ALL SELECT project_id, 40, '1|' || path || '|' || lpad(CAST(ord AS VARCHAR), 19, '0') || '|' || lpad(CAST(j AS VARCHAR), 19, '0'), line FROM exr
   UNION ALL SELECT project_id, 50, '0000', CASE WHEN volume_score > 60 THEN '**Primary: AWS Database Migration Service (DMS)**'
       ELSE '**Primary: Oracle SQL Developer + Ora2Pg**' END FROM sc
   UNION ALL SELECT project_id, 50, '0001', '**Recommended:** Based on complexity score ' || overall || '/100' FROM sc
@@ -358,8 +364,8 @@ p AS (
     LEFT JOIN pdb USING (project_id) LEFT JOIN pparts USING (project_id)),
 risks AS ({risks}),
 recs AS ({recs}),
-tk AS (SELECT *, '1|' || path || '|' || CAST(struct_extract(seen, 1) AS VARCHAR) || '|' || lpad(CAST(struct_extract(seen, 2) AS VARCHAR), 10, '0')
-                 || '|' || lpad(CAST(struct_extract(seen, 3) AS VARCHAR), 10, '0') AS k FROM tu),
+tk AS (SELECT *, '1|' || path || '|' || CAST(struct_extract(seen, 1) AS VARCHAR) || '|' || lpad(CAST(struct_extract(seen, 2) AS VARCHAR), 19, '0')
+                 || '|' || lpad(CAST(struct_extract(seen, 3) AS VARCHAR), 19, '0') AS k FROM tu),
 ex AS (SELECT project_id, path, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS ord, unnest(l) AS extension FROM ext),
 rows AS (
   SELECT project_id, 10 AS section, '0000' AS sub, '- **Total Java Files:** ' || total_files_all AS line FROM p
@@ -395,13 +401,13 @@ rows AS (
   UNION ALL SELECT project_id, 60, k || '|b', '- Tables: ' || array_to_string(tables, ', ') FROM tk
   UNION ALL SELECT project_id, 60, k || '|c', '- Oracle Mapping Complexity: **' || complexity || '**' FROM tk
   UNION ALL SELECT project_id, 60, k || '|d', '- Suggested Oracle Type: `' || oracle_type || '`' FROM tk
-  UNION ALL SELECT project_id, 70, '1|' || path || '|' || lpad(CAST(ord AS VARCHAR), 6, '0'),
+  UNION ALL SELECT project_id, 70, '1|' || path || '|' || lpad(CAST(ord AS VARCHAR), 19, '0'),
       '- **' || extension || '** - Requires Oracle equivalent or custom implementation' FROM ex
   UNION ALL SELECT project_id, 70, '0000', 'No PostgreSQL extensions detected.' FROM p WHERE project_id NOT IN (SELECT project_id FROM ex)
-  UNION ALL SELECT project_id, 80, '1|' || path || '|' || lpad(CAST(first_ord - 1 AS VARCHAR), 6, '0'),
+  UNION ALL SELECT project_id, 80, '1|' || path || '|' || lpad(CAST(first_ord - 1 AS VARCHAR), 19, '0'),
       '- **' || type || '** (' || count || ' indexes) - Oracle Support: ' || CASE WHEN oracle_support THEN 'Yes' ELSE 'No - Requires redesign' END FROM ix
   UNION ALL SELECT project_id, 90, '0000', '**Total Native Queries:** ' || native_queries FROM p
   UNION ALL SELECT project_id, 100, '1|' || id, '| ' || id || ' | ' || category || ' | ' || severity || ' | ' || description || ' |' FROM risks
-  UNION ALL SELECT project_id, 110, '1|' || lpad(CAST(rule_no AS VARCHAR), 2, '0'),
+  UNION ALL SELECT project_id, 110, '1|' || lpad(CAST(rule_no AS VARCHAR), 19, '0'),
       '- **' || dimension || '** (' || severity || '): ' || issue || ' - ' || mitigation FROM recs)
 SELECT project_id, 'pg-as-is-analysis' AS doc, section, sub, line FROM rows"""

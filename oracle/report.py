@@ -70,35 +70,38 @@ FROM projects LEFT JOIN mt USING (migration_type)"""
 a AS (SELECT project_id, count(*) AS n FROM jf GROUP BY 1), b AS (SELECT project_id, count(*) AS n FROM of0 GROUP BY 1)
 SELECT coalesce(a.project_id, b.project_id) AS project_id, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS total_files
 FROM a FULL JOIN b ON a.project_id = b.project_id"""
-    lastddl = f"allddl AS ({for_duckdb(ddl_files_sql())}),\n" \
-              "files AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
-    q["expected_objects"] = "WITH " + lastddl + OD.STMTS + """,
+    allddl = f"files AS ({for_duckdb(ddl_files_sql())})"
+    q["expected_objects"] = "WITH " + allddl + OD.STMTS + """,
 db AS (SELECT project_id, sum(tables) AS tables, sum(sequences) AS sequences, sum(views) AS views,
          sum(functions) AS functions, sum(stored_procedures) AS stored_procedures FROM ftot GROUP BY project_id)
 SELECT project_id, tables || ' tables created' AS ddl_001, sequences || ' sequences + new SERIAL sequences' AS ddl_007,
   views || ' views work correctly' AS ddl_010, CAST(functions AS BIGINT) AS functions_to_test,
   CAST(stored_procedures AS BIGINT) AS procedures_to_test FROM db"""
-    q["pg_source_block"] = ("WITH jf AS (" + for_duckdb(java_files_sql()) + ")" + OP.BASE + OP.QUERIES + ",\n" + lastddl
+    q["pg_source_block"] = ("WITH jf AS (" + for_duckdb(java_files_sql()) + ")" + OP.BASE + OP.QUERIES + ",\n" + allddl
                             + OD.STMTS + OP.ddl_feature_ctes() + OP.java_project_ctes() + OP.scores_cte() + """
 SELECT project_id, array_to_string(extension_list, ', ') AS extensions, native_queries AS native_query_count,
-  coalesce((SELECT string_agg(type, ', ' ORDER BY seen) FROM tu WHERE tu.project_id = sc.project_id), '') AS data_types,
-  coalesce((SELECT string_agg(type, ', ' ORDER BY first_ord) FROM ix WHERE ix.project_id = sc.project_id), '') AS index_types
+  coalesce((SELECT string_agg(type, ', ' ORDER BY fat) FROM ptu WHERE ptu.project_id = sc.project_id), '') AS data_types,
+  coalesce((SELECT string_agg(type, ', ' ORDER BY fat) FROM pix WHERE pix.project_id = sc.project_id), '') AS index_types
 FROM sc""")
     # COBOL dashboard tiles and the as-is report rows
     CW = "WITH " + OC.files_cte() + OC.scores_cte() + OC.details_cte() + OC.project_scores_cte()
-    ddl_all = f",\nallddl AS ({for_duckdb(ddl_files_sql())}),\n" \
-              "lastf AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
-    ddlw = ddl_all + OD.STMTS.replace("FROM files)", "FROM lastf)").replace("FROM (SELECT DISTINCT project_id, path FROM st) f)",
+    ddl_all = f",\nallddl AS ({for_duckdb(ddl_files_sql())})"
+    ddlw = ddl_all + OD.STMTS.replace("FROM files)", "FROM allddl)").replace("FROM (SELECT DISTINCT project_id, path FROM st) f)",
                                                                           "FROM (SELECT DISTINCT project_id, path FROM st) f)")
-    q["dashboard_tiles"] = CW + ddlw + """,
-db AS (SELECT project_id, sum(tables) AS tables, sum(functions) AS functions FROM ftot GROUP BY project_id),
-tot AS (SELECT project_id, count(*) AS total_files, sum(loc) AS total_loc FROM files GROUP BY project_id)
+    PGW = ("WITH jf AS (" + for_duckdb(java_files_sql()) + ")" + OP.BASE + OP.QUERIES + ",\n" + allddl + OD.STMTS
+           + OP.ddl_feature_ctes() + OP.java_project_ctes() + OP.scores_cte())
+    q["dashboard_tiles"] = f"""
 SELECT p.project_id,
-  CAST(CASE WHEN p.migration_type = 'COBOL-to-Java' THEN coalesce(db.tables, 0) ELSE coalesce(tot.total_files, 0) END AS BIGINT) AS tile_files_or_tables,
-  CAST(coalesce(tot.total_loc, 0) AS BIGINT) AS tile_loc,
-  CAST(CASE WHEN p.migration_type = 'COBOL-to-Java' THEN coalesce(db.tables, 0) ELSE coalesce(db.functions, 0) END AS BIGINT) AS tile_programs,
-  coalesce(ps.difficulty, 'Unknown') AS tile_difficulty
-FROM projects p LEFT JOIN db USING (project_id) LEFT JOIN tot USING (project_id) LEFT JOIN ps USING (project_id)"""
+  CAST(CASE WHEN p.is_db THEN coalesce(db.tables, 0) ELSE coalesce(ct.total_files, 0) END AS BIGINT) AS tile_files_or_tables,
+  CAST(CASE WHEN p.is_db THEN coalesce(jt.total_loc, 0) ELSE coalesce(ct.total_loc, 0) END AS BIGINT) AS tile_loc,
+  CAST(CASE WHEN p.is_db THEN coalesce(db.functions, 0) ELSE coalesce(db.tables, 0) END AS BIGINT) AS tile_programs,
+  coalesce(CASE WHEN p.is_db THEN pg.difficulty ELSE cs.difficulty END, 'Unknown') AS tile_difficulty
+FROM (SELECT *, migration_type IN ('PostgreSQL-to-Oracle', 'Oracle-to-PostgreSQL', 'MySQL-to-Oracle') AS is_db FROM ({for_duckdb(PROJECTS_SQL)})) p
+LEFT JOIN (WITH {allddl}{OD.STMTS} SELECT project_id, sum(tables) AS tables, sum(functions) AS functions FROM ftot GROUP BY project_id) db USING (project_id)
+LEFT JOIN ({CW} SELECT project_id, count(*) AS total_files, sum(loc) AS total_loc FROM files GROUP BY project_id) ct USING (project_id)
+LEFT JOIN ({CW} SELECT project_id, difficulty FROM ps) cs USING (project_id)
+LEFT JOIN ({PGW} SELECT project_id, difficulty FROM sc) pg USING (project_id)
+LEFT JOIN ({PGW} SELECT project_id, sum(loc) AS total_loc FROM jfile GROUP BY project_id) jt USING (project_id)"""
     q.update(sql_rollups())
     q.update(report_sql())
     q["project_metadata"] = metadata_sql()
@@ -112,9 +115,8 @@ SELECT project_id, count(*) AS total_files, CAST(sum(loc) AS BIGINT) AS total_lo
     q["cobol_dependencies"] = "WITH " + OC.files_cte() + OC.edges_cte() + """
 SELECT f.project_id, f.path, f.name AS source, string_agg(e.target, ', ' ORDER BY e.first_pos) AS targets
 FROM files f JOIN edges e USING (project_id, path) GROUP BY f.project_id, f.path, f.name"""
-    lastddl = f"allddl AS ({for_duckdb(ddl_files_sql())}),\n" \
-              "files AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
-    q["cobol_database"] = "WITH " + lastddl + OD.STMTS + f""",
+    allddl = f"files AS ({for_duckdb(ddl_files_sql())})"
+    q["cobol_database"] = "WITH " + allddl + OD.STMTS + f""",
 projects AS ({for_duckdb(PROJECTS_SQL)}),
 db AS (SELECT project_id, sum(tables) AS tables, sum(views) AS views, sum(stored_procedures) AS stored_procedures,
          sum(indexes) AS indexes, sum(triggers) AS triggers, sum(functions) AS functions FROM ftot GROUP BY project_id)
@@ -133,7 +135,7 @@ def report_rows_sql() -> str:
     W = ("WITH " + OC.files_cte() + OC.scores_cte() + OC.details_cte() + OC.project_scores_cte() + OC.edges_cte()
          + f",\nallddl AS ({for_duckdb(ddl_files_sql())}),\n"
          "lastf AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
-         + OD.STMTS.replace("FROM files)", "FROM lastf)") + f""",
+         + OD.STMTS.replace("FROM files)", "FROM allddl)") + f""",
 mt AS ({mt}),
 db AS (SELECT project_id, sum(tables) AS tables, sum(views) AS views, sum(indexes) AS indexes,
          sum(stored_procedures) AS stored_procedures, sum(triggers) AS triggers, sum(functions) AS functions
@@ -205,7 +207,7 @@ rows AS (
   UNION ALL SELECT project_id, 55, '0001', '### 4.2 High Complexity Modules' FROM p
   UNION ALL SELECT DISTINCT project_id, 60, '0000', '| Module | Complexity Score | Risk Level | Recommendation |' FROM top10
   UNION ALL SELECT DISTINCT project_id, 60, '0001', '|--------|------------------|------------|----------------|' FROM top10
-  UNION ALL SELECT project_id, 60, '1|' || lpad(CAST(rk AS VARCHAR), 4, '0'), '| ' || name || ' | ' || complexity || ' | ' ||
+  UNION ALL SELECT project_id, 60, '1|' || lpad(CAST(rk AS VARCHAR), 19, '0'), '| ' || name || ' | ' || complexity || ' | ' ||
       CASE WHEN complexity > 40 THEN 'High' ELSE 'Medium' END || ' | ' ||
       CASE WHEN complexity > 40 THEN 'Consider breaking into smaller modules during migration' ELSE 'Review and simplify logic where possible' END || ' |' FROM top10
   UNION ALL SELECT project_id, 60, '0000', '*[No high-complexity modules identified]*' FROM p WHERE project_id NOT IN (SELECT project_id FROM top10)
@@ -235,10 +237,9 @@ g AS (SELECT project_id, 'as-is-analysis' AS doc, {checks} FROM rows GROUP BY pr
 
 def metadata_sql() -> str:
     """M16 document as JSON (DuckDB struct -> to_json; same key order, nulls absent)."""
-    lastddl = f"allddl AS ({for_duckdb(ddl_files_sql())}),\n" \
-              "lastf AS (SELECT * FROM allddl a WHERE path = (SELECT max(path) FROM allddl b WHERE b.project_id = a.project_id))"
-    W = ("WITH " + OC.files_cte() + OC.scores_cte() + OC.details_cte() + OC.project_scores_cte() + ",\n" + lastddl
-         + OD.STMTS.replace("FROM files)", "FROM lastf)"))
+    allddl = f"allddl AS ({for_duckdb(ddl_files_sql())})"
+    W = ("WITH " + OC.files_cte() + OC.scores_cte() + OC.details_cte() + OC.project_scores_cte() + ",\n" + allddl
+         + OD.STMTS.replace("FROM files)", "FROM allddl)"))
     lst = lambda cat: (f"coalesce((SELECT list(detail ORDER BY ord) FROM pdet WHERE pdet.project_id = ps.project_id "
                        f"AND cat = '{cat}'), [])")
     return W + f""",
