@@ -234,72 +234,35 @@ def _newlines(x: Column) -> Column:
     return F.length(x) - F.length(F.regexp_replace(x, "\n", ""))
 
 
-IN_ROW_MATCHES = 1024
-MIN_MATCH_CHARS = 8      # every match of the query patterns is longer than this
-
-
-def _match_arrays(files: DataFrame, pattern: str, groups: list[int]) -> DataFrame:
-    return files.select(*KEYS, F.split("content", pattern, -1).alias("pieces"),
-                        F.regexp_extract_all("content", F.lit(pattern), 0).alias("ms"),
-                        *[F.regexp_extract_all("content", F.lit(pattern), g).alias(f"g{g}") for g in groups]) \
-        .where(F.size("ms") > 0)
-
-
-def _lines_in_row(arr: DataFrame, gnames: list[str]) -> DataFrame:
-    small = arr.select(*KEYS, "ms", *gnames, F.transform("pieces", _newlines).alias("pnl"),
-                       F.transform("ms", _newlines).alias("mnl"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    before = F.transform("ms", lambda m, i: total(F.slice("pnl", 1, i + 1)) + total(F.slice("mnl", 1, i)))
-    return small.select(*KEYS, F.posexplode(F.arrays_zip(before.alias("b"), *gnames)).alias("i", "z")).select(
-        *KEYS, c("i").cast("long").alias("ord"), (c("z.b") + 1).cast("long").alias("line"),
-        *[c(f"z.{g}").alias(g) for g in gnames])
-
-
-def _lines_windowed(arr: DataFrame, gnames: list[str]) -> DataFrame:
-    pieces = arr.select(*KEYS, F.posexplode("pieces").alias("i", "t")).select(
-        *KEYS, (c("i") * 2).alias("seq"), _newlines(c("t")).alias("nl"))
-    ms = arr.select(*KEYS, F.posexplode(F.arrays_zip("ms", *gnames)).alias("i", "z")).select(
-        *KEYS, (c("i") * 2 + 1).alias("seq"), _newlines(c("z.ms")).alias("nl"), "i",
-        *[c(f"z.{g}").alias(g) for g in gnames])
-    u = ms.unionByName(pieces, allowMissingColumns=True)
-    w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return u.withColumn("before", F.coalesce(F.sum("nl").over(w), F.lit(0))).where(c("seq") % 2 == 1) \
-        .select(*KEYS, c("i").cast("long").alias("ord"), (c("before") + 1).cast("long").alias("line"), *gnames)
-
-
-def _matches_with_lines(files: DataFrame, pattern: str, groups: list[int], literals: list[str] | None = None) \
-        -> DataFrame:
-    """Every match of ``pattern`` with its 1-based start line.
-
-    ``split`` by the pattern gives the text between matches; the newlines before
-    match i are those of pieces 0..i and matches 0..i-1.  A file with at most
-    IN_ROW_MATCHES matches sums them inside its row (O(n^2) in the matches, no
-    shuffle); a file with more explodes the sequence and sums it with a running
-    window.  Files too short to hold that many matches (length <= IN_ROW_MATCHES
-    x MIN_MATCH_CHARS) go straight to the in-row path, so the split costs one
-    regex pass per file.  Files without one of the ``literals`` every match
-    contains are skipped before any regex runs."""
-    if literals:
-        files = files.where(has_any(F.upper("content"), literals))
-    gnames = [f"g{g}" for g in groups]
-    bound = IN_ROW_MATCHES * MIN_MATCH_CHARS
-    short = _lines_in_row(_match_arrays(files.where(F.length("content") <= bound), pattern, groups), gnames)
-    long_arr = _match_arrays(files.where(F.length("content") > bound), pattern, groups)
-    few = _lines_in_row(long_arr.where(F.size("ms") <= IN_ROW_MATCHES), gnames)
-    many = _lines_windowed(long_arr.where(F.size("ms") > IN_ROW_MATCHES), gnames)
-    return short.unionByName(few).unionByName(many)
+def _matches(pattern: str, groups: tuple[int, int], kind: str, literals: list[str]) -> Column:
+    """Every match of ``pattern`` in ``content`` as (kind, i, newlines of the text before it since
+    the match before, newlines inside it, two groups).  A content without one of the
+    ``literals`` that every match contains is skipped before any regex runs.  ``split`` by
+    the pattern gives the text between matches (one piece more than there are matches)."""
+    found = lambda g: F.regexp_extract_all("content", F.lit(pattern), g)
+    z = F.arrays_zip(F.transform(F.split("content", pattern, -1), _newlines).alias("p"), F.transform(found(0), _newlines).alias("m"),
+                     found(groups[0]).alias("g1"), found(groups[1]).alias("g2"))
+    rows = F.transform(F.filter(z, lambda x: x["m"].isNotNull()), lambda x, i: F.struct(
+        F.lit(kind).alias("type"), i.alias("i"), x["p"].alias("p"), x["m"].alias("m"), x["g1"].alias("g1"), x["g2"].alias("g2")))
+    return F.when(has_any(F.upper("content"), literals), rows).otherwise(
+        F.expr("cast(array() as array<struct<type:string,i:int,p:int,m:int,g1:string,g2:string>>)"))
 
 
 def java_queries(src_files: DataFrame) -> DataFrame:
     """Annotation queries (all) and string-literal queries (PostgreSQL-specific
-    only), with 1-based line, feature list and flag."""
-    ann = _matches_with_lines(src_files, RE_ANNOTATION_QUERY, [1, 2], ["@QUERY"]).select(
-        *KEYS, "ord", "line", F.when(c("g1") != "", c("g1")).otherwise(c("g2")).alias("query"),
-        F.lit("annotation").alias("type"))
-    lit = _matches_with_lines(src_files, RE_LITERAL_QUERY, [1], ['"' + k for k in ["SELECT", "INSERT", "UPDATE",
-                                                                                  "DELETE", "CREATE", "ALTER", "DROP"]]).select(
-        *KEYS, "ord", "line", c("g1").alias("query"), F.lit("string_literal").alias("type"))
-    q = ann.unionByName(lit).withColumn("features", query_features(c("query")))
+    only), with 1-based line, feature list and flag.
+
+    Both patterns are found in one projection over the content and exploded once; a match's line is
+    the running sum of the newlines before it, in one window per file."""
+    found = src_files.select(*KEYS, F.explode(F.concat(
+        _matches(RE_ANNOTATION_QUERY, (1, 2), "annotation", ["@QUERY"]),
+        _matches(RE_LITERAL_QUERY, (1, 1), "string_literal", ['"' + k for k in ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP"]]))).alias("q"))
+    w = Window.partitionBy(*KEYS, "type").orderBy("i")
+    before = F.sum("p").over(w) + F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    q = found.select(*KEYS, "q.*").select(
+        *KEYS, c("i").cast("long").alias("ord"), (before + 1).cast("long").alias("line"),
+        F.when((c("type") == "string_literal") | (c("g1") != ""), c("g1")).otherwise(c("g2")).alias("query"), "type")
+    q = q.withColumn("features", query_features(c("query")))
     q = q.withColumn("has_pg_syntax", F.size("features") > 0)
     return q.where((c("type") == "annotation") | c("has_pg_syntax"))
 

@@ -96,14 +96,10 @@ def test_java_queries_lines_and_features(spark):
     assert f.type == "Repository" and f.native_queries == 2 and f.has_pg_dependency
 
 
-def test_java_query_lines_both_paths(spark, monkeypatch):
-    src = "\n".join(['@Query("SELECT a FROM t LIMIT 1")' if i % 3 == 0 else f"int x{i};" for i in range(40)])
-    files = files_df(spark, {"p0/BigRepository.java": src})
-    in_row = sorted((r.ord, r.line) for r in J.java_queries(files).collect())
-    monkeypatch.setattr(J, "MIN_MATCH_CHARS", 0)         # long-file path, still in-row
-    long_in_row = sorted((r.ord, r.line) for r in J.java_queries(files).collect())
-    assert long_in_row == in_row
-    monkeypatch.setattr(J, "IN_ROW_MATCHES", 0)          # force the windowed path
-    monkeypatch.setattr(J, "MIN_MATCH_CHARS", 0)
-    windowed = sorted((r.ord, r.line) for r in J.java_queries(files).collect())
-    assert in_row == windowed == [(k, 3 * k + 1) for k in range(14)]
+def test_java_query_lines_of_many_matches(spark):
+    """Matches that span lines, and far more of them than a usual file has."""
+    n = 3000
+    src = "\n".join(['@Query("SELECT a\nFROM t LIMIT 1")' if i % 3 == 0 else f"int x{i};" for i in range(n)])
+    got = J.java_queries(files_df(spark, {"p0/BigRepository.java": src})).where("type = 'annotation'").collect()
+    want = [k for k, line in enumerate(src.split("\n"), start=1) if line.startswith("@Query")]
+    assert sorted((r.ord, r.line) for r in got) == list(enumerate(want))

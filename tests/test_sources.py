@@ -52,7 +52,20 @@ def test_write_reports_and_metadata(spark, tmp_path):
     R.write_reports(rows, out)
     txt = spark.read.text(f"{out}/project_id=p1/doc=doc").collect()
     assert [r.value for r in txt] == ["# T", "line a", "line b"]
+    assert {(r.project_id, r.doc, r.lines, r.sections) for r in R.document_list(rows).collect()} == {("p1", "doc", 3, 2), ("p2", "doc", 1, 1)}
     md = spark.createDataFrame([("p1", 3, "Low")], "project_id string, total_files int, difficulty string")
     R.write_metadata(md, str(tmp_path / "meta"))
     j = spark.read.json(str(tmp_path / "meta/json")).collect()[0]
     assert j.project_id == "p1" and '"total_files":3' in j.json
+
+
+def test_dashboard_tiles_by_family(spark):
+    """One literal project of each migration type."""
+    types = ["COBOL-to-Java", "PostgreSQL-to-Oracle", "Oracle-to-PostgreSQL", "MySQL-to-Oracle", "Unknown"]
+    ctx = spark.createDataFrame([(f"p{k}", t) for k, t in enumerate(types)], "project_id string, migration_type string")
+    db = spark.createDataFrame([(f"p{k}", 7, 2, 3) for k in range(4)], "project_id string, tables long, stored_procedures long, functions long")
+    totals = spark.createDataFrame([(f"p{k}", 11, 500) for k in range(4)], "project_id string, total_files long, total_loc long")
+    scores = spark.createDataFrame([("p0", "High"), ("p1", "Low")], "project_id string, difficulty string")
+    tiles = lambda **k: {r.project_id: tuple(r)[1:] for r in R.dashboard_tiles(ctx, db, totals, scores, **k).collect()}
+    assert tiles() == {"p0": (11, 500, 7, "High"), "p1": (7, 500, 3, "Low"), "p2": (7, 500, 3, "Unknown"), "p3": (7, 500, 3, "Unknown"), "p4": (0, 0, 0, "Unknown")}
+    assert tiles(corrected=True)["p1"] == (7, 500, 5, "Low")
