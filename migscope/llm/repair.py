@@ -33,23 +33,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from migscope.llm.text import LAST, column, id_back, keyed, new_path, partitions, pieces, tokenizer_path
+from migscope.llm.text import LAST, column, id_back, kept_by_worker, keyed, mix, new_path, partitions, pieces, tokenizer_path
 
 END_ID = 2
 SHARD_IDS = 1 << 20
 #: A pair becomes a rule if a shard has it this often.
 MIN_COUNT = 32
-CACHE = 350_000
+#: Pre-tokens whose ids a task remembers.
+PARTS = 300_000
+#: Rounds end when one shortens the shard by less than this part.
+GAIN = 0.01
 TABLE = "part int, shard int, base long, n_ids long, docs array<struct<id:long,start:long,n:long>>, payload binary"
 
 
 # ---- encoding -------------------------------------------------------------------
 
+class Pieces:
+    """Ids of the pieces seen so far: an open-addressing table over numpy arrays.  A piece of up
+    to 24 bytes is its own key (three 64-bit words and the length), so equal keys are equal
+    pieces; whole batches are looked up at once.  The table starts anew when it is full."""
+
+    BITS, FULL = 21, 1_200_000
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.BITS
+        self.words, self.size = np.zeros((3, n), np.uint64), np.zeros(n, np.uint8)
+        self.entry = np.full(n, -1, np.int32)
+        self.ids, self.used = np.zeros(1 << 20, self.dtype), 0
+        self.first, self.count, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+
+    def add(self, ids: list[bytes]) -> int:
+        """Append the ids of new pieces; the number of the first of them."""
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        count = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(ids) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.first[self.n:self.n + len(ids)] = self.used + np.cumsum(count) - count
+        self.count[self.n:self.n + len(ids)] = count
+        self.used += len(flat)
+        self.n += len(ids)
+        return self.n - len(ids)
+
+    @staticmethod
+    def slots(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = mix(words[0] * np.uint64(0x9E3779B97F4A7C15) + mix(words[1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[2] + size.astype(np.uint64)))
+        return (h >> np.uint64(64 - Pieces.BITS)).astype(np.int64)
+
+    def find(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.full(len(size), -1, np.int64)
+        todo, slot = np.flatnonzero(size <= 24), self.slots(words, size)
+        slot = slot[todo]
+        while len(todo):
+            entry = self.entry[slot]
+            same = (self.words[0, slot] == words[0, todo]) & (self.words[1, slot] == words[1, todo]) & (self.words[2, slot] == words[2, todo]) & (self.size[slot] == size[todo])
+            hit = same & (entry >= 0)
+            out[todo[hit]] = entry[hit]
+            on = ~same & (entry >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def insert(self, words: np.ndarray, size: np.ndarray, entry: np.ndarray) -> None:
+        todo, slot = np.arange(len(size)), self.slots(words, size)
+        while len(todo):
+            free = self.entry[slot] < 0
+            self.entry[slot[free]] = entry[todo[free]]
+            placed = self.entry[slot] == entry[todo]
+            here, there = todo[placed], slot[placed]
+            self.words[:, there], self.size[there] = words[:, here], size[here]
+            todo, slot = todo[~placed], (slot[~placed] + 1) & ((1 << self.BITS) - 1)
+
+
 class Encoder:
-    """Ids of whole texts as the library gives them, as little-endian 16-bit (or 32-bit) bytes.
+    """Ids of whole texts as the library gives them.
 
     A text is cut before each single space.  No pre-token of a byte-level vocabulary reaches
-    over such a cut, so the ids of a text are those of its pieces in turn.  Frequent pieces are
+    over such a cut, so the ids of a text are those of its pieces in turn.  Pieces met before are
     looked up, the others are cut into pre-tokens, and the library's model encodes those that
     are new.  A text with two spaces in a row or a special string, and a piece with characters
     beyond Latin (whose classes depend on a library's Unicode version), goes to the library
@@ -60,7 +125,7 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.code = "H" if self.tok.get_vocab_size() < 1 << 16 else "I"
         self.dtype = np.dtype(f"<{'u2' if self.code == 'H' else 'u4'}")
         # The pre-token pattern and the byte alphabet of byte-level vocabularies.
@@ -69,11 +134,10 @@ class Encoder:
         others = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         self.beyond = re.compile("[^\x00-\u024f]").search
-        self.old: dict[str, bytes] = {}
-        self.new: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.known = Pieces(self.dtype)
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _part(self, p: str) -> bytes:
@@ -81,43 +145,59 @@ class Encoder:
         if (ids := self.parts.get(p)) is None:
             mapped = "\u0120" + p[1:] if p[0] == " " and p.isascii() and p[1:].isalnum() else p.encode().decode("latin-1").translate(self.alphabet)
             ids = array(self.code, [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
-            if len(self.parts) >= CACHE:
+            if len(self.parts) >= PARTS:
                 self.parts = {}
             self.parts[p] = ids
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        if self.beyond(piece):
-            return self._whole(piece)
-        body = piece[1:] if piece[:1] == " " else piece
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii() and self.beyond(piece):
+            return self.whole(piece)
+        body = piece[1:] if piece[0] == " " else piece
         if body.isalpha():  # one word, which is one pre-token
             return self._part(piece)
         if body[:-1].isalpha() and body[-1] in ".,":
             return self._part(piece[:-1]) + self._part(piece[-1])
         return b"".join([self._part(p) for p in self.pretokens(piece)])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for t in texts:
-            if "  " in t or any(s in t for s in self.special):
-                out.append(self._whole(t))
-                continue
-            units = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [x if not k else " " + x for k, x in enumerate(t.split(" "))]
-            found = list(map(self.new.get, units))
-            if None in found:
-                found = [self._known(u) if x is None else x for u, x in zip(units, found, strict=True)]
-            out.append(b"".join(found))
-        return out
-
-    def _known(self, piece: str) -> bytes:
-        """Two generations of pieces bound the memory and keep what is in use."""
-        if (ids := self.new.get(piece)) is None:
-            if (ids := self.old.get(piece)) is None:
-                ids = self._piece(piece)
-            if len(self.new) >= CACHE:
-                self.old, self.new = self.new, {}
-            self.new[piece] = ids
-        return ids
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        odd = {k: np.frombuffer(self.whole(t.decode()), self.dtype) for k, t in enumerate(texts) if b"  " in t or any(s in t for s in self.special)}
+        plain = [b"" if k in odd else t for k, t in enumerate(texts)]
+        if self.known.n > Pieces.FULL:
+            self.known.clear()
+        size = np.array([len(t) for t in plain], np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        total = int(begin[-1])
+        data = b"".join(plain) + bytes(32)
+        mark = np.frombuffer(data, np.uint8)[:total] == 32
+        mark[begin[:-1][size > 0]] = True
+        starts = np.flatnonzero(mark)
+        size = np.diff(np.append(starts, total))
+        view = np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
+        words = np.empty((3, len(starts)), np.uint64)
+        for k in range(3):
+            bits = (np.clip(size - 8 * k, 0, 8) * 8).astype(np.uint64)
+            keep = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, np.uint64(63))) - np.uint64(1))
+            words[k] = view[np.minimum(starts + 8 * k, total + 16)] & keep
+        entry = self.known.find(words, size)
+        local: dict[bytes, int] = {}
+        missing = np.flatnonzero(entry < 0)
+        found, ids = [], []
+        for s, n in zip(starts[missing].tolist(), size[missing].tolist(), strict=True):
+            p = data[s:s + n]
+            e = local.setdefault(p, len(ids))
+            if e == len(ids):
+                ids.append(self.piece(p.decode()))
+            found.append(e)
+        entry[missing] = np.array(found, np.int64) + self.known.add(ids)
+        new = missing[np.unique(np.array(found, np.int64), return_index=True)[1]] if len(found) else missing
+        new = new[size[new] <= 24]
+        self.known.insert(words[:, new], size[new].astype(np.uint8), entry[new].astype(np.int32))
+        count = self.known.count[entry].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.known.ids[np.repeat(self.known.first[entry] - upto[:-1], count) + np.arange(upto[-1])]
+        cut = upto[np.searchsorted(starts, begin)]
+        return [odd[k] if k in odd else ids[cut[k]:cut[k + 1]] for k in range(len(texts))]
 
 
 # ---- grammar --------------------------------------------------------------------
@@ -126,7 +206,8 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, min_count: int =
     """(symbols, left, right): rule ``first + k`` stands for ``left[k] right[k]``.  Every round
     counts all adjacent pairs, turns the frequent ones into rules and replaces their occurrences
     from left to right.  Frequent begins at a 512th of the first round's most frequent pair and
-    falls by eight from round to round to ``min_count``; rounds end when no pair has that many."""
+    falls by eight from round to round to ``min_count``; rounds end when no pair has that many
+    or one shortens the shard by less than ``GAIN``."""
     seq = ids.astype(np.uint32)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
@@ -140,9 +221,8 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, min_count: int =
         counts = np.bincount(slot, minlength=1 << bits)
         if least is None:
             least = max(min_count, int(counts.max()) // 512)
-        at = np.flatnonzero((counts >= least)[slot])
-        ends = np.flatnonzero(seq == end_id)
-        at = at[~np.isin(at, ends) & ~np.isin(at + 1, ends)] if len(ends) else at
+        end = seq == end_id
+        at = np.flatnonzero((counts >= least)[slot] & ~(end[:-1] | end[1:]))
         here, pair = slot[at], key[at]
         holder = np.zeros(1 << bits, key.dtype)  # one pair stands for each slot in a round
         holder[here] = pair
@@ -174,7 +254,9 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, min_count: int =
         seq[hit] = found
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq = seq[keep]
+        before, seq = len(seq), seq[keep]
+        if least == min_count and before - len(seq) < GAIN * before:
+            break
         least = max(min_count, least // 8)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
     return seq, join(left), join(right)
@@ -262,19 +344,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
                        ("docs", pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())]))), ("payload", pa.binary())])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = kept_by_worker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         part, first = TaskContext.get().partitionId(), encoder.tok.get_vocab_size()
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end = np.array([end_id], encoder.dtype)
         shard, base, held, rows, size = 0, 0, [], [], 0
 
         def out() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), encoder.dtype)
-            payload = pack(*compress(ids, first, end_id), first)
+            payload = pack(*compress(np.concatenate(held), first, end_id), first)
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "base": base, "n_ids": size, "docs": rows, "payload": payload}], schema=arrow)
 
         for batch, texts in pieces(batches, "text"):
-            for i, ids in zip(column(batch, "id").to_pylist(), encoder.encode([t.decode() for t in texts]), strict=True):
-                n = len(ids) // encoder.dtype.itemsize + 1
+            for i, ids in zip(column(batch, "id").to_pylist(), encoder.encode(texts), strict=True):
+                n = len(ids) + 1
                 if size and size + n > SHARD_IDS:
                     yield out()
                     shard, base, held, rows, size = shard + 1, base + size, [], [], 0
