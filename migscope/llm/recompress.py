@@ -8,11 +8,12 @@ they stand for, hence the same in every task and text.
 The symbol at a place depends on the words around it only so far: its context, which is carried
 along (a pair knows its parts; a symbol left alone also the neighbour that could have
 joined it; at the end of a text the context goes beyond it).  Two texts with the same words over
-a context have the same symbol in it.  So every ``WINDOW``-word window has a symbol that depends on
-nothing but the window: the leftmost one of the highest level whose context lies inside (words
-themselves are the lowest level, which makes the choice exist always).  Equal windows choose the same symbol at the
-same place; shared symbols reveal repeats, and the windows around them verify them
-(``repeats``), by 128 bits of their content.
+a context have the same symbol in it.  So every ``window``-word window has a symbol that depends on
+nothing but the window: of the highest level with symbols whose context lies inside its first
+``reach`` words, the one with the least hash (words themselves are the lowest level, so there
+is always one).  Equal windows choose the same symbol at the same place.  Symbols that agree in
+the ``window - reach`` words after that place reveal repeats, and the windows around them
+verify them (``repeats``), by 128 bits of their content.
 
 Cases: null and empty texts have no words; texts shorter than a window lose none; a null id
 sorts last; rows that agree in id and text share a result, and neither is earlier; an empty
@@ -27,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migscope.llm.repeats import ANCHOR, repeated_windows
+from migscope.llm.repeats import ANCHOR, asked, batch_of, cover, repeated_windows
 from migscope.llm.text import bounds, column, id_back, keyed, mix, pieces, word_hashes
 
 WINDOW = 50
-ROUNDS, RUNS_AT = 6, (0, 3)
+REACH = 24
+ROUNDS, RUNS_AT = 2, (0,)
+#: Widths of the blocks in which windows are compared where names meet different content.
+STEPS = (1,)
 END = np.uint64(0)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -95,98 +99,110 @@ def levels(flat: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
     return out
 
 
-def choose(flat: np.ndarray, begin: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, symbol's context, first window, number of windows) of the anchors, in order."""
+def least_in(names: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The place of the least of ``names[first:end]`` (the leftmost of equals) for many ranges, none empty."""
+    bits = max(int(len(names)).bit_length(), 1)
+    value = (names >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(names), dtype=np.uint64)
+    step = np.frexp(end - first)[1] - 1  # 2**step is the largest power of two within the range
+    out = np.empty(len(first), np.uint64)
+    for k in range(int(step.max(initial=0)) + 1):
+        if k:
+            value = np.minimum(value[:-(1 << (k - 1))], value[1 << (k - 1):])
+        here = np.flatnonzero(step == k)
+        out[here] = np.minimum(value[first[here]], value[end[here] - (1 << k)])
+    return (out & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def choose(flat: np.ndarray, begin: np.ndarray, size: int, reach: int = REACH, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin of the symbol's context, first window, number of windows) of the anchors, in order."""
     n = len(flat)
     ends = np.repeat(begin[1:] - 1, np.diff(begin))
     todo = np.flatnonzero(np.arange(n) + size <= ends)
-    owner = np.zeros(n, np.int64)  # chosen symbol of each window, as level and place
-    name = np.zeros(n, np.uint64)
+    owner = np.zeros(n, np.int64)  # chosen symbol of each window, as place and level
     place = np.zeros(n, np.int64)
     for number, level in reversed(list(enumerate(levels(flat, rounds)))):
         if not len(todo):
             break
-        before = np.cumsum(np.bincount(np.maximum(level.low, -1) + 1, minlength=n + 1))  # symbols whose context begins before each place
-        k = np.minimum(before[todo], len(level.low) - 1)
-        good = (level.low[k] >= todo) & (level.high[k] <= todo + size)
-        at, k = todo[good], k[good]
+        # The symbols whose context lies inside the first ``reach`` words of a window are neighbours.
+        before = np.cumsum(np.bincount(np.maximum(level.low, -1) + 1, minlength=n + 2))
+        upto = np.cumsum(np.bincount(np.minimum(level.high, n + 1), minlength=n + 2))
+        first, end = before[todo], upto[todo + reach]
+        good = first < end
+        at = todo[good]
+        k = least_in(mix(level.name), first[good], end[good])
         owner[at] = k * 64 + number + 1
-        name[at] = mix(level.name[k] + np.uint64(number * 0x94D049BB133111EB % (1 << 64)))
         place[at] = level.low[k]
         todo = todo[~good]
     mine = np.flatnonzero(owner)
     new = np.ones(len(mine), bool)
     new[1:] = (owner[mine[1:]] != owner[mine[:-1]]) | (mine[1:] != mine[:-1] + 1)
     first = mine[new]
-    count = np.diff(np.append(np.flatnonzero(new), len(mine)))
-    return name[first], place[first], first, count
+    return place[first], first, np.diff(np.append(np.flatnonzero(new), len(mine)))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64, at least ``n`` of them (kept by the task)."""
+    have = POWERS.get(base)
+    if have is None or len(have) < n:
+        n = max(n, 1 << 16)
+        have = np.full(n, np.uint64(base))
+        have[0] = 1
+        have = POWERS[base] = np.cumprod(have)
+    return have
+
+
+POWERS: dict[int, np.ndarray] = {}
 
 
 class Rolling:
-    """Names of any stretch of a sequence: two polynomial sums modulo 2**64."""
+    """Names of any stretch of a sequence: polynomial sums modulo 2**64, of two bases."""
 
     def __init__(self, symbols: np.ndarray):
-        self.sums, self.back = [], []
-        for k, base in enumerate(BASES):
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(symbols), np.uint64(base | 1))]))
-            inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(symbols), np.uint64(pow(base | 1, -1, 1 << 64)))]))
-            values = symbols if k == 0 else mix(symbols + np.uint64(k))
-            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(values * power[:-1])]))
-            self.back.append(inverse)
+        self.symbols, self.sums = symbols, {}
 
     def names(self, first: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
-        return mix((self.sums[k][end] - self.sums[k][first]) * self.back[k][first])
+        n = len(self.symbols)
+        if k not in self.sums:
+            values = self.symbols if k == 0 else mix(self.symbols + np.uint64(k))
+            sums = self.sums[k] = np.zeros(n + 1, np.uint64)
+            np.cumsum(values * powers(BASES[k], n)[:n], out=sums[1:])
+        back = powers(pow(BASES[k], -1, 1 << 64), n + 1)
+        return mix((self.sums[k][end] - self.sums[k][first]) * back[first])
 
 
-def anchors_of(size: int, rounds: int):
+def anchors_of(size: int, reach: int, rounds: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "text", 2 << 20):
+        for batch, texts in pieces(batches, "text", 1 << 19):
             flat, begin = flat_words(texts)
-            name, place, first, count = choose(flat, begin, size, rounds)
-            content = Rolling(flat).names(first, first + count - 1 + size)
-            content = mix(content + (place - first).astype(np.uint64) * np.uint64(65537) + count.astype(np.uint64))
+            place, first, count = choose(flat, begin, size, reach, rounds)
+            rolling = Rolling(flat)
+            content = mix(rolling.names(first, first + count - 1 + size) + (place - first).astype(np.uint64) * np.uint64(65537) + count.astype(np.uint64))
             doc = np.searchsorted(begin, first, "right") - 1
-            take = lambda c: column(batch, c).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(take("id")), pa.array(take("h")),
-                                              pa.array((first - begin[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], ["k", "c", "id", "h", "at", "n"])
+            yield batch_of(batch, doc, begin, rolling.names(place, place + size - reach), content, first, count, place)
 
     return made
 
 
-def windows_of(size: int):
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "text", 2 << 20):
-            flat, begin = flat_words(texts)
-            at, m, doc = asked(batch, begin)
-            rolling = Rolling(flat)
-            take = lambda c: column(batch, c).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(rolling.names(at, at + size, 0).view(np.int64)), pa.array(rolling.names(at, at + size, 1).view(np.int64)), pa.array(take("id")), pa.array(take("h")),
-                                              pa.array((at - begin[doc]).astype(np.int32)), pa.array(m.astype(np.int32))], ["a", "b", "id", "h", "at", "m"])
-
-    return made
+def blocks_of(size: int):
+    def of(width: int):
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in pieces(batches, "text", 1 << 19):
+                flat, begin = flat_words(texts)
+                yield block_batch(batch, begin, Rolling(flat), width, size)
 
+        return made
 
-def asked(batch: pa.RecordBatch, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, m, row) of every window that a batch's rows are asked for."""
-    lists = column(batch, "asked")
-    doc = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-    at, n, m = (f.to_numpy() for f in lists.flatten().flatten())
-    shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    doc = np.repeat(doc, n)
-    return begin[doc] + np.repeat(at, n) + shift, np.repeat(m, n), doc
+    return of
 
 
-def cover(spans, size: int, length: int) -> np.ndarray:
-    """Which of ``length`` places the windows of the spans cover."""
-    edge = np.zeros(length + 1, np.int64)
-    if spans is not None:
-        at, n = (f.to_numpy() for f in spans.flatten())
-        np.add.at(edge, at, 1)
-        np.add.at(edge, np.minimum(at + n - 1 + size, length), -1)
-    return np.cumsum(edge[:-1]) > 0
+def block_batch(batch: pa.RecordBatch, begin: np.ndarray, rolling: Rolling, width: int, size: int) -> pa.RecordBatch:
+    """Blocks of ``width`` windows: name of the common part, name of all content."""
+    first, n, core, core_end, place, m, doc = asked(batch, begin, width, size)
+    content = rolling.names(first, first + n - 1 + size, 1) + n.astype(np.uint64) + (core - first).astype(np.uint64) * np.uint64(65537)
+    return batch_of(batch, doc, begin, rolling.names(core, core_end), mix(content), first, n, place, m)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, reach: int = REACH, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_text) of every row: the words that no earlier-starting window
     covers, joined by one space."""
     rows = keyed(docs, id_col, text_col)
@@ -207,8 +223,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: s
                 out.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
-    anchors = rows.mapInArrow(anchors_of(window, rounds), ANCHOR)
-    spans = repeated_windows(rows, anchors, windows_of(window), earlier=True)
+    reach = min(reach, window)
+    anchors = rows.mapInArrow(anchors_of(window, reach, rounds), ANCHOR)
+    spans = repeated_windows(rows, anchors, blocks_of(window), STEPS, earlier=True)
     out = rows.join(spans, ["id", "h"], "left").select("id", "text", "spans").mapInArrow(kept, "id long, n_words long, n_removed long, kept_text string")
     return out.select(id_back("id", id_col), "n_words", "n_removed", "kept_text")
 
@@ -217,4 +234,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-__all__ = ["Rolling", "choose", "cover", "dedup", "digest", "flat_words", "levels"]
+__all__ = ["Rolling", "block_batch", "choose", "dedup", "digest", "flat_words", "levels"]

@@ -1,55 +1,110 @@
 """Windows of texts that occur again, by anchors.  Shared by the two repeat finders.
 
-An operator cuts its texts into anchors: (k, c, id, h, at, n) stands for the ``n`` windows that
-start at ``at``, ``at + 1``, ...; ``k`` is the name of what all windows with this anchor share,
-``c`` the name of all their content.  Equal windows have equal ``k`` and the same place in it,
-which the operator guarantees.  So
+An operator cuts its texts into anchors: (k, c, id, h, span) stands for neighbouring windows of a
+text; ``k`` is the name of what all windows with this anchor share, ``c`` the name of all
+their content.  Equal windows have equal ``k`` and the same place in it, which the operator
+guarantees.  So
 
 * occurrences with one (k, c) repeat each other in all their windows, without a look at any;
-* only where one ``k`` has several ``c`` single windows are compared, of one occurrence a (k, c).
+* only where one ``k`` has several ``c`` smaller pieces are compared: blocks of windows with a
+  larger common part, then single windows, of one occurrence a (k, c).
 
-All steps are aggregates and joins on names with as many rows as there are anchors, or windows
-at the borders of repeats; no group is gathered."""
+The anchors of all texts cross the network once, by ``k``, and are told apart by sorted
+windows, which spill; a frequent passage has one row a text under each of its names, a small
+part of the rows.  What follows has as many rows as there are borders of repeats."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from migscope.llm.text import stored
+from migscope.llm.text import column, partitions, stored
 
-ANCHOR = "k long, c long, id long, h long, at int, n int"
-WINDOW = "a long, b long, id long, h long, at int, m int"
+ANCHOR = "k long, c long, id long, h long, span long"
+BLOCK = ANCHOR + ", m int"
 
 
-def repeated_windows(rows: DataFrame, anchors: DataFrame, windows: Callable, earlier: bool) -> DataFrame:
-    """(id, h, spans): windows of each text, as (at, n), that start in a text with a smaller id
-    (``earlier``) or at any other place.  ``windows`` maps batches of (id, h, text, asked: at, n, m)
-    to the single windows."""
-    known = stored(placed(anchors, earlier), "repeats")
-    asked = known.where("ask").groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "m")).alias("asked"))
-    single = rows.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(windows, WINDOW)
+def pack(at: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """``n`` windows from ``at`` on, whose anchor is ``place - at`` further, as one number."""
+    return (at.astype(np.int64) << 30) | (n.astype(np.int64) << 15) | (place - at).astype(np.int64)
+
+
+def unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, n, place)."""
+    at = span >> 30
+    return at, (span >> 15) & 0x7FFF, at + (span & 0x7FFF)
+
+
+def repeated_windows(rows: DataFrame, anchors: DataFrame, blocks: Callable, steps: tuple[int, ...], earlier: bool) -> DataFrame:
+    """(id, h, spans): windows of each text that start in a text with a smaller id (``earlier``)
+    or at any other place.  ``blocks(width)`` maps batches of (id, h, text, asked: span, m) to
+    blocks of ``width`` windows; the last of ``steps`` is 1, single windows."""
+    known = stored(placed(anchors.withColumn("m", F.lit(1)), earlier), "repeats")
+    spans = known.where("whole").select("id", "h", "span")
+    for width in steps:
+        asked = known.where("ask").groupBy("id", "h").agg(F.collect_list(F.struct("span", "m")).alias("asked"))
+        parts = rows.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(blocks(width), BLOCK)
+        if width > 1:
+            known = stored(placed(parts, earlier), "repeats")
+            found = known.where("whole")
+        else:
+            same = Window.partitionBy("k", "c")
+            again = F.col("id") > F.min("id").over(same) if earlier else F.sum("m").over(same) > 1
+            found = parts.withColumn("again", again).where("again")
+        spans = spans.union(found.select("id", "h", "span"))
+    return spans.groupBy("id", "h").agg(F.collect_list("span").alias("spans"))
+
+
+def placed(anchors: DataFrame, earlier: bool) -> DataFrame:
+    """The anchors whose name occurs again: ``whole`` if all their windows repeat, ``ask`` if parts of
+    them must be compared (``m``: 2 if their content occurs again)."""
+    a = anchors.repartition(partitions(anchors.sparkSession), "k").sortWithinPartitions("k", "c", "id", "h", "span")
+    name, content = Window.partitionBy("k"), Window.partitionBy("k", "c")
+    again = F.min("id").over(name) < F.max("id").over(name) if earlier else F.sum("m").over(name) > 1
+    a = a.withColumn("again", again).withColumn("several", F.min("c").over(name) < F.max("c").over(name)).where("again")
     if earlier:
-        again = single.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-        found = single.join(again, ["a", "b"]).where("id > low")
+        a = a.withColumn("whole", F.col("id") > F.min("id").over(content)).withColumn("ask", F.col("several") & ~F.col("whole")).withColumn("m", F.lit(1))
     else:
-        again = single.groupBy("a", "b").agg(F.sum("m").alias("total")).where("total > 1")
-        found = single.join(again, ["a", "b"])
-    spans = known.where("whole").select("id", "h", "at", "n").union(found.select("id", "h", "at", F.lit(1).alias("n")))
-    return spans.groupBy("id", "h").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+        first = F.row_number().over(content.orderBy("id", "h", "span")) == 1
+        a = a.withColumn("ask", F.col("several") & first).withColumn("total", F.sum("m").over(content)) \
+            .withColumn("whole", F.col("total") > 1).withColumn("m", F.least("total", F.lit(2)).cast("int"))
+    return a.where("whole or ask").select("id", "h", "span", "m", "whole", "ask")
 
 
-def placed(anchors: DataFrame, earlier: bool) -> DataFrame:
-    """The anchors whose name occurs again: ``whole`` if all their windows repeat, ``ask`` if
-    single windows must be compared (``m``: how often their content occurs)."""
-    by_name = anchors.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("times"))
-    by_name = by_name.where("low < high" if earlier else "times > 1").select("k", (F.col("c1") != F.col("c2")).alias("several"))
-    met = anchors.join(by_name, "k")
-    place = F.struct("id", "h", "at")
-    contents = met.groupBy("k", "c").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("m"), *([] if earlier else [F.min(place).alias("first")]))
-    both = met.join(contents, ["k", "c"])
-    whole = F.col("id") > F.col("low") if earlier else F.col("m") > 1
-    ask = F.col("several") & (F.col("id") == F.col("low") if earlier else place == F.col("first"))
-    return both.select("id", "h", "at", "n", F.least("m", F.lit(2)).cast("int").alias("m"), whole.alias("whole"), ask.alias("ask")).where("whole or ask")
+def asked(batch: pa.RecordBatch, begin: np.ndarray, width: int, size: int) -> tuple[np.ndarray, ...]:
+    """(first window, number of windows, begin of their common part, its end, place of the anchor, m,
+    row) of the blocks that a batch's rows are asked for.  Blocks lie ``width`` apart from
+    the anchor on, so equal windows are in blocks with the same common part."""
+    lists = column(batch, "asked")
+    doc = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+    span, m = (f.to_numpy() for f in lists.flatten().flatten())
+    at, n, place = unpack(span)
+    at, place = at + begin[doc], place + begin[doc]
+    near, far = (place - at - n + 1) // width, (place - at) // width  # numbers of the blocks, from the anchor to the left
+    many = far - near + 1
+    number = np.repeat(far, many) - (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
+    doc, m, place, at, last = (np.repeat(x, many) for x in (doc, m, place, at, at + n - 1))
+    right, left = place - number * width, place - number * width - width + 1
+    first = np.maximum(at, left)
+    return first, np.minimum(last, right) - first + 1, right, left + size, place, m, doc
+
+
+def cover(spans, size: int, length: int) -> np.ndarray:
+    """Which of ``length`` places the windows of the spans cover."""
+    edge = np.zeros(length + 1, np.int64)
+    if spans is not None:
+        at, n, _ = unpack(spans.to_numpy())
+        np.add.at(edge, at, 1)
+        np.add.at(edge, np.minimum(at + n - 1 + size, length), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def batch_of(batch: pa.RecordBatch, doc: np.ndarray, begin: np.ndarray, name: np.ndarray, content: np.ndarray, at: np.ndarray, n: np.ndarray, place: np.ndarray, m=None) -> pa.RecordBatch:
+    take = lambda c: pa.array(column(batch, c).to_numpy(zero_copy_only=False)[doc])
+    out = [pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), take("id"), take("h"), pa.array(pack(at - begin[doc], n, place - begin[doc]))]
+    return pa.RecordBatch.from_arrays([*out, *([] if m is None else [pa.array(m.astype(np.int32))])], ["k", "c", "id", "h", "span", *([] if m is None else ["m"])])
