@@ -102,6 +102,11 @@ def packed_line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES,
                     mask.cast("int").alias("mask"))
 
 
+def program_name(path) -> Column:
+    """The file name without suffix, in upper case."""
+    return F.upper(strip_suffix(basename(path), ".cbl"))
+
+
 def _bit(name: str) -> Column:
     return F.shiftright(F.col("mask"), FLAG_BITS.index(name)).bitwiseAND(F.lit(1))
 
@@ -161,7 +166,7 @@ def cobol_files(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: lis
           + F.col("when_lines") + F.col("goto"))
     return f.select(
         *FILE_KEYS,
-        F.upper(strip_suffix(basename("path"), ".cbl")).alias("name"),
+        program_name("path").alias("name"),
         F.lit("COBOL Program").alias("type"),
         "loc",
         cc.cast("long").alias("complexity"),

@@ -307,6 +307,31 @@ def map_types(columns: DataFrame, type_map: DataFrame, src_col: str = "data_type
         .withColumn("target_type", F.coalesce(c("target_type"), c(src_col)))
 
 
+# Oracle to PostgreSQL types of the design document (pattern, target, risk); $1 are the arguments.
+ORACLE_TO_PG = [
+    (r"^NUMBER\(10,0\)$", "INTEGER", "Low"),
+    (r"^NUMBER(\([0-9, ]+\))?$", "NUMERIC$1", "Low"),
+    (r"^VARCHAR2(\([0-9]+\))$", "VARCHAR$1", "Low"),
+    (r"^DATE$", "TIMESTAMP", "Medium"),
+    (r"^CLOB$", "TEXT", "Low"),
+    (r"^BLOB$", "BYTEA", "Low"),
+    (r"^RAW\([0-9]+\)$", "BYTEA", "Low"),
+]
+
+
+def oracle_to_postgres(columns: DataFrame, type_col: str = "data_type") -> DataFrame:
+    """V14, the other way: target type and risk of every Oracle column type; a type without a
+    rule keeps its name and is flagged."""
+    t = F.upper(F.trim(c(type_col)))
+    target, risk = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for pattern, to, level in reversed(ORACLE_TO_PG):
+        hit = t.rlike(pattern)
+        target = F.when(hit, F.regexp_replace(t, pattern, to)).otherwise(target)
+        risk = F.when(hit, F.lit(level)).otherwise(risk)
+    return columns.withColumn("mapped", target.isNotNull()).withColumn("risk", risk) \
+        .withColumn("target_type", F.coalesce(target, c(type_col)))
+
+
 # ----------------------------------------------------------------- V15
 def load_order(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Level of every table in foreign-key order (parents first): level 0 has no
@@ -393,15 +418,48 @@ def compare_baseline(actual: DataFrame, baseline: DataFrame) -> DataFrame:
                         .when(c("actual") <= c("target"), "PASS").otherwise("FAIL"))
 
 
+#: Bins between a group's least and greatest value that ``exact_percentile`` counts.
+PERCENTILE_BINS = 4096
+
+
+def exact_percentile(df: DataFrame, group: list[str], value: str, q: float, out: str) -> DataFrame:
+    """The exact (interpolated) q-quantile of ``value`` per group, in bounded state: values are counted in
+    equal bins between the group's extremes, and only the bins that hold the two wanted ranks
+    are ranked row by row.  NULL values do not count; a group without values has NULL."""
+    g = [f"g{i}" for i in range(len(group))]
+    named = lambda p: [c(x).alias(f"{p}{i}") for i, x in enumerate(group)]
+    on = lambda a, b: reduce(lambda x, y: x & y, [c(f"{a}{i}").eqNullSafe(c(f"{b}{i}")) for i in range(len(group))], F.lit(True))
+    values = df.where(c(value).isNotNull())
+    ends = values.groupBy(*named("e")).agg(F.count(F.lit(1)).alias("n"), F.min(c(value).cast("double")).alias("lo"), F.max(c(value).cast("double")).alias("hi"))
+    ends = ends.withColumn("pos", (c("n") - 1) * F.lit(q)).withColumn("first", F.floor("pos")).withColumn("last", F.ceil("pos"))
+    ends = F.broadcast(ends) if ends.limit(100_001).count() <= 100_000 else ends
+    width = (c("hi") - c("lo")) / PERCENTILE_BINS
+    bin_ = F.when(width > 0, F.least(F.floor((c("v") - c("lo")) / width), F.lit(PERCENTILE_BINS - 1))).otherwise(0).cast("int")
+    binned = values.select(*named("g"), c(value).cast("double").alias("v")).join(ends, on("g", "e")).select(*g, "v", bin_.alias("bin"), "pos", "first", "last")
+    counts = binned.groupBy(*[c(x).alias(f"w{i}") for i, x in enumerate(g)], c("bin").alias("b"), c("first").alias("wf"), c("last").alias("wl")).agg(F.count(F.lit(1)).alias("m"))
+    by_group = Window.partitionBy(*[f"w{i}" for i in range(len(group))]) if group else Window.partitionBy(F.lit(1))
+    before = F.coalesce(F.sum("m").over(by_group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    want = counts.withColumn("before", before).where((c("before") <= c("wl")) & (c("before") + c("m") > c("wf"))).drop("wf", "wl", "m")
+    rank = c("before") + F.row_number().over(Window.partitionBy(*g, "bin").orderBy("v")) - 1
+    ranked = binned.join(want, on("g", "w") & (c("bin") == c("b"))).withColumn("rank", rank)
+    hit = ranked.groupBy(*[c(x).alias(f"h{i}") for i, x in enumerate(g)], "pos").agg(
+        F.max(F.when(c("rank") == c("first"), c("v"))).alias("x"), F.max(F.when(c("rank") == c("last"), c("v"))).alias("y"))
+    part = c("pos") - F.floor("pos")
+    found = hit.select(*[f"h{i}" for i in range(len(group))], ((1 - part) * c("x") + part * c("y")).alias(out))
+    groups = df.select(*named("d")).distinct()
+    return groups.join(found, on("d", "h"), "left").select(*[c(f"d{i}").alias(x) for i, x in enumerate(group)], out)
+
+
 def latency_slo(df: DataFrame, group: list[Column], latency: str, is_error: Column,
                 mean_limit: float, p95_limit: float) -> DataFrame:
     """Mean and exact 95th percentile of latency and error count per group;
     PASS when mean < limit, p95 < limit and there are no errors."""
-    g = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.avg(latency).alias("mean_latency"),
-        F.percentile(c(latency), 0.95).alias("p95_latency"),
-        F.count_if(is_error).alias("errors"))
+    rows = df.select(*group, c(latency).alias("_latency"), is_error.alias("_error"))
+    names = rows.columns[:len(group)]
+    g = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("requests"), F.avg("_latency").alias("mean_latency"), F.count_if("_error").alias("errors"))
+    p = exact_percentile(rows, names, "_latency", 0.95, "p95_latency").select(*[c(x).alias(f"_p{i}") for i, x in enumerate(names)], "p95_latency")
+    on = reduce(lambda x, y: x & y, [c(x).eqNullSafe(c(f"_p{i}")) for i, x in enumerate(names)])
+    g = g.join(p, on).select(*names, "requests", "mean_latency", "p95_latency", "errors")
     ok = (c("mean_latency") < mean_limit) & (c("p95_latency") < p95_limit) & (c("errors") == 0)
     return g.withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
 

@@ -12,7 +12,7 @@ from migscope.operators import cobol as C
 from migscope.plans import project as M
 from migscope.plans import score as K
 from migscope.plans.rules import projects_from_nation
-from migscope.sources.generated import COBOL_BY_PART, COBOL_BY_SUPP, COBOL_ORDER, cobol_lines, cobol_raw
+from migscope.sources.generated import COBOL_BY_PART, COBOL_BY_SUPP, COBOL_ORDER, cobol_lines, cobol_paths_sql, cobol_raw, run_sql
 
 REGISTRY: dict = {}
 
@@ -112,14 +112,20 @@ def cobol_top10(spark, sf_dir):
     return M.high_complexity_top10(_files(spark, sf_dir, COBOL_BY_SUPP))
 
 
+def _programs(spark, sf_dir):
+    """Project, path and name of every program, from the listing alone."""
+    listed = run_sql(spark, sf_dir, cobol_paths_sql(**COBOL_BY_PART))
+    return listed.select("project_id", "path", C.program_name(F.col("path")).alias("name"))
+
+
 @register
 def dep_graph(spark, sf_dir):
-    return M.dependency_graph(_edges(spark, sf_dir), _files(spark, sf_dir))
+    return M.dependency_graph(_edges(spark, sf_dir), _programs(spark, sf_dir))
 
 
 @register
 def dep_unresolved(spark, sf_dir):
-    return M.unresolved_targets(_edges(spark, sf_dir), _files(spark, sf_dir))
+    return M.unresolved_targets(_edges(spark, sf_dir), _programs(spark, sf_dir))
 
 
 @register
@@ -499,6 +505,49 @@ def v_schema_diff(spark, sf_dir):
     return V.schema_diff(expected, migrated, keys)
 
 
+def _catalogue(spark, sf_dir):
+    """Objects of the DDL corpus: tables with their primary keys, foreign keys, and the others by kind."""
+    st = _stmts(spark, sf_dir)
+    keys = ["project_id", "path"]
+    t = D.ddl_tables(st)
+    parts = [t.select(*keys, F.lit("table").alias("kind"), F.col("table_name").alias("name"), F.lit(None).cast("string").alias("definition")),
+             t.where("primary_key is not null").select(*keys, F.lit("primary key").alias("kind"), F.col("table_name").alias("name"), _csv("primary_key").alias("definition")),
+             D.ddl_foreign_keys(D.table_items(st)).select(*keys, F.lit("foreign key").alias("kind"), F.col("fk_name").alias("name"), F.concat(
+                 F.col("table_name"), F.lit("("), _csv("columns"), F.lit(") -> "), F.col("referenced_table"), F.lit("("), _csv("referenced_columns"), F.lit(")")).alias("definition")),
+             D.ddl_objects(st).where("kind <> 'TABLE'").select(*keys, F.lower("kind").alias("kind"), "name", F.lit(None).cast("string").alias("definition"))]
+    from functools import reduce
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register
+def v_object_diff(spark, sf_dir):
+    """Every kind of catalogue object, against a migrated catalogue that lost the objects of the
+    files with key % 11 = 0 and whose keys are reversed where it is % 13 = 0."""
+    a = _catalogue(spark, sf_dir)
+    key_no = F.regexp_extract("path", r"C(\d+)\.sql$", 1).cast("long")
+    b = a.where(key_no % 11 != 0).withColumn("definition", F.when(key_no % 13 == 0, F.reverse("definition")).otherwise(F.col("definition")))
+    return V.object_diff(a, b, ["project_id", "path"])
+
+
+@register
+def v_type_map_oracle_pg(spark, sf_dir):
+    """V14, Oracle to PostgreSQL, over the catalogue in Oracle types."""
+    cols = V.map_types(D.ddl_columns(D.table_items(_stmts(spark, sf_dir))), _oracle_map(spark))
+    cols = cols.select("project_id", "path", "table_name", "column_name", F.when(F.col("target_type") == "VARCHAR", F.concat(F.lit("VARCHAR2("), F.coalesce(F.col("length"), F.lit(255)).cast("string"), F.lit(")")))
+                       .when(F.col("target_type").isin("INTEGER", "INT"), "NUMBER(10,0)").when(F.col("target_type") == "TIMESTAMP", "DATE")
+                       .when(F.col("target_type").isin("NUMERIC", "DECIMAL"), "NUMBER(10,2)").otherwise(F.col("target_type")).alias("data_type"))
+    return V.oracle_to_postgres(cols).select("project_id", "path", "table_name", "column_name", "data_type", "target_type", "mapped", "risk")
+
+
+@register
+def v_json_compare(spark, sf_dir):
+    """V8: the JSON of events against a target with lost (% 101), changed (% 103) and cut (% 107) rows."""
+    src = _t(spark, sf_dir, "events").select("event_id", "props")
+    k = F.col("event_id")
+    tgt = src.where(k % 101 != 0).withColumn("props", F.when(k % 103 == 0, '{"k": -1}').when(k % 107 == 0, '{"k":').otherwise(F.concat(F.lit(" "), F.col("props"))))
+    return V.json_compare(src, tgt, "event_id", "props").groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register
 def v_load_order(spark, sf_dir):
     st = _stmts(spark, sf_dir)
@@ -533,7 +582,7 @@ def v_alerts(spark, sf_dir):
 @register
 def v_baseline(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
-    actual = ev.groupBy("event_type").agg(F.percentile("value", 0.95).alias("actual"))
+    actual = V.exact_percentile(ev, ["event_type"], "value", 0.95, "actual")
     base = spark.createDataFrame(PERF_BASELINE, "metric string, description string, baseline double, "
                                                 "target double, event_type string")
     j = base.join(actual, "event_type", "left").drop("event_type")
@@ -800,7 +849,7 @@ def cobol_totals(spark, sf_dir):
 @register
 def cobol_dependencies(spark, sf_dir):
     """M4"""
-    return M.dependency_list(_files(spark, sf_dir), C.dependency_lists(_edges(spark, sf_dir)))
+    return M.dependency_list(_programs(spark, sf_dir), C.dependency_lists(_edges(spark, sf_dir)))
 
 
 @register

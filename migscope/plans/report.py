@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -145,6 +145,38 @@ DIMENSION_LABELS = [("Schema & Data Type Complexity", "schema_score"),
                     ("Operational & Runtime Risk", "ops_score")]
 
 
+# Title, score, detail list, impact and mitigation of each dimension in the as-is document.
+CHALLENGES = [
+    ("4.2 Dimension 1: Schema & Data Type Complexity", "schema",
+     "Complex PostgreSQL data types (JSONB, ARRAY, HSTORE) may require Entity annotation updates in Java code.",
+     "Update DDL scripts with Oracle equivalents. Modify Entity class annotations ONLY if automatic type mapping fails."),
+    ("4.3 Dimension 2: SQL & Query Rewrite Complexity", "sql",
+     "Extensive SQL query rewrites in @Query annotations and MyBatis XML required.",
+     "Rewrite SQL with Oracle syntax. **CRITICAL: Keep repository method signatures, parameters, and return types unchanged.**"),
+    ("4.4 Dimension 3: Stored Procedures, Functions & Triggers", "proc",
+     "PL/pgSQL to PL/SQL conversion requires careful review and testing.",
+     "Convert PL/pgSQL to PL/SQL in database layer. If called from Java (@Procedure), update only procedure name/parameters in Repository interface."),
+    ("4.5 Dimension 4: Data Volume & Migration Strategy", "volume",
+     "Large data volumes require careful migration planning and potential downtime.",
+     "Use Oracle Data Pump or AWS DMS. Recreate partitioning in Oracle DDL. Update Entity classes only if partition keys change."),
+    ("4.6 Dimension 5: Application & ORM Dependency", "app",
+     "Database layer Java code requires targeted updates.",
+     "Update JDBC driver in config files. Rewrite SQL in @Query and MyBatis XML. **Do NOT refactor repository methods or service layer logic.**"),
+    ("4.7 Dimension 6: Operational & Runtime Risk", "ops",
+     "PostgreSQL extensions and operational differences may affect application behavior.",
+     "Replace extensions in DDL with Oracle equivalents. Recreate GIN/GIST indexes. Update DB config files only."),
+]
+
+
+def _challenge_lines() -> Column:
+    """All lines of the six dimensions of a project, in order."""
+    parts = [F.concat(
+        F.array(F.lit(f"### {title}"), fmt("**Score:** %d/100", c(f"{k}_score")), F.lit("**Key Challenges:**")),
+        F.transform(f"{k}_details", lambda d: F.concat(F.lit("- "), d)),
+        F.array(F.lit(f"**Impact:** {impact}"), F.lit(f"**Mitigation:** {mitigation}"))) for title, k, impact, mitigation in CHALLENGES]
+    return F.concat(*parts)
+
+
 def pg_report_rows(ctx: DataFrame, scores: DataFrame, orm: DataFrame, inventory: DataFrame,
                    changes: DataFrame, change_summary: DataFrame, database: DataFrame, types: DataFrame,
                    extensions: DataFrame, indexes: DataFrame, risks: DataFrame, recs: DataFrame) -> DataFrame:
@@ -205,8 +237,14 @@ def pg_report_rows(ctx: DataFrame, scores: DataFrame, orm: DataFrame, inventory:
                        fmt("- **%s** (%d indexes) - Oracle Support: %s", c("type"), c("count"),
                            F.when(c("oracle_support"), "Yes").otherwise("No - Requires redesign"))))
     parts.append(_per_project(p, doc, 90, [fmt("**Total Native Queries:** %d", F.coalesce(c("native_queries"), F.lit(0)))]))
-    parts.append(_rows(risks, doc, 100, F.concat(F.lit("1|"), c("id")),
-                       fmt("| %s | %s | %s | %s |", c("id"), c("category"), c("severity"), c("description"))))
+    ch = scores.select("project_id", F.posexplode(_challenge_lines()).alias("i", "line"))
+    parts.append(_rows(ch, doc, 95, F.concat(F.lit("1|"), F.lpad(c("i").cast("string"), 19, "0")), c("line")))
+    no = F.row_number().over(Window.partitionBy("project_id").orderBy("id")) - 1
+    rl = risks.withColumn("no", no).select("project_id", "id", F.posexplode(F.array(
+        fmt("### Risk %d: %s - %s", c("no"), c("id"), c("category")), F.concat(F.lit("**Severity:** "), c("severity")),
+        F.concat(F.lit("**Description:** "), c("description")), F.concat(F.lit("**Impact:** "), c("impact")),
+        F.concat(F.lit("**Mitigation Strategy:** "), c("mitigation")))).alias("i", "line"))
+    parts.append(_rows(rl, doc, 100, F.concat(F.lit("1|"), c("id"), F.lit("|"), c("i").cast("string")), c("line")))
     parts.append(_rows(recs, doc, 110, F.concat(F.lit("1|"), F.lpad(c("rule_no").cast("string"), 19, "0")),
                        fmt("- **%s** (%s): %s - %s", c("dimension"), c("severity"), c("issue"), c("mitigation"))))
     return reduce(DataFrame.unionByName, parts)

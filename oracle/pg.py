@@ -327,6 +327,11 @@ def report_rows_sql(W: str, recs: str, risks: str) -> str:
     from migscope.plans.rules import MIGRATION_TYPES
     dims = "\n  ".join(f"UNION ALL SELECT project_id, 20, '{i + 2:04d}', '| {lbl} | ' || {col} || '/100 | ' || difficulty || ' |' FROM p"
                         for i, (lbl, col) in enumerate(R.DIMENSION_LABELS))
+    chlist = "list_concat(" + ", ".join(
+        f"list_concat([{lit('### ' + t)}, '**Score:** ' || {k}_score || '/100', '**Key Challenges:**'], "
+        f"list_concat(list_transform({k}_details, lambda d: '- ' || d), [{lit('**Impact:** ' + i)}, {lit('**Mitigation:** ' + m)}]))"
+        for t, k, i, m in R.CHALLENGES) + ")"
+    challenges = "UNION ALL SELECT project_id, 95, '1|' || lpad(CAST(i AS VARCHAR), 19, '0'), line FROM chl"
     return W + f""",
 ofl AS ({for_duckdb(orm_files_sql())}),
 tfiles AS (SELECT project_id, count(*) AS n FROM (SELECT project_id FROM jf UNION ALL SELECT project_id FROM ofl) GROUP BY 1),
@@ -363,6 +368,8 @@ p AS (
   FROM sc LEFT JOIN tfiles USING (project_id) LEFT JOIN porm USING (project_id) LEFT JOIN csum USING (project_id)
     LEFT JOIN pdb USING (project_id) LEFT JOIN pparts USING (project_id)),
 risks AS ({risks}),
+nrisks AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY id) - 1 AS no FROM risks),
+chl AS (SELECT project_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT project_id, {chlist} AS l FROM sc)),
 recs AS ({recs}),
 tk AS (SELECT *, '1|' || path || '|' || CAST(struct_extract(seen, 1) AS VARCHAR) || '|' || lpad(CAST(struct_extract(seen, 2) AS VARCHAR), 19, '0')
                  || '|' || lpad(CAST(struct_extract(seen, 3) AS VARCHAR), 19, '0') AS k FROM tu),
@@ -407,7 +414,12 @@ rows AS (
   UNION ALL SELECT project_id, 80, '1|' || path || '|' || lpad(CAST(first_ord - 1 AS VARCHAR), 19, '0'),
       '- **' || type || '** (' || count || ' indexes) - Oracle Support: ' || CASE WHEN oracle_support THEN 'Yes' ELSE 'No - Requires redesign' END FROM ix
   UNION ALL SELECT project_id, 90, '0000', '**Total Native Queries:** ' || native_queries FROM p
-  UNION ALL SELECT project_id, 100, '1|' || id, '| ' || id || ' | ' || category || ' | ' || severity || ' | ' || description || ' |' FROM risks
+  {challenges}
+  UNION ALL SELECT project_id, 100, '1|' || id || '|0', '### Risk ' || no || ': ' || id || ' - ' || category FROM nrisks
+  UNION ALL SELECT project_id, 100, '1|' || id || '|1', '**Severity:** ' || severity FROM risks
+  UNION ALL SELECT project_id, 100, '1|' || id || '|2', '**Description:** ' || description FROM risks
+  UNION ALL SELECT project_id, 100, '1|' || id || '|3', '**Impact:** ' || impact FROM risks
+  UNION ALL SELECT project_id, 100, '1|' || id || '|4', '**Mitigation Strategy:** ' || mitigation FROM risks
   UNION ALL SELECT project_id, 110, '1|' || lpad(CAST(rule_no AS VARCHAR), 19, '0'),
       '- **' || dimension || '** (' || severity || '): ' || issue || ' - ' || mitigation FROM recs)
 SELECT project_id, 'pg-as-is-analysis' AS doc, section, sub, line FROM rows"""

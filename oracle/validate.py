@@ -179,6 +179,40 @@ SELECT project_id, path, table_name, column_name,
   CASE WHEN NOT inb THEN 'missing_in_target' WHEN NOT ina THEN 'extra_in_target' WHEN len(d) > 0 THEN 'different' ELSE 'same' END AS status,
   CASE WHEN ina AND inb THEN array_to_string(d, ',') ELSE '' END AS differences, a_data_type, b_data_type
 FROM j WHERE NOT (ina AND inb AND len(d) = 0)"""
+    q["v_object_diff"] = W + """,
+a AS (
+  SELECT project_id, path, 'table' AS kind, table_name AS name, NULL AS definition FROM tables
+  UNION ALL SELECT project_id, path, 'primary key', table_name, primary_key FROM tables WHERE primary_key IS NOT NULL
+  UNION ALL SELECT project_id, path, 'foreign key', fk_name, table_name || '(' || columns || ') -> ' || referenced_table || '(' || referenced_columns || ')' FROM fks
+  UNION ALL SELECT project_id, path, lower(kind), name, NULL FROM obj WHERE name <> '' AND kind <> 'TABLE'),
+a1 AS (SELECT project_id, path, kind, name, min(definition) AS d FROM a GROUP BY ALL),
+b0 AS (SELECT *, CAST(regexp_extract(path, 'C(\\d+)\\.sql$', 1) AS BIGINT) AS k FROM a),
+b1 AS (SELECT project_id, path, kind, name, min(CASE WHEN k % 13 = 0 THEN reverse(definition) ELSE definition END) AS d, true AS there
+       FROM b0 WHERE k % 11 <> 0 GROUP BY ALL)
+SELECT a1.project_id, a1.path, a1.kind, a1.name, CASE WHEN there IS NULL THEN 'missing_in_target' ELSE 'different' END AS status,
+  a1.d AS a_definition, b1.d AS b_definition
+FROM a1 LEFT JOIN b1 ON a1.project_id = b1.project_id AND a1.path = b1.path AND a1.kind = b1.kind AND a1.name = b1.name
+WHERE there IS NULL OR a1.d IS DISTINCT FROM b1.d"""
+    q["v_type_map_oracle_pg"] = W + """,
+o AS (SELECT c.project_id, c.path, c.table_name, c.column_name, c.length, coalesce(m.target_type, c.data_type) AS t
+      FROM cols c LEFT JOIN tmap m ON m.type = c.data_type),
+d AS (SELECT project_id, path, table_name, column_name,
+        CASE WHEN t = 'VARCHAR' THEN 'VARCHAR2(' || coalesce(length, 255) || ')' WHEN t IN ('INTEGER', 'INT') THEN 'NUMBER(10,0)'
+             WHEN t = 'TIMESTAMP' THEN 'DATE' WHEN t IN ('NUMERIC', 'DECIMAL') THEN 'NUMBER(10,2)' ELSE t END AS data_type FROM o),
+e AS (SELECT *, CASE WHEN data_type = 'NUMBER(10,0)' THEN 'INTEGER'
+        WHEN regexp_full_match(data_type, 'NUMBER(\\([0-9, ]+\\))?') THEN replace(data_type, 'NUMBER', 'NUMERIC')
+        WHEN regexp_full_match(data_type, 'VARCHAR2\\([0-9]+\\)') THEN replace(data_type, 'VARCHAR2', 'VARCHAR')
+        WHEN data_type = 'DATE' THEN 'TIMESTAMP' WHEN data_type = 'CLOB' THEN 'TEXT' WHEN data_type = 'BLOB' THEN 'BYTEA'
+        WHEN regexp_full_match(data_type, 'RAW\\([0-9]+\\)') THEN 'BYTEA' END AS x FROM d)
+SELECT project_id, path, table_name, column_name, data_type, coalesce(x, data_type) AS target_type, x IS NOT NULL AS mapped,
+  CASE WHEN x IS NULL THEN NULL WHEN data_type = 'DATE' THEN 'Medium' ELSE 'Low' END AS risk FROM e"""
+    q["v_json_compare"] = """
+WITH t AS (SELECT event_id, CASE WHEN event_id % 103 = 0 THEN '{"k": -1}' WHEN event_id % 107 = 0 THEN '{"k":' ELSE ' ' || props END AS props
+           FROM events WHERE event_id % 101 <> 0),
+j AS (SELECT CASE WHEN t.event_id IS NULL THEN 'missing' WHEN NOT json_valid(t.props) THEN 'invalid'
+        WHEN CAST(json(s.props) AS VARCHAR) = CAST(json(t.props) AS VARCHAR) THEN 'same' ELSE 'changed' END AS status
+      FROM events s LEFT JOIN t ON s.event_id = t.event_id)
+SELECT status, count(*) AS rows FROM j GROUP BY status"""
     q["v_load_order"] = "WITH RECURSIVE " + ddl_files_cte() + STMTS + """,
 nodes AS (SELECT DISTINCT project_id, table_name AS tbl FROM tables),
 edges AS (SELECT DISTINCT f.project_id, f.table_name AS tbl, f.referenced_table AS parent FROM fks f

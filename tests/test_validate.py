@@ -166,3 +166,22 @@ def test_object_diff(spark):
     b = spark.createDataFrame([("t", "primary key", "pk", "id"), ("t", "index", "i1", "b"), ("t", "view", "v", "q"), ("t", "table", "t", None)], schema)
     assert {(r.kind, r.name): r.status for r in V.object_diff(a, b, ["table_name"]).collect()} == {
         ("index", "i1"): "different", ("check", "c1"): "missing_in_target", ("view", "v"): "extra_in_target"}
+
+
+def test_exact_percentile(spark):
+    import random
+    rng = random.Random(1)
+    rows = [(g, rng.choice([rng.gauss(0, 1), rng.expovariate(0.001), 5.0])) for g in ["a", "b", None] for _ in range(500)]
+    rows += [("one", 3.0), ("same", 2.0), ("same", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {r.g: r.p for r in V.exact_percentile(df, ["g"], "v", q, "p").collect()}
+        for g in {g for g, _ in rows}:
+            v = sorted(x for h, x in rows if h == g and x is not None)
+            if not v:
+                assert got[g] is None
+                continue
+            pos = q * (len(v) - 1)
+            lo, hi = v[int(pos)], v[min(len(v) - 1, int(pos) + (pos > int(pos)))]
+            assert abs(got[g] - (lo + (hi - lo) * (pos - int(pos)))) < 1e-9 * max(1, abs(hi))
+    assert V.exact_percentile(df.limit(0), ["g"], "v", 0.5, "p").collect() == []
