@@ -8,7 +8,7 @@ to ``size`` bytes; the parse is their occurrences.  In the suffix order of the c
 places have ``size`` common bytes exactly if their windows are equal, and only that is asked
 here, so equal names stand for equal ranks: occurrences of one dictionary entry repeat each
 other in all their windows; entries that agree in the ``size - reach`` bytes after the trigger are
-compared window by window, once an entry (``repeats``).  Highly repetitive text therefore
+compared by blocks of windows, then window by window, once an entry (``repeats``).  Highly repetitive text therefore
 costs its dictionary, not its length.
 
 Cases: null and empty texts have no bytes; texts shorter than ``size`` lose none; null ids and
@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migscope.llm.recompress import Rolling, asked, cover
-from migscope.llm.repeats import ANCHOR, repeated_windows
+from migscope.llm.recompress import Rolling, block_batch
+from migscope.llm.repeats import ANCHOR, batch_of, cover, repeated_windows
 from migscope.llm.text import bounds, column, id_back, keyed, mix, pieces
 
 SIZE, GRAM, REACH = 400, 8, 192
+#: Widths of the blocks in which windows are compared where names meet different content.
+STEPS = (16, 1)
 SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -69,33 +71,33 @@ def text_bounds(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return b"".join(texts), bounds([len(t) for t in texts])
 
 
+def rolled(data: bytes) -> Rolling:
+    return Rolling(SYMBOLS[np.frombuffer(data, np.uint8)])
+
+
 def anchors_of(size: int, reach: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text", 1 << 18):
             data, begin = text_bounds(texts)
             t, first, count = parse(data, begin, size, reach)
-            rolling = Rolling(SYMBOLS[np.frombuffer(data, np.uint8)])
-            name = rolling.names(t, t + size - reach)
+            rolling = rolled(data)
             content = mix(rolling.names(first, first + count - 1 + size) + (t - first).astype(np.uint64) * np.uint64(65537) + count.astype(np.uint64))
             doc = np.searchsorted(begin, first, "right") - 1
-            take = lambda c: column(batch, c).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(take("id")), pa.array(take("h")),
-                                              pa.array((first - begin[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], ["k", "c", "id", "h", "at", "n"])
+            yield batch_of(batch, doc, begin, rolling.names(t, t + size - reach), content, first, count, t)
 
     return made
 
 
-def windows_of(size: int):
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "text", 1 << 18):
-            data, begin = text_bounds(texts)
-            at, m, doc = asked(batch, begin)
-            rolling = Rolling(SYMBOLS[np.frombuffer(data, np.uint8)])
-            take = lambda c: column(batch, c).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(rolling.names(at, at + size, 0).view(np.int64)), pa.array(rolling.names(at, at + size, 1).view(np.int64)), pa.array(take("id")), pa.array(take("h")),
-                                              pa.array((at - begin[doc]).astype(np.int32)), pa.array(m.astype(np.int32))], ["a", "b", "id", "h", "at", "m"])
+def blocks_of(size: int):
+    def of(width: int):
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in pieces(batches, "text", 1 << 18):
+                data, begin = text_bounds(texts)
+                yield block_batch(batch, begin, rolled(data), width, size)
 
-    return made
+        return made
+
+    return of
 
 
 def dedup(docs: DataFrame, size: int = SIZE, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +124,7 @@ def dedup(docs: DataFrame, size: int = SIZE, reach: int = REACH, id_col: str = "
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind),
                                               pa.array(out, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in out])], ["id", "n_bytes", "n_removed", "removed", "kept", "kept_sha256"])
 
-    spans = repeated_windows(rows, rows.mapInArrow(anchors_of(size, reach), ANCHOR), windows_of(size), earlier=False)
+    spans = repeated_windows(rows, rows.mapInArrow(anchors_of(size, reach), ANCHOR), blocks_of(size), STEPS, earlier=False)
     out = rows.join(spans, ["id", "h"], "left").select("id", "text", "spans") \
         .mapInArrow(kept, "id long, n_bytes long, n_removed long, removed array<struct<first:long,end:long>>, kept binary, kept_sha256 string")
     return out.select(id_back("id", id_col), "n_bytes", "n_removed", "removed", "kept", "kept_sha256")
