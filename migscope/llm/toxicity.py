@@ -182,7 +182,8 @@ def logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, floa
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold) -> DataFrame:
     own = labels.where(F.col(label_col).isNotNull() & fold(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     texts = docs.where(fold(F.col(id_col))).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(own, texts.doc == own.id).select("text", "label")
+    # A merge join at every size: labels grow with the documents.
+    return texts.join(own.hint("merge"), texts.doc == own.id).select("text", "label")
 
 
 def train_fold(id_column):
