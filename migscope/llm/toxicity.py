@@ -36,6 +36,8 @@ PRIOR = 2000.0
 DRIFT = 1.0
 #: Word scores are cut to this range for the calibration histogram.
 LOW, HIGH, STEP = -8.0, 12.0, 0.05
+#: The range of evidence in which the curve rises.
+EVIDENCE = (-10.0, 30.0)
 #: A passage is reported if fewer than this many are expected by chance in its text.
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
@@ -165,18 +167,30 @@ def solve_lambda(hist: np.ndarray) -> float:
 
 
 def logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of P(toxic | evidence), by Newton steps with a small ridge."""
-    a, b = 0.1, 0.0
-    scale = max(float(np.abs(x).max(initial=1.0)), 1.0)
-    z = x / scale
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = (n0 + n1) * p * (1 - p)
-        g = np.array([(n1 * (1 - p) * z - n0 * p * z).sum() - 0.01 * a, (n1 * (1 - p) - n0 * p).sum() - 0.01 * b])
-        h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
-        a, b = a + float(np.clip(step[0], -5, 5)), b + float(np.clip(step[1], -5, 5))
-    return max(a, 0.0) / scale, b
+    """Slope and offset of P(toxic | evidence), by damped Newton steps with a small ridge.  ``x``: values
+    of the evidence, ``n0`` and ``n1``: untoxic and toxic training texts of each."""
+    weight = n0 + n1
+    mean = float((weight * x).sum() / weight.sum())
+    scale = max(float(np.sqrt((weight * (x - mean) ** 2).sum() / weight.sum())), 1e-6)
+    z = np.stack([(x - mean) / scale, np.ones(len(x))], 1)
+
+    def likelihood(w: np.ndarray) -> float:
+        y = z @ w
+        return float(-(n1 * np.logaddexp(0, -y) + n0 * np.logaddexp(0, y)).sum() - 0.005 * (w @ w))
+
+    w, now = np.zeros(2), likelihood(np.zeros(2))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + 0.01 * np.eye(2), z.T @ (n1 * (1 - p) - n0 * p) - 0.01 * w)
+        size = 1.0
+        while size > 1e-4 and likelihood(w + size * step) < now:
+            size /= 2
+        after = likelihood(w + size * step)
+        if after - now < 1e-9:
+            break
+        w, now = w + size * step, after
+    slope = max(float(w[0]), 0.0) / scale
+    return slope, float(w[1]) - slope * mean
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold) -> DataFrame:
@@ -214,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     log_k = (mean if mean is not None else 0.0) - 0.5772156649  # the mean of a standard Gumbel
 
     scored = train.mapInArrow(scorer(shared, lam, log_k, None, ["label"]), "label int, n_words long, evidence double, score double, passages array<struct<first:int,end:int,score:double>>")
-    bins = scored.groupBy(F.round(F.least(F.greatest("evidence", F.lit(-50.0)), F.lit(500.0)) * 4).alias("x"), "label").count().collect()
+    bins = scored.groupBy(F.round(F.least(F.greatest("evidence", F.lit(EVIDENCE[0])), F.lit(EVIDENCE[1])) * 4).alias("x"), "label").count().collect()
     x = sorted({r["x"] for r in bins})
     n = np.zeros((2, len(x)))
     for r in bins:
@@ -237,7 +251,7 @@ def scorer(weights, lam: float, log_k: float, curve: tuple[float, float] | None,
                 bound = (log_k + math.log(max(k, 1)) - math.log(SIGNIFICANT)) / lam
                 passages.append([{"first": a, "end": b, "score": x} for a, b, x in found if x >= bound])
             facts = np.array(facts)
-            score = 1 / (1 + np.exp(-np.clip(curve[0] * facts + curve[1], -30, 30))) if curve else np.zeros(len(facts))
+            score = 1 / (1 + np.exp(-np.clip(curve[0] * np.clip(facts, *EVIDENCE) + curve[1], -30, 30))) if curve else np.zeros(len(facts))
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in keep], pa.array(n.astype(np.int64)), pa.array(facts, pa.float64()), pa.array(score, pa.float64()),
                                               pa.array(passages, kind)], [*keep, "n_words", "evidence", "score", "passages"])
 
