@@ -839,6 +839,41 @@ def project_metadata(spark, sf_dir):
     return j.select("project_id", F.to_json(doc).alias("metadata"))
 
 
+@register
+def metadata_lists(spark, sf_dir):
+    """The lists of the metadata document, one row an entry (project, list, key, JSON)."""
+    files = materialize(_files(spark, sf_dir))
+    edges = materialize(_edges(spark, sf_dir))
+    scores = K.cobol_project_scores(projects_from_nation(spark, sf_dir), K.cobol_file_scores(files))
+    deps = edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
+    lists = [("programs", M.program_inventory(files), "path", ["name", "type", "loc", "complexity", "priority"]),
+             ("file_type_distribution", M.type_distribution(files), "type", ["type", "count", "percentage"]),
+             ("dependencies", M.dependency_list(files, C.dependency_lists(edges)), "path", ["source", "targets"]),
+             ("high_complexity_modules", M.high_complexity_top10(files), "path", ["name", "score", "risk", "recommendation"]),
+             ("risks", M.cobol_risks(scores, deps), "id", ["id", "category", "description", "severity"])]
+    from functools import reduce
+    return reduce(DataFrame.unionByName, [
+        df.select("project_id", F.lit(name).alias("list"), F.col(key).alias("key"), F.to_json(F.struct(*cols)).alias("item"))
+        for name, df, key, cols in lists])
+
+
+@register
+def pg_metadata(spark, sf_dir):
+    """The PostgreSQL metadata document per project; its lists are ``pg_changes``, ``pg_risks``
+    and ``java_inventory``."""
+    p = _PgParts(spark, sf_dir)
+    counts = ["tables", "views", "functions", "stored_procedures", "triggers", "indexes", "sequences", "partitioned_tables"]
+    j = p.scores.join(p.total_files, "project_id", "left").join(p.orm, "project_id", "left") \
+        .join(p.database.select("project_id", *[F.col(x).cast("long").alias(f"db_{x}") for x in counts]), "project_id", "left")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("long")
+    doc = F.struct(
+        F.struct(zero("total_files").alias("total_files"), zero("total_loc").alias("total_loc"), F.coalesce("orm_framework", F.lit("None")).alias("ormFramework"),
+                 F.struct(*[zero(f"db_{x}").alias(x) for x in counts]).alias("database"), zero("native_queries").alias("nativeQueryCount")).alias("source_analysis"),
+        F.format_string("%s difficulty (score: %d/100) - %s", F.col("difficulty"), F.col("overall"), F.col("description")).alias("complexity_summary"),
+        F.struct("overall", *PG.DIMS, "difficulty", "description").alias("migrationComplexity"))
+    return j.select("project_id", F.to_json(doc).alias("metadata"))
+
+
 # ---------------------------------------------------------------- remaining COBOL roll-ups
 @register
 def cobol_totals(spark, sf_dir):

@@ -197,14 +197,7 @@ g AS (SELECT project_id, type, count(*) AS cnt FROM files GROUP BY project_id, t
 SELECT project_id, type, CAST(cnt AS BIGINT) AS count,
   CAST(floor(CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY project_id) * 100 + 0.5) AS BIGINT) AS percentage
 FROM g"""
-    q["cobol_top10"] = "WITH " + files_cte(COBOL_BY_SUPP) + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY complexity DESC, path) AS rk
-      FROM files WHERE complexity > 20)
-SELECT project_id, CAST(rk AS BIGINT) AS rank, path, name, complexity AS score,
-  CASE WHEN complexity > 40 THEN 'High' ELSE 'Medium' END AS risk,
-  CASE WHEN complexity > 40 THEN 'Consider breaking into smaller modules during migration'
-       ELSE 'Review and simplify logic where possible' END AS recommendation
-FROM r WHERE rk <= 10"""
+    q["cobol_top10"] = top10_sql(files_cte(COBOL_BY_SUPP))
     q["dep_graph"] = "WITH " + files_cte() + edges_cte() + """,
 e AS (SELECT DISTINCT e.project_id, f.name AS source, e.target FROM edges e JOIN files f USING (project_id, path)),
 o AS (SELECT project_id, source AS name, count(*) AS c FROM e GROUP BY 1, 2),
@@ -227,8 +220,34 @@ UNION ALL SELECT project_id, 'R-003', 'Data Complexity', 'Data complexity score:
 UNION ALL SELECT project_id, 'R-004', 'COBOL-specific Risk', 'COBOL-specific risk score: ' || risk_score || '/100. ' || risk_details, 'Critical' FROM x WHERE risk_score >= 60
 UNION ALL SELECT project_id, 'R-005', 'Scale', 'Large codebase with ' || format('{:,}', total_loc) || ' lines of code', 'Medium' FROM x WHERE total_loc > 100000
 UNION ALL SELECT project_id, 'R-006', 'Dependencies', 'High number of inter-module dependencies (' || total_deps || ')', 'Medium' FROM x WHERE total_deps > 50"""
+    q["metadata_lists"] = metadata_lists_sql(q)
     return q
 
 
+def top10_sql(cte: str) -> str:
+    return "WITH " + cte + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY complexity DESC, path) AS rk
+      FROM files WHERE complexity > 20)
+SELECT project_id, CAST(rk AS BIGINT) AS rank, path, name, complexity AS score,
+  CASE WHEN complexity > 40 THEN 'High' ELSE 'Medium' END AS risk,
+  CASE WHEN complexity > 40 THEN 'Consider breaking into smaller modules during migration'
+       ELSE 'Review and simplify logic where possible' END AS recommendation
+FROM r WHERE rk <= 10"""
+
+
+def metadata_lists_sql(q: dict[str, str]) -> str:
+    deps = "WITH " + files_cte() + edges_cte() + """
+SELECT f.project_id, f.path, f.name AS source, string_agg(e.target, ', ' ORDER BY e.first_pos) AS targets
+FROM files f JOIN edges e USING (project_id, path) GROUP BY f.project_id, f.path, f.name"""
+    lists = [("programs", q["cobol_priority"], "path", ["name", "type", "loc", "complexity", "priority"]),
+             ("file_type_distribution", q["cobol_type_distribution"], "type", ["type", "count", "percentage"]),
+             ("dependencies", deps, "path", ["source", "targets"]),
+             ("high_complexity_modules", top10_sql(files_cte()), "path", ["name", "score", "risk", "recommendation"]),
+             ("risks", q["cobol_risks"], "id", ["id", "category", "description", "severity"])]
+    item = lambda cols: "{" + ", ".join(f"'{x}': {x}" for x in cols) + "}"
+    return "\nUNION ALL ".join(f"SELECT project_id, '{n}' AS list, {k} AS key, CAST(to_json({item(cols)}) AS VARCHAR) AS item FROM ({sql})"
+                               for n, sql, k, cols in lists)
+
+
 def edges_cte_after_files() -> str:
     return edges_cte()

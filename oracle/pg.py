@@ -241,6 +241,7 @@ SELECT project_id, {dims}, overall, difficulty, description, {', '.join(f"array_
           "'PostgreSQL extensions in use: ' || array_to_string(extension_list, ', ')"),
     ]
     q["pg_risks"] = W + "\n" + "\nUNION ALL ".join(risks)
+    q["pg_metadata"] = metadata_sql(W)
     q["pg_report_rows"] = report_rows_sql(W, "\nUNION ALL ".join(recs), "\nUNION ALL ".join(risks))
     JW = "WITH jf AS (" + for_duckdb(java_files_sql()) + ")" + BASE + QUERIES
     q["primary_orm"] = JW + """,
@@ -423,3 +424,19 @@ rows AS (
   UNION ALL SELECT project_id, 110, '1|' || lpad(CAST(rule_no AS VARCHAR), 19, '0'),
       '- **' || dimension || '** (' || severity || '): ' || issue || ' - ' || mitigation FROM recs)
 SELECT project_id, 'pg-as-is-analysis' AS doc, section, sub, line FROM rows"""
+
+
+def metadata_sql(W: str) -> str:
+    """M16 document of a PostgreSQL project, from the p CTE of the as-is report."""
+    base = report_rows_sql(W, "SELECT 1 AS x", "SELECT '' AS project_id, '' AS id, '' AS category, '' AS severity, '' AS description, '' AS impact, '' AS mitigation")
+    cut = base[:base.index(",\nrisks AS (")]
+    db = [("tables", "db_tables"), ("views", "db_views"), ("functions", "db_functions"), ("stored_procedures", "db_sp"), ("triggers", "db_triggers"),
+          ("indexes", "db_indexes"), ("sequences", "db_sequences"), ("partitioned_tables", "db_parts")]
+    num = lambda k, v: f"'{k}': CAST({v} AS BIGINT)"
+    return cut + f"""
+SELECT project_id, CAST(to_json({{
+  'source_analysis': {{{num('total_files', 'total_files_all')}, {num('total_loc', 'total_loc')}, 'ormFramework': ormf,
+    'database': {{{', '.join(num(k, v) for k, v in db)}}}, {num('nativeQueryCount', 'native_queries')}}},
+  'complexity_summary': summary,
+  'migrationComplexity': {{{num('overall', 'overall')}, {', '.join(num(d, d) for d in PG.DIMS)}, 'difficulty': difficulty, 'description': description}}
+}}) AS VARCHAR) AS metadata FROM p"""
