@@ -271,6 +271,21 @@ EXTENSION_ADVICE = {
 EXTENSION_ADVICE_OTHER = ["- Custom research required for this extension"]
 
 
+# Use case and replacement of the index methods without a direct counterpart, and the
+# entity impact of a type by its complexity.
+INDEX_ADVICE = {
+    "GIN": ["**Use Case:** Full-text search or array indexing", "-- Option 1: Oracle Text Index",
+            "CREATE INDEX idx_name ON table_name(column_name) INDEXTYPE IS CTXSYS.CONTEXT;", "-- Option 2: Function-based index",
+            "CREATE INDEX idx_name ON table_name(UPPER(column_name));"],
+    "GIST": ["**Use Case:** Geometric/spatial data", "-- Oracle Spatial Index",
+             "CREATE INDEX idx_name ON table_name(geometry_column) INDEXTYPE IS MDSYS.SPATIAL_INDEX;"],
+    "BRIN": ["**Use Case:** Very large tables with correlation between physical and logical order", "-- Use partitioning with local indexes",
+             "ALTER TABLE table_name PARTITION BY RANGE (date_column)", "-- Create local index",
+             "CREATE INDEX idx_name ON table_name(column_name) LOCAL;"],
+}
+ENTITY_IMPACT = ("⚠️ **Entity Annotation Update Required**", "✓ **No Entity Change Required** - Automatic type mapping works")
+
+
 def pg_design_rows(spark, scores: DataFrame, orm: DataFrame, types: DataFrame, extensions: DataFrame,
                    indexes: DataFrame) -> DataFrame:
     """Type actions, index support, ORM- and extension-specific advice
@@ -284,8 +299,12 @@ def pg_design_rows(spark, scores: DataFrame, orm: DataFrame, types: DataFrame, e
         F.struct(F.lit("c").alias("s"), F.concat(F.lit("- Affected Tables: "), F.array_join("tables", ", ")).alias("line")),
         F.struct(F.lit("d").alias("s"), F.concat(F.lit("- Required Actions: "),
                                                  F.when(c("complexity") == "Complex", "Custom conversion logic required")
-                                                 .otherwise("Direct mapping")).alias("line")))).alias("x"))
-    parts = [_rows(ty, doc, 10, F.concat(c("k"), F.lit("|"), c("x.s")), c("x.line")),
+                                                 .otherwise("Direct mapping")).alias("line")),
+        F.struct(F.lit("e").alias("s"), F.when(c("complexity") == "Complex", ENTITY_IMPACT[0]).otherwise(ENTITY_IMPACT[1]).alias("line")))).alias("x"))
+    ix_adv = spark.createDataFrame([(k, i, t) for k, ls in INDEX_ADVICE.items() for i, t in enumerate(ls)], "type string, i int, line string")
+    ia = indexes.join(F.broadcast(ix_adv), "type")
+    parts = [_rows(ia, doc, 21, F.concat(F.lit("1|"), c("path"), F.lit("|"), F.lpad(c("first_ord").cast("string"), 19, "0"), F.lit("|"), c("i").cast("string")), c("line")),
+             _rows(ty, doc, 10, F.concat(c("k"), F.lit("|"), c("x.s")), c("x.line")),
              _rows(indexes, doc, 20, F.concat(F.lit("1|"), c("path"), F.lit("|"), F.lpad(c("first_ord").cast("string"), 19, "0")),
                    fmt("- **%s** (%d indexes) - Oracle Support: %s", c("type"), c("count"),
                        F.when(c("oracle_support"), "Native").otherwise("Alternative approach needed")))]

@@ -283,6 +283,7 @@ def design_sql() -> str:
     ext_adv = " UNION ALL ".join(f"SELECT {lit(k)} AS extension, {i} AS i, {lit(t)} AS line"
                                  for k, ls in R.EXTENSION_ADVICE.items() for i, t in enumerate(ls))
     other = R.EXTENSION_ADVICE_OTHER[0]
+    iadv = " UNION ALL ".join(f"SELECT {lit(k)} AS type, {i} AS i, {lit(t)} AS line" for k, ls in R.INDEX_ADVICE.items() for i, t in enumerate(ls))
     return W + f""",
 g AS (SELECT project_id, orm_framework, count(*) AS n, min(path) AS first_path FROM jfile GROUP BY ALL),
 lab AS (SELECT project_id, count(*) AS labels,
@@ -309,6 +310,10 @@ rows AS (
   UNION ALL SELECT project_id, 10, k || '|c', '- Affected Tables: ' || array_to_string(tables, ', ') FROM tk
   UNION ALL SELECT project_id, 10, k || '|d', '- Required Actions: ' || CASE WHEN complexity = 'Complex'
       THEN 'Custom conversion logic required' ELSE 'Direct mapping' END FROM tk
+  UNION ALL SELECT project_id, 10, k || '|e', CASE WHEN complexity = 'Complex' THEN '⚠️ **Entity Annotation Update Required**'
+      ELSE '✓ **No Entity Change Required** - Automatic type mapping works' END FROM tk
+  UNION ALL SELECT project_id, 21, '1|' || path || '|' || lpad(CAST(first_ord - 1 AS VARCHAR), 19, '0') || '|' || a.i, a.line
+      FROM ix JOIN ({iadv}) a USING (type)
   UNION ALL SELECT project_id, 20, '1|' || path || '|' || lpad(CAST(first_ord - 1 AS VARCHAR), 19, '0'),
       '- **' || type || '** (' || count || ' indexes) - Oracle Support: ' ||
       CASE WHEN oracle_support THEN 'Native' ELSE 'Alternative approach needed' END FROM ix
