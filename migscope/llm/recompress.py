@@ -234,4 +234,17 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, CAST(greatest(len(w) - 48, 1) AS BIGINT))) AS i FROM d),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM x),
+f AS (SELECT h, min(doc_id) AS low FROM h GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM (SELECT h.doc_id, h.i FROM h JOIN f ON h.h = f.h WHERE f.low < h.doc_id)),
+p AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT p.doc_id, string_agg(p.v, ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS kept, count(g.i) AS n_removed
+      FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 __all__ = ["Rolling", "block_batch", "choose", "dedup", "digest", "flat_words", "levels"]

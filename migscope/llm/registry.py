@@ -67,6 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 )}
 
 SQL: dict[str, str] = {
+    "op3_recompression_dedup": recompress.SQL,
     "op4_winnowing_line_dedup": winnow.SQL,
     "op6_pareto_mix": mixing.SQL,
+    "op7_minhash_near_dedup": minhash.SQL,
+    "op8_prefix_decontamination": decontaminate.SQL,
 }
