@@ -31,8 +31,9 @@ from migscope.llm.text import bounds, column, id_back, keyed, mix, partitions, p
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
-#: Equal minima (of 192, eight bits of each) that likely pairs have: four standard deviations below the mean at the threshold.
-AGREE = 143
+#: Minima that are in the signature only, and equal minima (of all 384, eight bits of each) that likely
+#: pairs have: four standard deviations below the mean at the threshold.
+EXTRA, AGREE = 192, 298
 BLOCK, STAR = 256, 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NODE = "struct<id:long,h:long>"
@@ -78,7 +79,7 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def profile(rows: DataFrame, shingle: int, bands: int, per_band: int) -> DataFrame:
+def profile(rows: DataFrame, shingle: int, bands: int, per_band: int, extra: int) -> DataFrame:
     """(id, h, n, k1, k2, sig, bands): set size, its 128-bit name, eight bits of each minimum, band keys."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text", 1 << 20):
@@ -87,10 +88,10 @@ def profile(rows: DataFrame, shingle: int, bands: int, per_band: int) -> DataFra
             sig: list = [None] * len(sets)
             keys: list = [None] * len(sets)
             if some:
-                minima = signatures([sets[k] for k in some], bands * per_band)
+                minima = signatures([sets[k] for k in some], bands * per_band + extra)
                 band = np.zeros((len(some), bands), np.uint64)
                 for r in range(per_band):
-                    band = mix(band + minima[:, r::per_band].astype(np.uint64) + np.uint64(r + 1))
+                    band = mix(band + minima[:, r:bands * per_band:per_band].astype(np.uint64) + np.uint64(r + 1))
                 for row, k in enumerate(some):
                     sig[k], keys[k] = (minima[row] & np.uint32(255)).astype(np.uint8).tobytes(), band[row].astype(np.int64)
             names = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
@@ -215,9 +216,9 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def linked(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, per_band: int = ROWS, agree: int = AGREE) -> DataFrame:
+def linked(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, per_band: int = ROWS, agree: int = AGREE, extra: int = EXTRA) -> DataFrame:
     """(id, h, n, comp) of every row of (id, h, text)."""
-    all_rows = stored(profile(rows, shingle, bands, per_band), "minhash-rows")
+    all_rows = stored(profile(rows, shingle, bands, per_band, extra), "minhash-rows")
     node = F.struct("id", "h")
     full = all_rows.where("n > 0")
     reps = stored(full.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "n", "sig", "bands")).alias("r"))
@@ -244,9 +245,9 @@ def linked(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, band
     return full.join(classes, ["k1", "k2"]).select("id", "h", "n", "comp").union(all_rows.where("n = 0").select("id", "h", "n", F.col("id").alias("comp")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS, agree: int = AGREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS, agree: int = AGREE, extra: int = EXTRA) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
-    out = linked(keyed(docs, id_col, text_col), shingle, percent, bands, per_band, agree)
+    out = linked(keyed(docs, id_col, text_col), shingle, percent, bands, per_band, agree, extra)
     return out.select(id_back("id", id_col), F.col("n").alias("n_shingles"), id_back("comp", "component_id"), (F.col("id") == F.col("comp")).alias("kept"))
 
 

@@ -3,35 +3,52 @@
 import numpy as np
 import pytest
 
-from migscope.llm import components, minhash, prefix_free, recompress, winnow
+from migscope.llm import components, minhash, prefix_free, recompress, repeats, winnow
 from tests.llm import brute
 from tests.llm.conftest import by_id
 
 
-@pytest.mark.parametrize("window", [50, 8, 2])
-def test_recompression(docs, docs_rows, window):
-    got = recompress.digest(recompress.dedup(docs, window))
+@pytest.mark.parametrize(("window", "reach", "rounds", "steps"), [(50, 24, 2, (1,)), (50, 50, 6, (7, 1)), (8, 3, 2, (2, 1)), (2, 24, 1, (1,))])
+def test_recompression(docs, docs_rows, window, reach, rounds, steps, monkeypatch):
+    monkeypatch.setattr(recompress, "STEPS", steps)
+    got = recompress.digest(recompress.dedup(docs, window, reach, rounds))
     assert by_id(got, ["n_words", "n_removed", "kept_sha256"]) == brute.earlier_windows(docs_rows, window)
 
 
+def test_common_names_take_the_other_way(docs, docs_rows, monkeypatch):
+    """Every name counts as hot, for both finders."""
+    monkeypatch.setattr(repeats, "hot_names", lambda anchors: anchors.select("k").distinct())
+    got = recompress.digest(recompress.dedup(docs, 8, 4))
+    assert by_id(got, ["n_words", "n_removed", "kept_sha256"]) == brute.earlier_windows(docs_rows, 8)
+    got = prefix_free.digest(prefix_free.dedup(docs, 60, 20))
+    assert by_id(got, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.repeated_bytes(docs_rows, 60)
+
+
+def test_hot_names(spark):
+    rows = [(7 if k % 3 else k + 100, 0, k, 0, 0, 1) for k in range(3000)]
+    hot = repeats.hot_names(spark.createDataFrame(rows, repeats.BLOCK))
+    assert [r.k for r in hot.collect()] == [7] and repeats.hot_names(spark.createDataFrame([], repeats.BLOCK)).collect() == []
+
+
 def test_equal_windows_choose_the_same_symbol():
     rng = np.random.default_rng(3)
     for _ in range(30):
         inner = b" ".join(b"w%d" % k for k in rng.integers(0, 4, 50))
         texts = [b" ".join([b"x%d" % k for k in rng.integers(0, 9, n)] + [inner] + [b"y%d" % k for k in rng.integers(0, 9, m)]) for n, m in rng.integers(0, 20, (4, 2))]
         flat, begin = recompress.flat_words(texts)
-        name, place, first, count = recompress.choose(flat, begin, 50)
+        place, first, count = recompress.choose(flat, begin, 50)
         seen = set()
         for k, t in enumerate(texts):
             at = begin[k] + len(t[:t.index(inner)].split())
             j = np.searchsorted(first, at, "right") - 1
             assert first[j] <= at < first[j] + count[j]
-            seen.add((int(name[j]), int(place[j] - at)))
+            seen.add(int(place[j] - at))
         assert len(seen) == 1
 
 
-@pytest.mark.parametrize(("size", "reach"), [(400, 160), (60, 20), (24, 4)])
-def test_prefix_free(docs, docs_rows, size, reach):
+@pytest.mark.parametrize(("size", "reach", "steps"), [(400, 192, (16, 1)), (60, 20, (1,)), (60, 50, (9, 4, 1)), (24, 4, (16, 1))])
+def test_prefix_free(docs, docs_rows, size, reach, steps, monkeypatch):
+    monkeypatch.setattr(prefix_free, "STEPS", steps)
     got = prefix_free.digest(prefix_free.dedup(docs, size, reach))
     assert by_id(got, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.repeated_bytes(docs_rows, size)
 
@@ -60,7 +77,7 @@ def test_minhash_splits_stars_and_blocks(docs, docs_rows, monkeypatch):
     """Stars and blocks of two rows, and a threshold at which chains arise."""
     monkeypatch.setattr(minhash, "STAR", 2)
     monkeypatch.setattr(minhash, "BLOCK", 2)
-    got = minhash.near_duplicates(docs, percent=60, bands=64, per_band=2, agree=40)
+    got = minhash.near_duplicates(docs, percent=60, bands=64, per_band=2, agree=40, extra=0)
     assert by_id(got, ["n_shingles", "component_id", "kept"]) == brute.components(docs_rows, percent=60)
 
 
@@ -71,7 +88,7 @@ def test_components(spark):
 
 
 def test_odd_rows(odd_docs, no_docs):
-    r = sorted(map(tuple, recompress.dedup(odd_docs, 50).select("doc_id", "n_words", "n_removed").collect()), key=str)
+    r = sorted(map(tuple, recompress.dedup(odd_docs).select("doc_id", "n_words", "n_removed").collect()), key=str)
     assert r == sorted([(None, 0, 0), (None, 120, 120), (None, 120, 120), (5, 120, 0), (5, 120, 0), (5, 2, 0), (7, 0, 0), (7, 0, 0)], key=str)
     r = sorted(map(tuple, prefix_free.dedup(odd_docs, 100, 40).select("doc_id", "n_removed").collect()), key=str)
     n = len(" ".join(f"w{k}" for k in range(120)))
