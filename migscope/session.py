@@ -38,7 +38,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     session whose executors share the driver's disk (``local``) may do without one."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="migscope-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
