@@ -132,54 +132,57 @@ def ddl_foreign_keys(items: DataFrame) -> DataFrame:
                      unquote("ref").alias("referenced_table"), name_list(c("refcols")).alias("referenced_columns"))
 
 
+def _is_column(item: Column) -> Column:
+    """An item that ``ddl_columns`` reads as a column: no constraint, and a type after the name."""
+    U = F.upper(item)
+    kind = F.regexp_extract(F.coalesce(F.get(F.split(item, r"\s+"), F.lit(1)), F.lit("")), RE_TYPE, 1)
+    return ~U.startswith("CONSTRAINT") & ~U.startswith("PRIMARY KEY") & (kind != "")
+
+
 def ddl_tables(statements: DataFrame) -> DataFrame:
-    """D3-D6 per table: column count, primary key, FK count, indexes (always 0)."""
-    items = table_items(statements)
-    t = _tables(statements).select(*KEYS, "stmt_no", "table_name")
-    ncol = ddl_columns(items).groupBy(*KEYS, "stmt_no").agg(F.count(F.lit(1)).alias("n_columns"))
-    nfk = ddl_foreign_keys(items).groupBy(*KEYS, "stmt_no").agg(F.count(F.lit(1)).alias("n_foreign_keys"))
-    pk = ddl_primary_keys(items).select(*KEYS, "stmt_no", "primary_key")
-    k = KEYS + ["stmt_no"]
-    return t.join(ncol, k, "left").join(nfk, k, "left").join(pk, k, "left").select(
-        *KEYS, "stmt_no", "table_name",
-        F.coalesce(c("n_columns"), F.lit(0)).cast("long").alias("n_columns"),
-        "primary_key",
-        F.coalesce(c("n_foreign_keys"), F.lit(0)).cast("long").alias("n_foreign_keys"),
-        F.lit(0).cast("long").alias("n_indexes"))
+    """D3-D6 per table: column count, primary key, FK count, indexes (always 0).  Every table has
+    an item, so one aggregate over the items gives all of them."""
+    pk = F.regexp_extract("item", RE_PK, 1)
+    items = table_items(statements).select(
+        *KEYS, "stmt_no", "table_name", _is_column(c("item")).alias("is_column"),
+        ((c("role") == "fk") & (F.regexp_extract("item", RE_FK, 1) != "")).alias("is_fk"),
+        F.when((c("role") == "pk") & (pk != ""), F.struct("pos", pk.alias("pk"))).alias("key"))
+    g = items.groupBy(*KEYS, "stmt_no", "table_name").agg(
+        F.count_if("is_column").alias("n_columns"), F.count_if("is_fk").alias("n_foreign_keys"), F.max("key").alias("key"))
+    return g.select(*KEYS, "stmt_no", "table_name", "n_columns", F.when(c("key").isNotNull(), name_list(c("key.pk"))).alias("primary_key"),
+                    "n_foreign_keys", F.lit(0).cast("long").alias("n_indexes"))
 
 
 def ddl_file_totals(statements: DataFrame) -> DataFrame:
-    """D14 per file: tables, columns, indexes (0) and the object counts of M6."""
-    items = table_items(statements)
-    ncols = ddl_columns(items).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("columns"))
-    obj = ddl_objects(statements).groupBy(*KEYS).agg(
-        F.count_if(c("kind") == "TABLE").alias("tables"),
-        F.count_if(c("kind") == "VIEW").alias("views"),
-        F.count_if(c("kind") == "SEQUENCE").alias("sequences"),
-        F.count_if(c("kind") == "PROCEDURE").alias("stored_procedures"),
-        F.count_if(c("kind") == "TRIGGER").alias("triggers"),
-        F.count_if(c("kind") == "FUNCTION").alias("functions"))
-    # a routed TABLE statement without body is not a table
-    ntab = _tables(statements).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("tables"))
-    files = statements.select(*KEYS).distinct()
-    out = files.join(obj.drop("tables"), KEYS, "left").join(ntab, KEYS, "left").join(ncols, KEYS, "left")
-    cols = ["tables", "columns", "views", "sequences", "stored_procedures", "triggers", "functions"]
-    return out.select(*KEYS, *[F.coalesce(c(x), F.lit(0)).cast("long").alias(x) for x in cols],
-                      F.lit(0).cast("long").alias("indexes"))
-
-
-def pick_ddl(per_file: DataFrame, mode: str = "union") -> DataFrame:
-    """Several DDL files in a project.  ``last`` reproduces the rule that the
-    last file (directory order = path order) replaces earlier results;
-    ``union`` keeps every file."""
+    """D14 per file: tables, columns, indexes (0) and the object counts of M6, all counted
+    inside the statement's row and summed once.  A routed TABLE statement without body is
+    not a table."""
+    name = F.lit(None).cast("string")
+    for k, pat in NAME_PATTERNS.items():
+        name = F.when(c("kind") == k, unquote(F.regexp_extract("stmt", pat, 1))).otherwise(name)
+    body = F.regexp_extract("stmt", RE_BODY, 1)
+    rows = statements.select(*KEYS, "kind", (F.coalesce(name, F.lit("")) != "").alias("named"), F.when(c("kind") == "TABLE", body).otherwise("").alias("body"))
+    table = (c("kind") == "TABLE") & c("named") & (c("body") != "")
+    columns = F.size(F.filter(F.transform(F.split("body", ","), js_trim), _is_column))
+    count = {"tables": F.count_if(table), "columns": F.sum(F.when(table, columns).otherwise(0))}
+    for out, kind in (("views", "VIEW"), ("sequences", "SEQUENCE"), ("stored_procedures", "PROCEDURE"), ("triggers", "TRIGGER"), ("functions", "FUNCTION")):
+        count[out] = F.count_if((c("kind") == kind) & c("named"))
+    g = rows.groupBy(*KEYS).agg(*[e.cast("long").alias(x) for x, e in count.items()])
+    return g.select(*KEYS, *[F.coalesce(c(x), F.lit(0)).alias(x) for x in count], F.lit(0).cast("long").alias("indexes"))
+
+
+def pick_ddl(per_file: DataFrame, mode: str = "union", files: DataFrame | None = None) -> DataFrame:
+    """Several DDL files in a project.  ``union`` keeps every file; ``last`` reproduces the
+    rule that the last file (directory order = path order) replaces earlier results.  ``files``
+    is the listing: a last file without a statement (comments only) replaces them too."""
     if mode == "union":
         return per_file
-    last = per_file.groupBy("project_id").agg(F.max("path").alias("path"))
-    return per_file.join(last, ["project_id", "path"], "left_semi")
+    last = (per_file if files is None else files).groupBy("project_id").agg(F.max("path").alias("path"))
+    return last.join(per_file, ["project_id", "path"], "left")
 
 
-def ddl_totals(per_file: DataFrame, mode: str = "union") -> DataFrame:
+def ddl_totals(per_file: DataFrame, mode: str = "union", files: DataFrame | None = None) -> DataFrame:
     """D14 per project after D15 selection."""
-    p = pick_ddl(per_file, mode)
+    p = pick_ddl(per_file, mode, files)
     cols = ["tables", "columns", "indexes", "views", "sequences", "stored_procedures", "triggers", "functions"]
-    return p.groupBy("project_id").agg(*[F.sum(x).cast("long").alias(x) for x in cols])
+    return p.groupBy("project_id").agg(*[F.sum(F.coalesce(c(x), F.lit(0))).cast("long").alias(x) for x in cols])

@@ -184,7 +184,7 @@ def ddl_totals(spark, sf_dir):
 
 @register
 def ddl_last_wins(spark, sf_dir):
-    return D.ddl_totals(D.ddl_file_totals(_stmts(spark, sf_dir)), mode="last")
+    return D.ddl_totals(D.ddl_file_totals(_stmts(spark, sf_dir)), mode="last", files=ddl_files(spark, sf_dir).select("project_id", "path"))
 
 
 # ---------------------------------------------------------------- PostgreSQL features

@@ -5,6 +5,8 @@ import random
 
 from tests.conftest import files_df
 
+from pyspark.sql import functions as F
+
 from migscope.operators import ddl as D
 from migscope.operators import java as J
 from migscope.operators import pgfeat as G
@@ -103,3 +105,12 @@ def test_java_query_lines_of_many_matches(spark):
     got = J.java_queries(files_df(spark, {"p0/BigRepository.java": src})).where("type = 'annotation'").collect()
     want = [k for k, line in enumerate(src.split("\n"), start=1) if line.startswith("@Query")]
     assert sorted((r.ord, r.line) for r in got) == list(enumerate(want))
+
+
+def test_a_last_file_without_statements_replaces_the_others(spark):
+    files = files_df(spark, {"p0/a.sql": "CREATE TABLE t (a INT, b INT);", "p0/b.sql": "-- nothing here", "p1/a.sql": "CREATE TABLE u (a INT);"})
+    files = files.withColumn("project_id", F.substring("path", 1, 2))
+    per_file = D.ddl_file_totals(D.ddl_statements(files))
+    got = lambda **k: {r.project_id: (r.tables, r.columns) for r in D.ddl_totals(per_file, **k).collect()}
+    assert got() == {"p0": (1, 2), "p1": (1, 1)}
+    assert got(mode="last", files=files.select("project_id", "path")) == {"p0": (0, 0), "p1": (1, 1)}
