@@ -10,8 +10,9 @@ guarantees.  So
   larger common part, then single windows, of one occurrence a (k, c).
 
 The anchors of all texts cross the network once, by ``k``, and are told apart by sorted
-windows, which spill; a frequent passage has one row a text under each of its names, a small
-part of the rows.  What follows has as many rows as there are borders of repeats."""
+windows, which spill.  Names that a very common passage gives to a great part of the rows are
+found in a sample beforehand; their rows are summed up before they are shuffled, and join the sums
+in skew-split joins.  What follows has as many rows as there are borders of repeats."""
 
 from __future__ import annotations
 
@@ -27,6 +28,8 @@ from migscope.llm.text import column, partitions, stored
 
 ANCHOR = "k long, c long, id long, h long, span long"
 BLOCK = ANCHOR + ", m int"
+#: One of so many texts is looked at for very common names.
+SAMPLE = 64
 
 
 def pack(at: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -44,36 +47,54 @@ def repeated_windows(rows: DataFrame, anchors: DataFrame, blocks: Callable, step
     """(id, h, spans): windows of each text that start in a text with a smaller id (``earlier``)
     or at any other place.  ``blocks(width)`` maps batches of (id, h, text, asked: span, m) to
     blocks of ``width`` windows; the last of ``steps`` is 1, single windows."""
-    known = stored(placed(anchors.withColumn("m", F.lit(1)), earlier), "repeats")
+    known = placed(stored(anchors.withColumn("m", F.lit(1)), "anchors"), earlier)
     spans = known.where("whole").select("id", "h", "span")
     for width in steps:
         asked = known.where("ask").groupBy("id", "h").agg(F.collect_list(F.struct("span", "m")).alias("asked"))
-        parts = rows.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(blocks(width), BLOCK)
+        parts = stored(rows.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(blocks(width), BLOCK), "blocks")
         if width > 1:
-            known = stored(placed(parts, earlier), "repeats")
+            known = placed(parts, earlier)
             found = known.where("whole")
         else:
-            same = Window.partitionBy("k", "c")
-            again = F.col("id") > F.min("id").over(same) if earlier else F.sum("m").over(same) > 1
-            found = parts.withColumn("again", again).where("again")
+            sums = parts.groupBy("k", "c").agg(F.min("id").alias("low"), F.sum("m").alias("total"))
+            found = parts.join(sums, ["k", "c"]).where("id > low" if earlier else "total > 1")
         spans = spans.union(found.select("id", "h", "span"))
     return spans.groupBy("id", "h").agg(F.collect_list("span").alias("spans"))
 
 
+def hot_names(anchors: DataFrame) -> DataFrame:
+    """(k): names that have more than a quarter of a partition's rows in a sample of the texts; at
+    most four times as many as there are partitions."""
+    seen = stored(anchors.where(F.pmod(F.xxhash64("id", "h"), F.lit(SAMPLE)) == 0).groupBy("k").agg(F.count(F.lit(1)).alias("n")), "hot")
+    total = seen.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+    return seen.where(F.col("n") >= max(8, total // (4 * partitions(anchors.sparkSession)))).select("k")
+
+
 def placed(anchors: DataFrame, earlier: bool) -> DataFrame:
     """The anchors whose name occurs again: ``whole`` if all their windows repeat, ``ask`` if parts of
     them must be compared (``m``: 2 if their content occurs again)."""
-    a = anchors.repartition(partitions(anchors.sparkSession), "k").sortWithinPartitions("k", "c", "id", "h", "span")
+    hot = F.broadcast(hot_names(anchors))
+    few = anchors.join(hot, "k", "left_anti").repartition(partitions(anchors.sparkSession), "k").sortWithinPartitions("k", "c", "id", "h", "span")
     name, content = Window.partitionBy("k"), Window.partitionBy("k", "c")
     again = F.min("id").over(name) < F.max("id").over(name) if earlier else F.sum("m").over(name) > 1
-    a = a.withColumn("again", again).withColumn("several", F.min("c").over(name) < F.max("c").over(name)).where("again")
-    if earlier:
-        a = a.withColumn("whole", F.col("id") > F.min("id").over(content)).withColumn("ask", F.col("several") & ~F.col("whole")).withColumn("m", F.lit(1))
-    else:
-        first = F.row_number().over(content.orderBy("id", "h", "span")) == 1
-        a = a.withColumn("ask", F.col("several") & first).withColumn("total", F.sum("m").over(content)) \
-            .withColumn("whole", F.col("total") > 1).withColumn("m", F.least("total", F.lit(2)).cast("int"))
-    return a.where("whole or ask").select("id", "h", "span", "m", "whole", "ask")
+    few = few.withColumn("again", again).withColumn("several", F.min("c").over(name) < F.max("c").over(name)).where("again")
+    first = F.lit(True) if earlier else F.row_number().over(content.orderBy("id", "h", "span")) == 1
+    few = few.withColumn("first", first).withColumn("low", F.min("id").over(content)).withColumn("total", F.sum("m").over(content))
+
+    many = anchors.join(hot, "k")
+    names = many.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.sum("m").alias("all"))
+    names = names.where("low < high" if earlier else "`all` > 1").select("k", F.expr("c1 < c2").alias("several"))
+    place = F.struct("id", "h", "span")
+    sums = many.groupBy("k", "c").agg(F.min("id").alias("low"), F.sum("m").alias("total"), *([] if earlier else [F.min(place).alias("at")]))
+    # Stored, so that both sides of the join are plain exchanges, of which a skewed one is split.
+    many = many.join(F.broadcast(names), "k").join(stored(sums, "hot-sums"), ["k", "c"]).withColumn("first", F.lit(True) if earlier else F.col("at") == place)
+
+    columns = ["id", "h", "span", "several", "first", "low", "total"]
+    both = few.select(columns).union(many.select(columns))
+    whole = F.col("id") > F.col("low") if earlier else F.col("total") > 1
+    ask = F.col("several") & (F.col("id") == F.col("low") if earlier else F.col("first"))
+    both = both.select("id", "h", "span", F.least("total", F.lit(2)).cast("int").alias("m"), whole.alias("whole"), ask.alias("ask"))
+    return stored(both.where("whole or ask"), "repeats")
 
 
 def asked(batch: pa.RecordBatch, begin: np.ndarray, width: int, size: int) -> tuple[np.ndarray, ...]:
