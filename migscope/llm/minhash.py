@@ -2,8 +2,9 @@
 
 1. A text's set is its distinct ``SHINGLE``-word shingles (64-bit hashes).  Texts with one
    set are one class, represented by its least id; copies cost nothing from here on.
-2. ``BANDS`` x ``ROWS`` minima of universal hashes a x + b; the bands' keys make buckets.
-   Two sets of similarity s share none with probability (1 - s^ROWS)^BANDS: 3e-7 at 0.85.
+2. Bands of ``ROWS`` minima of universal hashes a x + b; the bands' keys make buckets.  Two sets
+   of similarity s share none with probability (1 - s^ROWS)^bands; there are as many bands as
+   keep that under ``MISS`` at the threshold (32 at 0.85, 50 at 0.80).
 3. Star pairs: the members of a bucket against its least one.  A pair is verified by its
    signatures and then on the full sets; components of these links follow.
 4. What is left are pairs of one bucket in different components.  Such buckets are cut in blocks
@@ -18,6 +19,7 @@ rows that agree in id and text share a result; an empty table gives no rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +32,28 @@ from migscope.llm.components import components
 from migscope.llm.text import bounds, column, id_back, keyed, mix, partitions, pieces, raw, stored, without, word_hashes
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 32, 6
-#: Minima that are in the signature only, and equal minima (of all 384, eight bits of each) that likely
-#: pairs have: four standard deviations below the mean at the threshold.
-EXTRA, AGREE = 192, 298
+#: Minima of a band, and of a whole signature (at least; those beyond the bands are in it only).
+ROWS, MINIMA = 6, 384
+#: Chance that a pair at the threshold shares no band, and how many standard deviations below the mean
+#: (of such pairs) the equal minima of likely pairs begin.
+MISS, DEVIATIONS = 3e-7, 4
 BLOCK, STAR = 256, 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NODE = "struct<id:long,h:long>"
 
 
+def bands_for(percent: int, per_band: int) -> int:
+    """The least number of bands by which a pair at the threshold is missed with at most ``MISS``."""
+    return max(1, math.ceil(math.log(MISS) / math.log(max(1 - (percent / 100) ** per_band, MISS))))
+
+
+def agree_for(percent: int, minima: int) -> int:
+    """Equal minima (eight bits of each) that likely pairs have at least."""
+    s = percent / 100
+    p = s + (1 - s) / 256
+    return math.floor(minima * p - DEVIATIONS * math.sqrt(minima * p * (1 - p)))
+
+
 def factors(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and offsets of the universal hashes, from their number."""
     x = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -216,8 +231,11 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def linked(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, per_band: int = ROWS, agree: int = AGREE, extra: int = EXTRA) -> DataFrame:
-    """(id, h, n, comp) of every row of (id, h, text)."""
+def linked(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int | None = None, per_band: int = ROWS, agree: int | None = None, extra: int | None = None) -> DataFrame:
+    """(id, h, n, comp) of every row of (id, h, text).  What is not given follows from ``percent``."""
+    bands = bands_for(percent, per_band) if bands is None else bands
+    extra = max(0, MINIMA - bands * per_band) if extra is None else extra
+    agree = agree_for(percent, bands * per_band + extra) if agree is None else agree
     all_rows = stored(profile(rows, shingle, bands, per_band, extra), "minhash-rows")
     node = F.struct("id", "h")
     full = all_rows.where("n > 0")
@@ -245,7 +263,7 @@ def linked(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, band
     return full.join(classes, ["k1", "k2"]).select("id", "h", "n", "comp").union(all_rows.where("n = 0").select("id", "h", "n", F.col("id").alias("comp")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS, agree: int = AGREE, extra: int = EXTRA) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int | None = None, per_band: int = ROWS, agree: int | None = None, extra: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     out = linked(keyed(docs, id_col, text_col), shingle, percent, bands, per_band, agree, extra)
     return out.select(id_back("id", id_col), F.col("n").alias("n_shingles"), id_back("comp", "component_id"), (F.col("id") == F.col("comp")).alias("kept"))

@@ -81,6 +81,19 @@ def test_minhash_splits_stars_and_blocks(docs, docs_rows, monkeypatch):
     assert by_id(got, ["n_shingles", "component_id", "kept"]) == brute.components(docs_rows, percent=60)
 
 
+def test_minhash_filters_follow_the_threshold(spark):
+    """Similarity 0.80 to 0.846, and some just below, at a threshold of 0.8."""
+    rows = []
+    for k in range(120):
+        a = [f"p{k}w{j}" for j in range(184)]  # 180 shingles, of which the changed end takes m
+        m = (20, 20, 20, 18, 15, 21)[k % 6]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:-m] + [f"x{w}" for w in a[-m:]]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+    assert by_id(got, ["n_shingles", "component_id", "kept"]) == brute.components(rows, percent=80)
+    assert got.where("kept").count() == 140
+    assert [minhash.bands_for(p, 6) for p in (85, 80)] == [32, 50]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 50), (101, 100), (60, 60), (7, 3)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
