@@ -113,12 +113,13 @@ class Pieces:
 class Encoder:
     """Ids of whole texts as the library gives them.
 
-    A text is cut before each single space.  No pre-token of a byte-level vocabulary reaches
-    over such a cut, so the ids of a text are those of its pieces in turn.  Pieces met before are
+    A text is cut before each single space.  Of a byte-level vocabulary only a pre-token of white
+    space reaches over such a cut: the space then stands between white space, or between it and
+    the end.  Without one the ids of a text are those of its pieces in turn.  Pieces met before are
     looked up, the others are cut into pre-tokens, and the library's model encodes those that
-    are new.  A text with two spaces in a row or a special string, and a piece with characters
-    beyond Latin (whose classes depend on a library's Unicode version), goes to the library
-    whole."""
+    are new.  A text with two spaces in a row, a space inside other white space or a special
+    string, and a piece with characters beyond Latin (whose classes depend on a library's Unicode
+    version), goes to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,6 +135,12 @@ class Encoder:
         others = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         self.beyond = re.compile("[^\x00-\u024f]").search
+        # White space but the space, a space, and white space again or the end.
+        self.spanned = re.compile(r"[^\S ] (?:\s|\Z)").search
+        self.white_end = np.zeros(1 << 16, bool)  # of two bytes: they end in white space but the space
+        for b in (c.encode() for c in map(chr, range(0x3001)) if c.isspace() and c != " "):
+            self.white_end[b[-1]::256] |= len(b) == 1
+            self.white_end[b[-2:][0] << 8 | b[-1]] |= len(b) > 1
         self.parts: dict[str, bytes] = {}
         self.known = Pieces(self.dtype)
 
@@ -160,8 +167,18 @@ class Encoder:
             return self._part(piece[:-1]) + self._part(piece[-1])
         return b"".join([self._part(p) for p in self.pretokens(piece)])
 
+    def spanned_cuts(self, texts: list[bytes]) -> set[int]:
+        """Numbers of the texts with a single space inside other white space, or after it at the end.
+        The two bytes before each space leave few texts to the pattern."""
+        data = np.frombuffer(b"  ".join([b"", *texts]), np.uint8)
+        at = np.flatnonzero(data[2:] == 32) + 2
+        at = at[self.white_end[data[at - 2].astype(np.int64) << 8 | data[at - 1]]]
+        begin = np.cumsum([2] + [len(t) + 2 for t in texts])
+        return {k for k in set((np.searchsorted(begin, at, "right") - 1).tolist()) if self.spanned(texts[k].decode())}
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        odd = {k: np.frombuffer(self.whole(t.decode()), self.dtype) for k, t in enumerate(texts) if b"  " in t or any(s in t for s in self.special)}
+        spanned = self.spanned_cuts(texts)
+        odd = {k: np.frombuffer(self.whole(t.decode()), self.dtype) for k, t in enumerate(texts) if k in spanned or b"  " in t or any(s in t for s in self.special)}
         plain = [b"" if k in odd else t for k, t in enumerate(texts)]
         if self.known.n > Pieces.FULL:
             self.known.clear()

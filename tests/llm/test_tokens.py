@@ -28,6 +28,18 @@ def test_encoder_is_the_library():
             assert ids.tolist() == encoder.tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_white_space_runs_are_the_librarys():
+    """A single space inside other white space, which is one pre-token with it."""
+    encoder = repair.Encoder(BYTES)
+    rng = random.Random(8)
+    runs = ["a \xa0 \xa0 b", "a" + " \xa0" * 4 + " b", "a\n \n b", "a\xa0 ", "\xa0 ", " \xa0 \xa0", "é à \xa0 \xa0 x", "中\u3000 \u3000 中", "a\u2003 \u2003 b", "", " "]
+    white = [" ", " ", "\xa0", "\xa0", "\n", "\t", "\r", "\x1c", "\x85", "\u2003", "\u2028", "\u202f", "\u3000"]
+    runs += ["x".join("".join(rng.choices(white, k=rng.randint(1, 9))) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    for t, ids in zip(runs, encoder.encode([t.encode() for t in runs]), strict=True):
+        assert ids.tolist() == encoder.tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert encoder.spanned_cuts([t.encode() for t in runs[:11]]) == {0, 1, 2, 3, 4, 5, 6, 7, 8}
+
+
 def test_full_piece_table_starts_anew(monkeypatch):
     monkeypatch.setattr(repair.Pieces, "FULL", 50)
     monkeypatch.setattr(repair, "PARTS", 20)
