@@ -1,8 +1,10 @@
 """Toxicity: maximum-scoring segments of token log-odds.
 
 Training (labelled rows of the training fold only): every word gives its first four, five
-and six bytes as tokens (insults of inflecting languages share a stem), counted by class in
-``2**BITS`` hash buckets, so the model has one size whatever the corpus.  A bucket's weight
+and six characters (insults of inflecting languages share a stem), itself as a whole and the
+six characters at each later place (parts of compounds, told as first six are) as tokens.  A
+character of three bytes or more (scripts without blanks, signs) is a word, with the one, two
+and three characters from it as tokens.  Tokens are counted by class in ``2**BITS`` hash buckets, so the model has one size whatever the corpus.  A bucket's weight
 is the log-odds ratio with an informative Dirichlet prior (the buckets' overall
 frequencies).  A word's score is the largest weight of its tokens less ``DRIFT``.
 
@@ -27,10 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migscope.llm.text import column, pieces, stored
+from migscope.llm.text import column, mix, pieces, stored
 
 BITS = 20
 PREFIXES = (4, 5, 6)
+#: Characters that a wide character (three bytes or more) is read with, itself counted.
+WIDE = 3
+#: Odd base of the hash of byte ranges, and its inverse modulo 2**64.
+BASE = 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 1 << 64)
 #: Weight of the prior in pseudo-counts of a class, and what a word of no evidence costs.
 PRIOR = 2000.0
 DRIFT = 1.0
@@ -46,22 +53,39 @@ THRESHOLD = 0.7
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(words of each text, bucket of each token of each word in turn, inner grams of each word, their buckets)."""
+    data = np.frombuffer(b" " + b" ".join(texts).translate(TABLE) + b" ", np.uint8)
+    lead = (data & 0xC0) != 0x80
+    lead[1:] |= data[:-1] == 32  # whatever follows a blank
+    pos = np.flatnonzero(lead)
+    solid, wide = data[pos] != 32, data[pos] >= 0xE0
+    start = solid.copy()
+    start[1:] &= ~solid[:-1] | wide[1:] | wide[:-1]
+    w = np.flatnonzero(start)
+    border, blank = np.flatnonzero(start | ~solid), np.flatnonzero(~solid)
+    single = wide[w]
+    end = np.where(single, np.minimum(w + WIDE, blank[np.searchsorted(blank, w)]), border[np.searchsorted(border, w, "right")])
+    counts = np.diff(np.searchsorted(pos[w], np.cumsum([1] + [len(t) + 1 for t in texts])))
+    # Sums of byte times power: the hash of any range of bytes is a difference of two.
+    power, back = (np.cumprod(np.where(np.arange(len(data) + 1) > 0, np.uint64(x), np.uint64(1))) for x in (BASE, INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])])
+
+    def bucket(i: np.ndarray, j: np.ndarray, kind: int) -> np.ndarray:
+        x = (sums[pos[j]] - sums[pos[i]]) * back[pos[i]]
+        return (mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+    out = [bucket(w, np.minimum(w + np.where(single, k - PREFIXES[0] + 1, k), end), k) for k in PREFIXES]
+    out.append(bucket(w, end, 0))
+    gram = PREFIXES[-1]
+    n = np.where(single, 0, np.maximum(end - w - gram, 0))
+    owner = np.repeat(w + 1 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return counts, out, n, bucket(owner, owner + gram, gram)
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(words of each text, bucket of each token of each word in turn)."""
-    data = np.frombuffer(b" " + b" ".join(texts).translate(TABLE) + b" " * 16, np.uint8)
-    solid = data != 32
-    starts = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
-    ends = np.flatnonzero(~solid[1:] & solid[:-1]) + 1
-    begin = np.cumsum([1] + [len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, begin))
-    view = np.ndarray(len(data) - 8, "<u8", data.tobytes(), strides=(1,))
-    first, size = view[starts], ends - starts
-    out = []
-    for k in PREFIXES:
-        mask = (np.uint64(1) << (np.minimum(size, k) * 8).astype(np.uint64)) - np.uint64(1)
-        token = (first & mask) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
-        out.append(((token ^ (token >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64))
-    return counts, out
+    """(words of each text, bucket of each token of each word in turn), without the inner grams."""
+    return tokens(texts)[:2]
 
 
 def token_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -70,17 +94,18 @@ def token_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch, texts in pieces(batches, "text"):
-            n, buckets = words(texts)
+            n, buckets, grams, inner = tokens(texts)
             label = np.repeat(column(batch, "label").to_numpy(zero_copy_only=False), n)
-            for b in buckets:
+            for b, of in [*((b, label) for b in buckets), (inner, np.repeat(label, grams))]:
                 for y in (0, 1):
-                    total[y] += np.bincount(b[label == y], minlength=1 << BITS)
+                    total[y] += np.bincount(b[of == y], minlength=1 << BITS)
         some = np.flatnonzero(total.any(axis=0))
         for lo in range(0, len(some), 65536):
             s = some[lo:lo + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(total[0, s]), pa.array(total[1, s])], ["bucket", "n0", "n1"])
 
     sums = train.select("text", "label").mapInArrow(counted, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # Rarer ones are noise: a weaker prior on them loses toxic texts or flags clean ones (README).
     got = sums.where("n0 + n1 >= 3").toArrow()  # at most 2**BITS rows
     out = np.zeros((2, 1 << BITS))
     at = got.column("bucket").to_numpy()
@@ -97,10 +122,13 @@ def log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def word_scores(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n, buckets = words(texts)
+    n, buckets, grams, inner = tokens(texts)
     best = weights[buckets[0]]
     for b in buckets[1:]:
         best = np.maximum(best, weights[b])
+    some = np.flatnonzero(grams)
+    if len(some):
+        best[some] = np.maximum(best[some], np.maximum.reduceat(weights[inner], (np.cumsum(grams) - grams)[some]))
     return n, np.clip(best.astype(np.float64) - DRIFT, LOW, HIGH)
 
 

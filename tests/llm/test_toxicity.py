@@ -34,6 +34,30 @@ def test_words():
     assert buckets[2][-1] == buckets[2][-2] and len(buckets[0]) == 7
 
 
+def test_words_are_read_whole():
+    counts, buckets, grams, inner = toxicity.tokens(["abcdefgh abcdefzz xyabcdef абвгдежз абвгдеёз".encode(), "他是坏人。ab".encode(), "\xa0x é’s".encode()])
+    assert counts.tolist() == [5, 6, 4] and grams.tolist() == [2, 2, 2, 2, 2] + [0] * 10 and len(inner) == 10
+    whole, six = buckets[3], buckets[2]
+    assert len(set(whole[:5].tolist())) == 5 and six[0] == six[1] and six[3] == six[4]
+    assert inner[5] == six[0]  # a stem inside a compound
+    again = toxicity.tokens(["坏人。x".encode()])[1]
+    assert buckets[2][7] == again[2][0] and buckets[1][7] == again[1][0] != buckets[1][5]
+
+
+def test_toxic_passage_without_separators(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        t = "".join(chr(rng.randint(0x4E00, 0x4E7F)) for _ in range(rng.randint(60, 200)))
+        for _ in range(rng.randint(3, 6) if i % 6 == 0 else 0):
+            at = rng.randint(10, len(t))
+            t = t[:at] + "坏蛋白痴" + t[at:]
+        rows.append((i, t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = toxicity.score(docs, docs.selectExpr("doc_id", "cast(doc_id % 6 = 0 as int) as toxic")).where("held_out").collect()
+    assert sum(r["predicted"] == (r["doc_id"] % 6 == 0) for r in held) >= 0.97 * len(held) > 100
+
+
 def corpus(spark, n, seed, insults=("scumbag", "vile", "lowlife")):
     rng = random.Random(seed)
     rows, labels = [], []
