@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from migscope.llm import decontaminate, mih, minhash, mixing, prefix_free, recompress, repair, toxicity, whole_token, winnow
+from migscope.llm import decontaminate, fim, merkle, mih, minhash, mixing, packing, prefix_free, recompress, repair, toxicity, whole_token, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_token.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_swar_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_bitmap_rank_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_repair_token_ids,
     op2_toxic_segments,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_prefix_decontamination,
     op9_prefix_free_dedup,
     op10_whole_token_counts,
+    op11_sum_of_squares_packing,
+    op12_swar_fill_in_middle,
+    op13_bitmap_rank_manifest,
 )}
 
 SQL: dict[str, str] = {
@@ -72,4 +87,6 @@ SQL: dict[str, str] = {
     "op6_pareto_mix": mixing.SQL,
     "op7_minhash_near_dedup": minhash.SQL,
     "op8_prefix_decontamination": decontaminate.SQL,
+    "op12_swar_fill_in_middle": fim.SQL,
+    "op13_bitmap_rank_manifest": merkle.SQL,
 }

@@ -29,7 +29,7 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert [q.split("_")[0] for q in registry.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [q.split("_")[0] for q in registry.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_recall(spark):
