@@ -27,55 +27,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from migscope.llm.text import column, kept_by_worker, pieces, stored, tokenizer_path
+from migscope.llm.repair import Pieces
+from migscope.llm.text import bounds, column, kept_by_worker, pieces, stored, tokenizer_path
 from migscope.llm.whole_token import Counter
 
 LIMIT = 2048
 END_ID = 0
 #: Pieces that one task packs.
 GROUP = 1 << 14
-#: Words whose ids a worker remembers.
-WORDS = 150_000
+#: Words whose ids a worker remembers beside the runs.
+WORDS = 100_000
 
 
 class Words(Counter):
-    """Ids of whole texts: words met before are looked up, new ones are merged by the library's
-    model; texts that ``Counter`` gives to the library whole go to it here too."""
+    """Ids of whole texts.  No pre-token of the vocabulary holds white space, so the ids of a text are those
+    of its runs of other characters; a batch's runs are looked up at once in a table of the
+    runs seen before (``Pieces``), and the words of new ones are merged by the library's model.
+    Texts that ``Counter`` gives to the library whole go to it here too."""
 
     def __init__(self, path: str):
         super().__init__(path, [])
-        self.ids: dict[str, bytes] = {}
+        self.dtype = np.dtype("<u4")
+        self.known = Pieces(self.dtype)
+        self.parts: dict[str, bytes] = {}
+        self.white = np.zeros(256, bool)
+        self.white[[9, 10, 11, 12, 13, 32]] = True
+        # Fixed value: the byte alphabet of byte-level vocabularies.
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.alphabet = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(printable))}
 
     def _word(self, word: str) -> bytes:
-        mapped = word if word.isascii() else self.tok.pre_tokenizer.pre_tokenize_str(word)[0][0]
-        if len(self.ids) >= WORDS:
-            self.ids.clear()
-        ids = self.ids[word] = array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
+        """Ids of one pre-token; remembered, as a run with a stop after it has the same word."""
+        if (ids := self.parts.get(word)) is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            if len(self.parts) >= WORDS:
+                self.parts.clear()
+            ids = self.parts[word] = array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
         return ids
 
-    def encode(self, text: str) -> bytes:
-        if self.beyond(text) or any(s in text for s in self.special):
-            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-        text = text.lower()
-        words = self.find(text) if "'" in text else self.simple(text)
-        found = list(map(self.ids.get, words))
-        if None in found:
-            found = [self._word(w) if x is None else x for w, x in zip(words, found, strict=True)]
-        return b"".join(found)
+    def _run(self, run: str) -> bytes:
+        if run.isascii():
+            if run.isalpha():
+                return self._word(run)
+            if run[:-1].isalpha() and run[-1] in ".,":
+                return self._word(run[:-1]) + self._word(run[-1])
+        return b"".join(map(self._word, self.find(run) if "'" in run else self.simple(run)))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        odd, plain = {}, []
+        for k, t in enumerate(map(bytes.decode, texts)):
+            if self.beyond(t) or any(s in t for s in self.special):
+                odd[k], t = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype), ""
+            plain.append(t.lower().encode())
+        if self.known.n > Pieces.FULL:
+            self.known.clear()
+        begin = bounds([len(t) + 1 for t in plain])
+        data = b" ".join([*plain, bytes(32)])
+        total = int(begin[-1])
+        solid = ~self.white[np.frombuffer(data, np.uint8)[:total]]
+        edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+        starts, size = edge[::2], edge[1::2] - edge[::2]
+        words = keys(data, starts, size)
+        entry = self.known.find(words, size)
+        local: dict[bytes, int] = {}
+        missing = np.flatnonzero(entry < 0)
+        found, ids = [], []
+        for s, n in zip(starts[missing].tolist(), size[missing].tolist(), strict=True):
+            run = data[s:s + n]
+            e = local.setdefault(run, len(ids))
+            if e == len(ids):
+                ids.append(self._run(run.decode()))
+            found.append(e)
+        entry[missing] = np.array(found, np.int64) + self.known.add(ids)
+        new = missing[np.unique(np.array(found, np.int64), return_index=True)[1]]
+        new = new[size[new] <= 24]
+        self.known.insert(words[:, new], size[new].astype(np.uint8), entry[new].astype(np.int32))
+        count = self.known.count[entry].astype(np.int64)
+        upto = bounds(count)
+        ids = self.known.ids[np.repeat(self.known.first[entry] - upto[:-1], count) + np.arange(upto[-1])]
+        cut_at = upto[np.searchsorted(starts, begin)]
+        return [odd[k] if k in odd else ids[cut_at[k]:cut_at[k + 1]] for k in range(len(texts))]
+
+
+def keys(data: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first 24 bytes of each run as three 64-bit words, zero beyond its end; ``data`` has 32 bytes to spare."""
+    view = np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
+    words = np.empty((3, len(starts)), np.uint64)
+    for k in range(3):
+        bits = (np.clip(size - 8 * k, 0, 8) * 8).astype(np.uint64)
+        keep = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, np.uint64(63))) - np.uint64(1))
+        words[k] = view[np.minimum(starts + 8 * k, len(data) - 9)] & keep
+    return words
 
 
 def cut(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
         with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every piece, and its ids (unsigned 32-bit, little-endian) if asked for."""
-    path = tokenizer_path(tokenizer)
-    end = array("I", [end_id]).tobytes()
+    path, end = tokenizer_path(tokenizer), np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept_by_worker(f"words {path}", lambda: Words(path))
         for batch, texts in pieces(batches, "text", 1 << 20):
             rows: list[list] = [[], [], [], [], [], []]
-            for i, t in zip(column(batch, "id").to_pylist(), texts, strict=True):
-                ids = words.encode(t.decode()) + end
+            for i, own in zip(column(batch, "id").to_pylist(), words.encode(texts), strict=True):
+                ids = own.tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at:at + 4 * limit]
                     for to, value in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):

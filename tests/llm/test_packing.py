@@ -33,10 +33,13 @@ def check_places(rows, limit):
 
 
 def test_words_are_the_librarys(monkeypatch):
-    monkeypatch.setattr(packing, "WORDS", 300)
+    monkeypatch.setattr(packing.Pieces, "FULL", 300)
     words = packing.Words(PATH)
-    for t in mixed_texts(4000, seed=9):
-        assert np.frombuffer(words.encode(t), "<u4").tolist() == words.tok.encode(t, add_special_tokens=False).ids, t
+    texts = mixed_texts(4000, seed=9) + ["", " ", "\n", "a", "é", "x" * 23, "x" * 24, "x" * 25, "It's  an\to\x0bdd\r\nLINE' 'S 's"]
+    for lo in range(0, len(texts), 90):
+        some = texts[lo:lo + 90]
+        for t, ids in zip(some, words.encode([t.encode() for t in some]), strict=True):
+            assert ids.tolist() == words.tok.encode(t, add_special_tokens=False).ids, t
 
 
 @pytest.mark.parametrize("limit", [4, 13, 64])
