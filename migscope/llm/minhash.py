@@ -4,7 +4,7 @@
    set are one class, represented by its least id; copies cost nothing from here on.
 2. Bands of ``ROWS`` minima of universal hashes a x + b; the bands' keys make buckets.  Two sets
    of similarity s share none with probability (1 - s^ROWS)^bands; there are as many bands as
-   keep that under ``MISS`` at the threshold (32 at 0.85, 50 at 0.80).
+   keep that under half of ``MISS`` at the threshold (46 at 0.85, 71 at 0.80).
 3. Star pairs: the members of a bucket against its least one.  A pair is verified by its
    signatures and then on the full sets; components of these links follow.
 4. What is left are pairs of one bucket in different components.  Such buckets are cut in blocks
@@ -34,24 +34,30 @@ from migscope.llm.text import bounds, column, id_back, keyed, mix, partitions, p
 SHINGLE, PERCENT = 5, 85
 #: Minima of a band, and of a whole signature (at least; those beyond the bands are in it only).
 ROWS, MINIMA = 6, 384
-#: Chance that a pair at the threshold shares no band, and how many standard deviations below the mean
-#: (of such pairs) the equal minima of likely pairs begin.
-MISS, DEVIATIONS = 3e-7, 4
+#: Chance that a pair at the threshold is lost: by sharing no band at most the first half, by fewer equal
+#: minima than a likely pair has (exact binomial) at most the other half.
+MISS = 1e-9
 BLOCK, STAR = 256, 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NODE = "struct<id:long,h:long>"
 
 
 def bands_for(percent: int, per_band: int) -> int:
-    """The least number of bands by which a pair at the threshold is missed with at most ``MISS``."""
-    return max(1, math.ceil(math.log(MISS) / math.log(max(1 - (percent / 100) ** per_band, MISS))))
+    """The least number of bands by which a pair at the threshold is missed with at most half of ``MISS``."""
+    return max(1, math.ceil(math.log(MISS / 2) / math.log(max(1 - (percent / 100) ** per_band, MISS / 2))))
 
 
 def agree_for(percent: int, minima: int) -> int:
-    """Equal minima (eight bits of each) that likely pairs have at least."""
-    s = percent / 100
-    p = s + (1 - s) / 256
-    return math.floor(minima * p - DEVIATIONS * math.sqrt(minima * p * (1 - p)))
+    """Equal minima (eight bits of each) that a pair at the threshold has, but for half of ``MISS``."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    least, below = 0, 0.0
+    while least < minima:
+        log = math.lgamma(minima + 1) - math.lgamma(least + 1) - math.lgamma(minima - least + 1) + least * math.log(p) + (minima - least) * math.log1p(-p) if p < 1 else -math.inf
+        below += math.exp(log)
+        if below > MISS / 2:
+            break
+        least += 1
+    return least
 
 
 def factors(n: int) -> tuple[np.ndarray, np.ndarray]:

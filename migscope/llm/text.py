@@ -93,14 +93,27 @@ def column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _kept() -> dict:
+    return vars(sys.modules.setdefault("_migscope_llm_kept", types.ModuleType("_migscope_llm_kept")))
+
+
 def kept_by_worker(key: str, make: Callable):
-    """What ``make`` gives, made once in a Python worker and kept for its next tasks."""
-    store = vars(sys.modules.setdefault("_migscope_llm_kept", types.ModuleType("_migscope_llm_kept")))
+    """What ``make`` gives, made once in a Python worker and kept for its next tasks, until a task
+    asks for something else: a worker holds one such thing at a time."""
+    store = _kept()
     if key not in store:
+        let_go()
         store[key] = make()
     return store[key]
 
 
+def let_go() -> None:
+    """Free what earlier tasks left in this worker; for tasks that keep nothing but hold much themselves."""
+    store = _kept()
+    for name in [n for n in store if not n.startswith("__")]:
+        del store[name]
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 

@@ -17,7 +17,8 @@ over that evidence, fitted on the training fold, gives the score.
 
 Cases: a null or empty text has no segment and gets the score of no evidence; null ids and
 repeated rows are scored as any other row; several labels of one id count as their maximum,
-null labels as none; without labels of both classes every score is 0."""
+null labels as none; ties between segments of one score keep the earlier one; extra columns are
+not read; an empty table gives no rows; without labels of both classes every score is 0."""
 
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migscope.llm.text import column, mix, pieces, stored
+from migscope.llm.text import column, let_go, mix, pieces, stored
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -41,6 +42,9 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Weight of the prior in pseudo-counts of a class, and what a word of no evidence costs.
 PRIOR = 2000.0
 DRIFT = 1.0
+#: Bytes of text that a task reads at once.  Reading takes about 60 bytes a byte, so about 60 MB; a longer
+#: text is read alone and takes as much for each of its bytes.
+SLICE = 1 << 20
 #: Word scores are cut to this range for the calibration histogram.
 LOW, HIGH, STEP = -8.0, 12.0, 0.05
 #: The range of evidence in which the curve rises.
@@ -92,13 +96,13 @@ def token_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences of each bucket in untoxic and toxic training texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros((2, 1 << BITS), np.int64)
-        for batch, texts in pieces(batches, "text"):
+        for batch, texts in pieces(batches, "text", SLICE):
             n, buckets, grams, inner = tokens(texts)
             label = np.repeat(column(batch, "label").to_numpy(zero_copy_only=False), n)
-            for b, of in [*((b, label) for b in buckets), (inner, np.repeat(label, grams))]:
-                for y in (0, 1):
-                    total[y] += np.bincount(b[of == y], minlength=1 << BITS)
+            of = np.concatenate([*[label] * len(buckets), np.repeat(label, grams)]).astype(np.int64)
+            total += np.bincount((of << BITS) + np.concatenate([*buckets, inner]), minlength=2 << BITS).reshape(2, -1)
         some = np.flatnonzero(total.any(axis=0))
         for lo in range(0, len(some), 65536):
             s = some[lo:lo + 65536]
@@ -173,7 +177,7 @@ def histogram(train: DataFrame, weights) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for _, texts in pieces(batches, "text"):
+        for _, texts in pieces(batches, "text", SLICE):
             total += np.bincount(np.rint((word_scores(texts, weights.value)[1] - LOW) / STEP).astype(np.int64), minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["bin", "n"])
 
@@ -245,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lam = solve_lambda(histogram(train, shared))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in pieces(batches, "text"):
+        for _, texts in pieces(batches, "text", SLICE):
             n, s = word_scores(texts, shared.value)
             ends = np.cumsum(n)
             top = [max((x for _, _, x in segments(s[e - k:e])), default=0.0) for k, e in zip(n.tolist(), ends.tolist(), strict=True)]
@@ -270,7 +274,8 @@ def scorer(weights, lam: float, log_k: float, curve: tuple[float, float] | None,
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "text"):
+        let_go()
+        for batch, texts in pieces(batches, "text", SLICE):
             n, s = word_scores(texts, weights.value)
             facts, passages = [], []
             for k, e in zip(n.tolist(), np.cumsum(n).tolist(), strict=True):

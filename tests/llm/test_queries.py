@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from migscope.llm import decontaminate, minhash, mixing, registry, toxicity
+from migscope.llm import decontaminate, mixing, registry, toxicity
 from migscope.llm.repair import Encoder
 from migscope.llm.text import tokenizer_path
 from tests.conftest import SF
+from tests.llm import brute
 
 
 def tables():
@@ -60,7 +61,8 @@ def test_pipeline(spark):
     assert now.columns == columns and ids(now) == ids(scored.where("predicted = 0"))
     now = now.cache()
     after = stage["near duplicates"](spark, now, SF).cache()
-    assert after.columns == columns and ids(after) == ids(minhash.near_duplicates(now).where("kept"))
+    texts = [(r["doc_id"], r["text"]) for r in now.select("doc_id", "text").collect()]
+    assert after.columns == columns and ids(after) == sorted(i for i, (_, _, kept) in brute.components(texts, percent=80).items() if kept)
     now, after = after, stage["decontamination"](spark, after, SF).cache()
     found = decontaminate.digest(decontaminate.find(now, spark.read.parquet(f"{SF}/benchmark.parquet")))
     assert after.columns == columns and ids(after) == ids(found.where("not contaminated"))
@@ -72,3 +74,21 @@ def test_pipeline(spark):
     want = {r["doc_id"]: len(encoder.tok.encode(r["text"]).ids) + 1 for r in now.select("doc_id", "text").collect()}
     assert sorted(r["doc_id"] for r in out) == ids(after) and all(r["n_tokens"] == want[r["doc_id"]] for r in out)
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, out))
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, empty texts, a very long text, and tables without rows."""
+    long = " ".join(f"w{k}" for k in range(60_000))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (None, "a b c", None, "x", 5), (None, "a b c", None, "x", 5), (1, "", "en", "x", 0), (2, None, "en", None, None),
+            (3, long, "en", "x", len(long)), (4, long + " end", "en", "y", None), (5, "some words of a text", "en", "y", 20), (5, "some words of a text", "en", "y", 20)]
+    for name, made in (("odd", rows), ("none", [])):
+        d = tmp_path / name
+        spark.createDataFrame(made, schema).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        spark.createDataFrame([("b1", None), (None, ""), ("b2", "words nobody wrote")], "item_id string, text string").write.parquet(str(d / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    # Without labels nothing is toxic; documents 3 and 4 are near copies, the first stays.
+    assert {3} <= {r["doc_id"] for r in out} <= {None, 1, 2, 3, 5} and sorted(r["start"] for r in out)[0] == 0
+    assert all(r["n_tokens"] == 1 for r in out if r["doc_id"] in (1, 2)) and all(r["n_tokens"] > 60_000 for r in out if r["doc_id"] == 3)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []

@@ -1,5 +1,7 @@
 """Substring, byte-string, line and near-duplicate operators against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -91,7 +93,30 @@ def test_minhash_filters_follow_the_threshold(spark):
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
     assert by_id(got, ["n_shingles", "component_id", "kept"]) == brute.components(rows, percent=80)
     assert got.where("kept").count() == 140
-    assert [minhash.bands_for(p, 6) for p in (85, 80)] == [32, 50]
+    assert [minhash.bands_for(p, 6) for p in (85, 80)] == [46, 71]
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_no_link_at_the_threshold_is_lost(percent):
+    """The chance of a miss is under 1e-9: exact binomial for the filter, and 4,000 pairs right at the threshold."""
+    bands = minhash.bands_for(percent, 6)
+    n = max(384, bands * 6)
+    agree = minhash.agree_for(percent, n)
+    p = percent / 100 + (1 - percent / 100) / 256
+    assert sum(math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(agree)) <= 5e-10
+    assert (1 - (percent / 100) ** 6) ** bands <= 5e-10
+    rng = np.random.default_rng(percent)
+    sets = []
+    for k in range(4000):
+        size = 20 * (1 + k % 5)  # the union
+        x = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        alone = size * (100 - percent) // 100
+        sets += [x[alone // 2:], np.concatenate([x[:alone // 2], x[alone:]])]
+    sig = minhash.signatures(sets, n)
+    equal = ((sig[::2] & 255) == (sig[1::2] & 255)).sum(1)
+    assert equal.min() >= agree
+    share = (sig[::2] == sig[1::2])[:, :bands * 6].reshape(4000, 6, bands).all(1).any(1)  # a band is every bands-th minimum
+    assert share.all()
 
 
 def test_components(spark):
