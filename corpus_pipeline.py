@@ -1,4 +1,9 @@
-"""The training-data pipeline over ``documents``: each stage calls one operator."""
+"""The training-data pipeline over ``documents``: each stage calls one operator.
+
+Cases, as the operators define them: null ids sort last and are documents like others; null and
+empty texts are not toxic, near no other document and clean, and have size 0 in the mix;
+repeated rows are one document to the near-duplicate stage (all or none stay); a very long text
+is read whole by every stage; extra columns pass through to the mix; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -18,8 +23,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the least id."""
-    return minhash.representatives(docs)
+    """One document of each group of near duplicates (similarity 0.8 or more) stays: that with the least id."""
+    return minhash.representatives(docs, percent=80)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
