@@ -46,19 +46,35 @@ def name_list(x: Column) -> Column:
     return F.transform(F.split(x, ","), lambda e: unquote(js_trim(e)))
 
 
-def ddl_statements(src_files: DataFrame) -> DataFrame:
-    """Strip comments, split on ';', trim, drop empty; route by prefix."""
-    text = F.regexp_replace(F.regexp_replace("content", r"--[^\n]*", ""), r"/\*[\s\S]*?\*/", "")
-    st = src_files.select(*KEYS, F.posexplode(F.split(text, ";")).alias("stmt_no", "raw")) \
-        .select(*KEYS, "stmt_no", js_trim("raw").alias("stmt")).where(F.length("stmt") > 0)
-    U = F.upper("stmt")
+def _kind(stmt: Column) -> Column:
+    """The route of a statement by its prefix."""
+    U = F.upper(stmt)
     kind = None
     for k, prefixes in ROUTES:
         cond = None
         for p in prefixes:
             cond = U.startswith(p) if cond is None else cond | U.startswith(p)
         kind = F.when(cond, k) if kind is None else kind.when(cond, k)
-    return st.select(*KEYS, c("stmt_no").cast("long").alias("stmt_no"), kind.alias("kind"), "stmt")
+    return kind
+
+
+def _pieces(content: Column | str) -> Column:
+    """The text without comments, split on ';'."""
+    return F.split(F.regexp_replace(F.regexp_replace(content, r"--[^\n]*", ""), r"/\*[\s\S]*?\*/", ""), ";")
+
+
+def ddl_statements(src_files: DataFrame) -> DataFrame:
+    """Strip comments, split on ';', trim, drop empty; route by prefix."""
+    st = src_files.select(*KEYS, F.posexplode(_pieces("content")).alias("stmt_no", "raw")) \
+        .select(*KEYS, "stmt_no", js_trim("raw").alias("stmt")).where(F.length("stmt") > 0)
+    return st.select(*KEYS, c("stmt_no").cast("long").alias("stmt_no"), _kind(c("stmt")).alias("kind"), "stmt")
+
+
+def statement_list(content: Column) -> Column:
+    """The statements of a file as array of structs (stmt_no, kind, stmt), as ``ddl_statements`` has them."""
+    trimmed = F.transform(_pieces(content), lambda x, i: F.struct(i.cast("long").alias("stmt_no"), js_trim(x).alias("stmt")))
+    return F.transform(F.filter(trimmed, lambda s: F.length(s["stmt"]) > 0), lambda s: F.struct(
+        s["stmt_no"].alias("stmt_no"), _kind(s["stmt"]).alias("kind"), s["stmt"].alias("stmt")))
 
 
 def ddl_objects(statements: DataFrame) -> DataFrame:

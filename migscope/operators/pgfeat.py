@@ -1,15 +1,19 @@
 """PostgreSQL feature inventory of DDL files (raw text, comments included).
 
-Multi-match extraction uses ``regexp_extract_all`` per capture group (the arrays
-stay aligned because a non-participating group yields ''), ``arrays_zip`` and
-``inline``: one generator step per file, no UDF."""
+``pg_file_features`` is the record of a file (G17): every feature as an array of structs,
+mined in one projection without a shuffle.  Multi-match extraction uses ``regexp_extract_all``
+per capture group (the arrays stay aligned because a non-participating group yields '') and
+higher-order functions; no UDF.  The ``pg_*`` tables are the arrays of the record as
+rows: a plan that reads one of them mines only that one (the others are pruned), a plan that reads
+several materialises the record and mines every file once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from migscope.functions.text import js_trim
+from migscope.operators import ddl as D
 
 c = F.col
 KEYS = ["project_id", "path"]
@@ -64,140 +68,232 @@ def type_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PG_TYPE_MAP, "type string, oracle_type string, complexity string")
 
 
-def _extract(files: DataFrame, pattern: str, groups: list[int], names: list[str]) -> DataFrame:
-    """All matches of ``pattern`` per file as rows (ord = match index)."""
-    arrs = [F.regexp_extract_all("content", F.lit(pattern), g).alias(n) for g, n in zip(groups, names)]
-    z = files.select(*KEYS, *arrs).select(*KEYS, F.posexplode(F.arrays_zip(*names)).alias("ord", "m"))
-    return z.select(*KEYS, c("ord").cast("long").alias("ord"), *[c("m")[n].alias(n) for n in names])
-
-
-def pg_type_usage(spark: SparkSession, files: DataFrame, columns: DataFrame) -> DataFrame:
-    """Per file and mapped type the column count (+1 per SERIAL literal in
-    the raw text, comments included), the tables in first-seen order and the
-    Oracle mapping.  The 16-row map is a broadcast inner join.  ``seen`` orders the
-    types as first met: column types by position, then SERIAL-pass-only types by
-    match position."""
-    tm = F.broadcast(type_map(spark))
-    from_cols = columns.join(tm.select(c("type").alias("data_type")), "data_type") \
-        .groupBy(*KEYS, c("data_type").alias("type")).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("stmt_no", "col_no", "table_name"))),
-                                         lambda s: s["table_name"])).alias("tables"),
-            F.min(F.struct(F.lit(0).alias("o1"), c("stmt_no").alias("o2"), c("col_no").alias("o3"))).alias("seen"))
-    serial = files.select(*KEYS, F.posexplode(F.regexp_extract_all("content", F.lit(RE_SERIAL), 0)).alias("i", "m")) \
-        .groupBy(*KEYS, F.upper("m").alias("type")).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct(F.lit(1).alias("o1"), c("i").cast("long").alias("o2"), F.lit(0).cast("long").alias("o3")))
-            .alias("seen"))
-    u = from_cols.unionByName(serial.withColumn("tables", F.lit(None).cast("array<string>")))
-    agg = u.groupBy(*KEYS, "type").agg(F.sum("n").cast("long").alias("count"),
-                                       F.max("tables").alias("tables"), F.min("seen").alias("seen"))
-    return agg.join(tm, "type").select(
-        *KEYS, "type", "count", F.coalesce(c("tables"), F.array().cast("array<string>")).alias("tables"),
-        "complexity", "oracle_type", "seen")
-
-
-def pg_index_types(spark: SparkSession, files: DataFrame) -> DataFrame:
+def lookup(pairs: list[tuple[str, object]], key: Column) -> Column:
+    """The value of ``key`` in a fixed table, null if it has none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), key)
+
+
+def oracle_type(t: Column) -> Column:
+    return lookup([(name, oracle) for name, oracle, _ in PG_TYPE_MAP], t)
+
+
+def complexity(t: Column) -> Column:
+    return lookup([(name, level) for name, _, level in PG_TYPE_MAP], t)
+
+
+def oracle_support(method: Column) -> Column:
+    return F.coalesce(lookup(INDEX_SUPPORT, method), F.lit(False))
+
+
+# ---------------------------------------------------------------- the record
+def _matches(pattern: str, **groups: int) -> Column:
+    """All matches of ``pattern`` as array of structs of its groups."""
+    return F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), g).alias(n) for n, g in groups.items()])
+
+
+def _tables(statements: str) -> Column:
+    """D3: the tables of the statement array, with their bodies."""
+    found = F.transform(F.filter(statements, lambda s: s["kind"] == "TABLE"), lambda s: F.struct(
+        s["stmt_no"].alias("stmt_no"), D.unquote(F.regexp_extract(s["stmt"], D.NAME_PATTERNS["TABLE"], 1)).alias("table_name"),
+        F.regexp_extract(s["stmt"], D.RE_BODY, 1).alias("body")))
+    return F.filter(found, lambda t: (t["table_name"] != "") & (t["body"] != ""))
+
+
+def _columns(bodies: str) -> Column:
+    """The columns of the tables, in order."""
+    def of_table(t: Column) -> Column:
+        items = F.transform(F.split(t["body"], ","), lambda x, i: F.struct(i.cast("long").alias("col_no"), js_trim(x).alias("item")))
+        return F.transform(F.filter(items, lambda x: D._is_column(x["item"])), lambda x: F.struct(
+            t["stmt_no"].alias("stmt_no"), x["col_no"].alias("col_no"), t["table_name"].alias("table_name"),
+            D.unquote(F.split(x["item"], r"\s+")[0]).alias("column_name"),
+            F.upper(F.regexp_extract(F.split(x["item"], r"\s+")[1], D.RE_TYPE, 1)).alias("data_type")))
+    return F.flatten(F.transform(bodies, of_table))
+
+
+def _types(columns: str) -> Column:
+    """Per mapped type the column count (+1 per SERIAL literal in the raw text), the tables in
+    first-seen order and the Oracle mapping.  ``seen`` orders the types as first met: column
+    types by position, then SERIAL-pass-only types by match position."""
+    place = lambda a, b, d: F.struct(F.lit(a).alias("o1"), b.cast("long").alias("o2"), d.cast("long").alias("o3"))
+    mapped = F.filter(columns, lambda x: x["data_type"].isin([t for t, _, _ in PG_TYPE_MAP]))
+    met = F.concat(
+        F.transform(mapped, lambda x: F.struct(x["data_type"].alias("type"), x["table_name"].alias("table_name"), place(0, x["stmt_no"], x["col_no"]).alias("at"))),
+        F.transform(F.regexp_extract_all("content", F.lit(RE_SERIAL), 0),
+                    lambda m, i: F.struct(F.upper(m).alias("type"), F.lit(None).cast("string").alias("table_name"), place(1, i, F.lit(0)).alias("at"))))
+
+    def of_type(t: Column, own: Column) -> Column:
+        tables = F.array_distinct(F.filter(F.transform(own, lambda x: x["table_name"]), lambda x: x.isNotNull()))
+        return F.struct(t.alias("type"), F.size(own).cast("long").alias("count"), tables.alias("tables"), complexity(t).alias("complexity"),
+                        oracle_type(t).alias("oracle_type"), F.array_min(F.transform(own, lambda x: x["at"])).alias("seen"))
+    names = F.array_distinct(F.transform(met, lambda x: x["type"]))
+    return F.transform(names, lambda t: of_type(t, F.filter(met, lambda x: x["type"] == t)))
+
+
+def _indexes(methods: str) -> Column:
     """CREATE INDEX methods (default BTREE) with count and Oracle support."""
-    m = files.select(*KEYS, F.posexplode(F.regexp_extract_all("content", F.lit(RE_INDEX), 1)).alias("i", "m"))
-    g = m.groupBy(*KEYS, F.when(c("m") == "", "BTREE").otherwise(F.upper("m")).alias("type")) \
-        .agg(F.count(F.lit(1)).alias("count"), F.min("i").cast("long").alias("first_ord"))
-    sup = F.broadcast(spark.createDataFrame(INDEX_SUPPORT, "type string, oracle_support boolean"))
-    return g.join(sup, "type", "left").select(
-        *KEYS, "type", "count", F.coalesce(c("oracle_support"), F.lit(False)).alias("oracle_support"), "first_ord")
+    return F.transform(F.array_distinct(methods), lambda t: F.struct(
+        t.alias("type"), F.size(F.filter(methods, lambda x: x == t)).cast("long").alias("count"), oracle_support(t).alias("oracle_support"),
+        (F.array_position(methods, t) - 1).cast("long").alias("first_ord")))
 
 
-def pg_functions(files: DataFrame) -> DataFrame:
+def _functions() -> Column:
     """PL/pgSQL functions with non-blank body lines and feature flags."""
-    f = _extract(files, RE_FUNCTION, [1, 2, 4], ["name", "returns", "body"])
-    nonblank = F.size(F.filter(F.split("body", "\n"), lambda l: F.length(js_trim(l)) > 0))
-    return f.select(
-        *KEYS, "ord", "name", nonblank.cast("long").alias("complexity"),
-        c("body").rlike(r"(?i)EXECUTE\s+").alias("uses_dynamic_sql"),
-        c("body").rlike(r"(?i)ARRAY\[|array_").alias("uses_arrays"),
-        c("body").rlike(r"(?i)jsonb_|json_|->|->>").alias("uses_json"),
-        (c("returns").rlike(r"(?i)RETURNS\s+TABLE") | c("returns").rlike(r"(?i)RETURNS\s+SETOF")).alias("returns_table"))
+    def fact(f: Column, i: Column) -> Column:
+        nonblank = F.size(F.filter(F.split(f["body"], "\n"), lambda l: F.length(js_trim(l)) > 0))
+        return F.struct(
+            i.cast("long").alias("ord"), f["name"].alias("name"), nonblank.cast("long").alias("complexity"),
+            f["body"].rlike(r"(?i)EXECUTE\s+").alias("uses_dynamic_sql"),
+            f["body"].rlike(r"(?i)ARRAY\[|array_").alias("uses_arrays"),
+            f["body"].rlike(r"(?i)jsonb_|json_|->|->>").alias("uses_json"),
+            (f["returns"].rlike(r"(?i)RETURNS\s+TABLE") | f["returns"].rlike(r"(?i)RETURNS\s+SETOF")).alias("returns_table"))
+    return F.transform(_matches(RE_FUNCTION, name=1, returns=2, body=4), fact)
 
 
-def pg_triggers(files: DataFrame) -> DataFrame:
+def _triggers() -> Column:
     """Trigger name, timing, first event, row/statement."""
-    t = _extract(files, RE_TRIGGER, [1, 2, 3, 4], ["name", "timing", "event", "for_each"])
-    return t.withColumn("has_returning_clause", F.lit(False))
+    return F.transform(_matches(RE_TRIGGER, name=1, timing=2, event=3, for_each=4), lambda t, i: F.struct(
+        i.cast("long").alias("ord"), t["name"].alias("name"), t["timing"].alias("timing"), t["event"].alias("event"), t["for_each"].alias("for_each"),
+        F.lit(False).alias("has_returning_clause")))
 
 
-def pg_sequences(files: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Explicit sequences plus one implicit sequence per SERIAL column."""
-    s = _extract(files, RE_SEQUENCE, [1, 2, 3], ["name", "dt", "inc"])
-    explicit = s.select(*KEYS, c("ord").alias("ord"), "name",
-                        F.when(c("dt") == "", "BIGINT").otherwise(c("dt")).alias("data_type"),
-                        F.when(c("inc") == "", 1).otherwise(c("inc").cast("long")).cast("long").alias("increment"),
-                        F.lit(False).alias("is_serial"))
-    ser = columns.where(c("data_type").rlike(r"(?i)SERIAL$")).select(
-        *KEYS, (F.lit(1 << 62) + F.shiftleft(c("stmt_no").cast("long"), 31) + c("col_no")).cast("long").alias("ord"),
-        F.concat_ws("_", "table_name", "column_name", F.lit("seq")).alias("name"),
-        F.when(F.upper("data_type").contains("BIG"), "BIGINT").otherwise("INTEGER").alias("data_type"),
-        F.lit(1).cast("long").alias("increment"), F.lit(True).alias("is_serial"))
-    return explicit.unionByName(ser)
+def _sequences(columns: str) -> Column:
+    """Explicit sequences, then one implicit sequence per SERIAL column."""
+    explicit = F.transform(_matches(RE_SEQUENCE, name=1, dt=2, inc=3), lambda s: F.struct(
+        s["name"].alias("name"), F.when(s["dt"] == "", "BIGINT").otherwise(s["dt"]).alias("data_type"),
+        F.when(s["inc"] == "", F.lit(1).cast("long")).otherwise(s["inc"].cast("long")).alias("increment"), F.lit(False).alias("is_serial")))
+    implicit = F.transform(F.filter(columns, lambda x: x["data_type"].endswith("SERIAL")), lambda x: F.struct(
+        F.concat_ws("_", x["table_name"], x["column_name"], F.lit("seq")).alias("name"),
+        F.when(x["data_type"].contains("BIG"), "BIGINT").otherwise("INTEGER").alias("data_type"),
+        F.lit(1).cast("long").alias("increment"), F.lit(True).alias("is_serial")))
+    return F.transform(F.concat(explicit, implicit), lambda s, i: F.struct(i.cast("long").alias("ord"), *[s[n].alias(n) for n in ("name", "data_type", "increment", "is_serial")]))
 
 
-def pg_extensions(files: DataFrame) -> DataFrame:
+def _extensions() -> Column:
     """Explicit extensions in order (duplicates kept), then the usage-detected
     ones that are not yet listed."""
     explicit = F.regexp_extract_all("content", F.lit(RE_EXTENSION), 1)
-    usage = F.array(*[F.when(c("content").rlike(p), F.lit(n)) for n, p in EXTENSION_USAGE])
-    added = F.filter(usage, lambda x: x.isNotNull())
-    allx = F.concat(c("ex"), F.array_except(c("added"), c("ex")))
-    return files.select(*KEYS, explicit.alias("ex"), added.alias("added")) \
-        .select(*KEYS, F.posexplode(allx).alias("ord", "extension")) \
-        .select(*KEYS, c("ord").cast("long").alias("ord"), "extension")
+    used = F.filter(F.array(*[F.when(c("content").rlike(p), F.lit(n)) for n, p in EXTENSION_USAGE]), lambda x: x.isNotNull())
+    return F.concat(explicit, F.array_except(used, explicit))
+
+
+def _partitions(children: str) -> Column:
+    """Declaratively partitioned tables and the number of ``PARTITION OF`` children
+    whose parent reference starts with the table name (the rule matches unanchored and
+    case-insensitively)."""
+    return F.transform(_matches(RE_PARTITIONED, name=1, strategy=2), lambda p, i: F.struct(
+        i.cast("long").alias("ord"), p["name"].alias("name"), F.upper(p["strategy"]).alias("strategy"),
+        F.size(F.filter(children, lambda ref: F.startswith(ref, F.lower(p["name"])))).cast("long").alias("partition_count")))
+
+
+def _estimates(bodies: str) -> Column:
+    """Size class by index count; indexes are never collected, so every
+    table is Small / 10,000 rows."""
+    n = F.lit(0)
+    rows = F.when(n >= 5, 10000000).when(n >= 3, 1000000).when(n >= 1, 100000).otherwise(10000).cast("long")
+    size = F.when(n >= 5, "Very Large").when(n >= 3, "Large").when(n >= 1, "Medium").otherwise("Small")
+    return F.transform(bodies, lambda t: F.struct(t["stmt_no"].alias("stmt_no"), t["table_name"].alias("table_name"), rows.alias("estimated_rows"), size.alias("size_category")))
+
+
+def _objects(statements: str) -> Column:
+    """(statement, kind, name) of the routed statements with a name."""
+    def named(s: Column) -> Column:
+        name = F.lit(None).cast("string")
+        for kind, pattern in D.NAME_PATTERNS.items():
+            name = F.when(s["kind"] == kind, D.unquote(F.regexp_extract(s["stmt"], pattern, 1))).otherwise(name)
+        return F.struct(s["stmt_no"].alias("stmt_no"), s["kind"].alias("kind"), name.alias("name"))
+    return F.filter(F.transform(F.filter(statements, lambda s: s["kind"].isNotNull()), named), lambda s: s["name"] != "")
+
+
+#: The parts of a record that are lists.
+LISTS = ["types", "indexes", "functions", "triggers", "sequences", "extensions", "partitions", "inheritance", "estimates", "objects"]
+COUNTERS = {"partial_indexes": RE_PARTIAL, "expression_indexes": RE_EXPR_INDEX, "rls_policies": RE_RLS, "check_constraints": RE_CHECK,
+            "exclusion_constraints": RE_EXCLUDE}
+
+
+def pg_file_features(files: DataFrame) -> DataFrame:
+    """One row a file with all its features (``LISTS``), the counters of G5, G6, G13, G15 and G16, and
+    its numbers of tables, columns and statements.  Three projections, so that what several parts
+    read (statements, table bodies, columns) is made once; no shuffle."""
+    statements = files.select(*KEYS, "content", D.statement_list(c("content")).alias("statements"))
+    methods = F.transform(F.regexp_extract_all("content", F.lit(RE_INDEX), 1), lambda m: F.when(m == "", "BTREE").otherwise(F.upper(m)))
+    parts = statements.select(*KEYS, "content", "statements", _tables("statements").alias("bodies"), methods.alias("methods"),
+                              F.transform(F.regexp_extract_all("content", F.lit(RE_PARTITION_OF), 1), F.lower).alias("children"))
+    parts = parts.select("*", _columns("bodies").alias("cols"))
+    names = F.regexp_extract_all("content", F.lit(RE_INHERITS), 1)
+    return parts.select(
+        *KEYS, _types("cols").alias("types"), _indexes("methods").alias("indexes"), _functions().alias("functions"), _triggers().alias("triggers"),
+        _sequences("cols").alias("sequences"), _extensions().alias("extensions"), _partitions("children").alias("partitions"),
+        F.transform(names, lambda n, i: F.struct(i.cast("long").alias("ord"), n.alias("name"))).alias("inheritance"),
+        _estimates("bodies").alias("estimates"), _objects("statements").alias("objects"),
+        *[F.regexp_count("content", F.lit(p)).cast("long").alias(n) for n, p in COUNTERS.items()],
+        F.size("bodies").cast("long").alias("n_tables"), F.size("cols").cast("long").alias("n_columns"), F.size("statements").cast("long").alias("n_statements"))
+
+
+# ---------------------------------------------------------------- its lists as rows
+def _record(files: DataFrame) -> DataFrame:
+    """Records, or files, whose records are made."""
+    return pg_file_features(files) if "content" in files.columns else files
+
+
+def _rows(files: DataFrame, part: str) -> DataFrame:
+    return _record(files).select(*KEYS, F.inline(part))
+
+
+def pg_type_usage(files: DataFrame) -> DataFrame:
+    return _rows(files, "types")
+
+
+def pg_index_types(files: DataFrame) -> DataFrame:
+    return _rows(files, "indexes")
+
+
+def pg_functions(files: DataFrame) -> DataFrame:
+    return _rows(files, "functions")
+
+
+def pg_triggers(files: DataFrame) -> DataFrame:
+    return _rows(files, "triggers")
+
+
+def pg_sequences(files: DataFrame) -> DataFrame:
+    return _rows(files, "sequences")
+
+
+def pg_extensions(files: DataFrame) -> DataFrame:
+    return _record(files).select(*KEYS, F.posexplode("extensions").alias("ord", "extension")).withColumn("ord", c("ord").cast("long"))
 
 
 def pg_partitions(files: DataFrame) -> DataFrame:
-    """Declaratively partitioned tables and the number of ``PARTITION OF``
-    children whose parent reference starts with the table name (the rule matches
-    unanchored and case-insensitively).  Parents and children meet in an
-    equi-join on the file with a prefix condition."""
-    parents = _extract(files, RE_PARTITIONED, [1, 2], ["name", "strategy"])
-    kids = files.select(*KEYS, F.explode(F.regexp_extract_all("content", F.lit(RE_PARTITION_OF), 1)).alias("ref"))
-    j = parents.alias("p").join(kids.alias("k"), [c("p.project_id") == c("k.project_id"),
-                                                 c("p.path") == c("k.path"),
-                                                 F.lower(c("k.ref")).startswith(F.lower(c("p.name")))], "left")
-    return j.groupBy("p.project_id", "p.path", "p.ord", "p.name", "p.strategy") \
-        .agg(F.count("k.ref").alias("partition_count")) \
-        .select("project_id", "path", "ord", "name", F.upper("strategy").alias("strategy"), "partition_count")
+    return _rows(files, "partitions")
 
 
 def pg_inheritance(files: DataFrame) -> DataFrame:
-    """G12"""
-    return _extract(files, RE_INHERITS, [1], ["name"])
+    return _rows(files, "inheritance")
 
 
-def pg_row_estimates(tables: DataFrame) -> DataFrame:
-    """Size class by index count; indexes are never collected, so every
-    table is Small / 10,000 rows."""
-    n = c("n_indexes")
-    return tables.select(
-        *KEYS, "table_name",
-        F.when(n >= 5, 10000000).when(n >= 3, 1000000).when(n >= 1, 100000).otherwise(10000)
-        .cast("long").alias("estimated_rows"),
-        F.when(n >= 5, "Very Large").when(n >= 3, "Large").when(n >= 1, "Medium").otherwise("Small")
-        .alias("size_category"))
+def pg_row_estimates(files: DataFrame) -> DataFrame:
+    return _rows(files, "estimates").drop("stmt_no")
 
 
 def pg_counters(files: DataFrame) -> DataFrame:
-    """G5, G6, G13, G15, G16 and the per-file counts of G7-G12 (the G17 record)."""
-    cnt = lambda p: F.regexp_count("content", F.lit(p)).cast("long")
-    size = lambda p, g=1: F.size(F.regexp_extract_all("content", F.lit(p), g)).cast("long")
-    return files.select(
-        *KEYS,
-        cnt(RE_PARTIAL).alias("partial_indexes"),
-        cnt(RE_EXPR_INDEX).alias("expression_indexes"),
-        cnt(RE_RLS).alias("rls_policies"),
-        cnt(RE_CHECK).alias("check_constraints"),
-        cnt(RE_EXCLUDE).alias("exclusion_constraints"),
-        size(RE_INDEX).alias("indexes"),
-        size(RE_FUNCTION).alias("plpgsql_functions"),
-        size(RE_TRIGGER).alias("triggers"),
-        size(RE_PARTITIONED).alias("partitioned_tables"),
-        size(RE_INHERITS).alias("inheritance_tables"),
-    )
+    """G5, G6, G13, G15, G16 and the per-file counts of G4, G7, G8, G11 and G12."""
+    size = lambda x: F.size(x).cast("long")
+    return _record(files).select(
+        *KEYS, *COUNTERS, F.coalesce(F.aggregate("indexes", F.lit(0).cast("long"), lambda a, x: a + x["count"]), F.lit(0)).alias("indexes"),
+        size("functions").alias("plpgsql_functions"), size("triggers").alias("triggers"), size("partitions").alias("partitioned_tables"),
+        size("inheritance").alias("inheritance_tables"))
+
+
+def _is_kind(kind: str):
+    return lambda o: o["kind"] == kind
+
+
+def object_totals(files: DataFrame) -> DataFrame:
+    """D14 per project from the records: tables, columns, indexes (0) and the object counts of M6, with
+    the number of partitioned tables."""
+    kinds = {"views": "VIEW", "sequences": "SEQUENCE", "stored_procedures": "PROCEDURE", "triggers": "TRIGGER", "functions": "FUNCTION"}
+    counts = {"tables": c("n_tables"), "columns": c("n_columns"), "indexes": F.lit(0)}
+    counts |= {name: F.size(F.filter("objects", _is_kind(kind))) for name, kind in kinds.items()}
+    counts["partitioned_tables"] = F.size("partitions")
+    rows = _record(files).where("n_statements > 0").select("project_id", *[e.alias(n) for n, e in counts.items()])
+    return rows.groupBy("project_id").agg(*[F.sum(n).cast("long").alias(n) for n in counts])

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from migscope.functions.text import js_round, js_to_fixed1_per_million
 from migscope.session import materialize
-from migscope.operators import ddl as D
 from migscope.operators import pgfeat as G
 from migscope.plans.score import banded, difficulty
 
@@ -29,6 +28,7 @@ PG_DESCRIPTIONS = [
     "High complexity migration - significant PostgreSQL-specific features and dependencies",
     "Very high complexity migration - extensive PostgreSQL-specific features requiring comprehensive migration strategy",
 ]
+# The types and index methods that the dimensions count.
 COMPLEX_TYPES = ["JSONB", "JSON", "ARRAY", "HSTORE", "UUID", "CITEXT", "TSQUERY", "TSVECTOR"]
 VOLUME_TYPES = ["JSONB", "JSON", "ARRAY"]
 ADVANCED_INDEX = ["GIN", "GIST", "BRIN", "SPGIST"]
@@ -39,81 +39,86 @@ def _cap(x: Column, hi: int) -> Column:
 
 
 class DdlFacts:
-    """Per-project facts of the project's DDL files.  ``union`` (the default) takes every
-    file; ``last`` keeps only the last file of a project, for compatibility with the
-    rule that a later file replaces earlier results (D15)."""
+    """Facts of the projects' DDL files.  ``union`` (the default) takes every file; ``last`` keeps
+    only the last file of a project, for compatibility with the rule that a later file
+    replaces earlier results (D15).  The files are mined once, into their feature records;
+    everything else reads these."""
 
     def __init__(self, spark: SparkSession, ddl_src: DataFrame, mode: str = "union"):
         if mode == "last":
             last = ddl_src.groupBy("project_id").agg(F.max("path").alias("path"))
             ddl_src = ddl_src.join(last, KEYS, "left_semi")
-        # materialised once, read by a dozen feature jobs
-        self.files = materialize(ddl_src)
-        st = D.ddl_statements(self.files)
-        items = D.table_items(st)
-        self.columns = D.ddl_columns(items)
-        self.tables = D.ddl_tables(st)
-        self.objects = D.ddl_objects(st)
-        self.types = G.pg_type_usage(spark, self.files, self.columns)
-        self.indexes = G.pg_index_types(spark, self.files)
-        self.extensions = G.pg_extensions(self.files)
-        # by project: one row an item, placed where it was met first
-        self.project_types = self.types.groupBy("project_id", "type", "complexity", "oracle_type").agg(
-            F.sum("count").cast("long").alias("count"), F.min(F.struct("path", "seen")).alias("at"))
-        self.project_indexes = self.indexes.groupBy("project_id", "type", "oracle_support").agg(
-            F.sum("count").cast("long").alias("count"), F.min(F.struct("path", "first_ord")).alias("at"))
-        self.project_extensions = self.extensions.groupBy("project_id", "extension").agg(F.min(F.struct("path", "ord")).alias("at"))
-        self.functions = G.pg_functions(self.files)
-        self.triggers = G.pg_triggers(self.files)
-        self.partitions = G.pg_partitions(self.files)
-        self.inheritance = G.pg_inheritance(self.files)
-        self.counters = G.pg_counters(self.files)
-        self.estimates = G.pg_row_estimates(self.tables)
-        self.sequences = G.pg_sequences(self.files, self.tables, self.columns)
+        self.features = materialize(G.pg_file_features(ddl_src))
+        self.types = G.pg_type_usage(self.features)
+        self.indexes = G.pg_index_types(self.features)
+        self.extensions = G.pg_extensions(self.features)
+
+    def database(self) -> DataFrame:
+        return G.object_totals(self.features)
 
     def facts(self) -> DataFrame:
-        t = self.types.groupBy("project_id").agg(
-            F.sum(F.when(c("type").isin(COMPLEX_TYPES), c("count")).otherwise(0)).alias("complex_type_count"),
-            F.sum(F.when(c("type").contains("SERIAL"), c("count")).otherwise(0)).alias("serial_count"),
-            F.sum(F.when(c("type").isin(VOLUME_TYPES), F.size("tables")).otherwise(0)).alias("complex_data_tables"))
-        f = self.functions.groupBy("project_id").agg(
-            F.count(F.lit(1)).alias("plpgsql_functions"),
-            F.avg("complexity").alias("avg_function_lines"),
-            F.count_if("uses_dynamic_sql").alias("dynamic_functions"),
-            F.count_if(c("uses_arrays") | c("uses_json")).alias("array_json_functions"),
-            F.count_if("returns_table").alias("table_functions"))
-        cnt = self.counters.groupBy("project_id").agg(
-            F.sum("check_constraints").alias("checks"), F.sum("exclusion_constraints").alias("exclusions"),
-            F.sum("inheritance_tables").alias("inheritance_tables"),
-            F.sum("partitioned_tables").alias("partitioned_tables"),
-            F.sum("triggers").alias("trigger_count"), F.sum("rls_policies").alias("rls"),
-            F.sum("partial_indexes").alias("partial_indexes"))
-        e = self.project_extensions.groupBy("project_id").agg(F.count(F.lit(1)).alias("extension_count"))
-        ix = self.indexes.groupBy("project_id").agg(
-            F.sum(F.when(c("type").isin(ADVANCED_INDEX) & ~c("oracle_support"), c("count")).otherwise(0))
-            .alias("advanced_index_count"))
-        est = self.estimates.groupBy("project_id").agg(
-            F.sum("estimated_rows").alias("total_rows"),
-            F.count_if(c("size_category").isin("Very Large", "Large")).alias("large_tables"))
-        base = self.files.select("project_id").distinct().withColumn("has_ddl", F.lit(True))
-        out = base
-        for x in (t, f, cnt, e, ix, est):
-            out = out.join(x, "project_id", "left")
-        return out
-
-    def detail_lists(self) -> DataFrame:
-        """Ordered strings that the details need: type lines, extensions,
-        advanced index types."""
-        tl = self.project_types.where(c("count") > 0).select(
-            "project_id", "at",
-            F.format_string("%d %s columns (%s complexity → %s)", c("count"), c("type"), c("complexity"),
-                            c("oracle_type")).alias("line"))
-        ordered = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("at", v))), lambda s: s[v])
-        types = tl.groupBy("project_id").agg(ordered("line").alias("type_lines"))
-        ext = self.project_extensions.groupBy("project_id").agg(ordered("extension").alias("extension_list"))
-        adv = self.project_indexes.where(~c("oracle_support")).groupBy("project_id").agg(
-            ordered("type").alias("advanced_index_types"))
-        return types.join(ext, "project_id", "full").join(adv, "project_id", "full")
+        return ddl_project_facts(self.features)
+
+
+DDL_SUMS = ["complex_type_count", "serial_count", "complex_data_tables", "plpgsql_functions", "function_lines", "dynamic_functions",
+            "array_json_functions", "table_functions", "checks", "exclusions", "inheritance_tables", "partitioned_tables", "trigger_count",
+            "rls", "partial_indexes", "advanced_index_count", "total_rows", "large_tables"]
+
+
+def ddl_project_facts(features: DataFrame) -> DataFrame:
+    """Per-project DDL facts for K10, K12, K13, K15, K17 and M13 in one pass over the records: each
+    file emits one row of sums and one row per type, index method and extension, with the
+    place where it was met; a hash aggregate on (project, kind, item) -- partially aggregated before
+    the exchange -- adds them up, and a second, small one per project orders the lists."""
+    def total(part: str, value, where=None) -> Column:
+        rows = F.filter(part, where) if where else c(part)
+        return F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + value(x))
+
+    def number(part: str, where) -> Column:
+        return F.size(F.filter(part, where)).cast("long")
+
+    sums = {
+        "complex_type_count": total("types", lambda x: x["count"], lambda x: x["type"].isin(COMPLEX_TYPES)),
+        "serial_count": total("types", lambda x: x["count"], lambda x: x["type"].contains("SERIAL")),
+        "complex_data_tables": total("types", lambda x: F.size(x["tables"]).cast("long"), lambda x: x["type"].isin(VOLUME_TYPES)),
+        "plpgsql_functions": F.size("functions").cast("long"),
+        "function_lines": total("functions", lambda x: x["complexity"]),
+        "dynamic_functions": number("functions", lambda x: x["uses_dynamic_sql"]),
+        "array_json_functions": number("functions", lambda x: x["uses_arrays"] | x["uses_json"]),
+        "table_functions": number("functions", lambda x: x["returns_table"]),
+        "checks": c("check_constraints"), "exclusions": c("exclusion_constraints"),
+        "inheritance_tables": F.size("inheritance").cast("long"), "partitioned_tables": F.size("partitions").cast("long"),
+        "trigger_count": F.size("triggers").cast("long"), "rls": c("rls_policies"), "partial_indexes": c("partial_indexes"),
+        "advanced_index_count": total("indexes", lambda x: x["count"], lambda x: x["type"].isin(ADVANCED_INDEX) & ~x["oracle_support"]),
+        "total_rows": total("estimates", lambda x: x["estimated_rows"]),
+        "large_tables": number("estimates", lambda x: x["size_category"].isin("Very Large", "Large")),
+    }
+    scalars = F.struct(*[sums[n].alias(n) for n in DDL_SUMS])
+    none = F.lit(None).cast(features.select(scalars.alias("s")).schema["s"].dataType)
+
+    def fact(kind: str, item: Column, n: Column, place: list[Column], s: Column) -> Column:
+        at = F.struct(c("path").alias("path"), *[x.cast("long").alias(f"o{k}") for k, x in enumerate(place, start=1)])
+        return F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"), n.cast("long").alias("n"), at.alias("at"), s.alias("s"))
+
+    zero = F.lit(0)
+    facts = F.concat(
+        F.array(fact("file", F.lit(None), F.lit(1), [zero, zero, zero], scalars)),
+        F.transform("types", lambda t: fact("type", t["type"], t["count"], [t["seen"]["o1"], t["seen"]["o2"], t["seen"]["o3"]], none)),
+        F.transform("indexes", lambda x: fact("index", x["type"], x["count"], [x["first_ord"], zero, zero], none)),
+        F.transform("extensions", lambda x, i: fact("extension", x, F.lit(1), [i, zero, zero], none)))
+    rows = features.select("project_id", F.explode(facts).alias("f")).select("project_id", "f.*")
+    g = rows.groupBy("project_id", "kind", "item").agg(F.sum("n").alias("n"), F.min("at").alias("at"), *[F.sum(f"s.{n}").alias(n) for n in DDL_SUMS])
+    is_ = lambda kind: c("kind") == kind
+    ordered = lambda cond, value: F.transform(
+        F.array_sort(F.collect_list(F.when(cond, F.struct("at", value.alias("v"))))), lambda s: s["v"])
+    type_line = F.format_string("%d %s columns (%s complexity → %s)", c("n"), c("item"), G.complexity(c("item")), G.oracle_type(c("item")))
+    out = g.groupBy("project_id").agg(
+        F.lit(True).alias("has_ddl"), *[F.sum(F.when(is_("file"), c(n))).alias(n) for n in DDL_SUMS],
+        F.count_if(is_("extension")).alias("extension_count"),
+        ordered(is_("type") & (c("n") > 0), type_line).alias("type_lines"), ordered(is_("extension"), c("item")).alias("extension_list"),
+        ordered(is_("index") & ~G.oracle_support(c("item")), c("item")).alias("advanced_index_types"),
+        ordered(is_("type"), c("item")).alias("type_names"), ordered(is_("index"), c("item")).alias("index_names"))
+    return out.withColumn("avg_function_lines", F.when(c("plpgsql_functions") > 0, c("function_lines") / c("plpgsql_functions"))).drop("function_lines")
 
 
 JAVA_SUMS = ["loc", "function_uses", "operator_uses", "boolean_files", "plain_jdbc_files", "mybatis_files",
@@ -171,7 +176,7 @@ def pg_project_scores(spark: SparkSession, projects: DataFrame, java_files: Data
     the six detail lists of every project."""
     p = projects.select("project_id").join(java_project_facts(java_files), "project_id", "left")
     if ddl is not None:
-        p = p.join(ddl.facts(), "project_id", "left").join(ddl.detail_lists(), "project_id", "left")
+        p = p.join(ddl.facts(), "project_id", "left").drop("type_names", "index_names")
     else:
         p = p.withColumn("has_ddl", F.lit(None).cast("boolean"))
     num = ["java_files", "total_loc", "function_uses", "operator_uses", "boolean_files", "plain_jdbc_files",

@@ -190,14 +190,19 @@ def ddl_last_wins(spark, sf_dir):
 # ---------------------------------------------------------------- PostgreSQL features
 @register
 def pg_type_usage(spark, sf_dir):
-    files = ddl_files(spark, sf_dir)
-    cols = D.ddl_columns(D.table_items(D.ddl_statements(files)))
-    return G.pg_type_usage(spark, files, cols).withColumn("tables", _csv("tables")).drop("seen")
+    return G.pg_type_usage(ddl_files(spark, sf_dir)).withColumn("tables", _csv("tables")).drop("seen")
+
+
+@register
+def pg_file_features(spark, sf_dir):
+    """The record of every file, its lists as JSON."""
+    f = G.pg_file_features(ddl_files(spark, sf_dir))
+    return f.select(*[F.to_json(x).alias(x) if x in G.LISTS else F.col(x) for x in f.columns])
 
 
 @register
 def pg_index_types(spark, sf_dir):
-    return G.pg_index_types(spark, ddl_files(spark, sf_dir)).drop("first_ord")
+    return G.pg_index_types(ddl_files(spark, sf_dir)).drop("first_ord")
 
 
 @register
@@ -212,10 +217,7 @@ def pg_triggers(spark, sf_dir):
 
 @register
 def pg_sequences(spark, sf_dir):
-    files = ddl_files(spark, sf_dir)
-    st = D.ddl_statements(files)
-    s = G.pg_sequences(files, None, D.ddl_columns(D.table_items(st)))
-    return s.select("project_id", "path", "name", "data_type", "increment", "is_serial")
+    return G.pg_sequences(ddl_files(spark, sf_dir)).select("project_id", "path", "name", "data_type", "increment", "is_serial")
 
 
 @register
@@ -235,7 +237,7 @@ def pg_inheritance(spark, sf_dir):
 
 @register
 def pg_row_estimates(spark, sf_dir):
-    return G.pg_row_estimates(D.ddl_tables(_stmts(spark, sf_dir)))
+    return G.pg_row_estimates(ddl_files(spark, sf_dir))
 
 
 @register
@@ -744,9 +746,7 @@ class _PgParts:
 
     @cached_property
     def database(self):
-        files = self.ddl.files if "ddl" in vars(self) else ddl_files(self.spark, self.sf_dir)
-        parts = G.pg_partitions(files).groupBy("project_id").agg(F.count(F.lit(1)).alias("partitioned_tables"))
-        return D.ddl_totals(D.ddl_file_totals(D.ddl_statements(files))).join(parts, "project_id", "left").fillna(0, ["partitioned_tables"])
+        return self.ddl.database() if "ddl" in vars(self) else G.object_totals(ddl_files(self.spark, self.sf_dir))
 
     @cached_property
     def orm(self):
@@ -765,15 +765,13 @@ def total_files(spark, sf_dir):
 @register
 def pg_source_block(spark, sf_dir):
     """Data types, extensions, advanced indexes and native query count."""
-    p = _PgParts(spark, sf_dir)
-    ddl, s = p.ddl, p.scores
-    names = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "type"))), lambda x: x["type"]), ", ")
-    types = ddl.project_types.groupBy("project_id").agg(names().alias("data_types"))
-    idx = ddl.project_indexes.groupBy("project_id").agg(names().alias("index_types"))
-    return s.select("project_id", F.array_join("extension_list", ", ").alias("extensions"),
-                    F.col("native_queries").alias("native_query_count")) \
-        .join(types, "project_id", "left").join(idx, "project_id", "left") \
-        .fillna("", ["data_types", "index_types"])
+    names = lambda x: F.coalesce(F.array_join(x, ", "), F.lit(""))
+    ddl = PG.ddl_project_facts(G.pg_file_features(ddl_files(spark, sf_dir))).select(
+        "project_id", "extension_list", "type_names", "index_names")
+    native = J.java_files(java_files(spark, sf_dir)).groupBy("project_id").agg(F.sum("native_queries").alias("n"))
+    return projects_from_nation(spark, sf_dir).select("project_id").join(native, "project_id", "left").join(ddl, "project_id", "left").select(
+        "project_id", names("extension_list").alias("extensions"), F.coalesce("n", F.lit(0)).cast("long").alias("native_query_count"),
+        names("type_names").alias("data_types"), names("index_names").alias("index_types"))
 
 
 @register

@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from migscope.operators import cobol as C
 from migscope.operators import validate as V
 from migscope.sources.corpus import project_of, relative_path, to_lines
+from migscope.sources.versioned import VersionedTable, bucket_of
 
 
 def read_landing(spark: SparkSession, root: str, glob: str = "*", max_files: int | None = None) -> DataFrame:
@@ -54,59 +55,43 @@ def read_metrics(spark: SparkSession, sink: str) -> DataFrame:
     return last.select("project_id", "path", "r.*")
 
 
-#: Rows of a bucket, which a change batch reads and rewrites.
-BUCKET_ROWS = 2_000_000
-
-
-def bucket_col(keys: list[str], buckets: int):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
-
-
 def write_bucketed(df: DataFrame, keys: list[str], path: str, buckets: int | None = None) -> int:
-    """Base table for delta sync: parquet partitioned by a key-hash bucket, so a
-    change batch rewrites only the buckets its keys fall in.  The number of buckets
-    follows the table (``BUCKET_ROWS`` each) unless given; it is kept beside the table.  Two columns carry the state of ``apply_delta_state``."""
-    if buckets is None:
-        buckets = max(1, -(-df.count() // BUCKET_ROWS))
-    state = df.withColumn("_seq", F.lit(None).cast("long")).withColumn("_deleted", F.lit(False)).withColumn("bucket", bucket_col(keys, buckets))
-    state.write.mode("overwrite").partitionBy("bucket").parquet(path)
-    df.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(_meta(path))
-    return buckets
+    """Base table for delta sync: a ``VersionedTable`` bucketed by the hash of its keys, so a change
+    batch rewrites only the buckets its keys fall in.  Two columns carry the state of ``apply_delta_state``."""
+    state = df.withColumn("_seq", F.lit(None).cast("long")).withColumn("_deleted", F.lit(False))
+    return VersionedTable(df.sparkSession, path).create(state, keys, buckets)
 
 
-def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the base table, without the state."""
-    return spark.read.parquet(path).where("not _deleted").drop("_seq", "_deleted", "bucket")
+def read_bucketed(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows of one version of the base table (the last, unless given), without the state."""
+    return VersionedTable(spark, path).read(version).where("not _deleted").drop("_seq", "_deleted")
 
 
-def _meta(path: str) -> str:
-    return f"{path.rstrip('/')}_buckets"
+def apply_delta_batch(table: VersionedTable, changes: DataFrame, writer: str, batch_id: int) -> None:
+    """One batch of changes as one version of ``table``.  A batch that ran before, wholly or in
+    part, leaves what one run leaves: published batches are noted in the manifest, and what an
+    unpublished one wrote is not part of any version."""
+    m = table.manifest()
+    if table.applied(m, writer, batch_id):
+        return
+    hit = sorted(r.bucket for r in changes.select(bucket_of(m["keys"], m["buckets"]).alias("bucket")).distinct().collect())
+    if hit:
+        table.replace(m, V.apply_delta_state(table.read(m["version"], hit), changes, m["keys"]), hit, writer, batch_id)
 
 
 def stream_delta(spark: SparkSession, changes_dir: str, schema: StructType, base_path: str, keys: list[str],
                  checkpoint: str, available_now: bool = True):
-    """Each micro-batch of change files is merged into the bucketed base
-    table (see ``write_bucketed``) with ``apply_delta_state``: the table keeps the last
-    applied sequence of every key and a mark for deleted ones, so a change that
-    arrives after a newer one is not applied.  Only the affected buckets are read
-    (partition pruning), merged, staged and swapped in with dynamic partition
-    overwrite.  Re-running a batch after a failure changes nothing (idempotent).
-    The driver sees the numbers of the affected buckets."""
-    buckets = spark.read.parquet(_meta(base_path)).collect()[0]["buckets"]
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        ch = batch.withColumn("bucket", bucket_col(keys, buckets))
-        hit = [r.bucket for r in ch.select("bucket").distinct().collect()]
-        if not hit:
-            return
-        state = spark.read.parquet(base_path).where(F.col("bucket").isin(hit))
-        merged = V.apply_delta_state(state.drop("bucket"), ch.drop("bucket"), keys) \
-            .withColumn("bucket", bucket_col(keys, buckets))
-        stage = f"{base_path.rstrip('/')}_staging/{batch_id}"
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(stage)
-        spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(base_path)
-
-    q = spark.readStream.schema(schema).parquet(changes_dir).writeStream.foreachBatch(process) \
+    """Each micro-batch of change files is merged into the versioned base table (see
+    ``write_bucketed``) with ``apply_delta_state``: the table keeps the last applied
+    sequence of every key and a mark for deleted ones, so a change that arrives after a
+    newer one is not applied.  Only the affected buckets are read and written anew; the batch becomes
+    visible by one rename, and a reader sees one version.  The driver sees the numbers of the
+    affected buckets and the manifest (a path a bucket)."""
+    table = VersionedTable(spark, base_path)
+    if (have := table.manifest()["keys"]) != keys:
+        raise ValueError(f"the table is bucketed by {have}, not {keys}")
+    q = spark.readStream.schema(schema).parquet(changes_dir).writeStream \
+        .foreachBatch(lambda batch, batch_id: apply_delta_batch(table, batch, checkpoint, batch_id)) \
         .option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()

@@ -211,4 +211,64 @@ SELECT project_id, path,
   {cnt(G.RE_FUNCTION)} AS plpgsql_functions, {cnt(G.RE_TRIGGER)} AS triggers,
   {cnt(G.RE_PARTITIONED)} AS partitioned_tables, {cnt(G.RE_INHERITS)} AS inheritance_tables
 FROM files"""
+
+    def rows(pattern, names, groups, struct):
+        return f"SELECT project_id, path, to_json(list({struct} ORDER BY ord)) AS j FROM {_regex_rows(esc(pattern), names, groups)} GROUP BY ALL"
+
+    parts = {
+        "types": f"""
+SELECT project_id, path, to_json(list({{'type': type, 'count': count, 'tables': tables, 'complexity': complexity, 'oracle_type': oracle_type,
+    'seen': {{'o1': seen[1], 'o2': seen[2], 'o3': seen[3]}}}} ORDER BY seen)) AS j
+FROM (SELECT project_id, path, type, count(*) AS count, list_filter(l, lambda v, i: list_position(l, v) = i) AS tables, complexity, oracle_type, min([o1, o2, o3]) AS seen
+      FROM (SELECT *, coalesce(list(tab ORDER BY o1, o2, o3) FILTER (WHERE tab IS NOT NULL) OVER (PARTITION BY project_id, path, type), []) AS l FROM met)
+      JOIN tmap USING (type) GROUP BY ALL) GROUP BY ALL""",
+        "indexes": """
+SELECT project_id, path, to_json(list({'type': type, 'count': count, 'oracle_support': type IN ('BTREE', 'HASH'), 'first_ord': f} ORDER BY f)) AS j
+FROM (SELECT project_id, path, type, count(*) AS count, min(i) - 1 AS f FROM ixm GROUP BY ALL) GROUP BY ALL""",
+        "functions": rows(G.RE_FUNCTION, ["name", "returns", "body"], [1, 2, 4], f"""{{'ord': ord, 'name': name,
+    'complexity': len(list_filter(string_split(body, chr(10)), lambda l: length({js_trim('l')}) > 0)),
+    'uses_dynamic_sql': regexp_matches(body, '(?i)EXECUTE\\s+'), 'uses_arrays': regexp_matches(body, '(?i)ARRAY\\[|array_'),
+    'uses_json': regexp_matches(body, '(?i)jsonb_|json_|->|->>'),
+    'returns_table': regexp_matches(returns, '(?i)RETURNS\\s+TABLE') OR regexp_matches(returns, '(?i)RETURNS\\s+SETOF')}}"""),
+        "triggers": rows(G.RE_TRIGGER, ["name", "timing", "event", "for_each"], [1, 2, 3, 4],
+                         "{'ord': ord, 'name': name, 'timing': timing, 'event': event, 'for_each': for_each, 'has_returning_clause': false}"),
+        "sequences": f"""
+SELECT project_id, path, to_json(list({{'ord': o, 'name': name, 'data_type': dt, 'increment': inc, 'is_serial': serial}} ORDER BY o)) AS j
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY serial, a, b) - 1 AS o FROM (
+  SELECT project_id, path, name, CASE WHEN dt = '' THEN 'BIGINT' ELSE dt END AS dt, CAST(CASE WHEN inc = '' THEN '1' ELSE inc END AS BIGINT) AS inc, false AS serial, ord AS a, 0 AS b
+  FROM {_regex_rows(esc(G.RE_SEQUENCE), ["name", "dt", "inc"], [1, 2, 3])}
+  UNION ALL
+  SELECT project_id, path, table_name || '_' || column_name || '_seq', CASE WHEN contains(data_type, 'BIG') THEN 'BIGINT' ELSE 'INTEGER' END, 1, true, stmt_no, col_no
+  FROM cols WHERE regexp_matches(data_type, 'SERIAL$'))) GROUP BY ALL""",
+        "extensions": f"""
+SELECT project_id, path, to_json(list_concat(ex, list_filter(added, lambda x: NOT list_contains(ex, x)))) AS j
+FROM (SELECT project_id, path, regexp_extract_all(content, '{esc(G.RE_EXTENSION)}', 1) AS ex, list_filter([{usage}], lambda x: x IS NOT NULL) AS added FROM files)""",
+        "partitions": f"""
+SELECT p.project_id, p.path, to_json(list({{'ord': ord, 'name': name, 'strategy': upper(strategy),
+    'partition_count': len(list_filter(kids, lambda k: starts_with(lower(k), lower(name))))}} ORDER BY ord)) AS j
+FROM {_regex_rows(esc(G.RE_PARTITIONED), ["name", "strategy"], [1, 2])} p
+JOIN (SELECT project_id, path, regexp_extract_all(content, '{esc(G.RE_PARTITION_OF)}', 1) AS kids FROM files) k ON k.project_id = p.project_id AND k.path = p.path GROUP BY ALL""",
+        "inheritance": rows(G.RE_INHERITS, ["name"], [1], "{'ord': ord, 'name': name}"),
+        "estimates": """
+SELECT project_id, path, to_json(list({'stmt_no': stmt_no, 'table_name': table_name, 'estimated_rows': 10000, 'size_category': 'Small'} ORDER BY stmt_no)) AS j FROM tb GROUP BY ALL""",
+        "objects": """
+SELECT project_id, path, to_json(list({'stmt_no': stmt_no, 'kind': kind, 'name': name} ORDER BY stmt_no)) AS j FROM obj WHERE name <> '' GROUP BY ALL""",
+    }
+    counters = ", ".join(f"{cnt(p)} AS {n}" for n, p in G.COUNTERS.items())
+    totals = {"n_tables": "tb", "n_columns": "cols", "n_statements": "st"}
+    q["pg_file_features"] = W + f""",
+tmap AS ({tmap}),
+met AS (
+  SELECT c.project_id, c.path, c.data_type AS type, c.table_name AS tab, 0 AS o1, c.stmt_no AS o2, c.col_no AS o3 FROM cols c JOIN tmap ON tmap.type = c.data_type
+  UNION ALL
+  SELECT project_id, path, upper(unnest(m)), NULL, 1, generate_subscripts(m, 1) - 1, 0 FROM (SELECT project_id, path, regexp_extract_all(content, '{G.RE_SERIAL}', 0) AS m FROM files)),
+ixm AS (
+  SELECT project_id, path, CASE WHEN coalesce(m, '') = '' THEN 'BTREE' ELSE upper(m) END AS type, i FROM (
+    SELECT project_id, path, unnest(a) AS m, generate_subscripts(a, 1) AS i FROM (SELECT project_id, path, regexp_extract_all(content, '{esc(G.RE_INDEX)}', 1) AS a FROM files))),
+{",".join(f"p_{n} AS ({text})" for n, text in parts.items())},
+{",".join(f"n_{t} AS (SELECT project_id, path, count(*) AS n FROM {t} GROUP BY ALL)" for t in totals.values())}
+SELECT files.project_id, files.path, {", ".join(f"CAST(coalesce(p_{n}.j, '[]') AS VARCHAR) AS {n}" for n in parts)}, {counters},
+  {", ".join(f"CAST(coalesce(n_{t}.n, 0) AS BIGINT) AS {n}" for n, t in totals.items())}
+FROM files {" ".join(f"LEFT JOIN p_{n} ON p_{n}.project_id = files.project_id AND p_{n}.path = files.path" for n in parts)}
+{" ".join(f"LEFT JOIN n_{t} ON n_{t}.project_id = files.project_id AND n_{t}.path = files.path" for t in totals.values())}"""
     return q

@@ -50,9 +50,9 @@ CREATE EXTENSION IF NOT EXISTS "uuid-ossp";
 """
     files = files_df(spark, {"p0/a.sql": text})
     cols = D.ddl_columns(D.table_items(D.ddl_statements(files)))
-    usage = {r.type: r["count"] for r in G.pg_type_usage(spark, files, cols).collect()}
+    usage = {r.type: r["count"] for r in G.pg_type_usage(files).collect()}
     assert usage["SERIAL"] == 2 and usage["BIGSERIAL"] == 1 and usage["JSONB"] == 1
-    idx = {r.type: r["count"] for r in G.pg_index_types(spark, files).collect()}
+    idx = {r.type: r["count"] for r in G.pg_index_types(files).collect()}
     assert idx == {"GIN": 1}          # IF NOT EXISTS does not match
     parts = G.pg_partitions(files).collect()
     assert [(r.name, r.strategy, r.partition_count) for r in parts] == [("ev", "RANGE", 1)]
