@@ -8,7 +8,8 @@ Scale notes
 - Row diff and orphan checks are key joins (sort-merge / shuffled hash chosen by
   Catalyst, skewed keys split by AQE); nothing is collected to the driver.
 - The ordered-MD5 form of the checksum (one string over all keys) would put a
-  whole table in one task; the bucketed, order-insensitive form is used instead.
+  whole table in one task; ``reconcile_checksum`` is order-insensitive by buckets, and
+  ``ordered_checksum`` keeps the order by an associative hash over key ranges.
 """
 
 from __future__ import annotations
@@ -94,6 +95,90 @@ def reconcile_checksum(src: DataFrame, tgt: DataFrame, keys: list[str], cols: li
                     F.when(same, "MATCH").otherwise("MISMATCH").alias("status"))
 
 
+#: Two primes and bases of the ordered checksum (a prime less than 2**31: products stay inside 64 bits).
+ORDERED = ((2147483647, 1000003), (2147483629, 998244353))
+
+
+def _combined(nodes: Column) -> list[Column]:
+    """An array of structs (.., h0, s0, h1, s1) combined in order: h(xy) = h(x) * s(y) + h(y), s(xy) = s(x) * s(y),
+    modulo each prime.  That is associative, so any grouping of neighbours gives the same."""
+    def folded(k: int, prime: int) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(1).cast("long").alias("s"))
+
+        def step(state: Column, x: Column) -> Column:
+            return F.struct(((state["h"] * x[f"s{k}"] + x[f"h{k}"]) % prime).alias("h"), ((state["s"] * x[f"s{k}"]) % prime).alias("s"))
+        return F.aggregate(nodes, start, step)
+    return [e.alias(f"{n}{k}") for k, (prime, _) in enumerate(ORDERED) for f in [folded(k, prime)] for n, e in (("h", f["h"]), ("s", f["s"]))]
+
+
+_STATE = [f"{n}{k}" for k in range(len(ORDERED)) for n in ("h", "s")]
+
+
+def _range(key: str, width_bits: int) -> Column:
+    """The number of a key's range; a NULL key is in the first of all."""
+    return F.shiftright(F.coalesce(c(key).cast("long"), F.lit(-(1 << 63))), width_bits)
+
+
+def ordered_checksum(df: DataFrame, key: str, cols: list[str] | None = None, width_bits: int = 10, fan_bits: int = 4) -> DataFrame:
+    """V2, ordered: a hash tree over ranges of an integer key.  Leaf ``node`` covers 2**``width_bits`` keys, a
+    node above it 2**``fan_bits`` nodes; one node is left at the top.  (level, node, rows, h0, s0, h1, s1): the
+    rows of a range combined in key order (NULL keys first, equal keys by digest), so the top is the
+    fold over the whole table in key order, whatever its partitions.  A leaf's group holds
+    2**``width_bits`` rows of a unique key.  One shuffle of digests; every level above is smaller by 2**``fan_bits``."""
+    from migscope.session import materialize
+    digest = row_digest(df, cols or df.columns, "md5")
+    rows = df.select(_range(key, width_bits).alias("node"), c(key).alias("k"), digest.alias("d"))
+    each = [e for i, (prime, base) in enumerate(ORDERED) for e in ((F.pmod(c("d"), F.lit(prime)) + 1).alias(f"h{i}"), F.lit(base).cast("long").alias(f"s{i}"))]
+    rows = rows.select("node", F.struct("k", "d", *each).alias("x"))
+    level = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_list("x")).alias("xs")).select("node", "rows", *_combined(c("xs")))
+    out = [materialize(level.withColumn("level", F.lit(0)))]
+    while True:
+        n, low, high = out[-1].agg(F.count(F.lit(1)), F.min("node"), F.max("node")).collect()[0]
+        if n <= 1:
+            return reduce(DataFrame.unionByName, out)
+        # Keys below and from zero meet at the top.
+        above = F.lit(0).cast("long") if low >= -1 and high <= 0 else F.shiftright("node", fan_bits)
+        up = out[-1].select(above.alias("up"), F.struct("node", *_STATE).alias("x"), "rows")
+        level = up.groupBy("up").agg(F.sum("rows").alias("rows"), F.array_sort(F.collect_list("x")).alias("xs")).select(c("up").alias("node"), "rows", *_combined(c("xs")))
+        out.append(materialize(level.withColumn("level", F.lit(len(out)))))
+
+
+def ordered_diff(source: DataFrame, target: DataFrame, fan_bits: int = 4) -> DataFrame:
+    """The nodes in which two trees of ``ordered_checksum`` (same widths) differ, from the top down: (level, node,
+    source_rows, target_rows, source_hash, target_hash).  Equal nodes are not followed, so below the top
+    only what lies under differing nodes is compared; level 0 names the key ranges to read.
+    The trees may differ in height: what one of them lacks counts as different."""
+    from migscope.session import materialize
+    name = lambda side: F.concat_ws(":", *[c(f"{side}.{x}") for x in ("h0", "h1")])
+    top = max(t.agg(F.max("level")).collect()[0][0] or 0 for t in (source, target))
+    found: list[DataFrame] = []
+    for level in range(top, -1, -1):
+        s, t = (side.where(c("level") == level) for side in (source, target))
+        if found and found[-1].isEmpty():
+            break
+        if len(found) > 1:  # all nodes of the second level are under the top one
+            under = found[-1].select(c("node").alias("up"))
+            s, t = (side.join(under, F.shiftright(side["node"], fan_bits) == under["up"], "left_semi") for side in (s, t))
+        j = s.alias("s").join(t.alias("t"), c("s.node") == c("t.node"), "full")
+        same = (c("s.rows") == c("t.rows")) & (c("s.h0") == c("t.h0")) & (c("s.h1") == c("t.h1"))
+        found.append(materialize(j.where(~F.coalesce(same, F.lit(False))).select(
+            F.lit(level).alias("level"), F.coalesce("s.node", "t.node").alias("node"), F.coalesce("s.rows", F.lit(0)).cast("long").alias("source_rows"),
+            F.coalesce("t.rows", F.lit(0)).cast("long").alias("target_rows"), F.nullif(name("s"), F.lit("")).alias("source_hash"), F.nullif(name("t"), F.lit("")).alias("target_hash"))))
+    return reduce(DataFrame.unionByName, found)
+
+
+def differing_rows(df: DataFrame, diff: DataFrame, key: str, width_bits: int = 10) -> DataFrame:
+    """The rows of ``df`` in the ranges that ``ordered_diff`` named: a semi join on the range number.  The least and
+    greatest of them go to the scan as a filter, which skips files and row groups."""
+    ranges = diff.where("level = 0").select(c("node").alias("_range"))
+    low, high = ranges.agg(F.min("_range"), F.max("_range")).collect()[0]
+    if low is None:
+        return df.limit(0)
+    inside = (c(key) >= low << width_bits) & (c(key) <= ((high + 1) << width_bits) - 1)
+    near = df.where(inside | c(key).isNull() if low == -(1 << 63) >> width_bits else inside)
+    return near.join(ranges, _range(key, width_bits) == c("_range"), "left_semi")
+
+
 # ----------------------------------------------------------------- V3
 def orphans(child: DataFrame, parent: DataFrame, fk: list[str], pk: list[str]) -> DataFrame:
     """Child rows whose foreign key has no parent (NOT EXISTS as a left anti join).
@@ -252,9 +337,11 @@ def sample_rows(df: DataFrame, key: str, fraction: float, seed: int = 42, method
     return df.where(F.pmod(h, F.lit(10000)) < per10k)
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows with the smallest key hash (a top-k: each task keeps n before the merge)."""
-    return df.orderBy(F.xxhash64(c(key), F.lit(seed)), c(key)).limit(n)
+def sample_n(df: DataFrame, key: str, n: int, seed: int = 42, method: str = "xxhash64") -> DataFrame:
+    """n rows with the smallest key hash (a top-k: each task keeps n before the merge); ``md5`` is the
+    portable hash."""
+    h = F.md5(F.concat(c(key).cast("string"), F.lit(f"#{seed}"))) if method == "md5" else F.xxhash64(c(key), F.lit(seed))
+    return df.orderBy(h, c(key)).limit(n)
 
 
 # ----------------------------------------------------------------- V12
@@ -464,6 +551,27 @@ def latency_slo(df: DataFrame, group: list[Column], latency: str, is_error: Colu
     return g.withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
 
 
+#: Size of a latency sketch: the rank error is about 1.3 % at 200 and falls as 1 / k.
+SKETCH_K = 2048
+
+
+def latency_sketches(df: DataFrame, group: list[Column], latency: str, k: int = SKETCH_K) -> DataFrame:
+    """V19 as stored state: per group a mergeable quantile sketch of the latencies with their number, sum and
+    errors left out of it.  A group's state is a few KB whatever its rows; partial sketches are merged
+    before the shuffle."""
+    rows = df.select(*group, c(latency).cast("double").alias("_v")).where(c("_v").isNotNull())
+    return rows.groupBy(*rows.columns[:len(group)]).agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.kll_sketch_agg_double("_v", F.lit(k)).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, group: list[Column], quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Count, mean and quantiles of coarser groups from stored sketches alone; the events are not read."""
+    rows = sketches.select(*group, "n", "total", "sketch")
+    names = rows.columns[:len(group)]
+    g = rows.groupBy(*names).agg(F.sum("n").cast("long").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    at = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{round(100 * q)}") for q in quantiles]
+    return g.select(*names, "n", (c("total") / c("n")).alias("mean_latency"), *at)
+
+
 # ----------------------------------------------------------------- V20
 # Alert thresholds of the monitoring design.
 ERROR_RATE_WARNING = 0.001
@@ -491,6 +599,52 @@ def alerts(events: DataFrame, ts: str = "ts", latency: str = "value", is_error:
                     lvl(c("avg_response"), response_warning, response_critical).alias("response_level"))
 
 
+#: Levels of an alert, by rank.
+LEVELS = ["OK", "WARNING", "CRITICAL"]
+#: Columns of an episode.
+EPISODE = ("series string, metric string, raised_at timestamp, last_seen timestamp, windows long, level string, "
+           "closed_at timestamp, reason string")
+
+
+def alert_windows(events: DataFrame, series: Column, ts: str = "ts", latency: str = "value", is_error: Column | None = None, window: str = "1 minute",
+                  watermark: str | None = None, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Per series, window and metric the level as a rank in ``LEVELS``: (series, metric, window_start,
+    window_end, rank).  ``limits``: warning and critical threshold of error_rate and response."""
+    limits = limits or {"error_rate": (ERROR_RATE_WARNING, ERROR_RATE_CRITICAL), "response": (RESPONSE_WARNING_MS, RESPONSE_CRITICAL_MS)}
+    is_error = (c("event_type") == "error") if is_error is None else is_error
+    df = events.withWatermark(ts, watermark) if watermark else events
+    g = df.groupBy(series.cast("string").alias("series"), F.window(ts, window).alias("w")).agg(
+        (F.count_if(is_error) / F.count(F.lit(1))).alias("error_rate"), F.avg(latency).alias("response"))
+    rank = lambda m: F.when(c(m) > limits[m][1], 2).when(c(m) > limits[m][0], 1).otherwise(0)
+    rows = g.select("series", "w", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), rank(m).alias("rank")) for m in ("error_rate", "response")])).alias("m"))
+    if watermark:  # the window itself carries the watermark to what follows
+        return rows.select("series", "m.metric", c("w.start").alias("window_start"), F.window_time("w").alias("window_end"), "m.rank")
+    return rows.select("series", "m.metric", c("w.start").alias("window_start"), c("w.end").alias("window_end"), "m.rank")
+
+
+def alert_episodes(windows: DataFrame, silence_seconds: int) -> DataFrame:
+    """V20 life cycle, batch twin of ``streaming.stream_alert_episodes``: one row an episode of a (series, metric).
+    A window above its threshold raises it, further ones within ``silence_seconds`` of the last one's end
+    repeat it (``windows``, worst ``level``), a window that is OK again clears it; without any window for that
+    long it is closed for want of data.  What the table's last window leaves undecided is ``open``.
+    Gaps and islands: one running window over the windows of a series."""
+    by = Window.partitionBy("series", "metric").orderBy("window_start")
+    after = c("window_end") + F.make_dt_interval(secs=F.lit(silence_seconds))
+    bad = c("rank") > 0
+    follows = F.lag(bad, 1, False).over(by) & (F.lag(after).over(by) > c("window_start"))
+    rows = windows.select("*", bad.alias("bad"), after.alias("limit"), F.coalesce(bad & ~F.coalesce(follows, F.lit(False)), F.lit(False)).cast("int").alias("raised"), F.lead("window_start").over(by).alias("next"))
+    rows = rows.withColumn("episode", F.sum("raised").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("bad")
+    g = rows.groupBy("series", "metric", "episode").agg(
+        F.min("window_start").alias("raised_at"), F.max("window_end").alias("last_seen"), F.count(F.lit(1)).alias("windows"), F.max("rank").alias("rank"),
+        F.max(F.struct("window_start", "limit", "next")).alias("last"))
+    horizon = windows.agg(F.max("window_end")).collect()[0][0]
+    cleared = c("last.next") < c("last.limit")
+    silent = c("last.next").isNotNull() | (F.lit(horizon) >= c("last.limit"))
+    return g.select("series", "metric", "raised_at", "last_seen", "windows", F.element_at(F.array(*[F.lit(x) for x in LEVELS]), c("rank") + 1).alias("level"),
+                    F.when(cleared, c("last.next")).when(silent, c("last.limit")).alias("closed_at"),
+                    F.when(cleared, "cleared").when(silent, "no data").otherwise("open").alias("reason"))
+
+
 # ----------------------------------------------------------------- V21
 # Document quality checks (name, pattern, must match).
 DOC_CHECKS = [

@@ -35,6 +35,22 @@ def type_distribution(files: DataFrame, type_col: str = "type") -> DataFrame:
                     F.floor(c("count").cast("double") / tot * 100 + 0.5).cast("long").alias("percentage"))
 
 
+def portfolio_rollup(files: DataFrame, type_col: str = "type") -> DataFrame:
+    """M3 over the portfolio: files and LOC per (project, type), per project and in all, by one
+    ROLLUP (one partially aggregated shuffle).  ``grouping`` is the grouping id: 0 a type of a project, 1 a
+    project, 3 the portfolio; ``percentage`` is the part of the enclosing group's files, which stands in
+    the result itself."""
+    from migscope.session import materialize
+    r = materialize(files.rollup("project_id", type_col).agg(
+        F.count(F.lit(1)).alias("count"), F.sum("loc").cast("long").alias("loc"), F.grouping_id().cast("long").alias("grouping")))
+    project = F.concat(F.lit("p"), F.coalesce("project_id", F.lit("")))
+    own = r.select("project_id", c(type_col).alias("type"), "count", "loc", "grouping", F.when(c("grouping") == 0, project).when(c("grouping") == 1, "all").alias("within"))
+    whole = r.where("grouping > 0").select(F.when(c("grouping") == 1, project).otherwise("all").alias("group"), c("count").alias("whole"))
+    return own.join(whole, c("within") == c("group"), "left").select(
+        "project_id", "type", "count", "loc", "grouping",
+        F.floor(c("count").cast("double") / F.coalesce("whole", "count") * 100 + 0.5).cast("long").alias("percentage"))
+
+
 def dependency_list(files: DataFrame, dep_lists: DataFrame) -> DataFrame:
     """M4: programs with dependencies and their targets joined with ', '."""
     return files.select("project_id", "path", "name").join(dep_lists, ["project_id", "path"]) \

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from migscope.operators import cobol as C
+from migscope.operators import graph as GR
 from migscope.plans import project as M
+from migscope.plans import rollups as RU
 from migscope.plans import score as K
 from migscope.plans.rules import projects_from_nation
+from migscope.session import materialize, scratch_path
+from migscope.sources.versioned import VersionedTable
 from migscope.sources.generated import COBOL_BY_PART, COBOL_BY_SUPP, COBOL_ORDER, cobol_lines, cobol_paths_sql, cobol_raw, run_sql
 
 REGISTRY: dict = {}
@@ -107,6 +111,30 @@ def cobol_type_distribution(spark, sf_dir):
     return M.type_distribution(_files(spark, sf_dir))
 
 
+@register
+def portfolio_rollup(spark, sf_dir):
+    """M3: the type distribution rolled up to projects and the portfolio."""
+    return M.portfolio_rollup(_files(spark, sf_dir))
+
+
+@register
+def kept_scores(spark, sf_dir):
+    """Project scores from kept roll-ups.  Every program arrives; a seventh of them had been longer
+    before and come again, and their old state comes once more, late."""
+    facts = RU.file_facts(_files(spark, sf_dir).withColumn("seq", F.lit(2)))
+    facts = materialize(facts)
+    again = F.crc32("path") % 7 == 0
+    old = facts.withColumn("loc", F.when(again, F.col("loc") + 100).otherwise(F.col("loc"))).withColumn("seq", F.lit(1).cast("long"))
+    files, totals = scratch_path(spark, "kept-files"), scratch_path(spark, "kept-totals")
+    RU.create(spark, old, files, totals, 16)
+    table = VersionedTable(spark, files)
+    RU.upsert(table, facts.where(again), "uploads", 0)
+    RU.refresh(spark, files, totals)
+    RU.upsert(table, old.where(again), "uploads", 1)
+    RU.refresh(spark, files, totals)
+    return RU.project_scores(spark, totals)
+
+
 @register
 def cobol_top10(spark, sf_dir):
     return M.high_complexity_top10(_files(spark, sf_dir, COBOL_BY_SUPP))
@@ -128,6 +156,24 @@ def dep_unresolved(spark, sf_dir):
     return M.unresolved_targets(_edges(spark, sf_dir), _programs(spark, sf_dir))
 
 
+def _calls(spark, sf_dir):
+    """Program needs target, by name."""
+    return _edges(spark, sf_dir).join(_programs(spark, sf_dir), ["project_id", "path"]).select("project_id", F.col("name").alias("source"), "target")
+
+
+@register
+def dep_impact(spark, sf_dir):
+    """Per target the programs that need it, directly and at all."""
+    return GR.impact(_calls(spark, sf_dir), ["project_id"])
+
+
+@register
+def dep_waves(spark, sf_dir):
+    """The migration wave of every program; programs that call each other in a circle go together."""
+    waves = GR.load_units(_programs(spark, sf_dir), _calls(spark, sf_dir).withColumnRenamed("source", "name"), ["project_id"], "name", "target")
+    return waves.select("project_id", "name", "unit", "unit_size", (F.col("level") + 1).alias("wave"))
+
+
 @register
 def cobol_risks(spark, sf_dir):
     files = _files(spark, sf_dir)
@@ -362,7 +408,7 @@ def pg_change_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- migration data checks
 from migscope.operators import validate as V  # noqa: E402
-from migscope.sources.generated import ORDERS_CHANGES_SQL, read_table, run_sql, target_table  # noqa: E402
+from migscope.sources.generated import ORDERS_CHANGES_SQL, TABLE_KEYS_SQL, TABLES_SQL, read_table, run_sql, target_table  # noqa: E402
 
 # Checks configured for the generated migration (key columns,
 # conversion rules, business rules, baseline).
@@ -476,6 +522,28 @@ def v_sample(spark, sf_dir):
     return V.diff_rows(src, tgt, ["o_orderkey"], keep_same=True)
 
 
+@register
+def v_sample_n(spark, sf_dir):
+    """V11 by number: the 500 orders with the least key hash against the target."""
+    src = V.sample_n(_t(spark, sf_dir, "orders"), "o_orderkey", 500, method="md5")
+    tgt = target_table(spark, sf_dir, "orders").join(src.select("o_orderkey"), "o_orderkey", "left_semi")
+    return V.diff_rows(src, tgt, ["o_orderkey"], keep_same=True)
+
+
+@register
+def v_diff_set(spark, sf_dir):
+    """V4 without keys: rows that one side alone has, as multisets."""
+    cols = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    return V.diff_rows_set(_t(spark, sf_dir, "orders").select(*cols), target_table(spark, sf_dir, "orders").select(*cols))
+
+
+@register
+def v_array_csv(spark, sf_dir):
+    """V9 as text: the keys of an order as array, joined."""
+    keys = _t(spark, sf_dir, "orders").select("o_orderkey", F.array("o_custkey", "o_orderkey").alias("keys"))
+    return V.array_to_csv(keys, "keys")
+
+
 @register
 def v_rules(spark, sf_dir):
     return V.check_rules(_t(spark, sf_dir, "lineitem"), BUSINESS_RULES["lineitem"], "lineitem").unionByName(
@@ -559,6 +627,29 @@ def v_load_order(spark, sf_dir):
     return V.load_order(tables, fks, ["project_id"])
 
 
+@register
+def v_load_units(spark, sf_dir):
+    """V15 with cycles: the tables of ``TABLES_SQL`` and their keys."""
+    keys = run_sql(spark, sf_dir, TABLE_KEYS_SQL)
+    tables = run_sql(spark, sf_dir, TABLES_SQL)
+    return GR.load_units(tables, keys, ["project_id"])
+
+
+@register
+def v_checksum_tree(spark, sf_dir):
+    """V2, ordered: the nodes in which source and target differ."""
+    src, tgt = _t(spark, sf_dir, "orders"), target_table(spark, sf_dir, "orders")
+    return V.ordered_diff(V.ordered_checksum(src, "o_orderkey", width_bits=6), V.ordered_checksum(tgt, "o_orderkey", width_bits=6))
+
+
+@register
+def v_checksum_rows(spark, sf_dir):
+    """V2, ordered: the row differences, read from the differing ranges alone."""
+    src, tgt = _t(spark, sf_dir, "orders"), target_table(spark, sf_dir, "orders")
+    diff = V.ordered_diff(V.ordered_checksum(src, "o_orderkey", width_bits=2), V.ordered_checksum(tgt, "o_orderkey", width_bits=2))
+    return V.diff_rows(*[V.differing_rows(df, diff, "o_orderkey", width_bits=2) for df in (src, tgt)], ["o_orderkey"])
+
+
 @register
 def v_delta(spark, sf_dir):
     base = target_table(spark, sf_dir, "orders")
@@ -574,6 +665,27 @@ def v_latency(spark, sf_dir):
                          2000.0, 5000.0).withColumn("day", F.col("day").cast("string"))
 
 
+@register
+def v_latency_weekly(spark, sf_dir):
+    """V19 merged: weekly figures from daily sketches, without the events."""
+    daily = materialize(V.latency_sketches(_t(spark, sf_dir, "events"), [F.to_date("ts").alias("day")], "value"))
+    return V.merged_latency(daily, [F.trunc("day", "week").alias("week")])
+
+
+#: Thresholds of the hourly episodes (error rate, response) and the silence after which one ends.
+HOURLY_LIMITS = {"error_rate": (0.2, 0.6), "response": (60.0, 85.0)}
+HOURLY_SILENCE = 6 * 3600
+
+
+@register
+def v_alert_episodes(spark, sf_dir):
+    """V20 life cycle: the alert episodes of every user's hourly windows."""
+    w = V.alert_windows(_t(spark, sf_dir, "events"), F.col("user_id"), window="1 hour", limits=HOURLY_LIMITS)
+    e = V.alert_episodes(w, HOURLY_SILENCE)
+    at = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x)
+    return e.select("series", "metric", at("raised_at"), at("last_seen"), "windows", "level", at("closed_at"), "reason")
+
+
 @register
 def v_alerts(spark, sf_dir):
     a = V.alerts(_t(spark, sf_dir, "events"))
@@ -617,7 +729,6 @@ def cobol_complexity_stats(spark, sf_dir):
 # ---------------------------------------------------------------- corpus, admission, reports
 from migscope.plans import report as R  # noqa: E402
 from migscope.sources import corpus as S  # noqa: E402
-from migscope.session import materialize  # noqa: E402
 from migscope.sources.generated import COBOL_BY_PART as _CBP, cobol_paths_sql  # noqa: E402
 
 REPORT_DATE = "2026-01-01"

@@ -32,6 +32,46 @@ def read_corpus(spark: SparkSession, root: str, glob: str | None = None, with_co
     return df.select(*cols)
 
 
+#: Splits up to which their table (a row of numbers each) is broadcast.
+BROADCAST_SPLITS = 1_000_000
+
+
+def read_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """S1 and S8 for files of any size: (project_id, path, line_no, line), the lines that ``to_lines`` has for
+    ``read_corpus``, without a row that holds a file.  The text source reads splits, so one file is read by
+    many tasks, whatever its size.  A line's number is its place in its split, plus the lines
+    of the file's splits before it: lines are written once with their split's start
+    (``_metadata.file_block_start``) and a running id; one small row a split holds its first id and its
+    number of lines, and one window per file sums these.  No line is shuffled."""
+    from migscope.session import materialize
+    read = spark.read.option("recursiveFileLookup", "true")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        read, listing = read.option("pathGlobFilter", glob), listing.option("pathGlobFilter", glob)
+    # The metadata column holds a URL; a plus sign in it is a plus sign.
+    path = F.url_decode(F.replace(c("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    raw = read.option("lineSep", "\n").text(root).select(
+        relative_path(path, root).alias("path"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    raw = materialize(raw)
+    # The ids of a split's lines follow one another; files differ in their paths.
+    splits = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"))
+    splits = materialize(splits)
+    size = listing.load(root).select(relative_path(c("path"), root).alias("path"), "length")
+    files = size.join(splits.groupBy("path").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), "path", "left").fillna(0, ["n", "bytes"])
+    # The source drops a byte order mark at the start, and gives no last line after a final line feed:
+    # both follow from the bytes that are there and those that came.
+    more = c("length") - c("bytes")
+    files = materialize(files.select("path", "n", ((more >= 2) & (more <= 3)).alias("bom"), ((more == 0) | (more == 3) | (c("n") == 0)).alias("ends")))
+    upto = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "block", "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")).join(files.select("path", "bom"), "path")
+    small = splits.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    rows = raw.join(F.broadcast(splits) if small else splits, ["path", "block"])
+    rows = rows.select("path", (c("id") - c("first") + c("before") + 1).alias("line_no"), "bom", "value")
+    last = files.where("ends").select("path", (c("n") + 1).alias("line_no"), "bom", F.lit("").alias("value"))
+    mark = F.when(c("bom") & (c("line_no") == 1), "\ufeff").otherwise("")
+    return rows.union(last).select(project_of(c("path")).alias("project_id"), "path", "line_no", F.make_valid_utf8(F.concat(mark, "value")).alias("line"))
+
+
 def relative_path(path: Column, root: str) -> Column:
     """``path`` below ``root`` (batch and stream share it)."""
     root_re = root.rstrip("/").replace("\\", "/").split("://")[-1]

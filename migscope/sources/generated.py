@@ -400,6 +400,20 @@ def target_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run_sql(spark, sf_dir, TARGET_SQL[name])
 
 
+# A schema catalogue with cycles: one table a part, 25 projects; a table has a key to the one at half its
+# number in the project (the first one to itself), some are needed in turn by the one at a quarter.
+TABLES_SQL = """
+SELECT 'p' || CAST(p_partkey % 25 AS STRING) AS project_id, 'T' || CAST(p_partkey AS STRING) AS `table`
+FROM {part}"""
+TABLE_KEYS_SQL = """
+SELECT 'p' || CAST(p_partkey % 25 AS STRING) AS project_id, 'T' || CAST(p_partkey AS STRING) AS `table`,
+       'T' || CAST(25 * CAST(floor(floor(p_partkey / 25) / 2) AS BIGINT) + p_partkey % 25 AS STRING) AS parent
+FROM {part}
+UNION ALL
+SELECT 'p' || CAST(p_partkey % 25 AS STRING), 'T' || CAST(25 * CAST(floor(floor(p_partkey / 25) / 4) AS BIGINT) + p_partkey % 25 AS STRING),
+       'T' || CAST(p_partkey AS STRING)
+FROM {part} WHERE CAST(floor(p_partkey / 25) AS BIGINT) % 7 = 3"""
+
 # Delta capture during the load: inserts for the lost rows, updates for changed
 # ones (two versions, the later wins), deletes for key % 109 = 0.
 ORDERS_CHANGES_SQL = """

@@ -19,20 +19,23 @@ from pyspark.sql.types import StructType
 
 from migscope.operators import cobol as C
 from migscope.operators import validate as V
+from migscope.plans import rollups as RU
 from migscope.sources.corpus import project_of, relative_path, to_lines
 from migscope.sources.versioned import VersionedTable, bucket_of
 
 
-def read_landing(spark: SparkSession, root: str, glob: str = "*", max_files: int | None = None) -> DataFrame:
-    """Stream of whole files under ``root/<project_id>/...``: (project_id, path, content)."""
+def read_landing(spark: SparkSession, root: str, glob: str = "*", max_files: int | None = None, with_time: bool = False) -> DataFrame:
+    """Stream of whole files under ``root/<project_id>/...``: (project_id, path, content), with ``seq`` the
+    file's modification time in microseconds if asked for."""
     r = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true") \
         .option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     # The metadata column holds a URL; a plus sign in it is a plus sign.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    df = r.load(root).select(relative_path(path, root).alias("path"), F.col("value").alias("content"))
-    return df.select(project_of(F.col("path")).alias("project_id"), "path", "content")
+    time = [F.unix_micros("_metadata.file_modification_time").alias("seq")] if with_time else []
+    df = r.load(root).select(relative_path(path, root).alias("path"), F.col("value").alias("content"), *time)
+    return df.select(project_of(F.col("path")).alias("project_id"), "path", "content", *["seq" for _ in time])
 
 
 def stream_corpus(spark: SparkSession, root: str, sink: str, checkpoint: str, available_now: bool = True):
@@ -47,6 +50,26 @@ def stream_corpus(spark: SparkSession, root: str, sink: str, checkpoint: str, av
     return q.start()
 
 
+def stream_portfolio(spark: SparkSession, root: str, files_path: str, totals_path: str, checkpoint: str, available_now: bool = True, max_files: int | None = None):
+    """S14 with kept roll-ups: programs landing under ``root/<upload>/<project_id>/...`` -> the ``files`` and ``totals``
+    tables of ``plans.rollups`` (made by ``rollups.create``).  Each upload has a folder of its own, as a file source
+    reads a path once.  A program's place in time is its file's modification time.  Every batch rewrites the
+    buckets of its programs, so there is nothing to compact; a batch that runs again changes nothing."""
+    table = VersionedTable(spark, files_path)
+    below = F.regexp_replace("path", r"^[^/]+/", "")
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.select(project_of(below).alias("project_id"), below.alias("path"), "seq", "content")
+        last = batch.groupBy("project_id", "path").agg(F.max(F.struct("seq", "content")).alias("r")).select("project_id", "path", "r.seq", "r.content")
+        metrics = C.cobol_files(to_lines(last)).join(last.select("project_id", "path", "seq"), ["project_id", "path"])
+        RU.upsert(table, RU.file_facts(metrics), checkpoint, batch_id)
+        RU.refresh(spark, files_path, totals_path)
+
+    q = read_landing(spark, root, "*.cbl", max_files, with_time=True).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
+    return q.start()
+
+
 def read_metrics(spark: SparkSession, sink: str) -> DataFrame:
     """The last metrics of every program in a ``stream_corpus`` sink."""
     rows = spark.read.parquet(sink)
@@ -107,3 +130,81 @@ def stream_alerts(spark: SparkSession, events_dir: str, schema: StructType, sink
         .option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()
+
+
+def _episode_processor(silence_ms: int, levels: list[str]):
+    """The state of one (series, metric): the open episode, if any, and a timer that closes it.  Defined in here, so
+    tasks get its code with the query."""
+    from collections.abc import Iterator
+
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Episodes(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.open = handle.getValueState("open", "raised long, seen long, windows long, rank int")
+
+        def _row(self, key, e, closed: int, reason: str) -> Row:
+            import datetime as dt
+            at = lambda ms: dt.datetime.fromtimestamp(ms / 1000)
+            return Row(series=key[0], metric=key[1], raised_at=at(e[0]), last_seen=at(e[1]), windows=e[2], level=levels[e[3]], closed_at=at(closed), reason=reason)
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            e = tuple(self.open.get()) if self.open.exists() else None
+            before = e
+            for start, end, rank in sorted((r.start_ms, r.end_ms, r.rank) for r in rows):
+                if e and start >= e[1] + silence_ms:  # the timer of a window that came in this batch
+                    yield self._row(key, e, e[1] + silence_ms, "no data")
+                    e = None
+                if e and not rank:
+                    yield self._row(key, e, start, "cleared")
+                    e = None
+                elif rank:
+                    e = (e[0], end, e[2] + 1, max(e[3], rank)) if e else (start, end, 1, rank)
+            if before and (not e or e[1] != before[1]):
+                self.handle.deleteTimer(before[1] + silence_ms)
+            if e:
+                self.open.update(e)
+                if not before or e[1] != before[1]:
+                    self.handle.registerTimer(e[1] + silence_ms)
+            elif before:
+                self.open.clear()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            if self.open.exists():
+                e = tuple(self.open.get())
+                if e[1] + silence_ms <= expiredTimerInfo.getExpiryTimeInMs():
+                    self.open.clear()
+                    yield self._row(key, e, e[1] + silence_ms, "no data")
+
+        def close(self) -> None:
+            pass
+
+    return Episodes()
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_alert_episodes(spark: SparkSession, events_dir: str, schema: StructType, series, sink: str, checkpoint: str, silence_seconds: int,
+                          window: str = "1 minute", watermark: str = "5 minutes", limits: dict | None = None, available_now: bool = True):
+    """V20 life cycle: an episode is written when it is over (cleared by a window that is OK, or closed by an event-time
+    timer when no window came for ``silence_seconds``, a multiple of the window).  State is one small row for each
+    open episode.  Windows reach the second operator when the watermark passes their end, hence in
+    time order; rows later than the watermark are dropped by the first."""
+    rows = V.alert_windows(spark.readStream.schema(schema).parquet(events_dir), series, window=window, watermark=watermark, limits=limits)
+    # Times go through the state as milliseconds, so no session's time zone touches them.
+    rows = rows.select("series", "metric", F.unix_millis("window_start").alias("start_ms"), (F.unix_millis("window_end") + 1).alias("end_ms"), "rank", "window_end")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # timers need it; a query keeps what it starts with
+    try:
+        out = rows.groupBy("series", "metric").transformWithState(_episode_processor(silence_seconds * 1000, V.LEVELS), V.EPISODE, "Append", "EventTime")
+        q = out.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+        q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
+        return q.start()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

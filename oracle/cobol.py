@@ -3,7 +3,7 @@ every rule (whole file in one window), written independently of the Spark plan."
 
 from migscope.plans.rules import PROJECTS_SQL
 from migscope.sources.generated import COBOL_BY_PART, COBOL_BY_SUPP, cobol_lines_sql
-from oracle.common import b, for_duckdb, js_trim, rnd
+from oracle.common import b, for_duckdb, js_trim, load_units_ctes, rnd
 
 
 def lines_cte(variant=COBOL_BY_PART) -> str:
@@ -197,6 +197,24 @@ g AS (SELECT project_id, type, count(*) AS cnt FROM files GROUP BY project_id, t
 SELECT project_id, type, CAST(cnt AS BIGINT) AS count,
   CAST(floor(CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY project_id) * 100 + 0.5) AS BIGINT) AS percentage
 FROM g"""
+    q["kept_scores"] = S + details_cte() + project_scores_cte() + """
+SELECT project_id, files, (SELECT CAST(sum(loc) AS BIGINT) FROM files f WHERE f.project_id = ps.project_id) AS total_loc, logic_score, data_score, risk_score, overall, difficulty
+FROM ps WHERE files > 0"""
+    q["portfolio_rollup"] = F + """,
+g AS (SELECT project_id, type, count(*) AS cnt, sum(loc) AS loc, grouping(project_id, type) AS grp FROM files GROUP BY ROLLUP (project_id, type))
+SELECT project_id, type, CAST(cnt AS BIGINT) AS count, CAST(loc AS BIGINT) AS loc, CAST(grp AS BIGINT) AS grouping,
+  CAST(floor(CAST(cnt AS DOUBLE) / CASE grp WHEN 0 THEN (SELECT count(*) FROM files f WHERE f.project_id = g.project_id) ELSE (SELECT count(*) FROM files) END * 100 + 0.5) AS BIGINT) AS percentage
+FROM g"""
+    calls = "WITH RECURSIVE " + files_cte() + edges_cte() + """,
+e AS (SELECT DISTINCT e.project_id, f.name AS a, e.target AS b FROM edges e JOIN files f USING (project_id, path) WHERE f.name <> e.target),
+reach(project_id, a, b) AS (SELECT project_id, a, b FROM e UNION SELECT r.project_id, r.a, e.b FROM reach r JOIN e ON e.project_id = r.project_id AND e.a = r.b)"""
+    q["dep_impact"] = calls + """
+SELECT project_id, b AS target, CAST(direct AS BIGINT) AS direct, CAST(reached AS BIGINT) AS reached_by
+FROM (SELECT project_id, b, count(*) AS direct FROM e GROUP BY ALL) JOIN (SELECT project_id, b, count(*) AS reached FROM reach WHERE a <> b GROUP BY ALL) USING (project_id, b)"""
+    q["dep_waves"] = "WITH RECURSIVE " + files_cte() + edges_cte() + """,
+nodes AS (SELECT project_id, name AS node FROM files),
+every AS (SELECT DISTINCT e.project_id, f.name AS a, e.target AS b FROM edges e JOIN files f USING (project_id, path) JOIN files t ON t.project_id = e.project_id AND t.name = e.target)""" \
+        + load_units_ctes() + "\nSELECT project_id, node AS name, unit, unit_size, CAST(level + 1 AS INTEGER) AS wave FROM load_units"
     q["cobol_top10"] = top10_sql(files_cte(COBOL_BY_SUPP))
     q["dep_graph"] = "WITH " + files_cte() + edges_cte() + """,
 e AS (SELECT DISTINCT e.project_id, f.name AS source, e.target FROM edges e JOIN files f USING (project_id, path)),

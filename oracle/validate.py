@@ -3,8 +3,8 @@
 from migscope.operators import pgfeat as G
 from migscope.operators import validate as V
 from migscope.plans import queries as Q
-from migscope.sources.generated import ORDERS_CHANGES_SQL, TARGET_SQL
-from oracle.common import for_duckdb
+from migscope.sources.generated import ORDERS_CHANGES_SQL, TABLE_KEYS_SQL, TABLES_SQL, TARGET_SQL
+from oracle.common import for_duckdb, load_units_ctes
 from oracle.cobol import files_cte as cobol_files_cte
 from oracle.ddl import STMTS, files_cte as ddl_files_cte
 
@@ -147,6 +147,29 @@ FROM t_customer"""
     q["v_sample"] = "WITH " + tgt("orders") + f""",
 s AS {samp},
 tt AS (SELECT * FROM t_orders WHERE o_orderkey IN (SELECT o_orderkey FROM s))""" + diff_sql("s", "tt", "o_orderkey", ocols, True)
+    q["v_sample_n"] = "WITH " + tgt("orders") + """,
+s AS (SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '#42'), o_orderkey LIMIT 500),
+tt AS (SELECT * FROM t_orders WHERE o_orderkey IN (SELECT o_orderkey FROM s))""" + diff_sql("s", "tt", "o_orderkey", ocols, True)
+    some = "SELECT o_custkey, o_orderstatus, o_orderpriority FROM"
+    q["v_diff_set"] = "WITH " + tgt("orders") + f"""
+SELECT *, 'source_only' AS side FROM ({some} orders EXCEPT ALL {some} t_orders) UNION ALL SELECT *, 'target_only' FROM ({some} t_orders EXCEPT ALL {some} orders)"""
+    q["v_array_csv"] = "SELECT o_orderkey, o_custkey || ',' || o_orderkey AS keys FROM orders"
+    at = lambda x: f"strftime({x}, '%Y-%m-%d %H:%M:%S') AS {x}"
+    lim = Q.HOURLY_LIMITS
+    rank = lambda m, e: f"SELECT series, '{m}' AS metric, s, e, CASE WHEN {e} > {lim[m][1]} THEN 2 WHEN {e} > {lim[m][0]} THEN 1 ELSE 0 END AS r FROM g"
+    q["v_alert_episodes"] = f"""WITH g AS (
+  SELECT CAST(user_id AS VARCHAR) AS series, date_trunc('hour', ts) AS s, date_trunc('hour', ts) + INTERVAL 1 HOUR AS e,
+    count(*) FILTER (WHERE event_type = 'error') / count(*) AS rate, avg(value) AS response FROM events GROUP BY ALL),
+w AS ({rank("error_rate", "rate")} UNION ALL {rank("response", "response")}),
+n AS (SELECT *, lead(s) OVER o AS nxt, lag(r) OVER o AS lr, lag(e) OVER o AS le FROM w WINDOW o AS (PARTITION BY series, metric ORDER BY s)),
+i AS (SELECT *, sum(CASE WHEN r > 0 AND NOT (coalesce(lr, 0) > 0 AND le + INTERVAL {Q.HOURLY_SILENCE} SECOND > s) THEN 1 ELSE 0 END)
+             OVER (PARTITION BY series, metric ORDER BY s) AS ep FROM n),
+x AS (SELECT series, metric, min(s) AS raised_at, max(e) AS last_seen, count(*) AS windows, max(r) AS r, max(e) + INTERVAL {Q.HOURLY_SILENCE} SECOND AS lim, arg_max(nxt, s) AS n1,
+        max(s) AS ls FROM i WHERE r > 0 GROUP BY series, metric, ep),
+y AS (SELECT x.*, (SELECT i.nxt FROM i WHERE i.series = x.series AND i.metric = x.metric AND i.s = x.ls) AS nxt, (SELECT max(e) FROM w) AS horizon FROM x),
+z AS (SELECT *, CASE WHEN nxt < lim THEN 'cleared' WHEN nxt IS NOT NULL OR horizon >= lim THEN 'no data' ELSE 'open' END AS reason FROM y),
+c AS (SELECT *, CASE reason WHEN 'cleared' THEN nxt WHEN 'no data' THEN lim END AS closed_at FROM z)
+SELECT series, metric, {at("raised_at")}, {at("last_seen")}, windows, CASE r WHEN 2 THEN 'CRITICAL' ELSE 'WARNING' END AS level, {at("closed_at")}, reason FROM c"""
     rules = []
     for table, rs in Q.BUSINESS_RULES.items():
         for name, expr in rs:
@@ -224,6 +247,26 @@ paths(project_id, tbl, depth) AS (
   WHERE p.depth < 64)
 SELECT project_id, tbl AS "table", level, CASE WHEN level IS NULL THEN 'cycle' ELSE 'ordered' END AS status
 FROM (SELECT n.project_id, n.tbl, (SELECT max(depth) FROM paths p WHERE p.project_id = n.project_id AND p.tbl = n.tbl) AS level FROM nodes n)"""
+    q["v_load_units"] = f"""WITH RECURSIVE nodes AS (SELECT DISTINCT project_id, "table" AS node FROM ({for_duckdb(TABLES_SQL)})),
+every AS (SELECT DISTINCT k.project_id, k."table" AS a, k.parent AS b FROM ({for_duckdb(TABLE_KEYS_SQL)}) k
+          JOIN nodes x ON x.project_id = k.project_id AND x.node = k."table" JOIN nodes y ON y.project_id = k.project_id AND y.node = k.parent)""" \
+        + load_units_ctes() + """
+SELECT project_id, node AS "table", unit, unit_size, level, deferred FROM load_units"""
+    q["v_checksum_tree"] = "WITH " + tgt("orders") + f""",
+rows AS (
+  SELECT 's' AS side, o_orderkey AS k, {digest(ORDERS_COLS)} AS d FROM orders
+  UNION ALL SELECT 't', o_orderkey, {digest(ORDERS_COLS)} FROM t_orders),
+nodes AS (
+  SELECT side, level, k >> (6 + 4 * level) AS node, count(*) AS rows, {", ".join(
+        f"list_reduce(list_prepend(0::BIGINT, list(d % {p} + 1 ORDER BY k, d)), lambda a, x: (a * {base} + x) % {p}) AS h{i}" for i, (p, base) in enumerate(V.ORDERED))}
+  FROM rows, range(16) r(level) GROUP BY ALL),
+top AS (SELECT max(t) AS t FROM (SELECT side, min(level) AS t FROM (SELECT side, level, count(*) AS n FROM nodes GROUP BY ALL) WHERE n = 1 GROUP BY side)),
+s AS (SELECT * FROM nodes WHERE side = 's'), t AS (SELECT * FROM nodes WHERE side = 't')
+SELECT CAST(coalesce(s.level, t.level) AS INTEGER) AS level, coalesce(s.node, t.node) AS node, coalesce(s.rows, 0) AS source_rows, coalesce(t.rows, 0) AS target_rows,
+  s.h0 || ':' || s.h1 AS source_hash, t.h0 || ':' || t.h1 AS target_hash
+FROM s FULL JOIN t ON s.level = t.level AND s.node = t.node
+WHERE (s.rows, s.h0, s.h1) IS DISTINCT FROM (t.rows, t.h0, t.h1) AND coalesce(s.level, t.level) <= (SELECT t FROM top)"""
+    q["v_checksum_rows"] = q["v_diff"]
     q["v_delta"] = f"""WITH {tgt('orders')},
 ch AS ({for_duckdb(ORDERS_CHANGES_SQL)}),
 latest AS (SELECT o_orderkey, arg_max(ch, seq) AS c FROM ch GROUP BY o_orderkey)

@@ -69,3 +69,35 @@ def test_dashboard_tiles_by_family(spark):
     tiles = lambda **k: {r.project_id: tuple(r)[1:] for r in R.dashboard_tiles(ctx, db, totals, scores, **k).collect()}
     assert tiles() == {"p0": (11, 500, 7, "High"), "p1": (7, 500, 3, "Low"), "p2": (7, 500, 3, "Unknown"), "p3": (7, 500, 3, "Unknown"), "p4": (0, 0, 0, "Unknown")}
     assert tiles(corrected=True)["p1"] == (7, 500, 5, "Low")
+
+
+def test_read_lines_over_small_splits(spark, tmp_path):
+    """Lines and numbers are those of whole files, with borders of splits everywhere."""
+    import random
+
+    from migscope.operators import cobol as C
+    rng = random.Random(4)
+    root = str(tmp_path / "big")
+    atoms = ["a", "é", "中文", "🙂", "\r", " ", "x" * 40, "\t", "\x0b", "\x0c", "\u2028", "\x85"]
+    for k in range(4):
+        text = "\n".join("".join(rng.choices(atoms, k=rng.randint(0, 9))) + rng.choice(["", "\r"]) for _ in range(rng.randint(0, 30)))
+        _write(root, f"p{k % 3}/dir {k}/f+{k}.cbl", (text + rng.choice(["", "\n", "\r\n", "\n\n"])).encode())
+    for name, data in {"empty": b"", "feed": b"\n", "bom": "\ufeffone\ntwo\n".encode(), "bom1": "\ufeffone".encode(), "bad": b"\xff\n\xe4\xb8\n\xad x\n" * 9, "cr": b"a\rb\rc",
+                       "one": b"no feed", "long": b"z" * 300 + b"\n" + b"y" * 150}.items():
+        _write(root, f"q/{name}.cbl", data)
+    _write(root, "q/code.cbl", b"       PROCEDURE DIVISION.\n" + b"           IF A > 1\n             IF B > 1\n             END-IF\n           END-IF.\r\n" * 4)
+    _write(root, "q/other.txt", b"not chosen")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    want = S.to_lines(S.read_corpus(spark, root, "*.cbl"))
+    lines = sorted(map(tuple, want.collect()))
+    metrics = sorted(map(tuple, C.cobol_files(want).collect()))
+    try:
+        for size in ("64", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = S.read_lines(spark, root, "*.cbl")
+            assert sorted(map(tuple, got.collect())) == lines
+        assert sorted(map(tuple, C.cobol_files(got).collect())) == metrics
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -79,3 +79,46 @@ def test_stream_delta_keeps_the_newer_change(spark, tmp_path):
     assert rows() == want
     run("ck-again")
     assert rows() == want
+
+
+def test_stream_episodes_equal_batch(spark, tmp_path):
+    """Four runs on one checkpoint, rows late but within the watermark, and one beyond it that both leave out."""
+    import random
+
+    from pyspark.sql import functions as F
+    rng = random.Random(1)
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    rows = [(i, t0 + dt.timedelta(seconds=rng.randint(0, 4 * 3600)), rng.randint(0, 2), "error" if rng.random() < 0.3 else "view", rng.random() * 1000, "") for i in range(400)]
+    rows.sort(key=lambda r: r[1])
+    for k in (149, 299):  # change places with a row up to nine minutes later
+        late = next(j for j in range(k + 1, len(rows)) if rows[j][1] > rows[k][1] + dt.timedelta(minutes=4))
+        rows[k], rows[late - 1] = rows[late - 1], rows[k]
+    flush = [(9999, t0 + dt.timedelta(days=2), 99, "view", 1.0, "")]
+    dropped = [(10000, t0, 0, "error", 999.0, "")]
+    limits = {"error_rate": (0.2, 0.6), "response": (500.0, 800.0)}
+    src, sink, ck = (str(tmp_path / x) for x in ("events", "episodes", "ck"))
+    for part in (rows[:150], rows[150:300], rows[300:] + flush, dropped):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        q = ST.stream_alert_episodes(spark, src, spark.createDataFrame([], schema).schema, F.col("user_id"), sink, ck, 1800, watermark="10 minutes", limits=limits)
+        q.awaitTermination(180)
+        assert q.exception() is None
+    events = spark.createDataFrame(rows + flush, schema)
+    want = V.alert_episodes(V.alert_windows(events, F.col("user_id"), limits=limits), 1800)
+    got = spark.read.parquet(sink)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(got.columns).collect()), key=str)
+    reasons = {r.reason for r in got.collect()}
+    assert reasons == {"cleared", "no data"} and got.where("windows > 1").count() > 5
+
+
+def test_episodes_by_hand(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    m = lambda k: t0 + dt.timedelta(minutes=k)
+    w = [("s", "x", m(a), m(a + 1), r) for a, r in [(0, 0), (1, 1), (2, 2), (3, 0), (4, 1), (9, 1), (15, 1), (16, 0), (20, 2)]] + [("t", "x", m(0), m(1), 1), ("u", "x", m(30), m(31), 0)]
+    got = V.alert_episodes(spark.createDataFrame(w, "series string, metric string, window_start timestamp, window_end timestamp, rank int"), 300)
+    at = lambda x: x and (x - t0).seconds // 60
+    rows = sorted((r.series, at(r.raised_at), at(r.last_seen), r.windows, r.level, at(r.closed_at), r.reason) for r in got.collect())
+    assert rows == [("s", 1, 3, 2, "CRITICAL", 3, "cleared"), ("s", 4, 10, 2, "WARNING", 15, "no data"), ("s", 15, 16, 1, "WARNING", 16, "cleared"),
+                    ("s", 20, 21, 1, "CRITICAL", 26, "no data"), ("t", 0, 1, 1, "WARNING", 6, "no data")]
+    still = V.alert_episodes(spark.createDataFrame(w[:2], "series string, metric string, window_start timestamp, window_end timestamp, rank int"), 300).collect()
+    assert [(r.reason, r.closed_at) for r in still] == [("open", None)]
