@@ -9,7 +9,8 @@
    signatures and then on the full sets; components of these links follow.
 4. What is left are pairs of one bucket in different components.  Such buckets are cut in blocks
    of ``BLOCK`` rows, blocks are compared by signature (a pair only in its first common
-   band), likely pairs are verified on the full sets, and components follow again.
+   band) and then by bottom sketches; a spanning forest of the links of each pair of blocks, and the pairs that
+   sketches cannot decide, are verified on the full sets, and components follow again.
 
 Buckets, stars and blocks of any size are split over tasks; no group is held in one.  A text
 goes only to the tasks that verify it, next to the centre of its star.
@@ -38,6 +39,8 @@ ROWS, MINIMA = 6, 384
 #: minima than a likely pair has (exact binomial) at most the other half.
 MISS = 1e-9
 BLOCK, STAR = 256, 256
+#: Least shingle hashes by which blocks compare two sets (the whole set, if it has no more).
+SKETCH = 512
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NODE = "struct<id:long,h:long>"
 
@@ -47,9 +50,9 @@ def bands_for(percent: int, per_band: int) -> int:
     return max(1, math.ceil(math.log(MISS / 2) / math.log(max(1 - (percent / 100) ** per_band, MISS / 2))))
 
 
-def agree_for(percent: int, minima: int) -> int:
-    """Equal minima (eight bits of each) that a pair at the threshold has, but for half of ``MISS``."""
-    p = percent / 100 + (1 - percent / 100) / 256
+def agree_for(percent: int, minima: int, chance: float = 1 / 256) -> int:
+    """Equal minima (eight bits of each, unlike ones equal by ``chance``) that a pair at the threshold has, but for half of ``MISS``."""
+    p = percent / 100 + (1 - percent / 100) * chance
     least, below = 0, 0.0
     while least < minima:
         log = math.lgamma(minima + 1) - math.lgamma(least + 1) - math.lgamma(minima - least + 1) + least * math.log(p) + (minima - least) * math.log1p(-p) if p < 1 else -math.inf
@@ -163,14 +166,45 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, agr
     return dealt.mapInArrow(checked, f"a {NODE}, b {NODE}")
 
 
-def likely_pairs(rows: DataFrame, agree: int, percent: int) -> DataFrame:
-    """(a, b) of one bucket but different components whose signatures agree.  ``rows``: band, key,
-    node, comp, n, sig, bands.  A bucket of many rows is dealt in blocks, each pair of blocks
-    is a group of about 2 ``BLOCK`` rows."""
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, sketch) of (node, text): the ``SKETCH`` least shingle hashes, 32 bits of each, ascending."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bodies in pieces(batches, "text", 1 << 20):
+            own = [(x[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for x in shingle_sets(bodies, shingle)]
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(own, pa.binary())], ["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(made, f"node {NODE}, sketch binary")
+
+
+def compare(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int, least: int, most: int) -> int:
+    """What two sketches say of their sets of ``nx`` and ``ny``: 0 no link, 1 perhaps, 2 a link.  Whole sets are compared
+    where the sketches hold them (one equal hash may be by chance).  Otherwise the share of the union's least hashes
+    that both have estimates the similarity: no link below ``least``, a link from ``most`` on."""
+    both = np.concatenate([x, y])
+    both.sort()
+    if nx <= SKETCH and ny <= SKETCH:
+        common = int((both[1:] == both[:-1]).sum())
+        sure = 100 * (common - 1) >= percent * (nx + ny - common + 1)
+        return 2 if sure else int(100 * common >= percent * (nx + ny - common))
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] != both[:-1]
+    end = int(np.searchsorted(np.cumsum(first), SKETCH + 1))
+    common = end - int(first[:end].sum())
+    return 0 if common < least else 2 if common >= most else 1
+
+
+def likely_pairs(rows: DataFrame, facts: DataFrame, agree: int, percent: int) -> DataFrame:
+    """(a, b) of one bucket but different components that link or may link.  ``rows``: band, key, node, comp;
+    ``facts``: node, n, sig, bands, sketch.  A bucket of many rows is dealt in blocks, each pair of blocks
+    is a group of about 2 ``BLOCK`` rows.  Pairs whose signatures agree are compared by sketch; of the
+    links a group finds it gives a spanning forest (so no more rows than it has), and beside it what only the full
+    sets can decide."""
     sizes = rows.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m"))
     r = rows.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    r = r.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "comp", "n", "sig", "bands")
+    r = r.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "comp")
+    r = r.join(facts.select("node", "n", "sig", "bands", "sketch"), "node")
+    least, most = agree_for(percent, SKETCH, 0), SKETCH + 1 - agree_for(100 - percent, SKETCH, 0)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("id", pa.int64()), ("h", pa.int64())])
@@ -185,6 +219,7 @@ def likely_pairs(rows: DataFrame, agree: int, percent: int) -> DataFrame:
             n = group["n"].to_numpy()
             sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(n), -1)
             keys = group["bands"].combine_chunks().values.to_numpy().reshape(len(n), -1)
+            sketch = [np.frombuffer(x, "<u4") for x in group["sketch"].to_pylist()]
             second = group["second"].to_numpy()
             cross = group["i"][0].as_py() != group["j"][0].as_py()
             x: list[int] = []
@@ -196,8 +231,15 @@ def likely_pairs(rows: DataFrame, agree: int, percent: int) -> DataFrame:
                 rest = rest[(comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k])) & (second[rest] if cross else True)]
                 rest = rest[(sig[rest] == sig[k]).sum(1) >= agree]
                 rest = rest[~(keys[rest, :band] == keys[k, :band]).any(1)]
-                x += [k] * len(rest)
-                y += rest.tolist()
+                for j in rest.tolist():
+                    if comp[j] == comp[k]:  # linked by now
+                        continue
+                    found = compare(sketch[k], sketch[j], int(n[k]), int(n[j]), percent, least, most)
+                    if found:
+                        x.append(k)
+                        y.append(j)
+                    if found == 2:
+                        comp[comp == comp[j]] = comp[k]
             if x:
                 a, b = ids[x], ids[y]
                 swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
@@ -260,8 +302,10 @@ def linked(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, band
     root = first.select(F.col("a").alias("node"), F.col("b").alias("root"))
     placed = buckets.select("band", "key", "node").join(root, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where(F.col("p") < F.col("q")).select("band", "key")
-    rest = placed.join(mixed, ["band", "key"]).join(reps.select("node", "n", "sig", "bands"), "node")
-    more = verified(stored(likely_pairs(rest, agree, percent), "minhash-pairs"), texts, shingle, percent, agree)
+    rest = stored(placed.join(mixed, ["band", "key"]), "minhash-rest")
+    own = rest.select("node").distinct()
+    facts = reps.select("node", "n", "sig", "bands").join(sketches(texts.join(own, "node", "left_semi"), shingle), "node")
+    more = verified(stored(likely_pairs(rest, facts, agree, percent), "minhash-pairs"), texts, shingle, percent, agree)
     links = components(first.unionByName(more))
 
     classes = reps.select("k1", "k2", "node").join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left") \

@@ -79,6 +79,7 @@ def test_minhash_splits_stars_and_blocks(docs, docs_rows, monkeypatch):
     """Stars and blocks of two rows, and a threshold at which chains arise."""
     monkeypatch.setattr(minhash, "STAR", 2)
     monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "SKETCH", 30)
     got = minhash.near_duplicates(docs, percent=60, bands=64, per_band=2, agree=40, extra=0)
     assert by_id(got, ["n_shingles", "component_id", "kept"]) == brute.components(docs_rows, percent=60)
 
@@ -119,6 +120,25 @@ def test_no_link_at_the_threshold_is_lost(percent):
     assert share.all()
 
 
+@pytest.mark.parametrize("sketch", [512, 40])
+def test_sketches_decide_by_the_sets(sketch, monkeypatch):
+    """Whole sets: always right.  Longer ones: no link is called none, and no other pair a link."""
+    monkeypatch.setattr(minhash, "SKETCH", sketch)
+    rng = np.random.default_rng(sketch)
+    least, most = minhash.agree_for(85, sketch, 0), sketch + 1 - minhash.agree_for(15, sketch, 0)
+    for k in range(3000):
+        size = int(rng.integers(3, 300))
+        x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        cut = int(rng.integers(0, max(1, len(x) // 3)))
+        a, b = x[: len(x) - cut // 2], np.unique(np.concatenate([x[cut:], x[:cut // 3]]))
+        common = len(np.intersect1d(a, b))
+        link = 100 * common >= 85 * (len(a) + len(b) - common)
+        found = minhash.compare(*[(s[:sketch] >> np.uint64(32)).astype("<u4") for s in (a, b)], len(a), len(b), 85, least, most)
+        assert found > 0 if link else found < 2
+        if max(len(a), len(b)) <= sketch:
+            assert (found > 0) == link
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 50), (101, 100), (60, 60), (7, 3)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
