@@ -45,9 +45,22 @@ def _keys(key: str | None) -> tuple[list[str], list[str]]:
     return ([key], FILE_KEYS) if key else (FILE_KEYS, [])
 
 
+def _hits(order: list[str] | None) -> Column:
+    """The CALL and COPY targets of a line with their position: 2*line_no for CALL, 2*line_no+1 for COPY on
+    the same line; with ``order`` the struct (order..., 0|1), and no line numbers are needed."""
+    U = F.upper("line")
+    if order and order != ["line_no"]:
+        pos = lambda k: F.struct(*[F.col(o) for o in order], F.lit(k).alias("k"))
+    else:
+        pos = lambda k: (F.col("line_no") * 2 + k).cast("long")
+    return F.array(*[F.struct(pos(k).alias("pos"), F.regexp_extract(U, p, 1).alias("target"), F.lit(kind).alias("kind"))
+                     for k, (p, kind) in enumerate([(RE_CALL, "CALL"), (RE_COPY, "COPY")])])
+
+
 def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list[str] | None = None,
-               key: str | None = None) -> DataFrame:
-    """One projection with every per-line flag (ints) plus the scan block id.
+               key: str | None = None, hits: bool = False) -> DataFrame:
+    """One projection with every per-line flag (ints) plus the scan block id, and with ``hits`` the
+    line's dependency targets.
 
     ``src_lines`` either has ``line_no`` (blocks are line ranges of
     ``block_lines``) or already carries a ``block`` column and the ``order``
@@ -84,22 +97,23 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list
         c(U.rlike(RE_PIC)).alias("pic"),
         c(U.rlike(RE_SORT)).alias("sort_merge"),
         (code & U.contains("REPORT") & U.contains("SECTION")).alias("report"),
+        *([F.filter(_hits(order), lambda h: h["target"] != "").alias("hits")] if hits else []),
     )
 
 
 def packed_line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES,
-                      order: list[str] | None = None, key: str | None = None) -> DataFrame:
+                      order: list[str] | None = None, key: str | None = None, hits: bool = False) -> DataFrame:
     """The per-line flags packed into one int bitmask: the block window shuffles
     (keys, line_no, block, delta, mask) -- three ints per line -- instead of
     seventeen flag columns."""
     order = order or ["line_no"]
-    f = line_facts(src_lines, block_lines, order, key)
+    f = line_facts(src_lines, block_lines, order, key, hits)
     mask = None
     for k, name in enumerate(FLAG_BITS):
         bit = (F.col(name).cast("int") if name == "report" else F.col(name)) * F.lit(1 << k)
         mask = bit if mask is None else mask + bit
     return f.select(*FILE_KEYS, *([key] if key else []), *order, "block", F.col("delta").cast("int").alias("delta"),
-                    mask.cast("int").alias("mask"))
+                    mask.cast("int").alias("mask"), *(["hits"] if hits else []))
 
 
 def program_name(path) -> Column:
@@ -134,6 +148,7 @@ def _block_summaries(facts: DataFrame, order: list[str] | None = None, key: str
         F.least(F.lit(0), F.min("s")).alias("lmin"),
         F.max(F.when(is_if, F.col("s_before"))).alias("a"),
         F.max(F.when(is_if, F.col("s_before") - F.col("m_before"))).alias("b"),
+        *([F.flatten(F.collect_list(F.when(F.size("hits") > 0, F.col("hits")))).alias("hits")] if "hits" in facts.columns else []),
     )
 
 
@@ -161,7 +176,24 @@ def cobol_files(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: lis
     migration metrics.  With ``order`` (and a ``block`` column) the lines need no
     dense numbering: blocks and the order inside them come with the input.
     ``key``: optional numeric file id (one per (project_id, path)) to partition by."""
-    f = _file_metrics(_block_summaries(packed_line_facts(src_lines, block_lines, order, key), order, key), key)
+    return scanned_files(_block_summaries(packed_line_facts(src_lines, block_lines, order, key), order, key), key)
+
+
+def cobol_scan(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """One pass over the lines for programs and dependencies: a row per (file, block) with the sums of the
+    metric scan and the block's dependency targets (at most two a line).  ``scanned_files`` and
+    ``scanned_edges`` read it; written down, the lines are read once for both."""
+    return _block_summaries(packed_line_facts(src_lines, block_lines, order, key, hits=True), order, key)
+
+
+def scanned_edges(blocks: DataFrame) -> DataFrame:
+    """The rows of ``cobol_edges`` from a scan."""
+    return _first_hits(blocks.select(*FILE_KEYS, F.inline("hits")))
+
+
+def scanned_files(blocks: DataFrame, key: str | None = None) -> DataFrame:
+    """The rows of ``cobol_files`` from a scan."""
+    f = _file_metrics(blocks, key)
     cc = (F.lit(1) + F.col("if_lines") + F.col("evaluate") + F.col("perform_until")
           + F.col("when_lines") + F.col("goto"))
     return f.select(
@@ -191,23 +223,12 @@ def cobol_paragraphs(src_lines: DataFrame) -> DataFrame:
 
 
 def cobol_edges(src_lines: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Distinct CALL / COPY targets per program with their first-seen position
-    (2*line_no for CALL, 2*line_no+1 for COPY on the same line; with ``order``
-    the position is the struct (order..., 0|1) and no line numbers are needed).
+    """Distinct CALL / COPY targets per program with their first-seen position (see ``_hits``).
     Partial aggregation keeps the hash aggregate map-side combined."""
-    U = F.upper("line")
-    if order:
-        pos = lambda k: F.struct(*[F.col(o) for o in order], F.lit(k).alias("k"))
-    else:
-        pos = lambda k: (F.col("line_no") * 2 + k).cast("long")
-    hits = src_lines.select(
-        *FILE_KEYS,
-        F.explode(F.array(
-            F.struct(pos(0).alias("pos"), F.regexp_extract(U, RE_CALL, 1).alias("target"),
-                     F.lit("CALL").alias("kind")),
-            F.struct(pos(1).alias("pos"), F.regexp_extract(U, RE_COPY, 1).alias("target"),
-                     F.lit("COPY").alias("kind")),
-        )).alias("h")).select(*FILE_KEYS, "h.*").where(F.col("target") != "")
+    return _first_hits(src_lines.select(*FILE_KEYS, F.explode(_hits(order)).alias("h")).select(*FILE_KEYS, "h.*").where(F.col("target") != ""))
+
+
+def _first_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy(*FILE_KEYS, "target").agg(
         F.min("pos").alias("first_pos"),
         F.min_by("kind", "pos").alias("kind"))

@@ -106,11 +106,9 @@ COBOL_RISKS = {
 }
 
 
-def cobol_risks(scores: DataFrame, dep_counts: DataFrame) -> DataFrame:
-    """M7: risk rows R-001..R-006 per project (``scores`` carries total_loc).  Rules
-    are evaluated as an array of candidate structs per project row and exploded
-    (a projection, no join)."""
-    j = scores.join(dep_counts, "project_id", "left").fillna(0, ["total_loc", "total_deps"])
+def risk_list() -> Column:
+    """M7: the risks R-001..R-006 of a project row (scores, details, total_loc, total_deps) as array of
+    structs; a rule that does not hold is not in it."""
     fmt = F.format_string
 
     def risk(rid: str, cond: Column, desc: Column, sev: Column | None = None) -> Column:
@@ -138,8 +136,13 @@ def cobol_risks(scores: DataFrame, dep_counts: DataFrame) -> DataFrame:
         risk("R-006", c("total_deps") > 50,
              fmt("High number of inter-module dependencies (%d)", c("total_deps"))),
     )
-    return j.select("project_id", F.explode(F.filter(cands, lambda x: x.isNotNull())).alias("r")) \
-        .select("project_id", "r.*")
+    return F.filter(cands, lambda x: x.isNotNull())
+
+
+def cobol_risks(scores: DataFrame, dep_counts: DataFrame) -> DataFrame:
+    """M7: risk rows per project (``scores`` carries total_loc); a projection and an explode, no rule join."""
+    j = scores.join(dep_counts, "project_id", "left").fillna(0, ["total_loc", "total_deps"])
+    return j.select("project_id", F.explode(risk_list()).alias("r")).select("project_id", "r.*")
 
 
 def complexity_summary(scores: DataFrame) -> DataFrame:

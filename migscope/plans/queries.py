@@ -176,9 +176,9 @@ def dep_waves(spark, sf_dir):
 
 @register
 def cobol_risks(spark, sf_dir):
-    files = _files(spark, sf_dir)
+    files, edges = _scan(spark, sf_dir)
     scores = K.cobol_project_scores(projects_from_nation(spark, sf_dir), K.cobol_file_scores(files))
-    deps = _edges(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
+    deps = edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
     r = M.cobol_risks(scores, deps)
     return r.select("project_id", "id", "category", "description", "severity")
 
@@ -788,19 +788,18 @@ def _ddl_db(spark, sf_dir):
     return D.ddl_totals(D.ddl_file_totals(_stmts(spark, sf_dir)))
 
 
+def _scan(spark, sf_dir):
+    """(files, edges) of the corpus from one pass over its lines."""
+    blocks = materialize(C.cobol_scan(cobol_raw(spark, sf_dir, COBOL_BY_PART), order=COBOL_ORDER, key="fid"))
+    return materialize(C.scanned_files(blocks, "fid")), C.scanned_edges(blocks)
+
+
 def _cobol_report(spark, sf_dir):
-    # per-program facts feed seven report sections: computed once, lineage cut
-    files = materialize(_files(spark, sf_dir))
-    edges = materialize(_edges(spark, sf_dir))
-    projects = projects_from_nation(spark, sf_dir)
-    scores = K.cobol_project_scores(projects, K.cobol_file_scores(files))
-    deps = edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
-    tot = M.totals(files)
-    return R.cobol_report_rows(
-        _ctx(spark, sf_dir), tot, M.complexity_summary(scores), M.program_inventory(files),
-        M.type_distribution(files), M.dependency_list(files, C.dependency_lists(edges)),
-        M.database_block(projects, _ddl_db(spark, sf_dir)), M.high_complexity_top10(files),
-        M.cobol_risks(scores, deps))
+    files, edges = _scan(spark, sf_dir)
+    scores = K.cobol_project_scores(projects_from_nation(spark, sf_dir), K.cobol_file_scores(files), with_types=True)
+    deps = materialize(C.dependency_lists(edges).select(
+        "project_id", "path", C.program_name(F.col("path")).alias("source"), F.array_join("dependencies", ", ").alias("targets"), F.size("dependencies").alias("n")))
+    return R.cobol_report_rows(_ctx(spark, sf_dir), scores, M.program_inventory(files), deps, _ddl_db(spark, sf_dir), M.high_complexity_top10(files))
 
 
 @register
@@ -951,8 +950,8 @@ def project_metadata(spark, sf_dir):
 @register
 def metadata_lists(spark, sf_dir):
     """The lists of the metadata document, one row an entry (project, list, key, JSON)."""
-    files = materialize(_files(spark, sf_dir))
-    edges = materialize(_edges(spark, sf_dir))
+    files, edges = _scan(spark, sf_dir)
+    edges = materialize(edges)
     scores = K.cobol_project_scores(projects_from_nation(spark, sf_dir), K.cobol_file_scores(files))
     deps = edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_deps"))
     lists = [("programs", M.program_inventory(files), "path", ["name", "type", "loc", "complexity", "priority"]),

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from migscope.plans.project import risk_list
+
 c = F.col
 fmt = F.format_string
 
@@ -65,78 +67,63 @@ def _or_note(present: DataFrame, projects: DataFrame, doc: str, section: int, no
     return _fixed(missing, doc, section, [note])
 
 
-def _lines(p: DataFrame, doc: str, lines: list[tuple[int, list]]) -> DataFrame:
-    """All lines every project gets, in ONE explode per project row:
-    [(section, [text or Column, ...]), ...] -> rows (project, doc, section, sub, line)."""
-    items = []
-    for section, texts in lines:
-        for i, t in enumerate(texts):
-            items.append(F.struct(F.lit(section).alias("section"), F.lit(f"{i:04d}").alias("sub"),
-                                  (F.lit(t) if isinstance(t, str) else t).alias("line")))
-    return p.select("project_id", F.explode(F.array(*items)).alias("x")).select(
-        "project_id", F.lit(doc).alias("doc"), "x.section", "x.sub", "x.line")
-
-
-def cobol_report_rows(ctx: DataFrame, totals: DataFrame, summary: DataFrame, inventory: DataFrame,
-                      distribution: DataFrame, dependencies: DataFrame, database: DataFrame,
-                      top10: DataFrame, risks: DataFrame) -> DataFrame:
-    """The tables behind the COBOL as-is analysis document.  The lines every
-    project gets come from one explode over the project rows; program, type,
-    dependency, module and risk lines are rows of their own tables."""
+def cobol_report_rows(ctx: DataFrame, scores: DataFrame, inventory: DataFrame, dependencies: DataFrame, database: DataFrame,
+                      top10: DataFrame) -> DataFrame:
+    """The tables behind the COBOL as-is analysis document.  ``scores``: ``cobol_project_scores`` with
+    details and types; ``dependencies``: (project_id, path, source, targets, n).  Every line that
+    hangs on a project alone, with its type and risk lines, headers and notes, comes from one
+    explode over the project rows; program, dependency and module lines are rows of their own tables, each read here once."""
     doc = "as-is-analysis"
     db_cols = ["tables", "views", "indexes", "stored_procedures", "triggers", "functions"]
-    p = ctx.join(totals, "project_id", "left").join(summary, "project_id", "left") \
-        .join(database.select("project_id", *db_cols), "project_id", "left") \
-        .fillna(0, ["total_files", "total_loc", *db_cols])
+    deps = dependencies.groupBy("project_id").agg(F.sum("n").cast("long").alias("total_deps"))
+    p = ctx.join(scores, "project_id", "left").join(database.select("project_id", *db_cols), "project_id", "left").join(deps, "project_id", "left") \
+        .fillna(0, ["files", "total_loc", "high", "total_deps", *db_cols])
+    p = p.withColumn("risks", risk_list())
+    line = lambda section, sub, text: F.struct(F.lit(section).alias("section"), sub.alias("sub"), text.alias("line"))
+    texts = lambda section, items: F.array(*[line(section, F.lit(f"{i:04d}"), F.lit(t) if isinstance(t, str) else t) for i, t in enumerate(items)])
+    either = lambda cond, section, some, none: F.when(cond, texts(section, some)).otherwise(texts(section, none) if none else F.array().cast("array<struct<section:int,sub:string,line:string>>"))
+    percent = lambda n: F.floor(n.cast("double") / c("files") * 100 + 0.5).cast("long")
+    lines = F.concat(
+        texts(0, [F.concat(F.lit("# As-Is System Analysis - "), c("project_name"))]),
+        texts(5, ["## Executive Summary", "### Key Findings"]),
+        texts(10, [fmt("- **Total Source Files:** %d", c("files")),
+                   fmt("- **Total Lines of Code:** %d", c("total_loc")),
+                   F.concat(F.lit("- **Source Language:** "), c("source_language")),
+                   F.concat(F.lit("- **Source Database:** "), c("source_database")),
+                   F.concat(F.lit("- **Complexity Assessment:** "), F.coalesce(fmt("%s difficulty (score: %d/100) - %s", c("difficulty"), c("overall"), c("description")), F.lit("")))]),
+        texts(15, ["## 1. Source Code Analysis", "#### File Inventory"]),
+        either(c("files") > 0, 20, ["| File Name | Type | LOC | Complexity | Priority |", "|-----------|------|-----|------------|----------|"],
+               ["*[No source files analyzed yet]*"]),
+        texts(21, [fmt("**Total Files:** %d", c("files")), fmt("**Total LOC:** %d", c("total_loc"))]),
+        either(F.size("types") > 0, 30, ["| File Type | Count | Percentage |", "|-----------|-------|------------|"], []),
+        F.transform("types", lambda t: line(30, F.concat(F.lit("1|"), t["type"]), fmt("| %s | %d | %d%% |", t["type"], t["count"], percent(t["count"])))),
+        texts(35, ["### 2.2 Program Dependencies", "#### Key Dependencies"]),
+        either(c("total_deps") == 0, 40, ["*[No critical dependencies identified yet]*"], []),
+        texts(45, ["## 3. Database Analysis", "### 3.1 Schema Overview"]),
+        texts(50, ["| Metric | Count |", "|--------|-------|"]),
+        texts(51, [fmt("| Total Tables | %d |", c("tables")), fmt("| Total Views | %d |", c("views")),
+                   fmt("| Total Indexes | %d |", c("indexes")), fmt("| Stored Procedures | %d |", c("stored_procedures")),
+                   fmt("| Triggers | %d |", c("triggers")), fmt("| Functions | %d |", c("functions"))]),
+        texts(55, ["## 4. Complexity & Quality Assessment", "### 4.2 High Complexity Modules"]),
+        either(c("high") > 0, 60, ["| Module | Complexity Score | Risk Level | Recommendation |", "|--------|------------------|------------|----------------|"],
+               ["*[No high-complexity modules identified]*"]),
+        texts(65, ["## 6. Risk Assessment", "### 6.1 Identified Risks"]),
+        either(F.size("risks") > 0, 70, ["| Risk ID | Category | Description | Severity | Impact | Mitigation |", "|---------|----------|-------------|----------|--------|------------|"],
+               ["*[Risk assessment to be completed]*"]),
+        F.transform("risks", lambda r: line(70, F.concat(F.lit("1|"), r["id"]), fmt("| R-%s | %s | %s | %s | %s | %s |", *[r[x] for x in ("id", "category", "description", "severity", "impact", "mitigation")]))))
     parts = [
-        _lines(p, doc, [
-            (0, [F.concat(F.lit("# As-Is System Analysis - "), c("project_name"))]),
-            (5, ["## Executive Summary", "### Key Findings"]),
-            (10, [fmt("- **Total Source Files:** %d", c("total_files")),
-                  fmt("- **Total Lines of Code:** %d", c("total_loc")),
-                  F.concat(F.lit("- **Source Language:** "), c("source_language")),
-                  F.concat(F.lit("- **Source Database:** "), c("source_database")),
-                  F.concat(F.lit("- **Complexity Assessment:** "), F.coalesce(c("summary"), F.lit("")))]),
-            (15, ["## 1. Source Code Analysis", "#### File Inventory"]),
-            (21, [fmt("**Total Files:** %d", c("total_files")), fmt("**Total LOC:** %d", c("total_loc"))]),
-            (35, ["### 2.2 Program Dependencies", "#### Key Dependencies"]),
-            (45, ["## 3. Database Analysis", "### 3.1 Schema Overview"]),
-            (50, ["| Metric | Count |", "|--------|-------|"]),
-            (51, [fmt("| Total Tables | %d |", c("tables")), fmt("| Total Views | %d |", c("views")),
-                  fmt("| Total Indexes | %d |", c("indexes")), fmt("| Stored Procedures | %d |", c("stored_procedures")),
-                  fmt("| Triggers | %d |", c("triggers")), fmt("| Functions | %d |", c("functions"))]),
-            (55, ["## 4. Complexity & Quality Assessment", "### 4.2 High Complexity Modules"]),
-            (65, ["## 6. Risk Assessment", "### 6.1 Identified Risks"]),
-        ]),
-        _fixed(inventory.select("project_id").distinct(), doc, 20, [
-            "| File Name | Type | LOC | Complexity | Priority |", "|-----------|------|-----|------------|----------|"]),
+        p.select("project_id", F.explode(lines).alias("x")).select("project_id", F.lit(doc).alias("doc"), "x.section", "x.sub", "x.line"),
         _rows(inventory, doc, 20, F.concat(F.lit("1|"), c("path")),
               fmt("| %s | %s | %d | %d | %s |", c("name"), c("type"), c("loc"), c("complexity"), c("priority"))),
-        _or_note(inventory, p, doc, 20, "*[No source files analyzed yet]*"),
-        _fixed(distribution.select("project_id").distinct(), doc, 30, [
-            "| File Type | Count | Percentage |", "|-----------|-------|------------|"]),
-        _rows(distribution, doc, 30, F.concat(F.lit("1|"), c("type")),
-              fmt("| %s | %d | %d%% |", c("type"), c("count"), c("percentage"))),
         _rows(dependencies, doc, 40, F.concat(F.lit("1|"), c("path")),
               fmt("- **%s** depends on: %s", c("source"), c("targets"))),
-        _or_note(dependencies, p, doc, 40, "*[No critical dependencies identified yet]*"),
-        _fixed(top10.select("project_id").distinct(), doc, 60, [
-            "| Module | Complexity Score | Risk Level | Recommendation |",
-            "|--------|------------------|------------|----------------|"]),
         _rows(top10, doc, 60, F.concat(F.lit("1|"), F.lpad(c("rank").cast("string"), 19, "0")),
               fmt("| %s | %d | %s | %s |", c("name"), c("score"), c("risk"), c("recommendation"))),
-        _or_note(top10, p, doc, 60, "*[No high-complexity modules identified]*"),
-        _fixed(risks.select("project_id").distinct(), doc, 70, [
-            "| Risk ID | Category | Description | Severity | Impact | Mitigation |",
-            "|---------|----------|-------------|----------|--------|------------|"]),
-        _rows(risks, doc, 70, F.concat(F.lit("1|"), c("id")),
-              fmt("| R-%s | %s | %s | %s | %s | %s |", c("id"), c("category"), c("description"), c("severity"),
-                  c("impact"), c("mitigation"))),
-        _or_note(risks, p, doc, 70, "*[Risk assessment to be completed]*"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+# The labels of the six dimensions.
 DIMENSION_LABELS = [("Schema & Data Type Complexity", "schema_score"),
                     ("SQL & Query Rewrite Complexity", "sql_score"),
                     ("Stored Procedures/Functions/Triggers", "proc_score"),

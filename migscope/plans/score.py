@@ -101,7 +101,7 @@ def cobol_file_scores(files: DataFrame) -> DataFrame:
 DETAIL_COLS = ["logic_details", "data_details", "risk_details"]
 
 
-def cobol_project_scores(projects: DataFrame, file_scores: DataFrame, with_details: bool = True) -> DataFrame:
+def cobol_project_scores(projects: DataFrame, file_scores: DataFrame, with_details: bool = True, with_types: bool = False) -> DataFrame:
     """K5 (+K9, M1): per project the rounded mean of each file dimension, then the
     weighted overall; files, total LOC and the distinct details in first-seen
     order (files by path).  Projects without programs score 0 / 'No files
@@ -111,7 +111,9 @@ def cobol_project_scores(projects: DataFrame, file_scores: DataFrame, with_detai
     detail string; a first hash aggregate on (project, kind, category, detail) --
     partially aggregated before the exchange -- keeps each detail's first
     position, a second one per project sums and orders.  No group grows with the
-    number of files beyond the distinct detail strings."""
+    number of files beyond the distinct detail strings.  ``with_types`` adds, in the same pass, the
+    files of each type (``types``: array of type and count) and the programs of complexity
+    over 20 (``high``)."""
     none_i = F.lit(None).cast("long")
 
     def fact(kind, cat, detail, pos, l, d, r, loc):
@@ -122,6 +124,8 @@ def cobol_project_scores(projects: DataFrame, file_scores: DataFrame, with_detai
                         loc.cast("long").alias("loc"))
     items = [F.array(fact("score", None, F.lit(None), F.lit(0), c("logic_score"), c("data_score"), c("risk_score"),
                           c("loc")))]
+    if with_types:
+        items.append(F.array(fact("type", None, c("type"), F.lit(0), (c("complexity") > 20).cast("long"), none_i, none_i, none_i)))
     if with_details:
         def detail_rows(col):
             return F.transform(col, lambda x, i: fact("detail", col, x, i, none_i, none_i, none_i, none_i))
@@ -140,6 +144,9 @@ def cobol_project_scores(projects: DataFrame, file_scores: DataFrame, with_detai
         for col in DETAIL_COLS:
             aggs.append(F.transform(F.array_sort(F.collect_list(F.when(c("cat") == col, F.struct(
                 c("at").alias("at"), c("detail").alias("v"))))), lambda s: s["v"]).alias(col))
+    if with_types:
+        aggs.append(F.array_sort(F.collect_list(F.when(k == "type", F.struct(c("detail").alias("type"), c("n").alias("count"))))).alias("types"))
+        aggs.append(F.sum(F.when(k == "type", c("l"))).alias("high"))
     agg = g.groupBy("project_id").agg(*aggs)
     p = projects.select("project_id").join(agg, "project_id", "left")
     overall = js_round(c("logic_score") * 0.35 + c("data_score") * 0.35 + c("risk_score") * 0.30)
@@ -153,6 +160,7 @@ def cobol_project_scores(projects: DataFrame, file_scores: DataFrame, with_detai
         F.coalesce(c("risk_score"), F.lit(0)).alias("risk_score"),
         F.when(has, overall).otherwise(F.lit(0)).alias("overall"),
         *[F.coalesce(c(x), F.array().cast("array<string>")).alias(x) for x in DETAIL_COLS if with_details],
+        *([F.coalesce(c("types"), F.array().cast("array<struct<type:string,count:bigint>>")).alias("types"), F.coalesce("high", F.lit(0)).alias("high")] if with_types else []),
     )
     return out.withColumn("difficulty", difficulty(c("overall"))).withColumn(
         "description", F.when(c("files") > 0, banded(c("overall"), COBOL_DESCRIPTIONS))
