@@ -2,38 +2,46 @@
 
 Lines without a word are kept and skipped in the counting.  Of every ``run`` consecutive
 lines the one with the least hash (the last of equals) is the fingerprint, so any repeated
-run of that many lines shares one.  Positions are joined on shared fingerprints; a match is
+run of that many lines shares one.  A line of ``LONG`` words or more is a run of its own, and so is a
+text with fewer counted lines than a run.  Positions are joined on shared fingerprints; a match is
 extended to the left and right over the windows that chose this fingerprint, each of
 which must agree with the first occurrence in all its lines.  Neighbouring windows of a document
 that also start earlier (smaller id, or the same document above) make up its repeated runs,
 whose lines are deleted.  Runs are judged on the input, and may overlap.
 
 Cases: a null text has no lines, an empty one a single empty line; a null id sorts last; rows
-that agree in id and text are one document and get the same result; an empty table gives
-no rows."""
+that agree in id and text are one document and get the same result; a very long text makes as many
+rows as it has lines, and its kept lines are put together in its own row; extra columns are not read;
+an empty table gives no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migscope.llm.text import id_back, keyed
+from migscope.llm.text import WORD, id_back, keyed
 
 RUN = 3
+#: Words from which a line is a run of its own.
+LONG = 50
 
 
-def windows(rows: DataFrame, run: int) -> DataFrame:
+def windows(rows: DataFrame, run: int, long: int = LONG) -> DataFrame:
     """(id, h, at, fp, mark, a, b, lines): a row a window; ``at`` is its first counted line, ``fp``
     the fingerprint at line ``mark``, ``a, b`` its content as 128 bits, ``lines`` the line
     numbers of its lines."""
-    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(i.alias("i"), F.xxhash64(x).alias("x"), F.xxhash64(F.lit("#"), x).alias("y"))))
-    lines = rows.select("id", "h", F.filter(numbered, lambda s: s.isNotNull()).alias("l")).where(F.size("l") >= run)
-    w = F.transform(F.sequence(F.lit(0), F.size("l") - run), lambda k: F.struct(
-        k.alias("at"), F.slice("l", k + 1, F.lit(run)).alias("w")))
-    w = lines.select("id", "h", F.explode(w).alias("w")).select("id", "h", F.col("w.at").alias("at"), F.col("w.w").alias("w"))
+    # So many words take 2 * long - 1 characters at least; most lines are told by their length.
+    wide = lambda x: (F.length(x) >= 2 * long - 1) & (F.regexp_count(x, F.lit(WORD)) >= long)
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(
+        i.alias("i"), F.xxhash64(x).alias("x"), F.xxhash64(F.lit("#"), x).alias("y"), wide(x).alias("wide"))))
+    lines = rows.select("id", "h", F.filter(numbered, lambda s: s.isNotNull()).alias("l")).where(F.size("l") > 0)
+    span = lambda at, n: F.struct(at.cast("int").alias("at"), F.slice("l", at.cast("int") + 1, n).alias("w"))
+    runs = F.transform(F.when(F.size("l") >= run, F.sequence(F.lit(0), F.size("l") - run)).otherwise(F.array(F.lit(0))), lambda k: span(k, F.lit(run)))
+    single = F.filter(F.transform("l", lambda s, k: F.when(s["wide"], span(k, F.lit(1)))), lambda s: s.isNotNull())
+    w = lines.select("id", "h", F.explode(F.concat(runs, single)).alias("w")).select("id", "h", F.col("w.at").alias("at"), F.col("w.w").alias("w"))
     least = F.array_min("w.x")
-    mark = F.col("at") + run - F.array_position(F.reverse(F.col("w.x")), least)
-    return w.select("id", "h", "at", least.alias("fp"), mark.alias("mark"), *[F.xxhash64(*[F.col("w")[k][c] for k in range(run)]).alias(n) for c, n in (("x", "a"), ("y", "b"))], F.col("w.i").alias("lines"))
+    mark = F.col("at") + F.size("w") - F.array_position(F.reverse(F.col("w.x")), least)
+    return w.select("id", "h", "at", least.alias("fp"), mark.alias("mark"), *[F.xxhash64(F.col(f"w.{c}")).alias(n) for c, n in (("x", "a"), ("y", "b"))], F.col("w.i").alias("lines"))
 
 
 def repeated(rows: DataFrame, run: int) -> DataFrame:
@@ -53,7 +61,7 @@ def dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str
     gone = repeated(rows, run).groupBy("id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("gone"))
     out = rows.join(gone, ["id", "h"], "left").select("id", "text", F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"))
     lines = F.coalesce(F.split("text", "\n", -1), F.expr("cast(array() as array<string>)"))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.element_at(lines, i + 1))
     return out.select(id_back("id", id_col), F.size(lines).cast("long").alias("n_lines"), F.col("gone").alias("removed_lines"), F.array_join(F.when(F.size("gone") == 0, lines).otherwise(kept), "\n").alias("kept_text"))
 
 
@@ -71,9 +79,12 @@ n AS (
 w AS (
   SELECT doc_id, pos, i AS x, lead(i, 1) OVER o AS y, lead(i, 2) OVER o AS z, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS content
   FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-r AS (
-  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS k FROM w WHERE content IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest([x, y, z]) AS i FROM r WHERE k > 1),
+v AS (
+  SELECT doc_id, pos, [x, y, z] AS lines, content FROM w WHERE content IS NOT NULL
+  UNION ALL SELECT doc_id, 1, list(i ORDER BY pos), string_agg(line, chr(10) ORDER BY pos) FROM n GROUP BY doc_id HAVING count(*) < 3
+  UNION ALL SELECT doc_id, pos, [i], line FROM n WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY content ORDER BY doc_id, pos) AS k FROM v),
+g AS (SELECT DISTINCT doc_id, unnest(lines) AS i FROM r WHERE k > 1),
 k AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS kept, count(*) AS n_lines, count(g.i) AS n_removed
   FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)

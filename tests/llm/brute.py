@@ -83,19 +83,20 @@ def benchmark_hits(docs, items, size):
     return out
 
 
-def later_lines(docs, run):
+def later_lines(docs, run, long=50):
+    """Runs of ``run`` counted lines, long lines and whole texts of fewer lines."""
     first = {}
     lines = {i: (t.split("\n") if t is not None else []) for i, t in docs}
-    counted = {i: [k for k, x in enumerate(ls) if WORD.search(x)] for i, ls in lines.items()}
+    spans = {}
     for i in sorted(lines):
-        at = counted[i]
-        for k in range(len(at) - run + 1):
-            first.setdefault(tuple(lines[i][j] for j in at[k:k + run]), (i, k))
+        at = [k for k, x in enumerate(lines[i]) if WORD.search(x)]
+        spans[i] = [(k, at[k:k + run]) for k in range(len(at) - run + 1)] or ([(0, at)] if at else [])
+        spans[i] += [(k, [j]) for k, j in enumerate(at) if len(WORD.findall(lines[i][j])) >= long]
+        for k, js in spans[i]:
+            content = tuple(lines[i][j] for j in js)
+            first[content] = min(first.get(content, (i, k)), (i, k))
     out = {}
     for i, ls in lines.items():
-        at, gone = counted[i], set()
-        for k in range(len(at) - run + 1):
-            if first[tuple(ls[j] for j in at[k:k + run])] < (i, k):
-                gone |= set(at[k:k + run])
+        gone = {j for k, js in spans[i] if first[tuple(ls[j] for j in js)] < (i, k) for j in js}
         out[i] = (len(ls), len(gone), sha("\n".join(x for k, x in enumerate(ls) if k not in gone)))
     return out
