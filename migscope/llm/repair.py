@@ -41,8 +41,6 @@ SHARD_IDS = 1 << 20
 MIN_COUNT = 32
 #: Pre-tokens whose ids a task remembers.
 PARTS = 300_000
-#: Rounds end when one shortens the shard by less than this part.
-GAIN = 0.01
 TABLE = "part int, shard int, base long, n_ids long, docs array<struct<id:long,start:long,n:long>>, payload binary"
 
 
@@ -223,17 +221,17 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, min_count: int =
     """(symbols, left, right): rule ``first + k`` stands for ``left[k] right[k]``.  Every round
     counts all adjacent pairs, turns the frequent ones into rules and replaces their occurrences
     from left to right.  Frequent begins at a 512th of the first round's most frequent pair and
-    falls by eight from round to round to ``min_count``; rounds end when no pair has that many
-    or one shortens the shard by less than ``GAIN``."""
+    falls by eight from round to round to ``min_count``; rounds end when no pair has that many.
+    Pairs are keyed by 32 bits while symbols have 16, by 64 beyond."""
     seq = ids.astype(np.uint32)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    n_rules, limit = 0, ((1 << 16) if first < 1 << 16 else (1 << 31)) - first
+    n_rules, limit = 0, (1 << 31) - first
     bits = 18
     least = None
     while len(seq) > 1 and n_rules < limit:
         a, b = seq[:-1], seq[1:]
-        key = (a << np.uint32(16)) ^ b if limit + first <= 1 << 16 else (a.astype(np.uint64) << np.uint64(32)) ^ b
+        key = (a << np.uint32(16)) ^ b if first + n_rules <= 1 << 16 else (a.astype(np.uint64) << np.uint64(32)) ^ b
         slot = (key * key.dtype.type(0x9E3779B1) >> key.dtype.type(14)).astype(np.int64) & ((1 << bits) - 1)
         counts = np.bincount(slot, minlength=1 << bits)
         if least is None:
@@ -271,9 +269,7 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, min_count: int =
         seq[hit] = found
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        before, seq = len(seq), seq[keep]
-        if least == min_count and before - len(seq) < GAIN * before:
-            break
+        seq = seq[keep]
         least = max(min_count, least // 8)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
     return seq, join(left), join(right)

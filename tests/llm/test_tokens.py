@@ -68,6 +68,20 @@ def test_wide_vocabulary():
     assert shard.all().tolist() == ids.tolist() and len(shard.left)
 
 
+def test_rules_go_on(monkeypatch):
+    """No frequent pair is left, and symbols pass 16 bits: 40 first symbols below the border."""
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 3000, 6) for _ in range(400)]
+    ids = np.concatenate([words[k] for k in rng.integers(0, 400, 9000)])
+    for first in ((1 << 16) - 40, 1 << 16, 5000):
+        seq, left, right = repair.compress(ids, first, end_id=-1, min_count=4)
+        assert len(left) > 400 and (first < 1 << 15 or first + len(left) > 1 << 16)
+        shard = repair.Shard(repair.pack(seq, left, right, first))
+        assert shard.all().tolist() == ids.tolist() and shard.ids(1000, 1100).tolist() == ids[1000:1100].tolist()
+        pairs, n = np.unique(np.stack([seq[:-1], seq[1:]]), axis=1, return_counts=True)
+        assert (n < 8).all()  # an overlapping run counts twice what it can give
+
+
 def test_token_files(spark, docs, docs_rows, tmp_path, monkeypatch):
     monkeypatch.setattr(repair, "SHARD_IDS", 500)
     path = str(tmp_path / "ids")
