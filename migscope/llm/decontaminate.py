@@ -6,8 +6,10 @@ rarest word alone.  Documents meet the windows at their prefix words only; the w
 in the window gives the one place where the window can begin (positional bound), it must
 lie inside the document (length bound), and its words are then compared one by one.
 
-The benchmark comes to the tasks in blocks of bounded size (``BLOCK`` bytes of text); one
-block is the usual case, more are passes over the documents whose hits are united.
+The benchmark comes to the tasks in blocks of bounded size (``BLOCK`` bytes of text): the block's
+words, and its windows indexed on the driver, as flat arrays of 32-bit numbers (a worker holds about 30
+bytes a byte of the block).  One block is the usual case, more are passes over the documents
+whose hits are united.
 
 Cases: null and empty texts have no words; an item without words or without an id has no
 window; repeated items count once; a null document id and repeated rows are kept as they
@@ -23,33 +25,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migscope.llm.text import LAST, column, id_back, keyed, pieces, without
+from migscope.llm.text import LAST, bounds, column, id_back, keyed, pieces, without
 from migscope.llm.toxicity import TABLE
 
 SIZE = 10
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Rows that one step of the verification looks at.
 STEP = 1 << 20
 
 
 class Windows:
-    """Distinct windows of the items of a block, and the items of each."""
+    """Distinct windows of the items of a block, and the items of each, as flat arrays of 32-bit numbers."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
         self.items = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.items)}
-        seen: dict[tuple[bytes, ...], set[int]] = {}
-        for i, text in items:
-            w = text.translate(TABLE).split()
-            for k in range(max(1, len(w) - size + 1) if w else 0):
-                seen.setdefault(tuple(w[k:k + size]), set()).add(number[i])
-        windows = sorted(seen)
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for x in windows for w in x}))}
-        self.length = np.array([len(x) for x in windows], np.int64)
-        self.words = np.full((len(windows), size), -2, np.int32)
-        for k, x in enumerate(windows):
-            self.words[k, :len(x)] = [self.vocabulary[w] for w in x]
-        self.of = [np.array(sorted(seen[x]), np.int64) for x in windows]
+        split = [(number[i], text.translate(TABLE).split()) for i, text in items]
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in split for w in words}))}
+        rows, owner = [np.zeros((0, size), np.int32)], [np.zeros(0, np.int64)]
+        for i, words in split:
+            ids = np.array([self.vocabulary[w] for w in words], np.int32)
+            if len(ids):
+                short = np.full((1, size), -2, np.int32)
+                short[0, :len(ids)] = ids[:size]
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, size) if len(ids) >= size else short)
+                owner.append(np.full(len(rows[-1]), i, np.int64))
+        every, owner = np.concatenate(rows), np.concatenate(owner)
+        key = np.ascontiguousarray(every).view(np.dtype((np.void, 4 * size))).ravel()
+        _, at, window = np.unique(key, return_index=True, return_inverse=True)
+        self.words = every[at]
+        self.length = (self.words != -2).sum(axis=1).astype(np.int32)
+        pair = np.unique(window * max(1, len(self.items)) + owner)
+        self.of_items = (pair % max(1, len(self.items))).astype(np.int32)
+        self.of_first = bounds(np.bincount(pair // max(1, len(self.items)), minlength=len(at))).astype(np.int32)
 
     @classmethod
     def again(cls, state: dict) -> Windows:
@@ -63,11 +71,13 @@ class Windows:
         rank = np.empty(len(frequency) + 2, np.int64)
         rank[np.lexsort((np.arange(len(frequency)), frequency))] = np.arange(len(frequency))
         rank[-2:] = LAST  # the filling of short windows
-        self.offset = rank[self.words].argmin(axis=1) if len(self.words) else np.zeros(0, np.int64)
-        prefix = self.words[np.arange(len(self.words)), self.offset] if len(self.words) else np.zeros(0, np.int32)
-        self.by_prefix = np.argsort(prefix, kind="stable")
-        self.count = np.bincount(prefix, minlength=len(frequency) + 1)
-        self.first = np.cumsum(self.count) - self.count
+        self.offset = np.zeros(len(self.words), np.int32)
+        for lo in range(0, len(self.words), 1 << 16):
+            self.offset[lo:lo + (1 << 16)] = rank[self.words[lo:lo + (1 << 16)]].argmin(axis=1)
+        prefix = self.words[np.arange(len(self.words)), self.offset]
+        self.by_prefix = np.argsort(prefix, kind="stable").astype(np.int32)
+        count = np.bincount(prefix, minlength=len(frequency) + 1)
+        self.count, self.first = count.astype(np.int32), (np.cumsum(count) - count).astype(np.int32)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(word ids of the texts one after another, -1 for unknown words and after each text; words of each text)."""
@@ -84,7 +94,7 @@ class Windows:
         known = np.flatnonzero(ids >= 0)
         at = known[self.count[ids[known]] > 0]
         each = self.count[ids[at]]
-        cut = np.searchsorted(np.cumsum(each), np.arange(STEP, int(each.sum()) + STEP, STEP))
+        cut = np.searchsorted(np.cumsum(each, dtype=np.int64), np.arange(STEP, int(each.sum()) + STEP, STEP))
         starts, windows = [], []
         for lo, hi in zip([0, *(cut + 1)], [*(cut + 1), len(at)], strict=True):
             here, n = at[lo:hi], each[lo:hi]
@@ -112,11 +122,11 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> It
         yield [(r["item"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
 
 
-def frequencies(docs: DataFrame, windows, size: int) -> np.ndarray:
+def frequencies(docs: DataFrame, vocabulary, size: int) -> np.ndarray:
     """Occurrences in all documents of the words that windows have."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Windows.again(windows.value)
+        own = Windows.again({"vocabulary": vocabulary.value})
         total = np.zeros(size, np.int64)
         for _, texts in pieces(batches, "text"):
             ids = own.ids(texts)[0]
@@ -138,12 +148,12 @@ def hits_of(rows: DataFrame, benchmark: DataFrame, size: int = SIZE, block: int
 
     def one(items: list[tuple[str, bytes]]) -> DataFrame:
         own = Windows(items, size)
-        shared = spark.sparkContext.broadcast(vars(own))
-        frequency = frequencies(rows, shared, len(own.vocabulary))
+        vocabulary = spark.sparkContext.broadcast(own.vocabulary)
+        own.order(frequencies(rows, vocabulary, len(own.vocabulary)))
+        arrays = spark.sparkContext.broadcast({k: v for k, v in vars(own).items() if k != "vocabulary"})
 
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w = Windows.again(shared.value)
-            w.order(frequency)
+            w = Windows.again(arrays.value | {"vocabulary": vocabulary.value})
             for batch, texts in pieces(batches, "text"):
                 ids, n = w.ids(texts)
                 begin = np.cumsum(n + 1) - (n + 1)
@@ -160,9 +170,10 @@ def hits_of(rows: DataFrame, benchmark: DataFrame, size: int = SIZE, block: int
                     spans[d].append({"first": a, "end": b})
                     total[d] += b - a
                 names: list[set[str]] = [set() for _ in texts]
-                pairs = np.unique((np.searchsorted(begin, start, "right") - 1) * len(w.of) + window) if len(start) else []
+                pairs = np.unique((np.searchsorted(begin, start, "right") - 1) * len(w.words) + window) if len(start) else []
                 for p in pairs:
-                    names[p // len(w.of)].update(w.items[i] for i in w.of[p % len(w.of)])
+                    k = p % len(w.words)
+                    names[p // len(w.words)].update(w.items[i] for i in w.of_items[w.of_first[k]:w.of_first[k + 1]])
                 yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "h"), pa.array(n), pa.array(total, pa.int64()), pa.array(spans, span),
                                                   pa.array([sorted(x) for x in names], pa.list_(pa.string()))], ["id", "h", "n_words", "n_hit", "spans", "items"])
 
