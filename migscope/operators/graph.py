@@ -81,10 +81,11 @@ def strong_components(edges: DataFrame, group: list[str]) -> DataFrame:
     return every.join(units, [*group, "colour"]).select(*group, "node", "unit")
 
 
-def levels(nodes: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
-    """(group, node, level) of an acyclic graph: 0 for a node that needs nothing, else one more than the
-    greatest level it needs.  A round takes the edges to the last level's nodes off; a node
-    whose last edge went follows.  Edges and frontier shrink from round to round."""
+def levels(nodes: DataFrame, edges: DataFrame, group: list[str], cycles: bool = False) -> DataFrame:
+    """(group, node, level): 0 for a node that needs nothing, else one more than the greatest level it
+    needs.  A round takes the edges to the last level's nodes off; a node whose last edge went follows.
+    Edges and frontier shrink from round to round.  Nodes in a cycle or in need of one have no
+    level: an error, or with ``cycles`` no row."""
     rest = materialize(edges)
     frontier = materialize(nodes.join(rest.select(*group, c("a").alias("node")).distinct(), [*group, "node"], "left_anti").select(*group, "node", F.lit(0).alias("level")))
     rounds = [frontier]
@@ -95,7 +96,9 @@ def levels(nodes: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
         held = after.select(*group, c("a").alias("node")).distinct()
         frontier = materialize(freed.join(held, [*group, "node"], "left_anti").select(*group, "node", F.lit(len(rounds)).alias("level")))
         if frontier.isEmpty():
-            raise ValueError("the graph has a cycle")
+            if not cycles:
+                raise ValueError("the graph has a cycle")
+            break
         rounds.append(frontier)
         rest = after
     return reduce(DataFrame.unionByName, rounds)

@@ -422,31 +422,19 @@ def oracle_to_postgres(columns: DataFrame, type_col: str = "data_type") -> DataF
 # ----------------------------------------------------------------- V15
 def load_order(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Level of every table in foreign-key order (parents first): level 0 has no
-    parent among the known tables; level n = 1 + max(parent levels).  Computed
-    level by level with joins until no table is new (each round adds a table or is
-    the last); each round is written once and never rewritten.  Tables in a cycle, or below
-    one, have no order: status ``cycle``, level NULL.
+    parent among the known tables; level n = 1 + max(parent levels), by ``graph.levels``.
+    Tables in a cycle, or below one, have no order: status ``cycle``, level NULL
+    (``graph.load_units`` orders these too).
 
     nodes: keys + table;  edges: keys + table (child) + parent."""
+    from migscope.operators.graph import levels
     from migscope.session import materialize
-    k = keys + ["table"]
-    e = edges.join(nodes.select(*keys, c("table").alias("parent")), keys + ["parent"], "left_semi") \
-        .where(c("table") != c("parent")).select(*k, "parent").distinct()
-    e = materialize(e)
-    npar = e.groupBy(*k).agg(F.count(F.lit(1)).alias("npar"))
-    todo = materialize(nodes.select(*k).distinct().join(npar, k, "left").fillna(0, ["npar"]))
-    rounds = [materialize(todo.where(c("npar") == 0).select(*k, F.lit(0).alias("level")))]
-    while not rounds[-1].isEmpty():
-        # A table follows in the round after its last parent: one of its parents is in the last round.
-        last = rounds[-1].select(*keys, c("table").alias("parent"))
-        levels = reduce(DataFrame.unionByName, rounds)
-        touched = e.join(last, keys + ["parent"], "left_semi").select(*k).distinct()
-        done = e.join(touched, k, "left_semi").join(levels.select(*keys, c("table").alias("parent")), keys + ["parent"], "left_semi") \
-            .groupBy(*k).agg(F.count(F.lit(1)).alias("done"))
-        new = todo.join(done, k).where(c("done") == c("npar")).select(*k, F.lit(len(rounds)).alias("level"))
-        rounds.append(materialize(new))
-    levels = reduce(DataFrame.unionByName, rounds)
-    return todo.select(*k).join(levels, k, "left").withColumn("status", F.when(c("level").isNull(), "cycle").otherwise("ordered"))
+    known = materialize(nodes.select(*keys, c("table").alias("node")).distinct())
+    e = edges.where(c("table") != c("parent")).select(*keys, c("table").alias("a"), c("parent").alias("b")).distinct()
+    e = e.join(known.withColumnRenamed("node", "b"), [*keys, "b"], "left_semi").join(known.withColumnRenamed("node", "a"), [*keys, "a"], "left_semi").select(*keys, "a", "b")
+    got = levels(known, e, keys, cycles=True)
+    return known.join(got, [*keys, "node"], "left").select(
+        *keys, c("node").alias("table"), "level", F.when(c("level").isNull(), "cycle").otherwise("ordered").alias("status"))
 
 
 # ----------------------------------------------------------------- V16
