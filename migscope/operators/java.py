@@ -34,6 +34,7 @@ TYPE_BY_ANNOTATION = [("Controller", r"(?i)@RestController|@Controller"), ("Serv
                       ("Mapper", r"(?i)@Mapper"), ("Config", r"(?i)@Configuration")]
 TYPE_BY_SUFFIX = [("Controller", ["Controller"]), ("Service", ["Service"]), ("Repository", ["Repository"]),
                   ("Entity", ["Entity", "Model"]), ("Mapper", ["Mapper"]), ("Config", ["Config"])]
+# Annotations and query patterns of the Java rules.
 JPA_ANNOTATIONS = ["@Query", "@NamedQuery", "@NamedQueries", "@Modifying", "@Transactional", "@PersistenceContext"]
 RE_ANNOTATION_QUERY = r'@Query\s*\(\s*value\s*=\s*"([^"]+)"|@Query\s*\(\s*"([^"]+)"'
 RE_LITERAL_QUERY = r'(?i)"((?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\s+[^"]{20,})"'

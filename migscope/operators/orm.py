@@ -12,6 +12,7 @@ from migscope.functions.text import basename, js_trim
 c = F.col
 KEYS = ["project_id", "path"]
 
+# Tags and patterns of the configuration rules.
 MYBATIS_TAGS = ["select", "insert", "update", "delete"]
 RE_JPA_NAMED = (r"(?i)<named-query[^>]*name=[\"']([^\"']+)[\"'][^>]*>\s*<query>\s*<!\[CDATA\[([\s\S]*?)\]\]>\s*</query>"
                 r"|<named-query[^>]*name=[\"']([^\"']+)[\"'][^>]*>\s*<query>([^<]+)</query>")
