@@ -38,7 +38,7 @@ ROWS, MINIMA = 6, 384
 #: Chance that a pair at the threshold is lost: by sharing no band at most the first half, by fewer equal
 #: minima than a likely pair has (exact binomial) at most the other half.
 MISS = 1e-9
-BLOCK, STAR = 256, 256
+BLOCK, STAR = 1024, 256
 #: Least shingle hashes by which blocks compare two sets (the whole set, if it has no more).
 SKETCH = 512
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
