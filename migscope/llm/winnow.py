@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migscope.llm.text import WORD, id_back, keyed
+from migscope.llm.text import id_back, keyed, stored
 
 RUN = 3
 #: Words from which a line is a run of its own.
@@ -30,8 +30,12 @@ def windows(rows: DataFrame, run: int, long: int = LONG) -> DataFrame:
     """(id, h, at, fp, mark, a, b, lines): a row a window; ``at`` is its first counted line, ``fp``
     the fingerprint at line ``mark``, ``a, b`` its content as 128 bits, ``lines`` the line
     numbers of its lines."""
-    # So many words take 2 * long - 1 characters at least; most lines are told by their length.
-    wide = lambda x: (F.length(x) >= 2 * long - 1) & (F.regexp_count(x, F.lit(WORD)) >= long)
+    # So many words take 2 * long - 1 bytes at least, and one space less than that unless a line has other white space.
+    # The pattern is anchored, never goes back and ends at the last of the words.
+    words = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{long - 1}}}[^\x20\x09-\x0D]"
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    odd = lambda x: x.contains("  ") | x.contains("\t") | x.contains("\r") | x.contains("\x0b") | x.contains("\x0c")
+    wide = lambda x: (F.octet_length(x) >= 2 * long - 1) & F.when(odd(x), x.rlike(words)).otherwise(spaces(F.trim(x)) >= long - 1)
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(
         i.alias("i"), F.xxhash64(x).alias("x"), F.xxhash64(F.lit("#"), x).alias("y"), wide(x).alias("wide"))))
     lines = rows.select("id", "h", F.filter(numbered, lambda s: s.isNotNull()).alias("l")).where(F.size("l") > 0)
@@ -46,7 +50,7 @@ def windows(rows: DataFrame, run: int, long: int = LONG) -> DataFrame:
 
 def repeated(rows: DataFrame, run: int) -> DataFrame:
     """(id, h, lines): the windows that also start earlier."""
-    w = windows(rows, run)
+    w = stored(windows(rows, run), "winnow-windows")
     place, mark = F.struct("id", "h", "at"), F.struct("id", "h", "mark")
     shared = w.groupBy("fp").agg(F.min(mark).alias("p"), F.max(mark).alias("q")).where("p < q").select(F.col("fp").alias("f"))
     met = w.join(shared, w.fp == shared.f).drop("f")
