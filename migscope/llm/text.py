@@ -33,8 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+#: Paths under the shared folder that this session made.
+WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def forget_stored(spark: SparkSession) -> None:
+    """Delete what ``stored`` and the token files of this session wrote, once their results are used up."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

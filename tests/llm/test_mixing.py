@@ -99,3 +99,16 @@ def test_decontamination_of_odd_rows(spark, docs, docs_rows, odd_docs, no_docs):
     assert decontaminate.find(no_docs, benchmark).collect() == []
     nothing = decontaminate.digest(decontaminate.find(odd_docs, benchmark.limit(0))).collect()
     assert len(nothing) == 8 and not any(r["contaminated"] for r in nothing)
+
+
+def test_stored_tables_are_deleted(spark, monkeypatch):
+    """Only what was written since: other tests still read theirs."""
+    import os
+
+    from migscope.llm import text
+    monkeypatch.setattr(text, "WRITTEN", [])
+    t = text.stored(spark.range(5), "some")
+    (path,) = text.WRITTEN
+    assert t.count() == 5 and os.path.isdir(path)
+    text.forget_stored(spark)
+    assert not os.path.exists(path) and text.WRITTEN == []
