@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from migscope.functions.text import js_trim
+from migscope.functions.text import col_, js_trim
 
 c = F.col
 KEYS = ["project_id", "path"]
@@ -30,7 +30,6 @@ NAME_PATTERNS = {
     "TRIGGER": r"(?i)CREATE\s+TRIGGER\s+(\S+)",
     "FUNCTION": r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?FUNCTION\s+([^\s(]+)",
 }
-RE_BODY = r"\(([\s\S]+)\)"
 RE_PK = r"(?i)PRIMARY\s+KEY\s*\(([^)]+)\)"
 RE_FK = r"(?i)CONSTRAINT\s+(\S+)\s+FOREIGN\s+KEY\s*\(([^)]+)\)\s+REFERENCES\s+([^\s(]+)\s*\(([^)]+)\)"
 RE_TYPE = r"(?i)^([A-Z0-9_]+)(?:\((\d+)(?:,(\d+))?\))?"
@@ -46,6 +45,15 @@ def name_list(x: Column) -> Column:
     return F.transform(F.split(x, ","), lambda e: unquote(js_trim(e)))
 
 
+def body(stmt: Column | str) -> Column:
+    """The text from the first '(' to the last ')', '' if there is none (``\\(([\\s\\S]+)\\)`` by searches
+    alone: that expression cost four fifths of the mining of a file's tables)."""
+    stmt = col_(stmt)
+    first = F.instr(stmt, "(")
+    last = F.length(stmt) - F.length(F.substring_index(stmt, ")", -1))
+    return F.when(first > 0, F.substring(stmt, first + 1, last - 1 - first)).otherwise("")
+
+
 def _kind(stmt: Column) -> Column:
     """The route of a statement by its prefix."""
     U = F.upper(stmt)
@@ -91,7 +99,7 @@ def _tables(statements: DataFrame) -> DataFrame:
     t = statements.where(c("kind") == "TABLE").select(
         *KEYS, "stmt_no",
         unquote(F.regexp_extract("stmt", NAME_PATTERNS["TABLE"], 1)).alias("table_name"),
-        F.regexp_extract("stmt", RE_BODY, 1).alias("body"))
+        body("stmt").alias("body"))
     return t.where((c("table_name") != "") & (c("body") != ""))
 
 
@@ -176,8 +184,7 @@ def ddl_file_totals(statements: DataFrame) -> DataFrame:
     name = F.lit(None).cast("string")
     for k, pat in NAME_PATTERNS.items():
         name = F.when(c("kind") == k, unquote(F.regexp_extract("stmt", pat, 1))).otherwise(name)
-    body = F.regexp_extract("stmt", RE_BODY, 1)
-    rows = statements.select(*KEYS, "kind", (F.coalesce(name, F.lit("")) != "").alias("named"), F.when(c("kind") == "TABLE", body).otherwise("").alias("body"))
+    rows = statements.select(*KEYS, "kind", (F.coalesce(name, F.lit("")) != "").alias("named"), F.when(c("kind") == "TABLE", body("stmt")).otherwise("").alias("body"))
     table = (c("kind") == "TABLE") & c("named") & (c("body") != "")
     columns = F.size(F.filter(F.transform(F.split("body", ","), js_trim), _is_column))
     count = {"tables": F.count_if(table), "columns": F.sum(F.when(table, columns).otherwise(0))}

@@ -114,3 +114,31 @@ def test_a_last_file_without_statements_replaces_the_others(spark):
     got = lambda **k: {r.project_id: (r.tables, r.columns) for r in D.ddl_totals(per_file, **k).collect()}
     assert got() == {"p0": (1, 2), "p1": (1, 1)}
     assert got(mode="last", files=files.select("project_id", "path")) == {"p0": (0, 0), "p1": (1, 1)}
+
+
+def optimized(df) -> str:
+    """The optimized plan, every field of it."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10000)
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_lists_are_mined_once_and_above_the_spread(spark):
+    """An inner generator made Catalyst test the list's size in the scan's tasks, below the spread."""
+    plan = optimized(G.pg_type_usage(files_df(spark, {"p0/a.sql": EMP}).repartition(3)))
+    above, below = plan.split("Repartition", 1)
+    assert above.count("(SMALL|BIG)?SERIAL") == 1 and "SERIAL" not in below and "Filter" not in below
+    empty = files_df(spark, {"p0/a.sql": "SELECT 1;", "p0/b.sql": ""})
+    assert G.pg_type_usage(empty).count() == G.pg_extensions(empty).count() == G.pg_functions(empty).count() == 0
+
+
+def test_body_is_the_greedy_match(spark):
+    """``body`` against the expression it stands for, on random texts."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("()a\n\u00e9,") for _ in range(rng.randint(0, 8))) for _ in range(1000)]
+    d = spark.createDataFrame([(t,) for t in texts], "stmt string")
+    got = d.select(D.body("stmt").alias("a"), F.regexp_extract("stmt", r"\(([\s\S]+)\)", 1).alias("b"))
+    assert got.where("a <> b").count() == 0 and got.where("a <> ''").count() > 50
