@@ -8,6 +8,8 @@ with the ``aggregate`` higher-order function over the file's lines (a fold with
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,9 +73,13 @@ EXTENSION_USAGE = [("PostGIS", r"(?i)PostGIS|ST_\w+|geography|geometry"),
                    ("uuid-ossp", r"(?i)uuid_generate|uuid-ossp"),
                    ("hstore", r"(?i)hstore"), ("ltree", r"(?i)ltree")]
 RE_JDBC = r"DriverManager\.getConnection|Connection\s+conn"
-# Combined form of QUERY_FEATURES: a query has PostgreSQL syntax iff it matches.
-RE_ANY_QUERY_FEATURE = "(?i)" + "|".join(p.replace("(?i)", "") for _, p in QUERY_FEATURES) + "|" + "|".join(
-    f.upper() for f in QUERY_FUNCTION_FAMILIES)
+# Combined form of QUERY_FEATURES, by what a match begins with: a query has PostgreSQL syntax iff it matches.
+_FEATURE_ALTERNATIVES = [a for _, p in QUERY_FEATURES for a in re.split(r"\|(?![^(]*\))", p.replace("(?i)", ""))]
+RE_ANY_QUERY_FEATURE = (r"(?i)\b(?:" + "|".join(a[2:] for a in _FEATURE_ALTERNATIVES if a.startswith(r"\b")) + ")|"
+                        + "|".join([a for a in _FEATURE_ALTERNATIVES if not a.startswith(r"\b")] + [f.upper() for f in QUERY_FUNCTION_FAMILIES]))
+# Substrings one of which every match of a feature contains (prefilter only).
+FEATURE_LITERALS = [["LIMIT", "OFFSET"], ["RETURNING"], ["CONFLICT"], ["ILIKE"], ["DISTINCT"], ["LOCKED"], ["BOOLEAN", "TRUE", "FALSE"], ["[", "]"], ["->"]]
+ANY_FEATURE_LITERALS = [x for lits in FEATURE_LITERALS for x in lits] + [f.upper() for f in QUERY_FUNCTION_FAMILIES]
 
 
 def flags(text: Column, rules: list[tuple[str, str]], upper_text: Column | None = None,
@@ -89,30 +95,33 @@ def flags(text: Column, rules: list[tuple[str, str]], upper_text: Column | None
 # A line counts when, after JS whitespace, it has a character, does not start
 # with // and contains no */ (the rule for files without any /*).  (?d): only \n
 # ends a line, as in split('\n').
+# Blanks and printable ASCII are tried before the long classes.
 _WS_NO_NL = "".join(ch for ch in JS_WS if ch != "\n")
 _WS_CLASS = "[" + "".join(f"\\u{ord(ch):04X}" for ch in _WS_NO_NL) + "]"
 _WS_NEG = "[^\\n" + "".join(f"\\u{ord(ch):04X}" for ch in _WS_NO_NL) + "]"
-RE_CODE_LINE = "(?md)^(?![^\\n]*\\*/)" + _WS_CLASS + "*(?!//)" + _WS_NEG
+_CODE = "[ \\t]*+(?!//)(?:[!-~]|" + _WS_CLASS + "*+(?!//)" + _WS_NEG + ")"
+RE_CODE_LINE = "(?md)^(?![^\\n]*\\*/)" + _CODE
+# The same for a text without any */.
+RE_OPEN_LINE = "(?md)^" + _CODE
 
 
 def java_loc(content: Column) -> Column:
     """J2.  Files without '/*' never enter a block comment: their LOC is one regex
     count.  Otherwise a left fold over the lines with state (in_block, count)."""
-    return F.when(content.contains("/*"), _java_loc_fold(content)).otherwise(
-        F.regexp_count(content, F.lit(RE_CODE_LINE)))
+    return F.when(content.contains("/*"), _java_loc_fold(content)).when(
+        content.contains("*/"), F.regexp_count(content, F.lit(RE_CODE_LINE))).otherwise(F.regexp_count(content, F.lit(RE_OPEN_LINE)))
 
 
 def _java_loc_fold(content: Column) -> Column:
-    """J2 as a left fold over the lines: state (in_block, count)."""
-    def step(acc, line):
-        t = js_trim(line)
+    """J2 as a left fold over the lines, trimmed once each: state (in_block, count)."""
+    def step(acc, t):
         opens, closes = t.contains("/*"), t.contains("*/")
         inb = acc["inb"] | opens
         counted = ~closes & ~inb & (t != "") & ~t.startswith("//")
         return F.struct(F.when(closes, F.lit(False)).otherwise(inb).alias("inb"),
                         (acc["n"] + F.when(counted, 1).otherwise(0)).alias("n"))
     init = F.struct(F.lit(False).alias("inb"), F.lit(0).alias("n"))
-    return F.aggregate(F.split(content, "\n"), init, step, lambda acc: acc["n"])
+    return F.aggregate(F.transform(F.split(content, "\n"), js_trim), init, step, lambda acc: acc["n"])
 
 
 def orm_framework(content: Column, U: Column | None = None) -> Column:
@@ -143,19 +152,29 @@ def _fn_literal(p: str) -> str:
     return p.replace("\\b", "").split("\\")[0].upper()
 
 
+def at_word(word: str) -> str:
+    """``word`` at a word's begin.  The same matches as of ``\\b`` before it, but the literal is tried first: a
+    boundary costs several times as much at each position."""
+    return rf"(?i){word}(?<=\b{word})"
+
+
 def pg_functions_used(content: Column, U: Column | None = None) -> Column:
     """Distinct function names by exact spelling, pattern order then text order.
     Each pattern runs only on files containing its literal name."""
     U = F.upper(content) if U is None else U
     empty = F.array().cast("array<string>")
     allm = F.flatten(F.array(*[
-        F.when(U.contains(_fn_literal(p)), F.regexp_extract_all(content, F.lit("(?i)" + p), 0)).otherwise(empty)
+        F.when(U.contains(_fn_literal(p)), F.regexp_extract_all(content, F.lit(at_word(_fn_literal(p)) + p[2 + len(_fn_literal(p)):]), 0)).otherwise(empty)
         for p in PG_FUNCTION_PATTERNS]))
     return F.array_distinct(F.transform(allm, lambda m: js_trim(F.regexp_replace(m, r"\s*\(", ""))))
 
 
-def _has_pg(q: Column) -> Column:
-    return q.rlike(RE_ANY_QUERY_FEATURE)
+def _group(match: Column, pattern: str, groups: list[int]) -> Column:
+    """The first group that is not empty, read from the match's own text (the patterns look at nothing outside it)."""
+    text = F.regexp_extract(match, pattern, groups[-1])
+    for g in reversed(groups[:-1]):
+        text = F.coalesce(F.nullif(F.regexp_extract(match, pattern, g), F.lit("")), text)
+    return text
 
 
 def _query_array(content: Column, U: Column) -> Column:
@@ -163,15 +182,13 @@ def _query_array(content: Column, U: Column) -> Column:
     flags, computed once per file: array<struct<q, pg, lo, ret>>."""
     empty = F.array().cast("array<string>")
     has_ann = U.contains("@QUERY")
-    a1 = F.regexp_extract_all(content, F.lit(RE_ANNOTATION_QUERY), 1)
-    a2 = F.regexp_extract_all(content, F.lit(RE_ANNOTATION_QUERY), 2)
-    ann = F.when(has_ann, F.zip_with(a1, a2, lambda x, y: F.when(x != "", x).otherwise(y))).otherwise(empty)
+    ann = F.when(has_ann, F.transform(F.regexp_extract_all(content, F.lit(RE_ANNOTATION_QUERY), 0), lambda m: _group(m, RE_ANNOTATION_QUERY, [1, 2]))).otherwise(empty)
     has_lit = has_any(U, ['"' + k for k in ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP"]])
     lit = F.when(has_lit, F.regexp_extract_all(content, F.lit(RE_LITERAL_QUERY), 1)).otherwise(empty)
-    tag = lambda q, is_ann: F.struct(
-        F.lit(is_ann).alias("ann"), q.rlike(RE_ANY_QUERY_FEATURE).alias("pg"),
-        q.rlike("(?i)LIMIT|OFFSET").alias("lo"), q.rlike("(?i)RETURNING").alias("ret"))
-    return F.concat(F.transform(ann, lambda q: tag(q, True)), F.transform(lit, lambda q: tag(q, False)))
+    texts = lambda found, is_ann: F.transform(found, lambda q: F.struct(F.lit(is_ann).alias("ann"), q.alias("q"), F.upper(q).alias("u")))
+    return F.transform(F.concat(texts(ann, True), texts(lit, False)), lambda x: F.struct(
+        x["ann"].alias("ann"), (has_any(x["u"], ANY_FEATURE_LITERALS) & x["q"].rlike(RE_ANY_QUERY_FEATURE)).alias("pg"),
+        guarded_rlike(x["q"], x["u"], "(?i)LIMIT|OFFSET", ["LIMIT", "OFFSET"]).alias("lo"), guarded_rlike(x["q"], x["u"], "(?i)RETURNING", ["RETURNING"]).alias("ret")))
 
 
 def _query_facts(qa: Column) -> list[Column]:
@@ -203,7 +220,7 @@ def java_files(src_files: DataFrame) -> DataFrame:
         F.filter(F.array(*[F.when(content.contains(a), F.lit(a)) for a in JPA_ANNOTATIONS]),
                  lambda x: x.isNotNull()).alias("jpa_annotations"),
         pg_functions_used(content, U).alias("pg_functions"),
-        flags(content, [(w, rf"(?i)\b{w}\b") for w in PG_TYPE_WORDS], U, [[w] for w in PG_TYPE_WORDS])
+        flags(content, [(w, at_word(w) + r"\b") for w in PG_TYPE_WORDS], U, [[w] for w in PG_TYPE_WORDS])
         .alias("pg_data_types"),
         flags(content, PG_OPERATORS, U, [["@>"], ["<@"], ["->"], ["->>"], ["@@"], ["~"], ["~*"], ["||"]])
         .alias("pg_operators"),
@@ -223,10 +240,9 @@ def java_files(src_files: DataFrame) -> DataFrame:
                         | (F.size("pg_data_types") > 0))
 
 
-def query_features(q: Column) -> Column:
-    """Ordered feature list of one query text."""
-    U = F.upper(q)
-    items = [F.when(q.rlike(p), F.lit(lbl)) for lbl, p in QUERY_FEATURES]
+def query_features(q: Column, U: Column) -> Column:
+    """Ordered feature list of one query text (``U``: in upper case)."""
+    items = [F.when(guarded_rlike(q, U, p, lits), F.lit(lbl)) for (lbl, p), lits in zip(QUERY_FEATURES, FEATURE_LITERALS)]
     items += [F.when(U.contains(f.upper()), F.lit(f"{f}() function")) for f in QUERY_FUNCTION_FAMILIES]
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
@@ -235,18 +251,16 @@ def _newlines(x: Column) -> Column:
     return F.length(x) - F.length(F.regexp_replace(x, "\n", ""))
 
 
-def _matches(pattern: str, groups: tuple[int, int], kind: str, literals: list[str]) -> Column:
+def _matches(pattern: str, groups: list[int], kind: str, literals: list[str]) -> Column:
     """Every match of ``pattern`` in ``content`` as (kind, i, newlines of the text before it since
-    the match before, newlines inside it, two groups).  A content without one of the
-    ``literals`` that every match contains is skipped before any regex runs.  ``split`` by
+    the match before, newlines inside it, its first group that is not empty).  A content without one
+    of the ``literals`` that every match contains is skipped before any regex runs.  ``split`` by
     the pattern gives the text between matches (one piece more than there are matches)."""
-    found = lambda g: F.regexp_extract_all("content", F.lit(pattern), g)
-    z = F.arrays_zip(F.transform(F.split("content", pattern, -1), _newlines).alias("p"), F.transform(found(0), _newlines).alias("m"),
-                     found(groups[0]).alias("g1"), found(groups[1]).alias("g2"))
-    rows = F.transform(F.filter(z, lambda x: x["m"].isNotNull()), lambda x, i: F.struct(
-        F.lit(kind).alias("type"), i.alias("i"), x["p"].alias("p"), x["m"].alias("m"), x["g1"].alias("g1"), x["g2"].alias("g2")))
-    return F.when(has_any(F.upper("content"), literals), rows).otherwise(
-        F.expr("cast(array() as array<struct<type:string,i:int,p:int,m:int,g1:string,g2:string>>)"))
+    def row(x: Column, i: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), i.alias("i"), _newlines(x["p"]).alias("p"), _newlines(x["m"]).alias("m"), _group(x["m"], pattern, groups).alias("query"))
+    z = F.arrays_zip(F.split("content", pattern, -1).alias("p"), F.regexp_extract_all("content", F.lit(pattern), 0).alias("m"))
+    return F.when(has_any(c("U"), literals), F.transform(F.filter(z, lambda x: x["m"].isNotNull()), row)).otherwise(
+        F.expr("cast(array() as array<struct<type:string,i:int,p:int,m:int,query:string>>)"))
 
 
 def java_queries(src_files: DataFrame) -> DataFrame:
@@ -255,15 +269,15 @@ def java_queries(src_files: DataFrame) -> DataFrame:
 
     Both patterns are found in one projection over the content and exploded once; a match's line is
     the running sum of the newlines before it, in one window per file."""
-    found = src_files.select(*KEYS, F.explode(F.concat(
-        _matches(RE_ANNOTATION_QUERY, (1, 2), "annotation", ["@QUERY"]),
-        _matches(RE_LITERAL_QUERY, (1, 1), "string_literal", ['"' + k for k in ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP"]]))).alias("q"))
+    # An outer generator: for an inner one Catalyst tests the array's size, and so mines, below the spread of the keys.
+    found = src_files.select(*KEYS, "content", F.upper("content").alias("U")).select(*KEYS, F.explode_outer(F.concat(
+        _matches(RE_ANNOTATION_QUERY, [1, 2], "annotation", ["@QUERY"]),
+        _matches(RE_LITERAL_QUERY, [1], "string_literal", ['"' + k for k in ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP"]]))).alias("q"))
     w = Window.partitionBy(*KEYS, "type").orderBy("i")
     before = F.sum("p").over(w) + F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    q = found.select(*KEYS, "q.*").select(
-        *KEYS, c("i").cast("long").alias("ord"), (before + 1).cast("long").alias("line"),
-        F.when((c("type") == "string_literal") | (c("g1") != ""), c("g1")).otherwise(c("g2")).alias("query"), "type")
-    q = q.withColumn("features", query_features(c("query")))
+    q = found.where("q is not null").select(*KEYS, "q.*").select(
+        *KEYS, c("i").cast("long").alias("ord"), (before + 1).cast("long").alias("line"), "query", "type")
+    q = q.withColumn("U", F.upper("query")).withColumn("features", query_features(c("query"), c("U"))).drop("U")
     q = q.withColumn("has_pg_syntax", F.size("features") > 0)
     return q.where((c("type") == "annotation") | c("has_pg_syntax"))
 

@@ -1,13 +1,13 @@
 """ORM configuration mining (MyBatis mappers, JPA orm.xml, Hibernate mappings;
 YAML and anything else is Unknown).  Extraction is ``regexp_extract_all`` per
-capture group + ``arrays_zip`` + explode: one generator step per file."""
+match: one generator step per file."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from migscope.functions.text import basename, js_trim
+from migscope.functions.text import basename, guarded_rlike, js_trim
 
 c = F.col
 KEYS = ["project_id", "path"]
@@ -58,12 +58,13 @@ def _nonnull(items: list[Column]) -> Column:
     return F.filter(F.array(*items), lambda v: v.isNotNull())
 
 
-def sql_features(sql: Column) -> dict[str, Column]:
-    """Ordered features plus the function, type and syntax sub-lists."""
-    syn = [(s, f, sql.rlike(p)) for s, f, p in SYNTAX_RULES]
-    fun = [(n, f"{n}() function", sql.rlike(rf"(?i)\b{n}")) for n in FUNCTION_NAMES]
-    typ = [(t, f"{t} data type", sql.rlike(rf"(?i)\b{t}\b")) for t in TYPE_NAMES]
-    ops = [(s, f, sql.rlike(p)) for s, f, p in OPERATOR_RULES]
+def sql_features(sql: Column, U: Column) -> dict[str, Column]:
+    """Ordered features plus the function, type and syntax sub-lists (``U``: the text in upper
+    case; an expression runs only where its literal is)."""
+    syn = [(s, f, guarded_rlike(sql, U, p, [s.split()[-1] if s != "DISTINCT ON" else "DISTINCT"])) for s, f, p in SYNTAX_RULES]
+    fun = [(n, f"{n}() function", guarded_rlike(sql, U, rf"(?i)\b{n}", [n])) for n in FUNCTION_NAMES]
+    typ = [(t, f"{t} data type", guarded_rlike(sql, U, rf"(?i)\b{t}\b", [t])) for t in TYPE_NAMES]
+    ops = [(s, f, sql.contains(p)) for s, f, p in OPERATOR_RULES]
     return dict(
         features=_nonnull([F.when(h, F.lit(f)) for _, f, h in syn + fun + typ + ops]),
         functions=_nonnull([F.when(h, F.lit(n)) for n, _, h in fun]),
@@ -71,60 +72,50 @@ def sql_features(sql: Column) -> dict[str, Column]:
         syntax=_nonnull([F.when(h, F.lit(n)) for n, _, h in syn + ops]))
 
 
-def _zip_rows(files: DataFrame, pattern: str, names: dict[str, int], tag_ord: int) -> DataFrame:
-    arrs = [F.regexp_extract_all("content", F.lit(pattern), g).alias(n) for n, g in names.items()]
-    z = files.select(*KEYS, "kind", *arrs).select(
-        *KEYS, "kind", F.posexplode(F.arrays_zip(*names.keys())).alias("ord", "m"))
-    return z.select(*KEYS, "kind", F.lit(tag_ord).alias("tag_ord"), c("ord").cast("long").alias("ord"),
-                    *[c("m")[n].alias(n) for n in names])
+def _statements(content: Column, kind: Column) -> Column:
+    """The statements of a file (MyBatis: tag order, then text order) as array of structs."""
+    def found(pattern: str, tag: str, tag_ord: int, ids: list[int], raws: list[int]) -> Column:
+        group = lambda m, gs: F.regexp_extract(m, pattern, gs[0]) if len(gs) == 1 else F.when(
+            F.regexp_extract(m, pattern, gs[0]) != "", F.regexp_extract(m, pattern, gs[0])).otherwise(F.regexp_extract(m, pattern, gs[1]))
+        return F.transform(F.regexp_extract_all(content, F.lit(pattern), 0), lambda m, i: F.struct(
+            F.lit(tag_ord).alias("tag_ord"), i.cast("long").alias("ord"), group(m, ids).alias("id"), group(m, raws).alias("raw"), F.lit(tag).alias("type")))
+    mybatis = [found(rf"(?i)<{tag}[^>]*id=[\"']([^\"']+)[\"'][^>]*>([\s\S]*?)</{tag}>", tag, i, [1], [2]) for i, tag in enumerate(MYBATIS_TAGS)]
+    return F.when(kind == "MyBatis", F.concat(*mybatis)).when(kind == "JPA", found(RE_JPA_NAMED, "select", 0, [1, 3], [2, 4])) \
+        .when(kind == "Hibernate", found(RE_HIBERNATE, "select", 0, [1, 3], [2, 4]))
 
 
 def orm_queries(src_files: DataFrame) -> DataFrame:
     """One row per extracted statement (MyBatis: tag order, then text order)."""
     f = src_files.select(*KEYS, "content", orm_kind(c("content"), c("path")).alias("kind"))
-    parts = []
-    for i, tag in enumerate(MYBATIS_TAGS):
-        pat = rf"(?i)<{tag}[^>]*id=[\"']([^\"']+)[\"'][^>]*>([\s\S]*?)</{tag}>"
-        r = _zip_rows(f.where(c("kind") == "MyBatis"), pat, {"id": 1, "raw": 2}, i)
-        parts.append(r.withColumn("type", F.lit(tag)))
-    for kind, pat in (("JPA", RE_JPA_NAMED), ("Hibernate", RE_HIBERNATE)):
-        r = _zip_rows(f.where(c("kind") == kind), pat, {"a": 1, "b": 2, "c": 3, "d": 4}, 0)
-        parts.append(r.select(*KEYS, "kind", "tag_ord", "ord",
-                              F.when(c("a") != "", c("a")).otherwise(c("c")).alias("id"),
-                              F.when(c("b") != "", c("b")).otherwise(c("d")).alias("raw"),
-                              F.lit("select").alias("type")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    q = u.withColumn("sql", clean_sql(c("raw")))
-    feats = sql_features(c("sql"))
-    return q.select(*KEYS, "kind", "tag_ord", "ord", "id", "type", "sql",
-                    *[v.alias(k) for k, v in feats.items()]) \
+    # an outer generator: for an inner one Catalyst tests the array's size, and so mines, below the spread of the keys
+    q = f.select(*KEYS, "kind", F.explode_outer(_statements(c("content"), c("kind"))).alias("q")).where("q is not null").select(*KEYS, "kind", "q.*")
+    q = q.select(*KEYS, "kind", "tag_ord", "ord", "id", "type", clean_sql(c("raw")).alias("sql"))
+    feats = sql_features(c("sql"), c("U"))
+    return q.withColumn("U", F.upper("sql")).select(*KEYS, "kind", "tag_ord", "ord", "id", "type", "sql",
+                                                    *[v.alias(k) for k, v in feats.items()]) \
         .withColumn("has_pg_features", F.size("features") > 0)
 
 
-def _ordered_union(queries: DataFrame, col: str) -> DataFrame:
-    """Distinct items of ``col`` over a file's statements, first-seen order."""
-    e = queries.select(*KEYS, "tag_ord", "ord", F.posexplode(col).alias("j", "v"))
-    first = e.groupBy(*KEYS, "v").agg(F.min(F.struct("tag_ord", "ord", "j")).alias("at"))
-    return first.groupBy(*KEYS).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias(col))
-
-
 def orm_files(src_files: DataFrame) -> DataFrame:
     """One row per configuration file."""
     f = src_files.select(*KEYS, "content", orm_kind(c("content"), c("path")).alias("kind"))
     my = c("kind") == "MyBatis"
     base = f.select(
-        *KEYS, basename("path").alias("file_name"), "kind",
+        *KEYS, "content", basename("path").alias("file_name"), "kind",
         F.when(my, F.regexp_count("content", F.lit(RE_RESULT_MAP))).otherwise(0).cast("long").alias("result_maps"),
         F.when(my, F.regexp_count("content", F.lit(RE_DYNAMIC))).otherwise(0).cast("long").alias("dynamic_sql"),
         F.when(my, F.array_distinct(F.regexp_extract_all("content", F.lit(RE_TYPE_HANDLER), 1)))
         .otherwise(F.array().cast("array<string>")).alias("type_handlers"))
-    q = orm_queries(src_files)
-    n = q.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("native_queries"))
-    out = base.join(n, KEYS, "left").withColumn("native_queries", F.coalesce(c("native_queries"), F.lit(0)).cast("long"))
+    # The distinct labels over the file's statements, first-seen order; a file is mined once, without a shuffle.
+    texts = F.transform(_statements(c("content"), c("kind")), lambda s: clean_sql(s["raw"]))
+    parts = ("functions", "data_types", "syntax")
+
+    def labels(s: Column) -> Column:
+        feats = sql_features(s["sql"], s["U"])
+        return F.struct(*[feats[x].alias(x) for x in parts])
+    out = base.select("*", texts.alias("texts"))
+    out = out.select("*", F.coalesce(F.size("texts"), F.lit(0)).cast("long").alias("native_queries"),
+                     F.transform(F.transform("texts", lambda x: F.struct(x.alias("sql"), F.upper(x).alias("U"))), labels).alias("labels"))
     empty = F.array().cast("array<string>")
-    for col in ("functions", "data_types", "syntax"):
-        out = out.join(_ordered_union(q, col), KEYS, "left").withColumn(col, F.coalesce(c(col), empty))
-    return out
+    union = lambda x: F.coalesce(F.array_distinct(F.flatten(F.transform("labels", lambda s: s[x]))), empty).alias(x)
+    return out.select(*[x for x in base.columns if x != "content"], "native_queries", *[union(x) for x in parts])

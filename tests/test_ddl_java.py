@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from migscope.operators import ddl as D
 from migscope.operators import java as J
+from migscope.operators import orm as O
 from migscope.operators import pgfeat as G
+from migscope.plans import pgscore as PG
 
 EMP = """-- employee table
 CREATE TABLE EMP (
@@ -142,3 +144,29 @@ def test_body_is_the_greedy_match(spark):
     d = spark.createDataFrame([(t,) for t in texts], "stmt string")
     got = d.select(D.body("stmt").alias("a"), F.regexp_extract("stmt", r"\(([\s\S]+)\)", 1).alias("b"))
     assert got.where("a <> b").count() == 0 and got.where("a <> ''").count() > 50
+
+
+def test_java_queries_are_mined_above_the_spread(spark):
+    plan = optimized(J.java_queries(files_df(spark, {"p0/A.java": 'String s = "SELECT 1";'}).repartition(3)))
+    assert "@Query" not in plan.split("Repartition", 1)[1]
+    scores = optimized(PG.java_project_facts(J.java_files(files_df(spark, {"p0/A.java": ""}).repartition(3))))
+    assert "@Repository" not in scores.split("Repartition", 1)[1]
+
+
+def test_orm_files_take_one_pass(spark):
+    """Four minings and three joins before."""
+    text = '<mapper><select id="a">SELECT unnest(x), doc->>1 FROM t LIMIT 5</select><delete id="b">DELETE FROM t RETURNING id LIMIT 1</delete></mapper>'
+    f = O.orm_files(files_df(spark, {"p0/m.xml": text, "p0/n.xml": "<mapper/>", "p0/a.yml": text}))
+    plan = optimized(f)
+    assert "Join" not in plan and "Aggregate" not in plan
+    got = {r.file_name: (r.native_queries, r.functions, r.syntax) for r in f.collect()}
+    assert got == {"m.xml": (2, ["unnest"], ["LIMIT", "->", "->>", "RETURNING"]), "n.xml": (0, [], []), "a.yml": (0, [], [])}
+
+
+def test_word_patterns_match_as_with_a_boundary_first(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["json", "JSONB", "_", " ", "x", "Json", "é", "("]) for _ in range(6)) for _ in range(500)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for w in ("JSON", "JSONB"):
+        assert d.where(F.col("t").rlike(J.at_word(w) + r"\b") != F.col("t").rlike(rf"(?i)\b{w}\b")).count() == 0
+    assert d.where(F.regexp_extract_all("t", F.lit(J.at_word("JSON") + r"\s*\("), 0) != F.regexp_extract_all("t", F.lit(r"(?i)\bJSON\s*\("), 0)).count() == 0
