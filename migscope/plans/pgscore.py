@@ -106,7 +106,7 @@ def ddl_project_facts(features: DataFrame) -> DataFrame:
         F.transform("types", lambda t: fact("type", t["type"], t["count"], [t["seen"]["o1"], t["seen"]["o2"], t["seen"]["o3"]], none)),
         F.transform("indexes", lambda x: fact("index", x["type"], x["count"], [x["first_ord"], zero, zero], none)),
         F.transform("extensions", lambda x, i: fact("extension", x, F.lit(1), [i, zero, zero], none)))
-    rows = features.select("project_id", F.explode(facts).alias("f")).select("project_id", "f.*")
+    rows = features.select("project_id", F.explode_outer(facts).alias("f")).select("project_id", "f.*")
     g = rows.groupBy("project_id", "kind", "item").agg(F.sum("n").alias("n"), F.min("at").alias("at"), *[F.sum(f"s.{n}").alias(n) for n in DDL_SUMS])
     is_ = lambda kind: c("kind") == kind
     ordered = lambda cond, value: F.transform(
@@ -154,7 +154,8 @@ def java_project_facts(java_files: DataFrame) -> DataFrame:
         F.array(fact("file", F.lit(None), F.lit(0), scal), fact("orm", c("orm_framework"), F.lit(0), none_s)),
         F.transform("pg_functions", lambda x, k: fact("fn", x, k, none_s)),
         F.transform("pg_operators", lambda x, k: fact("op", x, k, none_s)))
-    ex = java_files.select("project_id", F.explode(facts).alias("f")).select("project_id", "f.*")
+    # ``facts`` is never empty; an inner generator would have Catalyst test that, and so mine, below the spread of the keys
+    ex = java_files.select("project_id", F.explode_outer(facts).alias("f")).select("project_id", "f.*")
     g = ex.groupBy("project_id", "kind", "item").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("at"),
         *[F.sum(f"s.{x}").alias(x) for x in JAVA_SUMS])
