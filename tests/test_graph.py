@@ -86,3 +86,12 @@ def test_rollup_of_null_groups(spark):
     got = {(r.project_id, r.type, r.grouping): (r["count"], r.loc, r.percentage) for r in M.portfolio_rollup(spark.createDataFrame(rows, "project_id string, type string, loc long")).collect()}
     assert got == {("p", "x", 0): (2, 3, 67), ("p", None, 0): (1, 4, 33), (None, "x", 0): (1, 8, 50), (None, None, 0): (1, 16, 50),
                    ("p", None, 1): (3, 7, 60), (None, None, 1): (2, 24, 40), (None, None, 3): (5, 31, 100)}
+
+
+def test_no_join_passes_the_driver(spark):
+    """Broadcast sides of all rounds were the most of what the driver received."""
+    tables = spark.createDataFrame([("g", x) for x in "abc"], "project_id string, `table` string")
+    keys = spark.createDataFrame([("g", "a", "b"), ("g", "b", "a"), ("g", "c", "a")], "project_id string, `table` string, parent string")
+    units = GR.load_units(tables, keys, ["project_id"])
+    assert "Broadcast" not in units._jdf.queryExecution().executedPlan().toString()
+    assert {(r.table, r.unit, r.level) for r in units.collect()} == {("a", "a", 0), ("b", "a", 0), ("c", "c", 1)}
