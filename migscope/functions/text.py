@@ -24,8 +24,9 @@ def col_(c) -> Column:
 
 
 def js_trim(c) -> Column:
-    """String.prototype.trim: strips tabs, CR, NBSP, BOM ... not only spaces."""
-    return F.btrim(col_(c), F.lit(JS_WS))
+    """String.prototype.trim: strips tabs, CR, NBSP, BOM ... not only spaces.  Spaces go first, by the
+    trim that compares bytes; the other searches its list for each character."""
+    return F.btrim(F.trim(col_(c)), F.lit(JS_WS))
 
 
 def js_round(c) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from migscope.functions.text import basename, flag, js_trim, strip_suffix
+from migscope.functions.text import basename, flag, guarded_rlike, js_trim, strip_suffix
 
 BLOCK_LINES = 1 << 16
 FILE_KEYS = ["project_id", "path"]
@@ -46,14 +46,14 @@ def _keys(key: str | None) -> tuple[list[str], list[str]]:
 
 
 def _hits(order: list[str] | None) -> Column:
-    """The CALL and COPY targets of a line with their position: 2*line_no for CALL, 2*line_no+1 for COPY on
+    """The CALL and COPY targets of a line (``U``: in upper case) with their position: 2*line_no for CALL, 2*line_no+1 for COPY on
     the same line; with ``order`` the struct (order..., 0|1), and no line numbers are needed."""
-    U = F.upper("line")
+    U = F.col("U")
     if order and order != ["line_no"]:
         pos = lambda k: F.struct(*[F.col(o) for o in order], F.lit(k).alias("k"))
     else:
         pos = lambda k: (F.col("line_no") * 2 + k).cast("long")
-    return F.array(*[F.struct(pos(k).alias("pos"), F.regexp_extract(U, p, 1).alias("target"), F.lit(kind).alias("kind"))
+    return F.array(*[F.struct(pos(k).alias("pos"), F.when(U.contains(kind), F.regexp_extract(U, p, 1)).otherwise("").alias("target"), F.lit(kind).alias("kind"))
                      for k, (p, kind) in enumerate([(RE_CALL, "CALL"), (RE_COPY, "COPY")])])
 
 
@@ -69,33 +69,34 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list
     order = order or ["line_no"]
     block = F.col("block") if "block" in src_lines.columns and order != ["line_no"] else \
         F.floor((F.col("line_no") - 1) / F.lit(block_lines)).cast("long")
-    U = F.upper("line")
-    T = js_trim("line")
+    U, T = F.col("U"), F.col("T")
     code = ~T.startswith("*")
     c = lambda cond: flag(code & cond)  # noqa: E731  metric flags skip comment lines
     is_if = c(U.contains(" IF ") | U.startswith("IF "))
     end_if = c(U.contains("END-IF"))
     perform = c(U.contains("PERFORM"))
-    return src_lines.select(
+    # A regex runs on the lines alone that contain one of its literals (most do not).
+    has = lambda pattern, *literals: guarded_rlike(U, U, pattern, list(literals))
+    return src_lines.select("*", F.upper("line").alias("U"), js_trim("line").alias("T")).select(
         *FILE_KEYS, *([key] if key else []), *order,
         block.alias("block"),
         flag((T != "") & code).alias("loc"),
         is_if.alias("if_lines"),
         (is_if - end_if).alias("delta"),
-        c(U.rlike(RE_GOTO)).alias("goto"),
+        c(has(RE_GOTO, "GO")).alias("goto"),
         c(U.contains("EVALUATE")).alias("evaluate"),
         perform.alias("perform"),
         (perform * flag(U.contains("UNTIL"))).alias("perform_until"),
         c(U.contains("WHEN")).alias("when_lines"),
         c(U.contains("COPY ")).alias("copybook"),
         c(U.contains("EXEC SQL") | U.contains("EXEC-SQL")).alias("sql"),
-        c(U.rlike(RE_FILEOP)).alias("fileops"),
+        c(has(RE_FILEOP, "OPEN", "READ", "WRITE", "CLOSE", "DELETE")).alias("fileops"),
         c(U.contains("OCCURS")).alias("occurs"),
         c(U.contains("REDEFINES")).alias("redefines"),
-        c(U.rlike(RE_COMP3)).alias("comp3"),
+        c(has(RE_COMP3, "COMP-3", "PACKED")).alias("comp3"),
         c(U.contains("CALL") & (U.contains("ILBOA") | U.contains("ASMX"))).alias("asm"),
-        c(U.rlike(RE_PIC)).alias("pic"),
-        c(U.rlike(RE_SORT)).alias("sort_merge"),
+        c(has(RE_PIC, "PIC")).alias("pic"),
+        c(has(RE_SORT, "SORT", "MERGE", "RELEASE", "RETURN")).alias("sort_merge"),
         (code & U.contains("REPORT") & U.contains("SECTION")).alias("report"),
         *([F.filter(_hits(order), lambda h: h["target"] != "").alias("hits")] if hits else []),
     )
@@ -225,7 +226,7 @@ def cobol_paragraphs(src_lines: DataFrame) -> DataFrame:
 def cobol_edges(src_lines: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Distinct CALL / COPY targets per program with their first-seen position (see ``_hits``).
     Partial aggregation keeps the hash aggregate map-side combined."""
-    return _first_hits(src_lines.select(*FILE_KEYS, F.explode(_hits(order)).alias("h")).select(*FILE_KEYS, "h.*").where(F.col("target") != ""))
+    return _first_hits(src_lines.withColumn("U", F.upper("line")).select(*FILE_KEYS, F.explode(_hits(order)).alias("h")).select(*FILE_KEYS, "h.*").where(F.col("target") != ""))
 
 
 def _first_hits(hits: DataFrame) -> DataFrame:

@@ -909,7 +909,7 @@ def expected_objects(spark, sf_dir):
 @register
 def dashboard_tiles(spark, sf_dir):
     """Database projects show their Java totals and PostgreSQL difficulty, the others COBOL's."""
-    files = _files(spark, sf_dir)
+    files = materialize(_files(spark, sf_dir))
     p = _PgParts(spark, sf_dir)
     ctx = _ctx(spark, sf_dir)
     db = ctx.select("project_id", F.col("migration_type").isin(R.DATABASE_FAMILIES).alias("is_db"))
@@ -925,9 +925,9 @@ def dashboard_tiles(spark, sf_dir):
 @register
 def project_metadata(spark, sf_dir):
     """The project metadata document (nested struct as JSON)."""
-    files = _files(spark, sf_dir)
+    files = materialize(_files(spark, sf_dir))
     projects = projects_from_nation(spark, sf_dir)
-    scores = K.cobol_project_scores(projects, K.cobol_file_scores(files))
+    scores = materialize(K.cobol_project_scores(projects, K.cobol_file_scores(files)))
     tot = M.totals(files)
     db = M.database_block(projects, _ddl_db(spark, sf_dir))
     j = projects.select("project_id").join(tot, "project_id", "left").join(db, "project_id", "left") \

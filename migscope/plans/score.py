@@ -131,7 +131,7 @@ def cobol_project_scores(projects: DataFrame, file_scores: DataFrame, with_detai
             return F.transform(col, lambda x, i: fact("detail", col, x, i, none_i, none_i, none_i, none_i))
         for col in DETAIL_COLS:
             items.append(detail_rows(col))
-    ex = file_scores.select("project_id", F.explode(F.concat(*items)).alias("f")).select("project_id", "f.*")
+    ex = file_scores.select("project_id", F.explode_outer(F.concat(*items)).alias("f")).select("project_id", "f.*")
     g = ex.groupBy("project_id", "kind", "cat", "detail").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("at"),
         F.sum("l").alias("l"), F.sum("d").alias("d"), F.sum("r").alias("r"), F.sum("loc").alias("loc"))

@@ -2,11 +2,13 @@
 blocked depth scan against a sequential loop."""
 
 import random
+import re
 
-from tests.conftest import lines_df
+from tests.conftest import SF, lines_df
 
 from migscope.operators import cobol as C
 from migscope.plans import project as M
+from migscope.plans import queries as Q
 from migscope.plans import score as K
 
 PROG = "\n".join([
@@ -110,3 +112,23 @@ def test_project_without_files_scores_zero(spark):
     ps = {r.project_id: r for r in K.cobol_project_scores(projects, K.cobol_file_scores(files)).collect()}
     assert ps["empty"].overall == 0 and ps["empty"].description == "No files analyzed"
     assert ps["p0"].files == 1
+
+
+def test_project_metadata_reads_the_lines_once(spark):
+    """Totals, scores and summary were three passes over the lines."""
+    plan = Q.project_metadata(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_line_flags_with_guards(spark):
+    """Lines around the guarded expressions, against Python's."""
+    lines = ["  GO TO X", "GOTO Y", "GOTOX", " re-read", "READ-EMP", "REWRITE R", "UNDELETE", "DELETE D", "COMP-3.", "COMP-33", "packed-decimal", "PIC S9(5)", "pic 99999",
+             "SORT-FILE", "RESORT", "release r", "\t* SORT", " IF A", "CALL 'A'", "copy b", "recall \"c\" copy d"]
+    d = spark.createDataFrame([("p", str(i), 1, x) for i, x in enumerate(lines)], "project_id string, path string, line_no int, line string")
+    got = {int(r.path): r for r in C.line_facts(d, hits=True).collect()}
+    for i, x in enumerate(lines):
+        code = not x.strip().startswith("*")
+        for name, pattern in (("goto", C.RE_GOTO), ("fileops", C.RE_FILEOP), ("comp3", C.RE_COMP3), ("pic", C.RE_PIC), ("sort_merge", C.RE_SORT)):
+            assert got[i][name] == int(code and re.search(pattern, x.upper(), re.A) is not None), (name, x)
+        want = [m.group(1) for p in (C.RE_CALL, C.RE_COPY) if (m := re.search(p, x.upper()))]
+        assert [h.target for h in got[i].hits] == want, x
