@@ -55,8 +55,9 @@ def body(stmt: Column | str) -> Column:
 
 
 def _kind(stmt: Column) -> Column:
-    """The route of a statement by its prefix."""
-    U = F.upper(stmt)
+    """The route of a statement by its prefix (upper case never shortens a text, so the first characters
+    hold it)."""
+    U = F.upper(F.substring(stmt, 1, max(len(p) for _, prefixes in ROUTES for p in prefixes)))
     kind = None
     for k, prefixes in ROUTES:
         cond = None
@@ -73,7 +74,8 @@ def _pieces(content: Column | str) -> Column:
 
 def ddl_statements(src_files: DataFrame) -> DataFrame:
     """Strip comments, split on ';', trim, drop empty; route by prefix."""
-    st = src_files.select(*KEYS, F.posexplode(_pieces("content")).alias("stmt_no", "raw")) \
+    # outer generators: for an inner one Catalyst tests the array's size, and so splits, below the spread of the keys
+    st = src_files.select(*KEYS, F.posexplode_outer(_pieces("content")).alias("stmt_no", "raw")) \
         .select(*KEYS, "stmt_no", js_trim("raw").alias("stmt")).where(F.length("stmt") > 0)
     return st.select(*KEYS, c("stmt_no").cast("long").alias("stmt_no"), _kind(c("stmt")).alias("kind"), "stmt")
 
@@ -106,7 +108,7 @@ def _tables(statements: DataFrame) -> DataFrame:
 def table_items(statements: DataFrame) -> DataFrame:
     """The comma-split items of every table body, with a role per item."""
     t = _tables(statements)
-    it = t.select(*KEYS, "stmt_no", "table_name", F.posexplode(F.split("body", ",")).alias("pos", "raw")) \
+    it = t.select(*KEYS, "stmt_no", "table_name", F.posexplode_outer(F.split("body", ",")).alias("pos", "raw")) \
         .select(*KEYS, "stmt_no", "table_name", "pos", js_trim("raw").alias("item"))
     U = F.upper("item")
     role = (F.when(U.startswith("CONSTRAINT") & U.contains("PRIMARY KEY"), "pk")

@@ -577,7 +577,7 @@ def v_schema_diff(spark, sf_dir):
 
 def _catalogue(spark, sf_dir):
     """Objects of the DDL corpus: tables with their primary keys, foreign keys, and the others by kind."""
-    st = _stmts(spark, sf_dir)
+    st = materialize(_stmts(spark, sf_dir))
     keys = ["project_id", "path"]
     t = D.ddl_tables(st)
     parts = [t.select(*keys, F.lit("table").alias("kind"), F.col("table_name").alias("name"), F.lit(None).cast("string").alias("definition")),
@@ -593,7 +593,7 @@ def _catalogue(spark, sf_dir):
 def v_object_diff(spark, sf_dir):
     """Every kind of catalogue object, against a migrated catalogue that lost the objects of the
     files with key % 11 = 0 and whose keys are reversed where it is % 13 = 0."""
-    a = _catalogue(spark, sf_dir)
+    a = materialize(_catalogue(spark, sf_dir))
     key_no = F.regexp_extract("path", r"C(\d+)\.sql$", 1).cast("long")
     b = a.where(key_no % 11 != 0).withColumn("definition", F.when(key_no % 13 == 0, F.reverse("definition")).otherwise(F.col("definition")))
     return V.object_diff(a, b, ["project_id", "path"])

@@ -3,7 +3,7 @@ against a sequential loop."""
 
 import random
 
-from tests.conftest import files_df
+from tests.conftest import SF, files_df
 
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from migscope.operators import java as J
 from migscope.operators import orm as O
 from migscope.operators import pgfeat as G
 from migscope.plans import pgscore as PG
+from migscope.plans import queries as Q
 
 EMP = """-- employee table
 CREATE TABLE EMP (
@@ -170,3 +171,8 @@ def test_word_patterns_match_as_with_a_boundary_first(spark):
     for w in ("JSON", "JSONB"):
         assert d.where(F.col("t").rlike(J.at_word(w) + r"\b") != F.col("t").rlike(rf"(?i)\b{w}\b")).count() == 0
     assert d.where(F.regexp_extract_all("t", F.lit(J.at_word("JSON") + r"\s*\("), 0) != F.regexp_extract_all("t", F.lit(r"(?i)\bJSON\s*\("), 0)).count() == 0
+
+
+def test_object_diff_mines_the_files_once(spark):
+    """Four kinds of objects on two sides mined every file eight times."""
+    assert "c_custkey" not in optimized(Q.v_object_diff(spark, SF))
