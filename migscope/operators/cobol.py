@@ -70,6 +70,7 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list
     block = F.col("block") if "block" in src_lines.columns and order != ["line_no"] else \
         F.floor((F.col("line_no") - 1) / F.lit(block_lines)).cast("long")
     U, T = F.col("U"), F.col("T")
+    # ``T`` is trimmed as far as these two tests look: a printable character after the blanks is the trimmed line's first
     code = ~T.startswith("*")
     c = lambda cond: flag(code & cond)  # noqa: E731  metric flags skip comment lines
     is_if = c(U.contains(" IF ") | U.startswith("IF "))
@@ -77,7 +78,8 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list
     perform = c(U.contains("PERFORM"))
     # A regex runs on the lines alone that contain one of its literals (most do not).
     has = lambda pattern, *literals: guarded_rlike(U, U, pattern, list(literals))
-    return src_lines.select("*", F.upper("line").alias("U"), js_trim("line").alias("T")).select(
+    return src_lines.select("*", F.upper("line").alias("U"), F.trim("line").alias("S")).select(
+        "*", F.when(F.ascii("S").between(0x21, 0x7E), F.col("S")).otherwise(js_trim("S")).alias("T")).select(
         *FILE_KEYS, *([key] if key else []), *order,
         block.alias("block"),
         flag((T != "") & code).alias("loc"),
@@ -98,7 +100,8 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list
         c(has(RE_PIC, "PIC")).alias("pic"),
         c(has(RE_SORT, "SORT", "MERGE", "RELEASE", "RETURN")).alias("sort_merge"),
         (code & U.contains("REPORT") & U.contains("SECTION")).alias("report"),
-        *([F.filter(_hits(order), lambda h: h["target"] != "").alias("hits")] if hits else []),
+        # only a line with one of the words has targets; the others make no list
+        *([F.when(U.contains("CALL") | U.contains("COPY"), F.filter(_hits(order), lambda h: h["target"] != "")).alias("hits")] if hits else []),
     )
 
 
