@@ -126,6 +126,11 @@ JAVA_SUMS = ["loc", "function_uses", "operator_uses", "boolean_files", "plain_jd
              "pg_native_queries", "limit_offset_queries", "returning_queries", "service_files_with_queries"]
 
 
+#: The columns of ``java_files`` that the facts, the inventory and the primary ORM read.
+JAVA_COLUMNS = [*KEYS, "name", "type", "loc", "orm_framework", "pg_functions", "pg_data_types", "pg_operators", "jdbc_calls", "schema_code",
+                "native_queries", "pg_native_queries", "limit_offset_queries", "returning_queries", "has_pg_dependency"]
+
+
 def java_project_facts(java_files: DataFrame) -> DataFrame:
     """Per-project Java facts for K11, K14, K17 and M14 in one pass.
 

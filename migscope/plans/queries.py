@@ -837,7 +837,8 @@ class _PgParts:
 
     @cached_property
     def java(self):
-        return materialize(J.java_files(java_files(self.spark, self.sf_dir)))
+        """The facts of the Java files that the plans read; the others are not mined."""
+        return materialize(J.java_files(java_files(self.spark, self.sf_dir)).select(*PG.JAVA_COLUMNS))
 
     @cached_property
     def ddl(self):
