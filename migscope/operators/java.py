@@ -224,10 +224,13 @@ def java_files(src_files: DataFrame) -> DataFrame:
         .alias("pg_data_types"),
         flags(content, PG_OPERATORS, U, [["@>"], ["<@"], ["->"], ["->>"], ["@@"], ["~"], ["~*"], ["||"]])
         .alias("pg_operators"),
-        F.regexp_count(content, F.lit(RE_JDBC)).cast("long").alias("jdbc_calls"),
+        # both alternatives hold "onnection"; a text without it has no match
+        F.when(~content.contains("onnection"), F.lit(0)).otherwise(F.regexp_count(content, F.lit(RE_JDBC))).cast("long").alias("jdbc_calls"),
         F.regexp_count(content, F.lit("PreparedStatement")).cast("long").alias("prepared_statements"),
-        flags(content, SCHEMA_CODE, U, [["PG_CATALOG"], ["INFORMATION_SCHEMA"], ["PG_STAT"],
-                                        ["PG_CLASS", "PG_NAMESPACE", "PG_ATTRIBUTE"]]).alias("schema_code"),
+        # all but one of the names begin with PG_: two searches keep the rules off most texts
+        F.when(~has_any(U, ["PG_", "INFORMATION_SCHEMA"]), F.array().cast("array<string>")).otherwise(
+            flags(content, SCHEMA_CODE, U, [["PG_CATALOG"], ["INFORMATION_SCHEMA"], ["PG_STAT"],
+                                            ["PG_CLASS", "PG_NAMESPACE", "PG_ATTRIBUTE"]])).alias("schema_code"),
         flags(content, EXTENSION_USAGE, U, [["POSTGIS", "ST_", "GEOGRAPHY", "GEOMETRY"], ["PG_TRGM", "SIMILARITY"],
                                             ["UUID_GENERATE", "UUID-OSSP"], ["HSTORE"], ["LTREE"]])
         .alias("extension_usage"),
