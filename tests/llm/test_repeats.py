@@ -65,6 +65,16 @@ def test_every_window_has_one_anchor():
     assert (starts == wanted).all()
 
 
+def test_a_trigger_does_not_follow_the_length_of_its_text(spark):
+    """Two grams whose hashes part at bit 19 and are the least of a passage of 400 bytes; one of its texts has over 2**19 bytes."""
+    rng = np.random.default_rng(7)
+    inner = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 400))
+    inner = inner[:50] + "qsjjnwrs" + inner[58:120] + "brxgsbxh" + inner[128:]
+    long = "1" + inner + "".join(rng.choice(list("0123456789"), 600_000))
+    got = prefix_free.digest(prefix_free.dedup(spark.createDataFrame([(1, "0" + inner), (2, long)], "doc_id long, text string")))
+    assert sorted(map(tuple, got.select("doc_id", "n_removed", "n_spans").collect())) == [(1, 400, 1), (2, 400, 1)]
+
+
 @pytest.mark.parametrize("run", [3, 1, 2])
 def test_winnowing(docs, docs_rows, run):
     got = winnow.digest(winnow.dedup(docs, run))
