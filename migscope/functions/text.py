@@ -103,3 +103,16 @@ def guarded_rlike(text: Column, upper_text: Column, pattern: str, literals: list
     if not literals:
         return text.rlike(pattern)
     return has_any(upper_text, literals) & text.rlike(pattern)
+
+
+def is_ascii(text) -> Column:
+    """No character of more than one byte."""
+    return F.octet_length(col_(text)) == F.length(col_(text))
+
+
+def literals_match(text: Column, upper_text: Column, pattern: str) -> Column:
+    """``text.rlike(pattern)`` for a pattern ``(?i)a|b|...`` of literals alone: a text without characters
+    beyond ASCII matches iff its upper case contains one of them; only the others need the expression (their
+    upper case may hold letters that ``(?i)`` does not match)."""
+    literals = [x.replace("\\.", ".").upper() for x in pattern.removeprefix("(?i)").split("|")]
+    return has_any(upper_text, literals) & (is_ascii(text) | text.rlike(pattern))

@@ -73,9 +73,11 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list
     # ``T`` is trimmed as far as these two tests look: a printable character after the blanks is the trimmed line's first
     code = ~T.startswith("*")
     c = lambda cond: flag(code & cond)  # noqa: E731  metric flags skip comment lines
-    is_if = c(U.contains(" IF ") | U.startswith("IF "))
-    end_if = c(U.contains("END-IF"))
-    perform = c(U.contains("PERFORM"))
+    # A search stops at each occurrence of its first character: a part of the word that begins with a rare one rules most lines out.
+    word = lambda part, whole: U.contains(part) & U.contains(whole)
+    is_if = c(U.contains("F ") & (U.startswith("IF ") | U.contains(" IF ")))
+    end_if = c(word("-IF", "END-IF"))
+    perform = word("FORM", "PERFORM")
     # A regex runs on the lines alone that contain one of its literals (most do not).
     has = lambda pattern, *literals: guarded_rlike(U, U, pattern, list(literals))
     return src_lines.select("*", F.upper("line").alias("U"), F.trim("line").alias("S")).select(
@@ -86,20 +88,20 @@ def line_facts(src_lines: DataFrame, block_lines: int = BLOCK_LINES, order: list
         is_if.alias("if_lines"),
         (is_if - end_if).alias("delta"),
         c(has(RE_GOTO, "GO")).alias("goto"),
-        c(U.contains("EVALUATE")).alias("evaluate"),
-        perform.alias("perform"),
-        (perform * flag(U.contains("UNTIL"))).alias("perform_until"),
+        c(word("VALUATE", "EVALUATE")).alias("evaluate"),
+        c(perform).alias("perform"),
+        c(perform & U.contains("UNTIL")).alias("perform_until"),
         c(U.contains("WHEN")).alias("when_lines"),
-        c(U.contains("COPY ")).alias("copybook"),
-        c(U.contains("EXEC SQL") | U.contains("EXEC-SQL")).alias("sql"),
-        c(has(RE_FILEOP, "OPEN", "READ", "WRITE", "CLOSE", "DELETE")).alias("fileops"),
-        c(U.contains("OCCURS")).alias("occurs"),
-        c(U.contains("REDEFINES")).alias("redefines"),
-        c(has(RE_COMP3, "COMP-3", "PACKED")).alias("comp3"),
+        c(word("PY ", "COPY ")).alias("copybook"),
+        c(U.contains("XEC") & (U.contains("EXEC SQL") | U.contains("EXEC-SQL"))).alias("sql"),
+        c(has(RE_FILEOP, "PEN", "READ", "WRITE", "CLOSE", "DELETE")).alias("fileops"),
+        c(word("CURS", "OCCURS")).alias("occurs"),
+        c(word("FINES", "REDEFINES")).alias("redefines"),
+        c(has(RE_COMP3, "MP-3", "KED-")).alias("comp3"),
         c(U.contains("CALL") & (U.contains("ILBOA") | U.contains("ASMX"))).alias("asm"),
         c(has(RE_PIC, "PIC")).alias("pic"),
         c(has(RE_SORT, "SORT", "MERGE", "RELEASE", "RETURN")).alias("sort_merge"),
-        (code & U.contains("REPORT") & U.contains("SECTION")).alias("report"),
+        (code & word("PORT", "REPORT") & U.contains("SECTION")).alias("report"),
         # only a line with one of the words has targets; the others make no list
         *([F.when(U.contains("CALL") | U.contains("COPY"), F.filter(_hits(order), lambda h: h["target"] != "")).alias("hits")] if hits else []),
     )

@@ -54,10 +54,13 @@ def body(stmt: Column | str) -> Column:
     return F.when(first > 0, F.substring(stmt, first + 1, last - 1 - first)).otherwise("")
 
 
-def _kind(stmt: Column) -> Column:
-    """The route of a statement by its prefix (upper case never shortens a text, so the first characters
-    hold it)."""
-    U = F.upper(F.substring(stmt, 1, max(len(p) for _, prefixes in ROUTES for p in prefixes)))
+def _head(stmt: Column) -> Column:
+    """The first characters of a statement in upper case (that never shortens a text, so they hold its prefix)."""
+    return F.upper(F.substring(stmt, 1, max(len(p) for _, prefixes in ROUTES for p in prefixes)))
+
+
+def _kind(U: Column) -> Column:
+    """The route of a statement by the prefix in its ``_head``."""
     kind = None
     for k, prefixes in ROUTES:
         cond = None
@@ -68,8 +71,10 @@ def _kind(stmt: Column) -> Column:
 
 
 def _pieces(content: Column | str) -> Column:
-    """The text without comments, split on ';'."""
-    return F.split(F.regexp_replace(F.regexp_replace(content, r"--[^\n]*", ""), r"/\*[\s\S]*?\*/", ""), ";")
+    """The text without comments, split on ';' (a text without the sign of a comment is left alone)."""
+    content = col_(content)
+    plain = F.when(content.contains("--"), F.regexp_replace(content, r"--[^\n]*", "")).otherwise(content)
+    return F.split(F.when(content.contains("/*"), F.regexp_replace(plain, r"/\*[\s\S]*?\*/", "")).otherwise(plain), ";")
 
 
 def ddl_statements(src_files: DataFrame) -> DataFrame:
@@ -77,14 +82,15 @@ def ddl_statements(src_files: DataFrame) -> DataFrame:
     # outer generators: for an inner one Catalyst tests the array's size, and so splits, below the spread of the keys
     st = src_files.select(*KEYS, F.posexplode_outer(_pieces("content")).alias("stmt_no", "raw")) \
         .select(*KEYS, "stmt_no", js_trim("raw").alias("stmt")).where(F.length("stmt") > 0)
-    return st.select(*KEYS, c("stmt_no").cast("long").alias("stmt_no"), _kind(c("stmt")).alias("kind"), "stmt")
+    return st.select(*KEYS, c("stmt_no").cast("long").alias("stmt_no"), _kind(_head(c("stmt"))).alias("kind"), "stmt")
 
 
 def statement_list(content: Column) -> Column:
     """The statements of a file as array of structs (stmt_no, kind, stmt), as ``ddl_statements`` has them."""
     trimmed = F.transform(_pieces(content), lambda x, i: F.struct(i.cast("long").alias("stmt_no"), js_trim(x).alias("stmt")))
-    return F.transform(F.filter(trimmed, lambda s: F.length(s["stmt"]) > 0), lambda s: F.struct(
-        s["stmt_no"].alias("stmt_no"), _kind(s["stmt"]).alias("kind"), s["stmt"].alias("stmt")))
+    # step by step: in a lambda every use of an expression makes it once more
+    headed = F.transform(F.filter(trimmed, lambda s: s["stmt"] != ""), lambda s: F.struct(s["stmt_no"].alias("stmt_no"), s["stmt"].alias("stmt"), _head(s["stmt"]).alias("head")))
+    return F.transform(headed, lambda s: F.struct(s["stmt_no"].alias("stmt_no"), _kind(s["head"]).alias("kind"), s["stmt"].alias("stmt")))
 
 
 def ddl_objects(statements: DataFrame) -> DataFrame:
@@ -158,11 +164,25 @@ def ddl_foreign_keys(items: DataFrame) -> DataFrame:
                      unquote("ref").alias("referenced_table"), name_list(c("refcols")).alias("referenced_columns"))
 
 
+def item_words(item: Column) -> Column:
+    """What the test and the facts of a column read: the item's first characters in upper case, its first
+    word and the type's name after it."""
+    return F.struct(F.upper(F.substring(item, 1, len("PRIMARY KEY"))).alias("head"), F.split(item, r"\s+", 3).alias("words"))
+
+
+def type_name(words: Column) -> Column:
+    """The name that begins the second word, '' if there is none (group 1 of ``RE_TYPE``)."""
+    return F.regexp_extract(F.coalesce(F.get(words, F.lit(1)), F.lit("")), r"^([A-Za-z0-9_]+)", 1)
+
+
+def is_constraint(head: Column) -> Column:
+    return head.startswith("CONSTRAINT") | head.startswith("PRIMARY KEY")
+
+
 def _is_column(item: Column) -> Column:
     """An item that ``ddl_columns`` reads as a column: no constraint, and a type after the name."""
-    U = F.upper(item)
-    kind = F.regexp_extract(F.coalesce(F.get(F.split(item, r"\s+"), F.lit(1)), F.lit("")), RE_TYPE, 1)
-    return ~U.startswith("CONSTRAINT") & ~U.startswith("PRIMARY KEY") & (kind != "")
+    w = item_words(item)
+    return ~is_constraint(w["head"]) & (type_name(w["words"]) != "")
 
 
 def ddl_tables(statements: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from migscope.functions.text import JS_WS, basename, guarded_rlike, has_any, js_trim, strip_suffix
+from migscope.functions.text import JS_WS, basename, guarded_rlike, has_any, js_trim, literals_match, strip_suffix
 
 c = F.col
 KEYS = ["project_id", "path"]
@@ -27,9 +27,10 @@ ORM_RULES = [
     ("Plain JDBC", r"(?i)DriverManager\.getConnection|import java\.sql\.DriverManager"),
 ]
 # Substrings every match of the rule above must contain (prefilter only).
-ORM_LITERALS = [["@REPOSITORY", "@ENTITY", "@TABLE", "IMPORT ORG.SPRINGFRAMEWORK.DATA.JPA"],
-                ["@MAPPER", "IMPORT ORG.APACHE.IBATIS", "SQLSESSION"], ["SESSIONFACTORY", "IMPORT ORG.HIBERNATE"],
-                ["JDBCTEMPLATE"], ["DRIVERMANAGER"]]
+# A search stops at each occurrence of its first character, so guards begin with a rare one.
+ORM_LITERALS = [["@REPOSITORY", "@ENTITY", "@TABLE", "K.DATA.JPA"],
+                ["@MAPPER", "BATIS", "QLSESSION"], ["FACTORY", "HIBERNATE"],
+                ["JDBCTEMPLATE"], ["VERMANAGER"]]
 # File type by annotation (first hit wins), then by name suffix.
 TYPE_BY_ANNOTATION = [("Controller", r"(?i)@RestController|@Controller"), ("Service", r"(?i)@Service"),
                       ("Repository", r"(?i)@Repository"), ("Entity", r"(?i)@Entity"),
@@ -58,6 +59,8 @@ PG_FUNCTION_PATTERNS = [r"\barray_agg\s*\(", r"\bstring_agg\s*\(", r"\bgenerate_
                         r"\bjsonb_\w+\s*\(", r"\bjson_\w+\s*\(", r"\barray_to_string\s*\(",
                         r"\bregexp_matches\s*\(", r"\bregexp_replace\s*\(", r"\bregexp_split_to_array\s*\(",
                         r"\bGREATEST\s*\(", r"\bLEAST\s*\("]
+# What the names of one, two or three patterns in turn contain (prefilter only).
+PG_FUNCTION_GROUPS = [("_AGG", 2), ("_SERIES", 1), ("UNNEST", 1), ("JSON", 2), ("_TO_STRING", 1), ("XP_", 3), ("GREATEST", 1), ("LEAST", 1)]
 # PostgreSQL type words (MACCDDR as spelled by the rules).
 PG_TYPE_WORDS = ["SERIAL", "BIGSERIAL", "SMALLSERIAL", "UUID", "JSONB", "JSON", "ARRAY", "HSTORE", "BOOLEAN",
                  "INET", "MACCDDR", "CITEXT", "TSQUERY", "TSVECTOR"]
@@ -73,21 +76,31 @@ EXTENSION_USAGE = [("PostGIS", r"(?i)PostGIS|ST_\w+|geography|geometry"),
                    ("uuid-ossp", r"(?i)uuid_generate|uuid-ossp"),
                    ("hstore", r"(?i)hstore"), ("ltree", r"(?i)ltree")]
 RE_JDBC = r"DriverManager\.getConnection|Connection\s+conn"
-# Combined form of QUERY_FEATURES, by what a match begins with: a query has PostgreSQL syntax iff it matches.
-_FEATURE_ALTERNATIVES = [a for _, p in QUERY_FEATURES for a in re.split(r"\|(?![^(]*\))", p.replace("(?i)", ""))]
-RE_ANY_QUERY_FEATURE = (r"(?i)\b(?:" + "|".join(a[2:] for a in _FEATURE_ALTERNATIVES if a.startswith(r"\b")) + ")|"
-                        + "|".join([a for a in _FEATURE_ALTERNATIVES if not a.startswith(r"\b")] + [f.upper() for f in QUERY_FUNCTION_FAMILIES]))
+RE_FUNCTION_FAMILY = "(?i)" + "|".join(QUERY_FUNCTION_FAMILIES)
+# RE_ANNOTATION_QUERY with one group for the text of both forms.
+RE_ANNOTATION_TEXT = r'@Query\s*\(\s*(?:value\s*=\s*)?"([^"]+)"'
 # Substrings one of which every match of a feature contains (prefilter only).
 FEATURE_LITERALS = [["LIMIT", "OFFSET"], ["RETURNING"], ["CONFLICT"], ["ILIKE"], ["DISTINCT"], ["LOCKED"], ["BOOLEAN", "TRUE", "FALSE"], ["[", "]"], ["->"]]
-ANY_FEATURE_LITERALS = [x for lits in FEATURE_LITERALS for x in lits] + [f.upper() for f in QUERY_FUNCTION_FAMILIES]
+#: Features that a search decides: each match is one of the literals, in any case, or holds one that has none.
+LITERAL_FEATURES = {"ARRAY syntax": ["[", "]"], "JSON operators": ["->"]}
+
+
+#: A pattern of signs without meaning in an expression, or escaped.
+SIGNS = re.compile(r"(?:[@<>~-]|\\[^\w\s])+")
 
 
 def flags(text: Column, rules: list[tuple[str, str]], upper_text: Column | None = None,
           literals: list[list[str]] | None = None) -> Column:
-    """Labels whose pattern matches, in rule order (regex guarded by literals)."""
+    """Labels whose pattern matches, in rule order (regex guarded by literals; a pattern of signs alone that is its
+    literal needs no regex)."""
     items = []
     for k, (lbl, p) in enumerate(rules):
-        cond = text.rlike(p) if literals is None else guarded_rlike(text, upper_text, p, literals[k])
+        if literals is None:
+            cond = text.rlike(p)
+        elif SIGNS.fullmatch(p) and literals[k] == [re.sub(r"\\(.)", r"\1", p)]:
+            cond = text.contains(literals[k][0])
+        else:
+            cond = guarded_rlike(text, upper_text, p, literals[k])
         items.append(F.when(cond, F.lit(lbl)))
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
@@ -113,22 +126,21 @@ def java_loc(content: Column) -> Column:
 
 
 def _java_loc_fold(content: Column) -> Column:
-    """J2 as a left fold over the lines, trimmed once each: state (in_block, count)."""
+    """J2 as a left fold over the lines, trimmed once each and as far as the tests look: the state is twice the
+    count, plus one inside a block comment."""
     def step(acc, t):
-        opens, closes = t.contains("/*"), t.contains("*/")
-        inb = acc["inb"] | opens
-        counted = ~closes & ~inb & (t != "") & ~t.startswith("//")
-        return F.struct(F.when(closes, F.lit(False)).otherwise(inb).alias("inb"),
-                        (acc["n"] + F.when(counted, 1).otherwise(0)).alias("n"))
-    init = F.struct(F.lit(False).alias("inb"), F.lit(0).alias("n"))
-    return F.aggregate(F.transform(F.split(content, "\n"), js_trim), init, step, lambda acc: acc["n"])
+        inside = acc % 2
+        return (F.when(t.contains("*/"), acc - inside).when(t.contains("/*"), acc - inside + 1)
+                .when((inside == 1) | (t == "") | t.startswith("//"), acc).otherwise(acc + 2))
+    lines = F.transform(F.split(content, "\n"), lambda x: F.ltrim(F.ltrim(x), F.lit(JS_WS)))
+    return F.aggregate(lines, F.lit(0), step, lambda acc: F.shiftright(acc, 1))
 
 
 def orm_framework(content: Column, U: Column | None = None) -> Column:
     U = F.upper(content) if U is None else U
     e = None
     for (lbl, p), lits in zip(ORM_RULES, ORM_LITERALS):
-        cond = guarded_rlike(content, U, p, lits)
+        cond = has_any(U, lits) & literals_match(content, U, p)
         e = F.when(cond, lbl) if e is None else e.when(cond, lbl)
     return e.otherwise("None")
 
@@ -160,12 +172,19 @@ def at_word(word: str) -> str:
 
 def pg_functions_used(content: Column, U: Column | None = None) -> Column:
     """Distinct function names by exact spelling, pattern order then text order.
-    Each pattern runs only on files containing its literal name."""
+    Each pattern runs only on files containing its literal name, which is looked for where that of its group is."""
     U = F.upper(content) if U is None else U
     empty = F.array().cast("array<string>")
-    allm = F.flatten(F.array(*[
-        F.when(U.contains(_fn_literal(p)), F.regexp_extract_all(content, F.lit(at_word(_fn_literal(p)) + p[2 + len(_fn_literal(p)):]), 0)).otherwise(empty)
-        for p in PG_FUNCTION_PATTERNS]))
+
+    def found(p: str) -> Column:
+        word = _fn_literal(p)
+        return F.when(U.contains(word), F.regexp_extract_all(content, F.lit(at_word(word) + p[2 + len(word):]), 0)).otherwise(empty)
+    groups, at = [], 0
+    for guard, n in PG_FUNCTION_GROUPS:
+        own = [found(p) for p in PG_FUNCTION_PATTERNS[at:at + n]]
+        groups.append(F.when(U.contains(guard), own[0] if n == 1 else F.flatten(F.array(*own))).otherwise(empty))
+        at += n
+    allm = F.flatten(F.array(*groups))
     return F.array_distinct(F.transform(allm, lambda m: js_trim(F.regexp_replace(m, r"\s*\(", ""))))
 
 
@@ -177,18 +196,27 @@ def _group(match: Column, pattern: str, groups: list[int]) -> Column:
     return text
 
 
+def _any_feature(q: Column, u: Column) -> Column:
+    """A query has PostgreSQL syntax: a feature's pattern matches, or a function family's.  What a search decides comes first;
+    an expression runs on the queries alone that hold its literal."""
+    cond = has_any(u, [x for lits in LITERAL_FEATURES.values() for x in lits])
+    for (lbl, p), lits in zip(QUERY_FEATURES, FEATURE_LITERALS):
+        if lbl not in LITERAL_FEATURES:
+            cond = cond | guarded_rlike(q, u, p, lits)
+    return cond | literals_match(q, u, RE_FUNCTION_FAMILY)
+
+
 def _query_array(content: Column, U: Column) -> Column:
     """Native queries of a file (J7/J8 texts, in pattern order) with their per-query
     flags, computed once per file: array<struct<q, pg, lo, ret>>."""
     empty = F.array().cast("array<string>")
-    has_ann = U.contains("@QUERY")
-    ann = F.when(has_ann, F.transform(F.regexp_extract_all(content, F.lit(RE_ANNOTATION_QUERY), 0), lambda m: _group(m, RE_ANNOTATION_QUERY, [1, 2]))).otherwise(empty)
+    ann = F.when(U.contains("@QUERY"), F.regexp_extract_all(content, F.lit(RE_ANNOTATION_TEXT), 1)).otherwise(empty)
     has_lit = has_any(U, ['"' + k for k in ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP"]])
     lit = F.when(has_lit, F.regexp_extract_all(content, F.lit(RE_LITERAL_QUERY), 1)).otherwise(empty)
     texts = lambda found, is_ann: F.transform(found, lambda q: F.struct(F.lit(is_ann).alias("ann"), q.alias("q"), F.upper(q).alias("u")))
     return F.transform(F.concat(texts(ann, True), texts(lit, False)), lambda x: F.struct(
-        x["ann"].alias("ann"), (has_any(x["u"], ANY_FEATURE_LITERALS) & x["q"].rlike(RE_ANY_QUERY_FEATURE)).alias("pg"),
-        guarded_rlike(x["q"], x["u"], "(?i)LIMIT|OFFSET", ["LIMIT", "OFFSET"]).alias("lo"), guarded_rlike(x["q"], x["u"], "(?i)RETURNING", ["RETURNING"]).alias("ret")))
+        x["ann"].alias("ann"), _any_feature(x["q"], x["u"]).alias("pg"),
+        literals_match(x["q"], x["u"], "(?i)LIMIT|OFFSET").alias("lo"), literals_match(x["q"], x["u"], "(?i)RETURNING").alias("ret")))
 
 
 def _query_facts(qa: Column) -> list[Column]:
@@ -222,13 +250,15 @@ def java_files(src_files: DataFrame) -> DataFrame:
         pg_functions_used(content, U).alias("pg_functions"),
         flags(content, [(w, at_word(w) + r"\b") for w in PG_TYPE_WORDS], U, [[w] for w in PG_TYPE_WORDS])
         .alias("pg_data_types"),
+        # one of the types by itself, for the scores
+        guarded_rlike(content, U, at_word("BOOLEAN") + r"\b", ["BOOLEAN"]).alias("uses_boolean"),
         flags(content, PG_OPERATORS, U, [["@>"], ["<@"], ["->"], ["->>"], ["@@"], ["~"], ["~*"], ["||"]])
         .alias("pg_operators"),
-        # both alternatives hold "onnection"; a text without it has no match
-        F.when(~content.contains("onnection"), F.lit(0)).otherwise(F.regexp_count(content, F.lit(RE_JDBC))).cast("long").alias("jdbc_calls"),
+        # both alternatives hold "Connection" or "getConnection"; a text without the word has no match
+        F.when(~content.contains("Connection"), F.lit(0)).otherwise(F.regexp_count(content, F.lit(RE_JDBC))).cast("long").alias("jdbc_calls"),
         F.regexp_count(content, F.lit("PreparedStatement")).cast("long").alias("prepared_statements"),
         # all but one of the names begin with PG_: two searches keep the rules off most texts
-        F.when(~has_any(U, ["PG_", "INFORMATION_SCHEMA"]), F.array().cast("array<string>")).otherwise(
+        F.when(~has_any(U, ["PG_", "_SCHEMA"]), F.array().cast("array<string>")).otherwise(
             flags(content, SCHEMA_CODE, U, [["PG_CATALOG"], ["INFORMATION_SCHEMA"], ["PG_STAT"],
                                             ["PG_CLASS", "PG_NAMESPACE", "PG_ATTRIBUTE"]])).alias("schema_code"),
         flags(content, EXTENSION_USAGE, U, [["POSTGIS", "ST_", "GEOGRAPHY", "GEOMETRY"], ["PG_TRGM", "SIMILARITY"],

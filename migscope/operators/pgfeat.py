@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from migscope.functions.text import js_trim
+from migscope.functions.text import guarded_rlike, has_any, js_trim
 from migscope.operators import ddl as D
 
 c = F.col
@@ -43,6 +43,7 @@ INDEX_SUPPORT = [("BTREE", True), ("HASH", True), ("GIN", False), ("GIST", False
 
 # Feature patterns (case-insensitive, as in the rules).
 RE_SERIAL = r"(?i)(SMALL|BIG)?SERIAL"
+RE_SERIAL_AHEAD = r"(?i)(?=[SB])(SMALL|BIG)?SERIAL"       # the same matches; one look at a character rules most places out
 RE_INDEX = r"(?i)CREATE\s+(?:UNIQUE\s+)?INDEX\s+\w+\s+ON\s+\w+\s+(?:USING\s+(\w+)\s+)?\("
 RE_PARTIAL = r"(?i)CREATE\s+(?:UNIQUE\s+)?INDEX\s+\w+\s+ON\s+\w+\s*.*\s+WHERE\s+"
 RE_EXPR_INDEX = r"(?i)CREATE\s+(?:UNIQUE\s+)?INDEX\s+\w+\s+ON\s+\w+\s*\([^)]*(?:lower|upper|substring|to_char|\+|\-|\*|\/)[^)]*\)"
@@ -62,6 +63,8 @@ RE_EXCLUDE = r"(?i)CONSTRAINT\s+\w+\s+EXCLUDE|EXCLUDE\s+USING"
 EXTENSION_USAGE = [("postgis", r"(?i)ST_\w+|geography|geometry"),
                    ("uuid-ossp", r"(?i)uuid_generate"),
                    ("pg_trgm", r"(?i)similarity\s*\(")]
+# words one of which every match above holds, in any case (prefilter only)
+EXTENSION_WORDS = {"postgis": ["ST_", "GEOGRAPHY", "GEOMETRY"], "uuid-ossp": ["UUID_GENERATE"], "pg_trgm": ["SIMILARITY"]}
 
 
 def type_map(spark: SparkSession) -> DataFrame:
@@ -86,9 +89,20 @@ def oracle_support(method: Column) -> Column:
 
 
 # ---------------------------------------------------------------- the record
-def _matches(pattern: str, **groups: int) -> Column:
-    """All matches of ``pattern`` as array of structs of its groups."""
-    return F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), g).alias(n) for n, g in groups.items()])
+def _found(word: str, pattern: str, group: int) -> Column:
+    """A group of all matches of ``pattern``; a text without the ``word`` that each match holds, in any case, is left alone."""
+    return F.when(c("U").contains(word), F.regexp_extract_all("content", F.lit(pattern), group)).otherwise(F.array().cast("array<string>"))
+
+
+def _matches(word: str, pattern: str, **groups: int) -> Column:
+    """All matches of ``pattern`` as array of structs of its groups; of a text with ``word`` alone (see ``_found``)."""
+    rows = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), g).alias(n) for n, g in groups.items()])
+    return F.when(c("U").contains(word), rows).otherwise(F.expr(f"cast(array() as array<struct<{','.join(n + ':string' for n in groups)}>>)"))
+
+
+def _number(words: list[str], pattern: str) -> Column:
+    """The number of matches of ``pattern``, each of which holds one of the ``words``."""
+    return F.when(has_any(c("U"), words), F.regexp_count("content", F.lit(pattern))).otherwise(0)
 
 
 def _tables(statements: str) -> Column:
@@ -100,13 +114,14 @@ def _tables(statements: str) -> Column:
 
 
 def _columns(bodies: str) -> Column:
-    """The columns of the tables, in order."""
+    """The columns of the tables, in order.  Step by step: in a lambda every use of an expression makes it once more."""
     def of_table(t: Column) -> Column:
-        items = F.transform(F.split(t["body"], ","), lambda x, i: F.struct(i.cast("long").alias("col_no"), js_trim(x).alias("item")))
-        return F.transform(F.filter(items, lambda x: D._is_column(x["item"])), lambda x: F.struct(
+        items = F.transform(F.split(t["body"], ","), lambda x, i: F.struct(i.cast("long").alias("col_no"), D.item_words(js_trim(x)).alias("w")))
+        typed = F.transform(F.filter(items, lambda x: ~D.is_constraint(x["w"]["head"])), lambda x: F.struct(
+            x["col_no"].alias("col_no"), x["w"]["words"][0].alias("name"), D.type_name(x["w"]["words"]).alias("type")))
+        return F.transform(F.filter(typed, lambda x: x["type"] != ""), lambda x: F.struct(
             t["stmt_no"].alias("stmt_no"), x["col_no"].alias("col_no"), t["table_name"].alias("table_name"),
-            D.unquote(F.split(x["item"], r"\s+")[0]).alias("column_name"),
-            F.upper(F.regexp_extract(F.split(x["item"], r"\s+")[1], D.RE_TYPE, 1)).alias("data_type")))
+            D.unquote(x["name"]).alias("column_name"), F.upper(x["type"]).alias("data_type")))
     return F.flatten(F.transform(bodies, of_table))
 
 
@@ -116,7 +131,7 @@ def _met(columns: str) -> Column:
     mapped = F.filter(columns, lambda x: x["data_type"].isin([t for t, _, _ in PG_TYPE_MAP]))
     return F.concat(
         F.transform(mapped, lambda x: F.struct(x["data_type"].alias("type"), x["table_name"].alias("table_name"), place(0, x["stmt_no"], x["col_no"]).alias("at"))),
-        F.transform(F.regexp_extract_all("content", F.lit(RE_SERIAL), 0),
+        F.transform(_found("SERIAL", RE_SERIAL_AHEAD, 0),
                     lambda m, i: F.struct(F.upper(m).alias("type"), F.lit(None).cast("string").alias("table_name"), place(1, i, F.lit(0)).alias("at"))))
 
 
@@ -150,19 +165,19 @@ def _functions() -> Column:
             f["body"].rlike(r"(?i)ARRAY\[|array_").alias("uses_arrays"),
             f["body"].rlike(r"(?i)jsonb_|json_|->|->>").alias("uses_json"),
             (f["returns"].rlike(r"(?i)RETURNS\s+TABLE") | f["returns"].rlike(r"(?i)RETURNS\s+SETOF")).alias("returns_table"))
-    return F.transform(_matches(RE_FUNCTION, name=1, returns=2, body=4), fact)
+    return F.transform(_matches("FUNCTION", RE_FUNCTION, name=1, returns=2, body=4), fact)
 
 
 def _triggers() -> Column:
     """Trigger name, timing, first event, row/statement."""
-    return F.transform(_matches(RE_TRIGGER, name=1, timing=2, event=3, for_each=4), lambda t, i: F.struct(
+    return F.transform(_matches("TRIGGER", RE_TRIGGER, name=1, timing=2, event=3, for_each=4), lambda t, i: F.struct(
         i.cast("long").alias("ord"), t["name"].alias("name"), t["timing"].alias("timing"), t["event"].alias("event"), t["for_each"].alias("for_each"),
         F.lit(False).alias("has_returning_clause")))
 
 
 def _sequences(columns: str) -> Column:
     """Explicit sequences, then one implicit sequence per SERIAL column."""
-    explicit = F.transform(_matches(RE_SEQUENCE, name=1, dt=2, inc=3), lambda s: F.struct(
+    explicit = F.transform(_matches("SEQUENCE", RE_SEQUENCE, name=1, dt=2, inc=3), lambda s: F.struct(
         s["name"].alias("name"), F.when(s["dt"] == "", "BIGINT").otherwise(s["dt"]).alias("data_type"),
         F.when(s["inc"] == "", F.lit(1).cast("long")).otherwise(s["inc"].cast("long")).alias("increment"), F.lit(False).alias("is_serial")))
     implicit = F.transform(F.filter(columns, lambda x: x["data_type"].endswith("SERIAL")), lambda x: F.struct(
@@ -175,8 +190,8 @@ def _sequences(columns: str) -> Column:
 def _extensions() -> Column:
     """Explicit extensions in order (duplicates kept), then the usage-detected
     ones that are not yet listed."""
-    explicit = F.regexp_extract_all("content", F.lit(RE_EXTENSION), 1)
-    used = F.filter(F.array(*[F.when(c("content").rlike(p), F.lit(n)) for n, p in EXTENSION_USAGE]), lambda x: x.isNotNull())
+    explicit = _found("EXTENSION", RE_EXTENSION, 1)
+    used = F.filter(F.array(*[F.when(guarded_rlike(c("content"), c("U"), p, EXTENSION_WORDS[n]), F.lit(n)) for n, p in EXTENSION_USAGE]), lambda x: x.isNotNull())
     return F.concat(explicit, F.array_except(used, explicit))
 
 
@@ -184,7 +199,7 @@ def _partitions(children: str) -> Column:
     """Declaratively partitioned tables and the number of ``PARTITION OF`` children
     whose parent reference starts with the table name (the rule matches unanchored and
     case-insensitively)."""
-    return F.transform(_matches(RE_PARTITIONED, name=1, strategy=2), lambda p, i: F.struct(
+    return F.transform(_matches("PARTITION", RE_PARTITIONED, name=1, strategy=2), lambda p, i: F.struct(
         i.cast("long").alias("ord"), p["name"].alias("name"), F.upper(p["strategy"]).alias("strategy"),
         F.size(F.filter(children, lambda ref: F.startswith(ref, F.lower(p["name"])))).cast("long").alias("partition_count")))
 
@@ -212,25 +227,28 @@ def _objects(statements: str) -> Column:
 LISTS = ["types", "indexes", "functions", "triggers", "sequences", "extensions", "partitions", "inheritance", "estimates", "objects"]
 COUNTERS = {"partial_indexes": RE_PARTIAL, "expression_indexes": RE_EXPR_INDEX, "rls_policies": RE_RLS, "check_constraints": RE_CHECK,
             "exclusion_constraints": RE_EXCLUDE}
+#: Words one of which every match of a counter holds, in any case (prefilter only).
+COUNTER_WORDS = {"partial_indexes": ["WHERE"], "expression_indexes": ["INDEX"], "rls_policies": ["POLICY", "SECURITY"], "check_constraints": ["CHECK"],
+                 "exclusion_constraints": ["EXCLUDE"]}
 
 
 def pg_file_features(files: DataFrame) -> DataFrame:
     """One row a file with all its features (``LISTS``), the counters of G5, G6, G13, G15 and G16, and
     its numbers of tables, columns and statements.  Four projections, so that what several parts
     read (statements, table bodies, columns, met types) is made once; no shuffle."""
-    statements = files.select(*KEYS, "content", D.statement_list(c("content")).alias("statements"))
-    methods = F.transform(F.regexp_extract_all("content", F.lit(RE_INDEX), 1), lambda m: F.when(m == "", "BTREE").otherwise(F.upper(m)))
-    parts = statements.select(*KEYS, "content", "statements", _tables("statements").alias("bodies"), methods.alias("methods"),
-                              F.transform(F.regexp_extract_all("content", F.lit(RE_PARTITION_OF), 1), F.lower).alias("children"))
+    statements = files.select(*KEYS, "content", F.upper("content").alias("U"), D.statement_list(c("content")).alias("statements"))
+    methods = F.transform(_found("INDEX", RE_INDEX, 1), lambda m: F.when(m == "", "BTREE").otherwise(F.upper(m)))
+    parts = statements.select(*KEYS, "content", "U", "statements", _tables("statements").alias("bodies"), methods.alias("methods"),
+                              F.transform(_found("PARTITION", RE_PARTITION_OF, 1), F.lower).alias("children"))
     parts = parts.select("*", _columns("bodies").alias("cols"))
     parts = parts.select("*", _met("cols").alias("met"))
-    names = F.regexp_extract_all("content", F.lit(RE_INHERITS), 1)
+    names = _found("INHERITS", RE_INHERITS, 1)
     return parts.select(
         *KEYS, _types("met").alias("types"), _indexes("methods").alias("indexes"), _functions().alias("functions"), _triggers().alias("triggers"),
         _sequences("cols").alias("sequences"), _extensions().alias("extensions"), _partitions("children").alias("partitions"),
         F.transform(names, lambda n, i: F.struct(i.cast("long").alias("ord"), n.alias("name"))).alias("inheritance"),
         _estimates("bodies").alias("estimates"), _objects("statements").alias("objects"),
-        *[F.regexp_count("content", F.lit(p)).cast("long").alias(n) for n, p in COUNTERS.items()],
+        *[_number(COUNTER_WORDS[n], p).cast("long").alias(n) for n, p in COUNTERS.items()],
         F.size("bodies").cast("long").alias("n_tables"), F.size("cols").cast("long").alias("n_columns"), F.size("statements").cast("long").alias("n_statements"))
 
 

@@ -42,13 +42,15 @@ class DdlFacts:
     """Facts of the projects' DDL files.  ``union`` (the default) takes every file; ``last`` keeps
     only the last file of a project, for compatibility with the rule that a later file
     replaces earlier results (D15).  The files are mined once, into their feature records;
-    everything else reads these."""
+    everything else reads these.  With ``store=False`` the records are not written down: for a plan that
+    reads one table of them, once, so that the parts it does not read are not mined."""
 
-    def __init__(self, spark: SparkSession, ddl_src: DataFrame, mode: str = "union"):
+    def __init__(self, spark: SparkSession, ddl_src: DataFrame, mode: str = "union", store: bool = True):
         if mode == "last":
             last = ddl_src.groupBy("project_id").agg(F.max("path").alias("path"))
             ddl_src = ddl_src.join(last, KEYS, "left_semi")
-        self.features = materialize(G.pg_file_features(ddl_src))
+        records = G.pg_file_features(ddl_src)
+        self.features = materialize(records) if store else records
         self.types = G.pg_type_usage(self.features)
         self.indexes = G.pg_index_types(self.features)
         self.extensions = G.pg_extensions(self.features)
@@ -67,7 +69,7 @@ DDL_SUMS = ["complex_type_count", "serial_count", "complex_data_tables", "plpgsq
 
 def ddl_project_facts(features: DataFrame) -> DataFrame:
     """Per-project DDL facts for K10, K12, K13, K15, K17 and M13 in one pass over the records: each
-    file emits one row of sums and one row per type, index method and extension, with the
+    file emits one row for its sums and one row per type, index method and extension, with the
     place where it was met; a hash aggregate on (project, kind, item) -- partially aggregated before
     the exchange -- adds them up, and a second, small one per project orders the lists."""
     def total(part: str, value, where=None) -> Column:
@@ -93,21 +95,22 @@ def ddl_project_facts(features: DataFrame) -> DataFrame:
         "total_rows": total("estimates", lambda x: x["estimated_rows"]),
         "large_tables": number("estimates", lambda x: x["size_category"].isin("Very Large", "Large")),
     }
-    scalars = F.struct(*[sums[n].alias(n) for n in DDL_SUMS])
-    none = F.lit(None).cast(features.select(scalars.alias("s")).schema["s"].dataType)
 
-    def fact(kind: str, item: Column, n: Column, place: list[Column], s: Column) -> Column:
-        at = F.struct(c("path").alias("path"), *[x.cast("long").alias(f"o{k}") for k, x in enumerate(place, start=1)])
-        return F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"), n.cast("long").alias("n"), at.alias("at"), s.alias("s"))
+    def fact(kind: str, item: Column, n: Column, place: list[Column]) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"), n.cast("long").alias("n"),
+                        *[x.cast("long").alias(f"o{k}") for k, x in enumerate(place, start=1)])
 
     zero = F.lit(0)
     facts = F.concat(
-        F.array(fact("file", F.lit(None), F.lit(1), [zero, zero, zero], scalars)),
-        F.transform("types", lambda t: fact("type", t["type"], t["count"], [t["seen"]["o1"], t["seen"]["o2"], t["seen"]["o3"]], none)),
-        F.transform("indexes", lambda x: fact("index", x["type"], x["count"], [x["first_ord"], zero, zero], none)),
-        F.transform("extensions", lambda x, i: fact("extension", x, F.lit(1), [i, zero, zero], none)))
-    rows = features.select("project_id", F.explode_outer(facts).alias("f")).select("project_id", "f.*")
-    g = rows.groupBy("project_id", "kind", "item").agg(F.sum("n").alias("n"), F.min("at").alias("at"), *[F.sum(f"s.{n}").alias(n) for n in DDL_SUMS])
+        F.array(fact("file", F.lit(None), F.lit(1), [zero, zero, zero])),
+        F.transform("types", lambda t: fact("type", t["type"], t["count"], [t["seen"]["o1"], t["seen"]["o2"], t["seen"]["o3"]])),
+        F.transform("indexes", lambda x: fact("index", x["type"], x["count"], [x["first_ord"], zero, zero])),
+        F.transform("extensions", lambda x, i: fact("extension", x, F.lit(1), [i, zero, zero])))
+    # path and sums stay outside of the generated rows: a plan that asks for no ordered list prunes the places, and adds up by hash
+    rows = features.select("project_id", "path", *[sums[n].alias(n) for n in DDL_SUMS], facts.alias("facts")) \
+        .select("project_id", "path", *DDL_SUMS, F.explode_outer("facts").alias("f")) \
+        .select("project_id", F.struct("path", "f.o1", "f.o2", "f.o3").alias("at"), *DDL_SUMS, "f.kind", "f.item", "f.n")
+    g = rows.groupBy("project_id", "kind", "item").agg(F.sum("n").alias("n"), F.min("at").alias("at"), *[F.sum(n).alias(n) for n in DDL_SUMS])
     is_ = lambda kind: c("kind") == kind
     ordered = lambda cond, value: F.transform(
         F.array_sort(F.collect_list(F.when(cond, F.struct("at", value.alias("v"))))), lambda s: s["v"])
@@ -127,50 +130,50 @@ JAVA_SUMS = ["loc", "function_uses", "operator_uses", "boolean_files", "plain_jd
 
 
 #: The columns of ``java_files`` that the facts, the inventory and the primary ORM read.
-JAVA_COLUMNS = [*KEYS, "name", "type", "loc", "orm_framework", "pg_functions", "pg_data_types", "pg_operators", "jdbc_calls", "schema_code",
+JAVA_COLUMNS = [*KEYS, "name", "type", "loc", "orm_framework", "pg_functions", "uses_boolean", "pg_operators", "jdbc_calls", "schema_code",
                 "native_queries", "pg_native_queries", "limit_offset_queries", "returning_queries", "has_pg_dependency"]
 
 
 def java_project_facts(java_files: DataFrame) -> DataFrame:
     """Per-project Java facts for K11, K14, K17 and M14 in one pass.
 
-    Each file emits one 'file' fact row plus one row per function, operator and
-    its ORM label; a first hash aggregate on (project, kind, item) -- partially
+    Each file emits one 'orm' fact row with its label and sums, and one row per function and
+    operator; a first hash aggregate on (project, kind, item) -- partially
     aggregated before the exchange -- dedupes items with their first-seen
     position; a second, tiny one per project assembles sums and ordered lists."""
     i = lambda b: F.when(b, 1).otherwise(0)
-    scal = F.struct(
+    sums = [
         c("loc").alias("loc"), F.size("pg_functions").alias("function_uses"),
         F.size("pg_operators").alias("operator_uses"),
-        i(F.array_contains("pg_data_types", "BOOLEAN")).alias("boolean_files"),
+        i(c("uses_boolean")).alias("boolean_files"),
         i(c("orm_framework") == "Plain JDBC").alias("plain_jdbc_files"),
         i(c("orm_framework") == "MyBatis").alias("mybatis_files"),
         c("jdbc_calls").alias("jdbc_calls"), F.size("schema_code").alias("schema_code_uses"),
         i(c("type") == "Entity").alias("entity_files"), i(c("type") == "Repository").alias("repository_files"),
         c("native_queries").alias("native_queries"), c("pg_native_queries").alias("pg_native_queries"),
         c("limit_offset_queries").alias("limit_offset_queries"), c("returning_queries").alias("returning_queries"),
-        i((c("type") == "Service") & (c("native_queries") > 0)).alias("service_files_with_queries"))
-    none_s = F.lit(None).cast(java_files.select(scal.alias("s")).schema["s"].dataType)
+        i((c("type") == "Service") & (c("native_queries") > 0)).alias("service_files_with_queries")]
 
-    def fact(kind, item, pos, s):
-        return F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"),
-                        F.struct(c("path").alias("path"), pos.cast("int").alias("i")).alias("at"), s.alias("s"))
+    def fact(kind, item, pos):
+        return F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"), pos.cast("int").alias("i"))
     facts = F.concat(
-        F.array(fact("file", F.lit(None), F.lit(0), scal), fact("orm", c("orm_framework"), F.lit(0), none_s)),
-        F.transform("pg_functions", lambda x, k: fact("fn", x, k, none_s)),
-        F.transform("pg_operators", lambda x, k: fact("op", x, k, none_s)))
-    # ``facts`` is never empty; an inner generator would have Catalyst test that, and so mine, below the spread of the keys
-    ex = java_files.select("project_id", F.explode_outer(facts).alias("f")).select("project_id", "f.*")
+        F.array(fact("orm", c("orm_framework"), F.lit(0))),
+        F.transform("pg_functions", lambda x, k: fact("fn", x, k)),
+        F.transform("pg_operators", lambda x, k: fact("op", x, k)))
+    # ``facts`` is never empty; an inner generator would have Catalyst test that, and so mine, below the spread of the keys.
+    # Path and sums stay outside of the generated rows: a plan that asks for neither all sums nor an ordered list prunes
+    # them, with their mining, and adds up by hash.
+    ex = java_files.select("project_id", "path", *sums, facts.alias("facts")).select("project_id", "path", *JAVA_SUMS, F.explode_outer("facts").alias("f")) \
+        .select("project_id", F.struct("path", "f.i").alias("at"), *JAVA_SUMS, "f.*")
     g = ex.groupBy("project_id", "kind", "item").agg(
-        F.count(F.lit(1)).alias("n"), F.min("at").alias("at"),
-        *[F.sum(f"s.{x}").alias(x) for x in JAVA_SUMS])
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), *[F.sum(x).alias(x) for x in JAVA_SUMS])
     k = c("kind")
     ordered = lambda kind, val: F.transform(
         F.array_sort(F.collect_list(F.when(k == kind, F.struct(c("at").alias("at"), val.alias("v"))))),
         lambda s: s["v"])
     return g.groupBy("project_id").agg(
-        F.sum(F.when(k == "file", c("n"))).alias("java_files"),
-        *[F.sum(F.when(k == "file", c(x))).alias("total_loc" if x == "loc" else x) for x in JAVA_SUMS],
+        F.sum(F.when(k == "orm", c("n"))).alias("java_files"),
+        *[F.sum(F.when(k == "orm", c(x))).alias("total_loc" if x == "loc" else x) for x in JAVA_SUMS],
         ordered("fn", c("item")).alias("function_set"),
         ordered("op", c("item")).alias("operator_set"),
         ordered("orm", F.struct(c("item").alias("orm"), c("n").alias("n"))).alias("orm_counts"))
@@ -192,19 +195,14 @@ def pg_project_scores(spark: SparkSession, projects: DataFrame, java_files: Data
            "table_functions", "checks", "exclusions", "inheritance_tables", "partitioned_tables", "trigger_count",
            "rls", "partial_indexes", "extension_count", "advanced_index_count", "total_rows", "large_tables",
            "service_files_with_queries"]
-    for n in num:
-        if n not in p.columns:
-            p = p.withColumn(n, F.lit(0))
-        p = p.withColumn(n, F.coalesce(c(n), F.lit(0)).cast("long"))
     empty = F.array().cast("array<string>")
-    for n in ["type_lines", "extension_list", "advanced_index_types", "function_set", "operator_set"]:
-        if n not in p.columns:
-            p = p.withColumn(n, empty)
-        p = p.withColumn(n, F.coalesce(c(n), empty))
-    if "avg_function_lines" not in p.columns:
-        p = p.withColumn("avg_function_lines", F.lit(None).cast("double"))
-    if "orm_counts" not in p.columns:
-        p = p.withColumn("orm_counts", F.lit(None).cast("array<struct<orm:string,n:bigint>>"))
+    # one projection: a plan is analysed again for each
+    known = p.columns
+    filled = {n: F.coalesce(c(n), F.lit(0)).cast("long") if n in known else F.lit(0).cast("long") for n in num}
+    filled |= {n: F.coalesce(c(n), empty) if n in known else empty for n in ["type_lines", "extension_list", "advanced_index_types", "function_set", "operator_set"]}
+    missing = {"avg_function_lines": F.lit(None).cast("double"), "orm_counts": F.lit(None).cast("array<struct<orm:string,n:bigint>>")}
+    filled |= {n: e for n, e in missing.items() if n not in known}
+    p = p.select(*[c(n) for n in known if n not in filled], *[e.alias(n) for n, e in filled.items()])
     has = F.coalesce(c("has_ddl"), F.lit(False))
     score = lambda raw: F.least(js_round(raw), F.lit(100))
     avgl = c("avg_function_lines")

@@ -366,7 +366,7 @@ _DETAILS_PG = ["schema_details", "sql_details", "proc_details", "volume_details"
 
 def _pg_scores(spark, sf_dir):
     jf = J.java_files(java_files(spark, sf_dir))
-    ddl = PG.DdlFacts(spark, ddl_files(spark, sf_dir))
+    ddl = PG.DdlFacts(spark, ddl_files(spark, sf_dir), store=False)
     return PG.pg_project_scores(spark, projects_from_nation(spark, sf_dir), jf, ddl)
 
 
@@ -912,14 +912,14 @@ def dashboard_tiles(spark, sf_dir):
     """Database projects show their Java totals and PostgreSQL difficulty, the others COBOL's."""
     files = materialize(_files(spark, sf_dir))
     p = _PgParts(spark, sf_dir)
+    pg = materialize(_pg_scores(spark, sf_dir).select("project_id", "total_loc", "difficulty"))
     ctx = _ctx(spark, sf_dir)
     db = ctx.select("project_id", F.col("migration_type").isin(R.DATABASE_FAMILIES).alias("is_db"))
     of = lambda df, want: df.join(db.where(F.col("is_db") == want).select("project_id"), "project_id", "left_semi")
     cobol = K.cobol_project_scores(p.projects, K.cobol_file_scores(files), with_details=False).select("project_id", "difficulty")
-    java = p.java.groupBy("project_id").agg(F.sum("loc").cast("long").alias("total_loc"))
-    java_totals = p.total_files.join(java, "project_id", "left").select("project_id", "total_files", F.coalesce("total_loc", F.lit(0)).alias("total_loc"))
+    java_totals = p.total_files.join(pg.select("project_id", "total_loc"), "project_id", "left").select("project_id", "total_files", F.coalesce("total_loc", F.lit(0)).alias("total_loc"))
     totals = of(M.totals(files).select("project_id", "total_files", "total_loc"), False).unionByName(of(java_totals, True))
-    difficulty = of(cobol, False).unionByName(of(p.scores.select("project_id", "difficulty"), True))
+    difficulty = of(cobol, False).unionByName(of(pg.select("project_id", "difficulty"), True))
     return R.dashboard_tiles(ctx, _ddl_db(spark, sf_dir), totals, difficulty)
 
 

@@ -23,15 +23,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Generated text is ~100x larger than the key columns it is derived from, and the
 # per-file mining is CPU bound (regular expressions).  A key table with fewer scan
-# partitions than the session's shuffle partitions is spread over that many (a
-# round-robin exchange of a few key columns, not of the text); a larger table is
-# mined where it is read.
+# partitions than the session's shuffle partitions is spread over that many (an
+# exchange of a few key columns, not of the text); a larger table is
+# mined where it is read.  The rows are dealt by the hash of their keys: a round-robin
+# exchange sorts them first.
+SPREAD_KEYS = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "part": ["p_partkey"],
+               "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]}
 
 
-def spread(spark: SparkSession, df: DataFrame, expansion: int = 1) -> DataFrame:
+def spread(spark: SparkSession, df: DataFrame, keys: list[str], expansion: int = 1) -> DataFrame:
     """``expansion`` multiplies the wanted number of partitions, for very costly mining."""
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) * expansion
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
 
 
 def run_sql(spark: SparkSession, sf_dir: str, template: str, spread_tables: tuple = (),
@@ -39,7 +42,7 @@ def run_sql(spark: SparkSession, sf_dir: str, template: str, spread_tables: tupl
     """Run a template whose table references are written ``{name}``."""
     used = {t: read_table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in template}
     for t in spread_tables:
-        used[t] = spread(spark, used[t], expansion)
+        used[t] = spread(spark, used[t], SPREAD_KEYS[t], expansion)
     return spark.sql(template, **used)
 
 
